@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.order import join_small, keys_of
+from kiln.operators.order import attach_row, join_small, keys_of
 
 DEFAULT_ACCURACY = 1_000_000
 
@@ -57,7 +57,7 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
     b = s1.select(*keys, "_n",
                   *[F.col("_pa")[idx[lo]].alias(f"_lo{i}") for i, lo in enumerate(lows)],
                   *[F.col("_pa")[idx[hi]].alias(f"_hi{i}") for i, hi in enumerate(highs)])
-    j = join_small(x, b, keys) if keys else x.crossJoin(F.broadcast(b))
+    j = join_small(x, b, keys) if keys else attach_row(x, b)
     aggs = [F.first("_n").alias("_n")]
     for i in range(len(probs)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
@@ -78,11 +78,11 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
         need_hi = frac > 0
         v0 = F.element_at(arr, k + 1)
         v1 = F.when(need_hi, F.element_at(arr, k + 2)).otherwise(v0)
-        ok = (k >= 0) & (k < size) & (~need_hi | (k + 1 < size))
-        oks.append(ok)
-        # NULL-safe "when ok": element_at with a bad index under ANSI raises, so guard it.
-        safe_v0 = F.when(ok, v0)
-        safe_v1 = F.when(ok, v1)
+        valid = (k >= 0) & (k < size) & (~need_hi | (k + 1 < size))
+        oks.append((n == 0) | valid)
+        # element_at with a bad index raises under ANSI, so only evaluate valid positions
+        safe_v0 = F.when(valid, v0)
+        safe_v1 = F.when(valid, v1)
         cols.append((safe_v0 + (safe_v1 - safe_v0) * frac).alias(outs[i]))
     all_ok = oks[0]
     for o in oks[1:]:

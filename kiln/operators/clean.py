@@ -127,6 +127,17 @@ def missing_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return {c: int(row[f"m{i}"]) for i, c in enumerate(cols)}
 
 
+def missing_table(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(column, missing) for the given columns from one aggregate (NaN counts as missing)."""
+    cols = list(cols or df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
+    agg = df.agg(*[F.count_if(q(c).isNull() | (F.isnan(q(c)) if _float_like(types[c]) else F.lit(False)))
+                   .alias(f"m{i}") for i, c in enumerate(cols)])
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").cast("bigint").alias("missing"))
+                    for i, c in enumerate(cols)])
+    return agg.select(F.explode(arr).alias("r")).select("r.*")
+
+
 def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = None,
                  cols: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """Numeric missing values: ``mean`` fill (columns with a gap become double),
@@ -285,6 +296,30 @@ def report_table(spark: SparkSession, report: dict) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def report_numbers(spark: SparkSession, report: dict) -> DataFrame:
+    """The numeric facts of a cleaning report as (metric, column, value double)."""
+    rows = []
+
+    def add(metric, col, val):
+        rows.append((metric, col, None if val is None else float(val)))
+
+    for key in ("initial_rows", "duplicates_removed", "final_rows"):
+        if report.get(key) is not None:
+            add(key, None, report[key])
+    for key in ("numeric_missing_before", "categorical_missing_filled", "outliers_removed"):
+        for col, v in (report.get(key) or {}).items():
+            add(key, col, v)
+    for col, imp in (report.get("numeric_imputations") or {}).items():
+        add("numeric_imputations.missing_count", col, imp.get("missing_count"))
+        if "fill_value" in imp:
+            add("numeric_imputations.fill_value", col, round(float(imp["fill_value"]), 6))
+    for col in report.get("columns_removed_all_na") or []:
+        add("columns_removed_all_na", col, None)
+    if "converted_to_numeric" in report:
+        add("converted_to_numeric", None, len(report["converted_to_numeric"]))
+    return spark.createDataFrame(rows, "metric string, column string, value double")
+
+
 # ----------------------------------------------------------------------------- C15
 def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool = True) -> tuple[DataFrame, dict]:
     """Time-series cleaning: mandatory steps (names, trim, blanks, numeric text,

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from kiln.functions.exprs import micros, q
 from kiln.functions.quantiles import exact_quantiles
-from kiln.operators.order import add_lag_columns, assign_row_id, forward_fill, join_small, keys_of, running_sum
+from kiln.operators.order import (add_lag_columns, assign_row_id, attach_row, forward_fill, join_small, keys_of,
+                                  running_sum)
 
 # Candidate formats tried when guessing one format from a sample
 # (month first when ambiguous, as pandas does), in this order.
@@ -274,7 +275,7 @@ def detect_step(df: DataFrame, ts: str, key=None, order_cols: Sequence[str] | No
     for s in reversed(COMMON_STEPS):
         snapped = F.when(F.abs(F.col("_mode") - F.lit(float(s))) / F.lit(float(s)) < F.lit(STEP_TOLERANCE),
                          F.lit(float(s))).otherwise(snapped)
-    j = join_small(mean, mode, keys, how="left") if keys else mean.crossJoin(mode)
+    j = join_small(mean, mode, keys, how="left") if keys else attach_row(mean, mode)
     return j.select(*keys, F.coalesce(snapped, F.col("_mean")).alias("step_seconds"),
                     F.col("_mode").alias("mode_seconds"))
 
@@ -318,14 +319,14 @@ def impute_dates(df: DataFrame, col: str, order_cols: Sequence[str] | None = Non
     if strategy == "auto_detected":
         steps = detect_step(df, col, key=keys, order_cols=None, block=block)
         stats = join_small(stats, steps.select(*keys, "step_seconds"), keys, how="left") if keys \
-            else stats.crossJoin(steps.select("step_seconds"))
+            else attach_row(stats, steps.select("step_seconds"))
         delta = F.floor(F.col("step_seconds") * F.lit(MICROS_PER_SECOND)).cast("bigint")
     elif step_seconds is not None:
         delta = F.lit(int(step_seconds * MICROS_PER_SECOND)).cast("bigint")
     else:  # mean_timedelta and unknown names
         delta = F.expr("(_mx - _mn) div (_cnt - 1)")
     stats = stats.select(*keys, "_cnt", F.when(F.col("_cnt") >= 2, delta).alias("_delta"))
-    x = join_small(x, stats, keys) if keys else x.crossJoin(F.broadcast(stats))
+    x = join_small(x, stats, keys) if keys else attach_row(x, stats)
 
     p, pp = F.col("_pv.v"), F.col("_pv.p")
     n, npos = F.col("_nv.v"), F.col("_nv.p")
@@ -421,7 +422,7 @@ def is_regular(df: DataFrame, ts: str | None = None, key=None, block: int | None
     )
     med = exact_quantiles(gaps.filter(g.isNotNull()).withColumn("_gs", g / F.lit(float(MICROS_PER_SECOND))),
                           "_gs", [0.5], by=keys, method=method, prefix="_med")
-    j = join_small(rules, med.select(*keys, "_med0"), keys, how="left") if keys else rules.crossJoin(med.select("_med0"))
+    j = join_small(rules, med.select(*keys, "_med0"), keys, how="left") if keys else attach_row(rules, med.select("_med0"))
     m = F.col("_med0")
     verdict = (F.when(F.col("_n") < 2, F.lit(None).cast("boolean"))
                 .when(m <= 2 * 3600, F.col("_hourly"))
@@ -485,7 +486,7 @@ def reindex(df: DataFrame, ts: str, key=None, step_us: int | None = None, step_m
     was_ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
     bounds = df.filter(q(ts).isNotNull()).groupBy(*keys).agg(F.min(q(ts)).alias("_t0"), F.max(q(ts)).alias("_t1"))
     if steps is not None:
-        bounds = join_small(bounds, steps, keys) if keys else bounds.crossJoin(steps)
+        bounds = join_small(bounds, steps, keys) if keys else attach_row(bounds, steps)
     else:
         bounds = bounds.withColumn("step_us", F.lit(step_us).cast("bigint")) \
                        .withColumn("step_months", F.lit(step_months).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
-from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum
+from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of, running_sum
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -114,7 +114,7 @@ def roc_curve(df: DataFrame, y: str, score: str, positive=1, by=None) -> DataFra
     t = running_sum(t, keys, "_r", "pos", "_tp")
     t = running_sum(t, keys, "_r", "neg", "_fp")
     tot = t.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    t = join_small(t, tot, keys) if keys else t.crossJoin(F.broadcast(tot))
+    t = join_small(t, tot, keys) if keys else attach_row(t, tot)
     pts = t.select(*keys, F.col("s").alias("threshold"),
                    F.when(F.col("_N") > 0, F.col("_fp") / F.col("_N")).alias("fpr"),
                    F.when(F.col("_P") > 0, F.col("_tp") / F.col("_P")).alias("tpr"))
@@ -207,7 +207,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by=None, density: bool =
     x = df.filter(q(col).isNotNull() & ~F.isnan(q(col).cast("double"))).select(*keys, q(col).cast("double").alias("_x"))
     st = x.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("_n"))
     w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
-    j = join_small(x, st, keys) if keys else x.crossJoin(F.broadcast(st))
+    j = join_small(x, st, keys) if keys else attach_row(x, st)
     b = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_mn")) / w), F.lit(bins - 1))).cast("int")
     counts = j.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import q
-from kiln.operators.order import add_lag_columns, assign_row_id, join_small, keys_of
+from kiln.operators.order import add_lag_columns, assign_row_id, attach_row, join_small, keys_of
 
 FEATURES = "features"
 
@@ -287,7 +287,7 @@ def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, ord
     tail = history.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= int(need) + 1)
     tail = tail.select(*keys, "_r", q(target).cast("double").alias("_y"))
     grouped = tail.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(-F.col("_r"), F.col("_y")))).alias("_h"))
-    j = join_small(grouped, meta, keys) if keys else grouped.crossJoin(meta)
+    j = join_small(grouped, meta, keys) if keys else attach_row(grouped, meta)
     key_fields = [f for f in j.schema.fields if f.name in keys]
     schema = T.StructType([*key_fields, T.StructField("step", T.IntegerType()),
                            T.StructField("forecast", T.DoubleType())])

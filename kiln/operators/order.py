@@ -52,7 +52,7 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     if bound is not None and bound <= BROADCAST_MAX_ROWS:
         s = F.broadcast(s)
     if not keys:
-        return big.crossJoin(F.broadcast(s)) if bound is not None and bound <= 1 else big.join(s, how=how)
+        return attach_row(big, small)
     cond = None
     for k in keys:
         c = big[k].eqNullSafe(s[f"__r_{k}"])
@@ -61,6 +61,17 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def attach_row(big: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row as literals (one tiny collect;
+    keeps filters on them pushable and avoids a cartesian product)."""
+    row = one_row.first()
+    cols = []
+    for f in one_row.schema.fields:
+        v = row[f.name] if row is not None else None
+        cols.append(F.lit(v).cast(f.dataType).alias(f.name))
+    return big.select("*", *cols)
+
+
 def _partition_count(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions

@@ -1,5 +1,265 @@
-"""Per-operator queries registered into :mod:`kiln.plans.catalog`."""
+"""Per-operator queries registered into :mod:`kiln.plans.catalog`, each with the DuckDB
+SQL that computes the same result (omitted only where SQL cannot express the operator:
+model fitting, Q-Q points, PACF, file round trips of formats DuckDB does not read here).
+
+Naming: ``<survey id>_<what>``; every query reads whole driver tables.
+"""
 
 from __future__ import annotations
 
-from kiln.plans import catalog  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kiln.functions.exprs import r6
+from kiln.operators import clean
+from kiln.plans.catalog import SQL_DIRTY_EVENTS, register, sql_iqr_chain, sql_strip
+from kiln.plans.tables import dirty_events, table
+from kiln.sources import files
+
+
+def _r6_cols(df: DataFrame, cols) -> DataFrame:
+    return df.select(*[r6(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# =============================================================================== sources
+@register("s2_scan_csv", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer
+""")
+def q_s2(spark: SparkSession, sf: str) -> DataFrame:
+    """Write customer as CSV in the scratch folder, scan it back with type inference."""
+    path = files.scratch_path(spark, "s2-csv")
+    files.write_table(table(spark, sf, "customer"), path, fmt="csv")
+    return files.scan_csv(spark, path)
+
+
+@register("s3_scan_arff", """
+SELECT CAST(doc_id AS DOUBLE) AS doc_id, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic
+FROM labels
+""")
+def q_s3(spark: SparkSession, sf: str) -> DataFrame:
+    path = files.scratch_path(spark, "s3-arff")
+    files.write_arff(table(spark, sf, "labels"), path, relation="labels")
+    return files.scan_arff(spark, path + "/*")
+
+
+@register("s4_write_table", "SELECT * FROM orders")
+def q_s4(spark: SparkSession, sf: str) -> DataFrame:
+    path = files.scratch_path(spark, "s4-parquet")
+    files.write_table(table(spark, sf, "orders"), path)
+    return spark.read.parquet(path)
+
+
+@register("s5_write_by_series", "SELECT * FROM events")
+def q_s5(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    path = files.scratch_path(spark, "s5-series")
+    files.write_by_series(ev, path, "event_type")
+    return spark.read.parquet(path).select(*ev.columns)
+
+
+@register("s6_take_bytes", """
+WITH b AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
+         strlen(concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+                          o_orderpriority)) + 1 AS nb
+  FROM orders)
+SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM (
+  SELECT *, sum(nb) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM b)
+WHERE cum <= 200000
+""")
+def q_s6(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return files.take_bytes(o, ["o_orderkey"], 200_000)
+
+
+@register("s7_first_n_plus_last", "SELECT l_orderkey, l_partkey, l_suppkey, l_shipdate FROM lineitem")
+def q_s7(spark: SparkSession, sf: str) -> DataFrame:
+    return files.first_n_plus_last(table(spark, sf, "lineitem"), 3)
+
+
+@register("s8_preview", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 100")
+def q_s8(spark: SparkSession, sf: str) -> DataFrame:
+    return files.preview(table(spark, sf, "lineitem"), 100, ["l_orderkey", "l_linenumber"])
+
+
+# =============================================================================== cleaning
+_TRIMMED = f"(SELECT event_id, ts, user_id, {sql_strip('event_type')} AS event_type, value FROM ({SQL_DIRTY_EVENTS}))"
+_BLANKED = ("(SELECT event_id, ts, user_id, CASE WHEN regexp_matches(event_type, '^\\s*$') THEN NULL "
+            f"ELSE event_type END AS event_type, value FROM {_TRIMMED})")
+
+
+@register("c1_trim_column_names", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def q_c1(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    padded = ev.select(*[F.col(c).alias(f"  {c} ") for c in ev.columns])
+    return clean.trim_columns(padded)
+
+
+@register("c2_trim_cells", f"SELECT event_id, {sql_strip('event_type')} AS event_type FROM ({SQL_DIRTY_EVENTS})")
+def q_c2(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.trim_cells(dirty_events(spark, sf)).select("event_id", "event_type")
+
+
+@register("c3_blank_to_null", f"""
+SELECT event_id, CASE WHEN regexp_matches(event_type, '^\\s*$') THEN NULL ELSE event_type END AS event_type
+FROM ({SQL_DIRTY_EVENTS})""")
+def q_c3(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.blank_to_null(dirty_events(spark, sf)).select("event_id", "event_type")
+
+
+@register("c4_cast_numeric_text", """
+SELECT event_id, CAST(user_id AS BIGINT) AS user_txt, event_type,
+       concat('-', CAST(user_id AS VARCHAR)) AS neg_txt, value AS value_txt
+FROM events""")
+def q_c4(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    x = ev.select("event_id", F.col("user_id").cast("string").alias("user_txt"), "event_type",
+                  F.concat(F.lit("-"), F.col("user_id").cast("string")).alias("neg_txt"),
+                  F.col("value").cast("string").alias("value_txt"))
+    out, _ = clean.cast_numeric_columns(x)
+    return out
+
+
+@register("c5_drop_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem")
+def q_c5(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return clean.drop_duplicates(li)
+
+
+@register("c6_drop_duplicates_sorted", """
+SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem
+ORDER BY l_returnflag, l_linestatus, l_quantity""")
+def q_c6(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+    return clean.drop_duplicates(li, sort=True)
+
+
+@register("c7_fill_numeric_mean", f"""
+WITH de AS ({SQL_DIRTY_EVENTS})
+SELECT event_id, user_id, round(coalesce(value, (SELECT avg(value) FROM de)), 6) AS value FROM de""")
+def q_c7(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.fill_numeric(dirty_events(spark, sf).select("event_id", "user_id", "value"), "mean")
+    return _r6_cols(x, ["value"])
+
+
+@register("c8_fill_numeric_value", f"""
+SELECT event_id, user_id, coalesce(value, -1.0::DOUBLE) AS value FROM ({SQL_DIRTY_EVENTS})""")
+def q_c8(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.fill_numeric(dirty_events(spark, sf).select("event_id", "user_id", "value"), "value", -1.0)
+    return x
+
+
+@register("c9_drop_numeric_nulls", f"""
+SELECT event_id, ts, user_id, event_type, value FROM ({SQL_DIRTY_EVENTS}) WHERE value IS NOT NULL""")
+def q_c9(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.fill_numeric(dirty_events(spark, sf), "drop")
+    return x
+
+
+@register("c10_missing_counts", f"""
+WITH de AS ({SQL_DIRTY_EVENTS})
+SELECT 'event_id' AS "column", CAST(count(*) - count(event_id) AS BIGINT) AS missing FROM de
+UNION ALL SELECT 'user_id', CAST(count(*) - count(user_id) AS BIGINT) FROM de
+UNION ALL SELECT 'value', CAST(count(*) - count(value) AS BIGINT) FROM de""")
+def q_c10(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.fill_numeric(dirty_events(spark, sf), "keep")
+    return clean.missing_table(x, ["event_id", "user_id", "value"])
+
+
+@register("c11_fill_categorical", f"SELECT event_id, coalesce(event_type, 'vacio') AS event_type FROM {_BLANKED}")
+def q_c11(spark: SparkSession, sf: str) -> DataFrame:
+    x = clean.blank_to_null(clean.trim_cells(dirty_events(spark, sf)))
+    return clean.fill_categorical_df(x).select("event_id", "event_type")
+
+
+def _iqr_sql(src_sql: str, cols: list[str], select: str = "*") -> str:
+    ctes, last = sql_iqr_chain("src", cols, "q")
+    return f"WITH src AS ({src_sql}),\n{ctes}\nSELECT {select} FROM {last}"
+
+
+@register("c12_outliers_events", _iqr_sql("SELECT * FROM events", ["event_id", "user_id", "value"]))
+def q_c12e(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.filter_outliers(table(spark, sf, "events"))
+    return x
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+           "l_tax"]
+
+
+@register("c12_outliers_lineitem", _iqr_sql("SELECT * FROM lineitem", _LI_NUM))
+def q_c12l(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.filter_outliers(table(spark, sf, "lineitem"))
+    return x
+
+
+@register("c13_drop_empty_columns", f"SELECT event_id, ts, user_id, event_type, value FROM ({SQL_DIRTY_EVENTS})")
+def q_c13(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.drop_empty_columns(dirty_events(spark, sf, with_empty=True))
+    return x
+
+
+def _cl_flow_sql(final_select: str) -> str:
+    iqr, last = sql_iqr_chain("cf", ["event_id", "user_id", "value"], "ci")
+    return f"""
+WITH cb AS ({_BLANKED}),
+cf AS (SELECT event_id, ts, user_id, coalesce(event_type, 'vacio') AS event_type,
+              coalesce(value, (SELECT avg(value) FROM cb)) AS value FROM cb),
+{iqr}
+{final_select.format(last=last)}"""
+
+
+@register("c14_clean_table", _cl_flow_sql(
+    "SELECT event_id, ts, user_id, event_type, round(value, 6) AS value FROM {last}"))
+def q_c14(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.clean_table(dirty_events(spark, sf, with_empty=True), with_report=False)
+    return _r6_cols(x, ["value"])
+
+
+_C14_REPORT_SQL = """
+WITH de AS (""" + SQL_DIRTY_EVENTS + """),
+cb AS (""" + _BLANKED + """),
+cf AS (SELECT event_id, ts, user_id, coalesce(event_type, 'vacio') AS event_type,
+              coalesce(value, (SELECT avg(value) FROM cb)) AS value FROM cb),
+""" + sql_iqr_chain("cf", ["event_id", "user_id", "value"], "ci")[0] + """
+SELECT 'initial_rows' AS metric, CAST(NULL AS VARCHAR) AS "column", CAST(count(*) AS DOUBLE) AS value FROM de
+UNION ALL SELECT 'duplicates_removed', NULL, 0.0::DOUBLE
+UNION ALL SELECT 'numeric_missing_before', 'event_id', 0.0::DOUBLE
+UNION ALL SELECT 'numeric_missing_before', 'user_id', 0.0::DOUBLE
+UNION ALL SELECT 'numeric_missing_before', 'value', CAST(count(*) - count(value) AS DOUBLE) FROM cb
+UNION ALL SELECT 'numeric_missing_before', 'empty_col', CAST(count(*) AS DOUBLE) FROM cb
+UNION ALL SELECT 'numeric_imputations.missing_count', 'value', CAST(count(*) - count(value) AS DOUBLE) FROM cb
+UNION ALL SELECT 'numeric_imputations.fill_value', 'value', round(avg(value), 6) FROM cb
+UNION ALL SELECT 'categorical_missing_filled', 'event_type', CAST(count(*) - count(event_type) AS DOUBLE) FROM cb
+UNION ALL SELECT 'outliers_removed', 'event_id', CAST((SELECT count(*) FROM cf) - (SELECT count(*) FROM ci_f0) AS DOUBLE)
+UNION ALL SELECT 'outliers_removed', 'user_id', CAST((SELECT count(*) FROM ci_f0) - (SELECT count(*) FROM ci_f1) AS DOUBLE)
+UNION ALL SELECT 'outliers_removed', 'value', CAST((SELECT count(*) FROM ci_f1) - (SELECT count(*) FROM ci_f2) AS DOUBLE)
+UNION ALL SELECT 'columns_removed_all_na', 'empty_col', NULL
+UNION ALL SELECT 'converted_to_numeric', NULL, 0.0::DOUBLE
+UNION ALL SELECT 'final_rows', NULL, CAST(count(*) AS DOUBLE) FROM ci_f2
+"""
+
+
+@register("c14_clean_report", _C14_REPORT_SQL)
+def q_c14r(spark: SparkSession, sf: str) -> DataFrame:
+    _, rep = clean.clean_table(dirty_events(spark, sf, with_empty=True), with_report=True)
+    return clean.report_numbers(spark, rep)
+
+
+_C15_SPEC = {"cleaning_methods": [
+    {"method": "drop_duplicates", "params": {"include": True}},
+    {"method": "fill_missing_numeric_values", "params": {"method": "valor", "value": 0}},
+    {"method": "filter_outliers"},
+    {"method": "not_a_method"},
+]}
+
+
+@register("c15_apply_cleaning_spec", f"""
+WITH cb AS ({_BLANKED}),
+cv AS (SELECT DISTINCT event_id, ts, user_id, coalesce(event_type, 'vacio') AS event_type, value FROM cb),
+cf AS (SELECT event_id, ts, user_id, event_type, coalesce(value, 0.0::DOUBLE) AS value FROM cv),
+{sql_iqr_chain("cf", ["event_id", "user_id", "value"], "ci")[0]}
+SELECT * FROM ci_f2""")
+def q_c15(spark: SparkSession, sf: str) -> DataFrame:
+    x, _ = clean.apply_cleaning(dirty_events(spark, sf, with_empty=True), _C15_SPEC)
+    return x
