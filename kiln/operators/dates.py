@@ -203,7 +203,7 @@ def preview_dates(df: DataFrame, col: str, mode: str = "utc", order_cols: Sequen
     txt = q(col).cast("string")
     if mode == "utc":
         parsed = _zoned_parse(txt)
-        iso = F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ssXXX")
+        iso = F.concat(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     else:
         k = keep_tz(base.select(txt.alias("_o")), "_o", "_t", "_off")
         parsed = None
@@ -262,22 +262,26 @@ def detect_format(df: DataFrame, col: str, order_cols: Sequence[str] | None = No
 # ----------------------------------------------------------------------------- D9
 def detect_step(df: DataFrame, ts: str, key=None, order_cols: Sequence[str] | None = None,
                 block: int | None = None) -> DataFrame:
-    """Auto step per series (seconds, double): mode of consecutive differences of the
-    sorted non-null timestamps (smallest mode on ties); snapped to a common step when
-    within 10 %, otherwise the mean difference. One row per key."""
+    """Auto step per series: mode of consecutive differences of the sorted non-null
+    timestamps (smallest mode on ties); snapped to a common step when within 10 %,
+    otherwise the mean difference ``(max - min) / (n - 1)``. One row per key with
+    ``step_us`` (integer microseconds), ``step_seconds`` and ``mode_seconds``."""
     keys = keys_of(key)
     gaps = consecutive_gaps(df, ts, key, order_cols, block)
-    sec = (F.col("_gap") / F.lit(float(MICROS_PER_SECOND)))
-    per = gaps.filter(F.col("_gap").isNotNull()).groupBy(*keys, sec.alias("_d")).agg(F.count(F.lit(1)).alias("_c"))
-    mode = per.groupBy(*keys).agg(F.min_by("_d", F.struct(-F.col("_c"), F.col("_d"))).alias("_mode"))
-    mean = gaps.groupBy(*keys).agg(F.avg(sec).alias("_mean"))
-    snapped = F.lit(None).cast("double")
+    per = gaps.filter(F.col("_gap").isNotNull()).groupBy(*keys, "_gap").agg(F.count(F.lit(1)).alias("_c"))
+    mode = per.groupBy(*keys).agg(F.min_by("_gap", F.struct(-F.col("_c"), F.col("_gap"))).alias("_mode_us"))
+    stats = gaps.groupBy(*keys).agg(F.min("_us").alias("_mn"), F.max("_us").alias("_mx"),
+                                    F.count("_us").alias("_cnt"))
+    j = join_small(stats, mode, keys, how="left") if keys else attach_row(stats, mode)
+    mode_s = F.col("_mode_us") / F.lit(float(MICROS_PER_SECOND))
+    snapped = F.lit(None).cast("bigint")
     for s in reversed(COMMON_STEPS):
-        snapped = F.when(F.abs(F.col("_mode") - F.lit(float(s))) / F.lit(float(s)) < F.lit(STEP_TOLERANCE),
-                         F.lit(float(s))).otherwise(snapped)
-    j = join_small(mean, mode, keys, how="left") if keys else attach_row(mean, mode)
-    return j.select(*keys, F.coalesce(snapped, F.col("_mean")).alias("step_seconds"),
-                    F.col("_mode").alias("mode_seconds"))
+        snapped = F.when(F.abs(mode_s - F.lit(float(s))) / F.lit(float(s)) < F.lit(STEP_TOLERANCE),
+                         F.lit(s * MICROS_PER_SECOND).cast("bigint")).otherwise(snapped)
+    mean_us = F.when(F.col("_cnt") >= 2, F.expr("(_mx - _mn) div (_cnt - 1)"))
+    step_us = F.coalesce(snapped, mean_us)
+    return j.select(*keys, step_us.alias("step_us"), (step_us / F.lit(float(MICROS_PER_SECOND))).alias("step_seconds"),
+                    mode_s.alias("mode_seconds"))
 
 
 def consecutive_gaps(df: DataFrame, ts: str, key=None, order_cols: Sequence[str] | None = None,
@@ -318,9 +322,9 @@ def impute_dates(df: DataFrame, col: str, order_cols: Sequence[str] | None = Non
     stats = x.groupBy(*keys).agg(F.max("_us").alias("_mx"), F.min("_us").alias("_mn"), F.count("_us").alias("_cnt"))
     if strategy == "auto_detected":
         steps = detect_step(df, col, key=keys, order_cols=None, block=block)
-        stats = join_small(stats, steps.select(*keys, "step_seconds"), keys, how="left") if keys \
-            else attach_row(stats, steps.select("step_seconds"))
-        delta = F.floor(F.col("step_seconds") * F.lit(MICROS_PER_SECOND)).cast("bigint")
+        stats = join_small(stats, steps.select(*keys, "step_us"), keys, how="left") if keys \
+            else attach_row(stats, steps.select("step_us"))
+        delta = F.col("step_us")
     elif step_seconds is not None:
         delta = F.lit(int(step_seconds * MICROS_PER_SECOND)).cast("bigint")
     else:  # mean_timedelta and unknown names

@@ -263,3 +263,306 @@ SELECT * FROM ci_f2""")
 def q_c15(spark: SparkSession, sf: str) -> DataFrame:
     x, _ = clean.apply_cleaning(dirty_events(spark, sf, with_empty=True), _C15_SPEC)
     return x
+
+
+# =============================================================================== dates
+from kiln.operators import dates  # noqa: E402
+from kiln.plans.tables import dirty_orders_dates, holey_events_ts  # noqa: E402
+
+_SQL_ORDERS_TEXT = ("SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'bad' "
+                    "ELSE strftime(o_orderdate, '%d/%m/%Y') END AS o_date_text FROM orders")
+_SQL_ZONED = ("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'bad' ELSE concat(strftime(ts, '%Y-%m-%d %H:%M:%S'), "
+              "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '+02:00' ELSE '-0530' END) END AS ts_text FROM events")
+_SQL_HOLEY = ("SELECT event_id, CASE WHEN event_id % 10 IN (3, 4) OR event_id < 2 THEN NULL ELSE ts END AS ts, "
+              "event_type, value FROM events")
+_ZONE_RE = "([+-])(\\d{2}):?(\\d{2})$"
+
+
+def zoned_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Timestamp text with '+02:00', '-0530' or no offset; every 13th id is 'bad'."""
+    ev = table(spark, sf, "events")
+    suffix = (F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.lit("+02:00"))
+               .otherwise(F.lit("-0530")))
+    txt = F.when(F.col("event_id") % 13 == 0, F.lit("bad")).otherwise(
+        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), suffix))
+    return ev.select("event_id", txt.alias("ts_text"))
+
+
+@register("d1_parse_dates", f"""
+SELECT o_orderkey, try_strptime(o_date_text, '%d/%m/%Y') AS parsed FROM ({_SQL_ORDERS_TEXT})""")
+def q_d1(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.parse_dates(dirty_orders_dates(spark, sf), "o_date_text", mode="first", order_cols=["o_orderkey"],
+                          out="parsed")
+    return x.select("o_orderkey", "parsed")
+
+
+@register("d2_to_utc", f"""
+SELECT event_id, CAST(coalesce(epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S%z')),
+                          epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'))) AS DOUBLE) AS utc_us
+FROM ({_SQL_ZONED})""")
+def q_d2(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.to_utc(zoned_events(spark, sf), "ts_text", out="utc")
+    # nullable integers are returned as double (exact below 2^53) so both engines agree
+    return x.select("event_id", F.unix_micros("utc").cast("double").alias("utc_us"))
+
+
+@register("d3_keep_timezone", f"""
+WITH z AS ({_SQL_ZONED}),
+p AS (SELECT event_id, ts_text,
+             coalesce(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S%z'), try_strptime(ts_text, '%Y-%m-%d %H:%M:%S')) AS ok
+      FROM z)
+SELECT event_id,
+       CASE WHEN ok IS NOT NULL THEN try_strptime(regexp_replace(ts_text, '{_ZONE_RE}', ''), '%Y-%m-%d %H:%M:%S') END
+         AS local_ts,
+       CASE WHEN ok IS NOT NULL AND regexp_matches(ts_text, '{_ZONE_RE}') THEN
+         CAST((CASE WHEN regexp_extract(ts_text, '{_ZONE_RE}', 1) = '-' THEN -1 ELSE 1 END) *
+              (CAST(regexp_extract(ts_text, '{_ZONE_RE}', 2) AS INTEGER) * 60 +
+               CAST(regexp_extract(ts_text, '{_ZONE_RE}', 3) AS INTEGER)) AS DOUBLE) END AS offset_minutes
+FROM p""")
+def q_d3(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.keep_tz(zoned_events(spark, sf), "ts_text", out="local_ts", offset_col="offset_minutes")
+    return x.select("event_id", "local_ts", F.col("offset_minutes").cast("double").alias("offset_minutes"))
+
+
+@register("d4_preview_dates", f"""
+WITH z AS ({_SQL_ZONED} ORDER BY event_id LIMIT 5),
+p AS (SELECT ts_text, coalesce(epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S%z')),
+                               epoch_us(try_strptime(ts_text, '%Y-%m-%d %H:%M:%S'))) AS us FROM z)
+SELECT ts_text AS original,
+       CASE WHEN us IS NOT NULL THEN strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS transformed,
+       CASE WHEN us IS NULL THEN 'could not parse: ' || ts_text END AS warning
+FROM p""")
+def q_d4(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.preview_dates(zoned_events(spark, sf), "ts_text", mode="utc", order_cols=["event_id"], n=5)
+
+
+def _detect_sql(src: str, limit: str) -> str:
+    pats = [p for p, _ in dates.DETECT_PATTERNS]
+    case = " ".join(f"WHEN try_strptime(v, '{p}') IS NOT NULL THEN {i}" for i, p in enumerate(pats))
+    names = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(pats))
+    return f"""
+WITH s AS (SELECT o_date_text AS v FROM ({src}) WHERE o_date_text IS NOT NULL ORDER BY o_orderkey {limit}),
+t AS (SELECT CASE {case} END AS p,
+             (contains(v, '+') OR contains(v, 'Z') OR contains(v, 'UTC') OR contains(v, 'GMT')) AS tz FROM s),
+h AS (SELECT p, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p),
+b AS (SELECT first(p ORDER BY c DESC, p ASC) AS bp, max(c) AS bc FROM h)
+SELECT CASE WHEN b.bc > 0 THEN CASE b.bp {names} END ELSE 'Mixed formats' END AS detected_format,
+       CASE WHEN (SELECT count(*) FROM t) > 0 THEN coalesce(CAST(b.bc AS DOUBLE), 0.0) / (SELECT count(*) FROM t)
+            ELSE 0.0 END AS success_rate,
+       CASE WHEN (SELECT bool_or(tz) FROM t) THEN 'Timezone detected' ELSE 'No timezone detected' END
+         AS timezone_info
+FROM b"""
+
+
+@register("d5_detect_format", _detect_sql(_SQL_ORDERS_TEXT, "LIMIT 3"))
+def q_d5(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.detect_format(dirty_orders_dates(spark, sf), "o_date_text", order_cols=["o_orderkey"], n_samples=3)
+
+
+@register("d5_detect_format_all", _detect_sql(_SQL_ORDERS_TEXT, ""))
+def q_d5a(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.detect_format(dirty_orders_dates(spark, sf), "o_date_text", order_cols=["o_orderkey"],
+                               n_samples=None)
+
+
+def _impute_sql(src: str, order: str, delta_sql: str) -> str:
+    return f"""
+WITH h AS ({src}),
+r AS (SELECT {order} AS o, epoch_us(ts) AS us, row_number() OVER (ORDER BY {order}) - 1 AS rid FROM h),
+st AS (SELECT {delta_sql} AS delta, count(us) AS cnt FROM r),
+w AS (SELECT *,
+        last_value(us IGNORE NULLS) OVER (ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+        last_value(CASE WHEN us IS NOT NULL THEN rid END IGNORE NULLS)
+          OVER (ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pp,
+        first_value(us IGNORE NULLS) OVER (ORDER BY rid ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
+      FROM r),
+f AS (SELECT w.o, CASE
+        WHEN us IS NOT NULL THEN us
+        WHEN st.cnt < 2 THEN NULL
+        WHEN p IS NOT NULL AND n IS NOT NULL THEN
+          n - sign(n - p) * (CASE WHEN abs(n - p) <= 0 THEN 0 ELSE ((abs(n - p) - 1) >> least(rid - pp, 63)) + 1 END)
+        WHEN p IS NOT NULL THEN p + (rid - pp) * st.delta
+        WHEN n IS NOT NULL THEN
+          n - (CASE WHEN st.delta <= 0 THEN 0 ELSE ((st.delta - 1) >> least(rid, 63)) + 1 END)
+      END AS v FROM w, st)
+SELECT o AS {order}, make_timestamp(v) AS ts FROM f"""
+
+
+@register("d6_impute_dates_mean", _impute_sql(
+    _SQL_HOLEY, "event_id", "(max(us) - min(us)) // (count(us) - 1)"))
+def q_d6(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.impute_dates(holey_events_ts(spark, sf), "ts", order_cols=["event_id"], strategy="mean_timedelta")
+    return x.select("event_id", "ts")
+
+
+def holey_ship_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct ship days (ordered by the day itself) with every day-of-month divisible
+    by 5 blanked out: a daily series with NULL runs."""
+    d = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("ship_day")).distinct()
+    return d.select("ship_day", F.when(F.dayofmonth("ship_day") % 5 == 0, F.lit(None)).otherwise(F.col("ship_day"))
+                    .cast("timestamp_ntz").alias("ts"))
+
+
+_SQL_SHIP = ("SELECT ship_day, CASE WHEN dayofmonth(ship_day) % 5 = 0 THEN NULL ELSE ship_day END AS ts "
+             "FROM (SELECT DISTINCT l_shipdate AS ship_day FROM lineitem)")
+_SQL_AUTO_DELTA = """(SELECT CASE
+  WHEN abs(m / 1e6 - 3600) / 3600 < 0.1 THEN 3600000000
+  WHEN abs(m / 1e6 - 86400) / 86400 < 0.1 THEN 86400000000
+  WHEN abs(m / 1e6 - 604800) / 604800 < 0.1 THEN 604800000000
+  WHEN abs(m / 1e6 - 2628000) / 2628000 < 0.1 THEN 2628000000000
+  WHEN abs(m / 1e6 - 31536000) / 31536000 < 0.1 THEN 31536000000000
+  ELSE (SELECT (max(us) - min(us)) // (count(us) - 1) FROM r) END
+  FROM (SELECT first(g ORDER BY c DESC, g ASC) AS m FROM (
+    SELECT g, count(*) AS c FROM (SELECT us - lag(us) OVER (ORDER BY us) AS g FROM r WHERE us IS NOT NULL)
+    WHERE g IS NOT NULL GROUP BY g)))"""
+
+
+@register("d7_impute_dates_auto", _impute_sql(_SQL_SHIP, "ship_day", _SQL_AUTO_DELTA))
+def q_d7(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.impute_dates(holey_ship_days(spark, sf), "ts", order_cols=["ship_day"], strategy="auto_detected")
+    return x.select("ship_day", "ts")
+
+
+@register("d8_count_invalid_dates", f"""
+SELECT CAST(count(*) - count(ts) AS BIGINT) AS invalid_dates_found FROM ({_SQL_HOLEY})""")
+def q_d8(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.impute_dates(holey_events_ts(spark, sf), "ts", order_cols=["event_id"], strategy="leave_as_is")
+    return x.agg(F.count_if(F.col("ts").isNull()).cast("bigint").alias("invalid_dates_found"))
+
+
+def _step_sql(src: str, key: str, ts: str) -> str:
+    return f"""
+WITH g AS (SELECT {key}, epoch_us({ts}) AS us FROM ({src}) WHERE {ts} IS NOT NULL),
+d AS (SELECT {key}, us, us - lag(us) OVER (PARTITION BY {key} ORDER BY us) AS gap FROM g),
+m AS (SELECT {key}, first(gap ORDER BY c DESC, gap ASC) AS mode_us FROM (
+        SELECT {key}, gap, count(*) AS c FROM d WHERE gap IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT {key}, CASE WHEN count(us) >= 2 THEN (max(us) - min(us)) // (count(us) - 1) END AS mean_us
+      FROM g GROUP BY 1),
+j AS (SELECT s.{key}, mode_us, coalesce(CASE
+        WHEN abs(mode_us / 1e6 - 3600) / 3600 < 0.1 THEN 3600000000
+        WHEN abs(mode_us / 1e6 - 86400) / 86400 < 0.1 THEN 86400000000
+        WHEN abs(mode_us / 1e6 - 604800) / 604800 < 0.1 THEN 604800000000
+        WHEN abs(mode_us / 1e6 - 2628000) / 2628000 < 0.1 THEN 2628000000000
+        WHEN abs(mode_us / 1e6 - 31536000) / 31536000 < 0.1 THEN 31536000000000 END, mean_us) AS step_us
+      FROM s LEFT JOIN m ON s.{key} = m.{key})
+SELECT {key}, CAST(step_us AS BIGINT) AS step_us, step_us / 1e6 AS step_seconds, mode_us / 1e6 AS mode_seconds FROM j"""
+
+
+@register("d9_detect_step_events", _step_sql("SELECT * FROM events", "event_type", "ts"))
+def q_d9e(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.detect_step(table(spark, sf, "events"), "ts", key="event_type")
+
+
+_SQL_DAILY = "SELECT event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, sum(value) AS total, count(*) AS n_events FROM events GROUP BY 1, 2"
+
+
+def daily_events(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    return ev.groupBy("event_type", F.to_date("ts").cast("timestamp_ntz").alias("day")).agg(
+        F.sum("value").alias("total"), F.count(F.lit(1)).alias("n_events"))
+
+
+@register("d9_detect_step_daily", _step_sql(_SQL_DAILY, "event_type", "day"))
+def q_d9d(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.detect_step(daily_events(spark, sf), "day", key="event_type")
+
+
+@register("d10_spread_duplicates", """
+WITH h AS (SELECT event_id, epoch_us(date_trunc('hour', ts)) AS us FROM events),
+r AS (SELECT event_id, us, CASE WHEN us = lag(us) OVER (ORDER BY us, event_id) THEN 1 ELSE 0 END AS dup FROM h),
+c AS (SELECT *, sum(dup) OVER (ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM r)
+SELECT event_id, make_timestamp(CAST(CASE WHEN dup = 1 THEN us + i * 1000 ELSE us END AS BIGINT)) AS ts FROM c""")
+def q_d10(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+    return dates.spread_duplicates(ev, "ts", ["event_id"])
+
+
+def _regular_sql(src: str, key: str, ts: str) -> str:
+    return f"""
+WITH g AS (SELECT {key}, {ts} AS t, epoch_us({ts}) AS us FROM ({src}) WHERE {ts} IS NOT NULL),
+d AS (SELECT {key}, t, us - lag(us) OVER (PARTITION BY {key} ORDER BY us) AS gap,
+             (year(t) * 12 + month(t)) - lag(year(t) * 12 + month(t)) OVER (PARTITION BY {key} ORDER BY us) AS dm
+      FROM g),
+a AS (SELECT {key}, count(*) AS n, quantile_cont(gap / 1e6, 0.5) AS med,
+             bool_and(abs(gap - 3600000000) <= 300000000) AS hourly,
+             bool_and(gap = 86400000000) AS daily,
+             count(DISTINCT dayofmonth(t)) AS dom,
+             bool_and(dm = 1) AS months,
+             bool_and(gap >= 365 * 86400000000 AND gap <= 366 * 86400000000) AS yearly
+      FROM d GROUP BY 1)
+SELECT {key}, CASE WHEN n < 2 THEN NULL
+  WHEN med <= 2 * 3600 THEN hourly
+  WHEN med <= 2 * 86400 THEN daily
+  WHEN med <= 2 * 30.5 * 86400 THEN dom = 1 AND months
+  WHEN med <= 2 * 365.25 * 86400 THEN yearly
+  ELSE false END AS is_regular
+FROM a"""
+
+
+@register("d11_regular_daily", _regular_sql(_SQL_DAILY, "event_type", "day"))
+def q_d11d(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.is_regular(daily_events(spark, sf), "day", key="event_type")
+
+
+_SQL_HOURLY = "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@register("d11_regular_hourly", _regular_sql(_SQL_HOURLY, "event_type", "hour"))
+def q_d11h(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    h = ev.groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).count()
+    return dates.is_regular(h, "hour", key="event_type")
+
+
+_SQL_MONTHLY = ("SELECT l_returnflag, date_trunc('month', l_shipdate) AS month, sum(l_quantity) AS total "
+                "FROM lineitem GROUP BY 1, 2")
+
+
+def monthly_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.groupBy("l_returnflag", F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("month")).agg(
+        F.sum("l_quantity").alias("total"))
+
+
+@register("d11_regular_monthly", _regular_sql(_SQL_MONTHLY, "l_returnflag", "month"))
+def q_d11m(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.is_regular(monthly_lineitem(spark, sf), "month", key="l_returnflag")
+
+
+_SQL_IRREG = ("SELECT l_returnflag, l_shipdate AS day, sum(l_quantity) AS total FROM lineitem "
+              "WHERE dayofmonth(l_shipdate) % 9 <> 0 GROUP BY 1, 2")
+
+
+def irregular_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily quantity per return flag with every day-of-month divisible by 9 missing."""
+    li = table(spark, sf, "lineitem")
+    d = li.groupBy("l_returnflag", F.col("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("total"))
+    return d.filter(F.dayofmonth("day") % 9 != 0)
+
+
+@register("d11_regular_irregular", _regular_sql(_SQL_IRREG, "l_returnflag", "day"))
+def q_d11i(spark: SparkSession, sf: str) -> DataFrame:
+    return dates.is_regular(irregular_daily(spark, sf), "day", key="l_returnflag")
+
+
+@register("d13_reindex_daily", f"""
+WITH d AS ({_SQL_IRREG}),
+k AS (SELECT l_returnflag, min(day) AS d0, max(day) AS d1 FROM d GROUP BY 1),
+g AS (SELECT l_returnflag, unnest(generate_series(d0, d1, INTERVAL 1 DAY)) AS day FROM k)
+SELECT g.l_returnflag, g.day, round(d.total, 6) AS total
+FROM g LEFT JOIN d ON g.l_returnflag = d.l_returnflag AND g.day = d.day""")
+def q_d13(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.load_series(irregular_daily(spark, sf), "day", "total", key="l_returnflag",
+                          step_us=86_400_000_000)
+    return _r6_cols(x, ["total"])
+
+
+@register("d13_load_series_monthly", f"""
+WITH d AS ({_SQL_MONTHLY}),
+k AS (SELECT l_returnflag, min(month) AS m0, max(month) AS m1 FROM d GROUP BY 1),
+g AS (SELECT l_returnflag, unnest(generate_series(m0, m1, INTERVAL 1 MONTH)) AS month FROM k)
+SELECT g.l_returnflag, g.month, round(d.total, 6) AS total
+FROM g LEFT JOIN d ON g.l_returnflag = d.l_returnflag AND g.month = d.month""")
+def q_d13m(spark: SparkSession, sf: str) -> DataFrame:
+    x = dates.load_series(monthly_lineitem(spark, sf), "month", "total", key="l_returnflag")
+    return _r6_cols(x, ["total"])
