@@ -54,16 +54,6 @@ def _value_label(v) -> str:
     return "nan" if v is None else str(v)
 
 
-def _int_label(df: DataFrame, c: str, v: str | None) -> str:
-    if v is None:
-        return "nan"
-    dt = df.schema[c].dataType
-    if isinstance(dt, (T.FloatType, T.DoubleType)):
-        f = float(v)
-        return str(f)
-    return v
-
-
 # ----------------------------------------------------------------------------- E1 / E2
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, dtype: str = "int",
             max_categories: int = MAX_CATEGORIES, sort_columns: bool = False) -> DataFrame:
@@ -82,7 +72,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, dtype:
     keep = [q(c) for c in df.columns if c not in targets]
     out = df.select(*keep, *dummies)
     if sort_columns:
-        names = sorted(f"{c}_{v}" for c in targets for v in (cats[c][1:] if drop_first else cats[c]))
+        names = [n for c in targets for n in sorted(f"{c}_{v}" for v in (cats[c][1:] if drop_first else cats[c]))]
         return out.select(*keep, *[q(n) for n in names])
     return out
 

@@ -566,3 +566,258 @@ FROM g LEFT JOIN d ON g.l_returnflag = d.l_returnflag AND g.month = d.month""")
 def q_d13m(spark: SparkSession, sf: str) -> DataFrame:
     x = dates.load_series(monthly_lineitem(spark, sf), "month", "total", key="l_returnflag")
     return _r6_cols(x, ["total"])
+
+
+# =============================================================================== encoding
+from kiln.operators import encode  # noqa: E402
+
+
+@register("e1_one_hot", """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS l_returnflag_N,
+       CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS l_returnflag_R,
+       CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS l_linestatus_O
+FROM lineitem""")
+def q_e1(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    return encode.one_hot(li, ["l_returnflag", "l_linestatus", "l_quantity"])
+
+
+@register("e2_one_hot_sorted_float", """
+SELECT o_orderkey, o_totalprice,
+       CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_2-HIGH",
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_3-MEDIUM",
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_4-NOT SPECIFIED",
+       CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_5-LOW"
+FROM orders""")
+def q_e2(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    return encode.one_hot(o, ["o_orderpriority"], dtype="double", sort_columns=True)
+
+
+@register("e3_one_hot_target", """
+SELECT doc_id, toxic,
+       CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END AS quality_0,
+       CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END AS quality_1
+FROM labels""")
+def q_e3(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.one_hot_target(table(spark, sf, "labels"), ["quality"])
+
+
+@register("e3_one_hot_target_text", """
+SELECT o_orderkey,
+       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS o_orderstatus_F,
+       CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o_orderstatus_O,
+       CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS o_orderstatus_P
+FROM orders""")
+def q_e3t(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return encode.one_hot_target(o, ["o_orderstatus"])
+
+
+@register("e4_label_encode", """
+SELECT o_orderkey,
+       CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority,
+       CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus
+FROM orders""")
+def q_e4(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return encode.label_encode(o, ["o_orderpriority", "o_orderstatus"])
+
+
+@register("e4_label_encode_numeric", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INTEGER) AS c_nationkey FROM customer""")
+def q_e4n(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return encode.label_encode(c, ["c_nationkey"])
+
+
+@register("e5_bool_to_int", """
+SELECT l_orderkey, l_linenumber, CAST(l_quantity > 25 AS INTEGER) AS big, CAST(l_discount > 0.05 AS INTEGER) AS disc
+FROM lineitem""")
+def q_e5(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    x = li.select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).alias("big"),
+                  (F.col("l_discount") > 0.05).alias("disc"))
+    return encode.bool_to_int(x)
+
+
+def daily_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily total (rounded to 6 places, so both engines agree) and count (as double, so
+    lagged NULLs look the same in both engines) per event type."""
+    d = daily_events(spark, sf)
+    return d.select("event_type", "day", r6(F.col("total")).alias("total"), F.col("n_events").cast("double"))
+
+
+_SQL_DAILY_R = ("SELECT event_type, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, round(sum(value), 6) AS total, "
+                "CAST(count(*) AS DOUBLE) AS n_events FROM events GROUP BY 1, 2")
+
+
+def _lag_sql(src: str, key: str | None, order: str, cols: list[str], n: int, extra_where: str = "") -> str:
+    part = f"PARTITION BY {key} " if key else ""
+    lags = ", ".join(f"lag({c}, {i}) OVER (w) AS {c}_lag_{i}" for c in cols for i in range(1, n + 1))
+    return f"SELECT *, {lags} FROM ({src}) WINDOW w AS ({part}ORDER BY {order}) {extra_where}"
+
+
+@register("e7_lags_daily", _lag_sql(_SQL_DAILY_R, "event_type", "day", ["total", "n_events"], 3))
+def q_e7d(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.add_lags(daily_rounded(spark, sf), ["total", "n_events"], 3, order_cols=["day"], key="event_type")
+
+
+@register("e7_lags_single_series", _lag_sql("SELECT event_id, ts, value FROM events", None, "ts, event_id",
+                                            ["value"], 2))
+def q_e7s(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", "ts", "value")
+    return encode.add_lags(ev, ["value"], 2, order_cols=["ts", "event_id"])
+
+
+@register("e8_lag_nulls_drop", "SELECT * FROM (" + _lag_sql(_SQL_DAILY_R, "event_type", "day", ["total"], 2) + """)
+WHERE total_lag_1 IS NOT NULL AND total_lag_2 IS NOT NULL""")
+def q_e8(spark: SparkSession, sf: str) -> DataFrame:
+    x = encode.add_lags(daily_rounded(spark, sf), ["total"], 2, order_cols=["day"], key="event_type")
+    return encode.handle_lag_nulls(x, "drop")
+
+
+@register("e9_forward_fill", f"""
+SELECT event_id,
+       last_value(ts IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts,
+       event_type, value
+FROM ({_SQL_HOLEY})""")
+def q_e9(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.handle_lag_nulls(holey_events_ts(spark, sf), "forward_fill", order_cols=["event_id"])
+
+
+# =============================================================================== splits and windows
+from kiln.operators import split, windows  # noqa: E402
+
+
+@register("p1_validate_columns", """
+SELECT 'l_quantity' AS "column", CAST(count(*) - count(l_quantity) AS BIGINT) AS null_count, CAST(NULL AS VARCHAR) AS warning FROM lineitem
+UNION ALL SELECT 'l_extendedprice', CAST(count(*) - count(l_extendedprice) AS BIGINT), NULL FROM lineitem
+UNION ALL SELECT 'l_discount', CAST(count(*) - count(l_discount) AS BIGINT), NULL FROM lineitem
+UNION ALL SELECT 'l_returnflag', CAST(count(*) - count(l_returnflag) AS BIGINT), NULL FROM lineitem""")
+def q_p1(spark: SparkSession, sf: str) -> DataFrame:
+    return split.validate_data(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                               "l_returnflag")
+
+
+def _strat_sql(src: str, label: str, ids: list[str], ratios=(0.7, 0.15, 0.15), seed: int = 42) -> str:
+    temp = ratios[1] + ratios[2]
+    frac = ratios[2] / temp
+    idl = ", ".join(ids)
+    return f"""
+WITH h AS (SELECT {idl}, {label}, CAST((CAST({ids[0]} AS HUGEINT) * 2654435761 + {seed}) % 4294967296 AS BIGINT) AS h
+           FROM ({src})),
+r AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY h, {idl}) - 1 AS pos,
+             count(*) OVER (PARTITION BY {label}) AS n FROM h),
+c AS (SELECT *, ceil(n * {temp!r} - 1e-9) AS n_temp FROM r),
+d AS (SELECT *, ceil(n_temp * {frac!r} - 1e-9) AS n_test FROM c)
+SELECT {idl}, {label}, CASE WHEN pos < n - n_temp THEN 'train'
+                            WHEN pos < n - n_temp + (n_temp - n_test) THEN 'val' ELSE 'test' END AS split
+FROM d"""
+
+
+@register("p2_stratified_lineitem", _strat_sql("SELECT * FROM lineitem", "l_returnflag", ["l_orderkey", "l_linenumber"]))
+def q_p2(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return split.stratified_split(li, "l_returnflag", (0.7, 0.15, 0.15), id_cols=["l_orderkey", "l_linenumber"])
+
+
+@register("p2_stratified_labels", _strat_sql("SELECT * FROM labels", "quality", ["doc_id"], (0.6, 0.2, 0.2), 7))
+def q_p2l(spark: SparkSession, sf: str) -> DataFrame:
+    lb = table(spark, sf, "labels").select("doc_id", "quality")
+    return split.stratified_split(lb, "quality", (0.6, 0.2, 0.2), id_cols=["doc_id"], seed=7)
+
+
+def _temporal_sql(src: str, key: str | None, order: str, cols: str, ratios=(0.7, 0.15, 0.15)) -> str:
+    part = f"PARTITION BY {key}" if key else ""
+    return f"""
+WITH r AS (SELECT {cols}, row_number() OVER ({part} ORDER BY {order}) - 1 AS pos, count(*) OVER ({part}) AS n
+           FROM ({src}))
+SELECT {cols}, CASE WHEN pos < floor(n * {ratios[0]!r}) THEN 'train'
+                    WHEN pos < floor(n * {ratios[0]!r}) + floor(n * {ratios[1]!r}) THEN 'val' ELSE 'test' END AS split
+FROM r"""
+
+
+@register("p3_temporal_keyed", _temporal_sql("SELECT * FROM events", "event_type", "ts, event_id",
+                                             "event_id, event_type"))
+def q_p3k(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    return split.temporal_split(ev, order_cols=["ts", "event_id"], key="event_type").drop("ts")
+
+
+@register("p3_temporal_single_series", _temporal_sql("SELECT * FROM events", None, "ts, event_id", "event_id",
+                                                     (0.8, 0.1, 0.1)))
+def q_p3s(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_id", "ts")
+    return split.temporal_split(ev, (0.8, 0.1, 0.1), order_cols=["ts", "event_id"]).drop("ts")
+
+
+@register("p4_supervised_shift", f"""
+WITH s AS (SELECT event_type, day, n_events, lead(total, 2) OVER (PARTITION BY event_type ORDER BY day) AS y,
+                  row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS rid,
+                  count(*) OVER (PARTITION BY event_type) AS n0
+           FROM ({_SQL_DAILY_R})),
+f AS (SELECT event_type, day, n_events, y FROM s WHERE rid < n0 - 2 AND n_events IS NOT NULL AND y IS NOT NULL)
+{_temporal_sql("SELECT * FROM f", "event_type", "day", "event_type, day, n_events, y").replace("WITH r AS", ", r AS")}""")
+def q_p4(spark: SparkSession, sf: str) -> DataFrame:
+    return split.supervised(daily_rounded(spark, sf), "total", ["n_events"], h=2, order_cols=["day"],
+                            key="event_type", ratios=(0.7, 0.15, 0.15))
+
+
+@register("p5_sequence_windows", """
+WITH r AS (SELECT event_type,
+                  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS start,
+                  count(*) OVER (PARTITION BY event_type) AS n,
+                  list([value]) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                                      ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS x,
+                  lead(value, 8) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y
+           FROM events)
+SELECT event_type, start, x, y, 8 AS seq_len FROM r WHERE start <= n - 9""")
+def q_p5(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    return windows.sequences(ev, ["value"], "value", L=8, h=1, order_cols=["ts", "event_id"], key="event_type")
+
+
+@register("p6_context_windows", """
+WITH r AS (SELECT event_type,
+                  row_number() OVER w - 1 AS start, count(*) OVER (PARTITION BY event_type) AS n,
+                  list([value, CAST(user_id AS DOUBLE)]) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS past,
+                  list([value, CAST(user_id AS DOUBLE)]) OVER (w ROWS BETWEEN 6 FOLLOWING AND 7 FOLLOWING) AS future,
+                  list([value IS NOT NULL, user_id IS NOT NULL]) OVER (w ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)
+                    AS past_observed
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+SELECT event_type, start, past, future, past_observed FROM r WHERE start <= n - 8""")
+def q_p6(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    return windows.context_windows(ev, ["value", "user_id"], L=6, H=2, order_cols=["ts", "event_id"],
+                                   key="event_type")
+
+
+@register("p7_window_split", """
+WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS start,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM events),
+w AS (SELECT event_type, start FROM r WHERE start <= n - 9),
+s AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS m FROM w)
+SELECT event_type, start, CASE WHEN start < floor(m * 0.7) THEN 'train'
+                               WHEN start < floor(m * 0.7) + floor(m * 0.15) THEN 'val' ELSE 'test' END AS split
+FROM s""")
+def q_p7(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    w = windows.sequences(ev, ["value"], "value", L=8, h=1, order_cols=["ts", "event_id"], key="event_type")
+    return split.temporal_split(w.select("event_type", "start"), order_cols=["start"], key="event_type",
+                                strict=True)
+
+
+@register("p8_rolling_folds", f"""
+WITH r AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS rid,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM ({_SQL_DAILY_R})),
+f AS (SELECT r.*, t.f AS fold FROM r, range(0, 5) t(f))
+SELECT event_type, day, CAST(fold AS INTEGER) AS fold,
+       CASE WHEN rid >= fold * 2 AND rid < fold * 2 + 21 THEN 'train' ELSE 'test' END AS role
+FROM f
+WHERE n >= 23 AND fold * 2 + 21 < n
+  AND ((rid >= fold * 2 AND rid < fold * 2 + 21) OR (rid >= fold * 2 + 21 AND rid < fold * 2 + 23))""")
+def q_p8(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf).select("event_type", "day")
+    return split.rolling_folds(d, W=21, h=2, folds=5, order_cols=["day"], key="event_type")
