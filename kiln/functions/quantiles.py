@@ -15,9 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.order import attach_row, join_small, keys_of
+from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of
 
 DEFAULT_ACCURACY = 1_000_000
+# Above this many probabilities one distributed sort beats per-probability brackets.
+SORT_THRESHOLD = 16
 
 
 def _qname(i: int) -> str:
@@ -44,9 +46,34 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by=None,
         agg = x.groupBy(*keys).agg(F.count("_x").alias("n"),
                                    F.percentile_approx("_x", [*probs], accuracy).alias("_p"))
         return agg.select(*keys, "n", *[F.col("_p")[i].alias(o) for i, o in enumerate(outs)])
+    if method == "sort" or len(probs) > SORT_THRESHOLD:
+        return _by_position(x, keys, probs, outs)
     return _bracketed(x, keys, probs, outs, accuracy, slack=4.0 / accuracy, tries=3)
 
 
+def _by_position(x: DataFrame, keys, probs, outs) -> DataFrame:
+    """Exact order statistics from row positions: one range-partitioned sort, then only
+    the rows at the needed positions (two per probability) are kept and pivoted."""
+    ranked = assign_row_id(x, ["_x"], key=keys, row_id="_pos", with_count="_n")
+    # wanted positions as a small table (2 per probability per key), joined to the ranks
+    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    pos = F.explode(F.array_distinct(F.array(*[(F.floor(F.lit(p) * (F.col("_n") - 1)) + d).cast("bigint")
+                                               for p in probs for d in (0, 1)])))
+    wanted = counts.select(*keys, pos.alias("_pos"))
+    picked = join_small(ranked, wanted, [*keys, "_pos"])
+    m = picked.groupBy(*keys).agg(F.first("_n").alias("n"),
+                                  F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
+    cols = []
+    for i, p in enumerate(probs):
+        h = F.lit(p) * (F.col("n") - 1)
+        lo = F.floor(h)
+        frac = h - lo
+        v0 = F.element_at(F.col("_m"), lo)
+        v1 = F.coalesce(F.element_at(F.col("_m"), lo + 1), v0)
+        cols.append((v0 + (v1 - v0) * frac).alias(outs[i]))
+    return m.select(*keys, "n", *cols)
+
+
 def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataFrame:
     lows = [max(0.0, p - slack) for p in probs]
     highs = [min(1.0, p + slack) for p in probs]
@@ -88,6 +115,8 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
     for o in oks[1:]:
         all_ok = all_ok & o
     res = s2.select(*keys, F.col("_n").alias("n"), *cols, all_ok.alias("_ok"))
+    if tries == "keep":
+        return res
     if tries <= 1:
         return res.drop("_ok")
     res = res.cache()
@@ -99,3 +128,41 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
     xb = x.join(bad, [x[k].eqNullSafe(bad[k]) for k in keys]).select(*[x[k] for k in keys], "_x") if keys else x
     redo = _bracketed(xb, keys, probs, outs, accuracy, slack * 8, tries - 1)
     return good.unionByName(redo) if keys else redo
+
+
+def quantiles_long(df: DataFrame, col: str, probs: Sequence[float], by=None) -> DataFrame:
+    """Exact linear quantiles in long form (keys, i, p, value) for many probabilities:
+    one distributed sort for the ranks, then each (key, probability) row looks up the two
+    order statistics it needs through an equi-join on the position."""
+    keys = keys_of(by)
+    x = df.select(*[F.col(k) for k in keys], F.col(col).cast("double").alias("_x"))
+    x = x.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    ranked = assign_row_id(x, ["_x"], key=keys, row_id="_pos", with_count="_n")
+    counts = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    wanted = counts.select(*keys, "_n", F.explode(grid).alias("g")).select(*keys, "_n", "g.i", "g.p")
+    h = F.col("p") * (F.col("_n") - 1)
+    wanted = wanted.withColumn("_lo", F.floor(h).cast("bigint")).withColumn("_frac", h - F.floor(h))
+    ends = wanted.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_d")) \
+                 .withColumn("_pos", F.col("_lo") + F.col("_d"))
+    vals = join_small(ends, ranked.select(*keys, "_pos", "_x"), [*keys, "_pos"], how="left")
+    agg = vals.groupBy(*keys, "i").agg(F.first("p").alias("p"), F.first("_frac").alias("_frac"),
+                                       F.max(F.when(F.col("_d") == 0, F.col("_x"))).alias("_v0"),
+                                       F.max(F.when(F.col("_d") == 1, F.col("_x"))).alias("_v1"))
+    v1 = F.coalesce(F.col("_v1"), F.col("_v0"))
+    return agg.select(*keys, "i", "p", (F.col("_v0") + (v1 - F.col("_v0")) * F.col("_frac")).alias("value"))
+
+
+def exact_quantile_row(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY,
+                       method: str = "exact"):
+    """Global quantiles as one collected Row (n, q0, q1, ...): the bracket check is done
+    on the collected row itself, saving a job; a miss is recomputed with wider slack."""
+    if method != "exact" or len(probs) > SORT_THRESHOLD:
+        return exact_quantiles(df, col, probs, accuracy=accuracy, method=method).first()
+    x = df.select(F.col(col).cast("double").alias("_x"))
+    x = x.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    outs = [f"q{i}" for i in range(len(probs))]
+    row = _bracketed(x, [], [float(p) for p in probs], outs, accuracy, 4.0 / accuracy, "keep").first()
+    if row is None or row["_ok"]:
+        return row
+    return _bracketed(x, [], [float(p) for p in probs], outs, accuracy, 32.0 / accuracy, 3).first()

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from kiln.functions.exprs import (INTEGER_TEXT, MISSING_CATEGORY, NUMERIC_TEXT, PANDAS_NA_TOKENS,
                                   is_blank, nan_to_null, numeric_columns, q, string_columns, strip_ws)
-from kiln.functions.quantiles import exact_quantiles
+from kiln.functions.quantiles import exact_quantile_row
 
 # Numeric fill strategy names accepted by the cleaning list (both spellings).
 FILL_MEAN = ("mean", "media")
@@ -215,7 +215,7 @@ def filter_outliers(df: DataFrame, k: float = 2.5, cols: Sequence[str] | None =
     removed: dict[str, int] = {}
     prev_rows = None
     for c in num:
-        stats = exact_quantiles(cur, c, [0.25, 0.75], method=method).first()
+        stats = exact_quantile_row(cur, c, [0.25, 0.75], method=method)
         n_rows = None
         if report:
             n_rows = cur.count() if prev_rows is None else prev_rows

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import inv_norm, q
-from kiln.functions.quantiles import exact_quantiles
+from kiln.functions.quantiles import quantiles_long
 from kiln.operators.order import add_lag_columns, assign_row_id, join_small, keys_of
 
 MAX_ACF_LAG = 20
@@ -33,17 +33,14 @@ def filliben_positions(n: int) -> list[float]:
     return [1 - last, *mids, last]
 
 
-def qq_points(df: DataFrame, col: str, n_points: int = 200, method: str = "exact") -> DataFrame:
-    """(i, theoretical, sample): normal quantiles at Filliben positions against the
+def qq_points(df: DataFrame, col: str, n_points: int = 200) -> DataFrame:
+    """(i, theoretical, sample): normal quantiles at Filliben positions against the exact
     sample quantiles at the same positions (at most ``n_points`` points)."""
     n = int(df.filter(q(col).isNotNull()).count())
     m = max(1, min(n_points, n))
-    pos = filliben_positions(m)
-    qs = exact_quantiles(df, col, pos, method=method).first()
-    spark = df.sparkSession
-    rows = [(i, p, float(qs[f"q{i}"]) if qs[f"q{i}"] is not None else None) for i, p in enumerate(pos)]
-    pts = spark.createDataFrame(rows, "i int, p double, sample double")
-    return pts.select("i", inv_norm(F.col("p")).alias("theoretical"), "sample")
+    pts = quantiles_long(df, col, filliben_positions(m))
+    return pts.select(F.col("i").cast("int"), inv_norm(F.col("p")).alias("theoretical"),
+                      F.col("value").alias("sample"))
 
 
 # ----------------------------------------------------------------------------- X14

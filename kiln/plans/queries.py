@@ -821,3 +821,268 @@ WHERE n >= 23 AND fold * 2 + 21 < n
 def q_p8(spark: SparkSession, sf: str) -> DataFrame:
     d = daily_rounded(spark, sf).select("event_type", "day")
     return split.rolling_folds(d, W=21, h=2, folds=5, order_cols=["day"], key="event_type")
+
+
+# =============================================================================== metrics
+from kiln.operators import diagnostics, metrics  # noqa: E402
+
+
+def _scored_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Fixed-rule predictions on lineitem (so metrics have something to score)."""
+    li = table(spark, sf, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity", "l_discount",
+                     "l_tax", "l_extendedprice",
+                     (F.col("l_returnflag") == "R").cast("int").alias("y"),
+                     (F.col("l_discount") > 0.05).cast("int").alias("yhat"),
+                     F.when(F.col("l_quantity") < 17, "A").when(F.col("l_quantity") < 34, "N").otherwise("R")
+                     .alias("flag_hat"))
+
+
+_SQL_SCORED = """SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, l_quantity, l_discount, l_tax,
+  l_extendedprice, CAST(l_returnflag = 'R' AS INTEGER) AS y, CAST(l_discount > 0.05 AS INTEGER) AS yhat,
+  CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END AS flag_hat FROM lineitem"""
+
+
+def _rounded(df: DataFrame, keep=()) -> DataFrame:
+    return df.select(*[F.col(c) if (c in keep or df.schema[c].dataType.typeName() != "double") else r6(F.col(c)).alias(c)
+                       for c in df.columns])
+
+
+@register("x1_binary_metrics", f"""
+WITH a AS (SELECT l_linestatus, count(*) AS n, count_if(y = yhat) AS ok, count_if(y = 1 AND yhat = 1) AS tp,
+                  count_if(y <> 1 AND yhat = 1) AS fp, count_if(y = 1 AND yhat <> 1) AS fn
+           FROM ({_SQL_SCORED}) GROUP BY 1)
+SELECT l_linestatus, CAST(n AS BIGINT) AS n, round(ok / n, 6) AS accuracy,
+       round(CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+       round(CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn <> 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1
+FROM a""")
+def q_x1(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.binary_metrics(_scored_lineitem(spark, sf), "y", "yhat", by="l_linestatus"))
+
+
+_SQL_CELLS = f"SELECT l_returnflag AS actual, flag_hat AS predicted, count(*) AS cnt FROM ({_SQL_SCORED}) GROUP BY 1, 2"
+
+
+@register("x2_macro_metrics", f"""
+WITH c AS ({_SQL_CELLS}),
+p AS (SELECT actual AS cls, cnt AS act, 0 AS pred, CASE WHEN actual = predicted THEN cnt ELSE 0 END AS tp FROM c
+      UNION ALL SELECT predicted, 0, cnt, 0 FROM c),
+k AS (SELECT cls, sum(act) AS act, sum(pred) AS pred, sum(tp) AS tp FROM p GROUP BY 1),
+m AS (SELECT *, CASE WHEN pred <> 0 THEN tp / pred ELSE 0 END AS pr, CASE WHEN act <> 0 THEN tp / act ELSE 0 END AS rc
+      FROM k)
+SELECT CAST(sum(act) AS BIGINT) AS n, round(sum(tp) / sum(act), 6) AS accuracy, round(avg(pr), 6) AS precision_macro,
+       round(avg(rc), 6) AS recall_macro,
+       round(avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END), 6) AS f1_macro,
+       CAST(count(*) AS BIGINT) AS n_classes
+FROM m""")
+def q_x2(spark: SparkSession, sf: str) -> DataFrame:
+    m = metrics.macro_metrics(_scored_lineitem(spark, sf), "l_returnflag", "flag_hat")
+    return _rounded(m.select(F.col("n").cast("bigint").alias("n"), "accuracy", "precision_macro", "recall_macro",
+                             "f1_macro", F.col("n_classes").cast("bigint").alias("n_classes")))
+
+
+def _auc_sql(src: str, key: str | None) -> str:
+    kc = f"{key}, " if key else ""
+    part = f"PARTITION BY {key} " if key else ""
+    return f"""
+WITH s AS (SELECT {kc}l_discount AS s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM ({src}) GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - neg AS below FROM s)
+SELECT {kc}round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) END, 6)
+  AS auc FROM c {"GROUP BY " + key if key else ""}"""
+
+
+@register("x3_roc_auc", _auc_sql(_SQL_SCORED, None))
+def q_x3(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.roc_auc(_scored_lineitem(spark, sf), "y", "l_discount"))
+
+
+@register("x3_roc_auc_by_status", _auc_sql(_SQL_SCORED, "l_linestatus"))
+def q_x3b(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.roc_auc(_scored_lineitem(spark, sf), "y", "l_discount", by="l_linestatus"))
+
+
+_OVO_CLASSES = ["A", "N", "R"]
+_OVO_PROBS = ["l_quantity / 50.0", "l_discount * 10.0", "l_tax * 12.5"]
+
+
+def _ovo_sql() -> str:
+    parts = []
+    for i, a in enumerate(_OVO_CLASSES):
+        for j, b in enumerate(_OVO_CLASSES):
+            if i == j:
+                continue
+            pair = f"{min(i, j)}_{max(i, j)}"
+            parts.append(f"SELECT '{pair}' AS pair, '{i}>{j}' AS dir, CAST({_OVO_PROBS[i]} AS DOUBLE) AS s, "
+                         f"l_returnflag = '{a}' AS ispos FROM lineitem WHERE l_returnflag IN ('{a}', '{b}')")
+    body = " UNION ALL ".join(parts)
+    return f"""
+WITH e AS ({body}),
+s AS (SELECT pair, dir, s, count_if(ispos) AS pos, count_if(NOT ispos) AS neg FROM e GROUP BY ALL),
+c AS (SELECT *, sum(neg) OVER (PARTITION BY pair, dir ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                - neg AS below FROM s),
+a AS (SELECT pair, dir, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) END
+             AS auc FROM c GROUP BY ALL),
+p AS (SELECT pair, avg(auc) AS auc, count(auc) AS c FROM a GROUP BY 1)
+SELECT round(CASE WHEN count_if(c < 2) = 0 THEN avg(auc) END, 6) AS auc_ovo FROM p"""
+
+
+@register("x4_roc_auc_ovo", _ovo_sql())
+def q_x4(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    x = li.select("l_returnflag", F.array((F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0,
+                                          F.col("l_tax") * 12.5).alias("probs"))
+    return _rounded(metrics.roc_auc_ovo(x, "l_returnflag", "probs", _OVO_CLASSES))
+
+
+@register("x5_confusion", f"""
+WITH c AS ({_SQL_CELLS}),
+k AS (SELECT DISTINCT cls FROM (SELECT actual AS cls FROM c UNION SELECT predicted FROM c)),
+g AS (SELECT a.cls AS actual, b.cls AS predicted FROM k a, k b)
+SELECT g.actual, g.predicted, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+FROM g LEFT JOIN c ON g.actual = c.actual AND g.predicted = c.predicted""")
+def q_x5(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.confusion(_scored_lineitem(spark, sf), "l_returnflag", "flag_hat")
+
+
+@register("x6_roc_curve", f"""
+WITH s AS (SELECT l_discount AS s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM ({_SQL_SCORED}) GROUP BY 1),
+c AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+             sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM s)
+SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT s, round(CASE WHEN N > 0 THEN fp / N END, 6), round(CASE WHEN P > 0 THEN tp / P END, 6) FROM c""")
+def q_x6(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.roc_curve(_scored_lineitem(spark, sf), "y", "l_discount"), keep=("threshold",))
+
+
+def _reg_sql(src: str, key: str, y: str, p: str, eps: str) -> str:
+    keep = f"abs({y}) > {eps}" if eps != "0" else f"{y} <> 0"
+    return f"""
+SELECT {key}, CAST(count(*) AS BIGINT) AS n, round(avg(({y} - {p}) * ({y} - {p})), 6) AS mse,
+       round(sqrt(avg(({y} - {p}) * ({y} - {p}))), 6) AS rmse, round(avg(abs({y} - {p})), 6) AS mae,
+       round(avg(CASE WHEN {keep} THEN abs(({y} - {p}) / {y}) END) * 100, 6) AS mape
+FROM ({src}) WHERE {y} IS NOT NULL AND {p} IS NOT NULL GROUP BY 1"""
+
+
+@register("x7_regression_metrics", _reg_sql("SELECT l_returnflag, l_extendedprice, l_quantity * 1500.0 AS p FROM lineitem",
+                                            "l_returnflag", "l_extendedprice", "p", "1e-10"))
+def q_x7(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice",
+                                              (F.col("l_quantity") * 1500.0).alias("p"))
+    return _rounded(metrics.regression_metrics(li, "l_extendedprice", "p", by="l_returnflag"))
+
+
+@register("x9_mape_nonzero", _reg_sql("SELECT event_type, value, CAST(user_id AS DOUBLE) AS p FROM events",
+                                      "event_type", "value", "p", "0"))
+def q_x9(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events").select("event_type", "value", F.col("user_id").cast("double").alias("p"))
+    return _rounded(metrics.regression_metrics(ev, "value", "p", by="event_type", mape_eps=0))
+
+
+@register("x10_horizon_metrics", """
+WITH r AS (SELECT event_type, row_number() OVER w - 1 AS start, count(*) OVER (PARTITION BY event_type) AS n,
+                  lead(value, 5) OVER w AS last, lead(value, 6) OVER w AS f0, lead(value, 7) OVER w AS f1,
+                  lead(value, 8) OVER w AS f2, lead(value, 9) OVER w AS f3
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+v AS (SELECT * FROM r WHERE start <= n - 10),
+z AS (SELECT event_type, 0 AS step, f0 AS t, last AS p FROM v UNION ALL SELECT event_type, 1, f1, last FROM v
+      UNION ALL SELECT event_type, 2, f2, last FROM v UNION ALL SELECT event_type, 3, f3, last FROM v),
+h AS (SELECT event_type, 'all' AS horizon, t, p FROM z
+      UNION ALL SELECT event_type, 'h1', t, p FROM z WHERE step = 0
+      UNION ALL SELECT event_type, 'h2', t, p FROM z WHERE step = 1
+      UNION ALL SELECT event_type, 'h4', t, p FROM z WHERE step = 3)
+SELECT event_type, horizon, CAST(count(*) AS BIGINT) AS n, round(avg((t - p) * (t - p)), 6) AS mse,
+       round(sqrt(avg((t - p) * (t - p))), 6) AS rmse, round(avg(abs(t - p)), 6) AS mae,
+       round(avg(CASE WHEN t <> 0 THEN abs((t - p) / t) END) * 100, 6) AS mape
+FROM h GROUP BY 1, 2""")
+def q_x10(spark: SparkSession, sf: str) -> DataFrame:
+    ev = table(spark, sf, "events")
+    w = windows.context_windows(ev, ["value"], L=6, H=4, order_cols=["ts", "event_id"], key="event_type")
+    last = F.element_at(F.col("past"), -1)
+    w = w.select("event_type", "future", F.array_repeat(last, 4).alias("naive"))
+    return _rounded(metrics.horizon_metrics(w, "future", "naive", H=4, by="event_type"))
+
+
+@register("x11_residuals", """
+SELECT l_orderkey, l_linenumber, l_extendedprice AS actual, l_quantity * 1500.0 AS predicted,
+       round(l_extendedprice - l_quantity * 1500.0, 6) AS residual FROM lineitem""")
+def q_x11(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").withColumn("p", F.col("l_quantity") * 1500.0)
+    r = metrics.residuals(li, "l_extendedprice", "p", keep=["l_orderkey", "l_linenumber"])
+    return r.withColumn("residual", r6(F.col("residual")))
+
+
+def _hist_sql(src: str, col: str, bins: int, key: str | None, density: bool = False) -> str:
+    kc = f"{key}, " if key else ""
+    kj = f"ON g.{key} = c.{key} AND g.bin = c.bin" if key else "ON g.bin = c.bin"
+    dens = ", round(coalesce(c.cnt, 0) / (g.n * g.w), 6) AS density" if density else ""
+    return f"""
+WITH x AS (SELECT {kc}CAST({col} AS DOUBLE) AS x FROM ({src}) WHERE {col} IS NOT NULL),
+st AS (SELECT {kc}min(x) AS mn, max(x) AS mx, count(*) AS n, (max(x) - min(x)) / {bins} AS w FROM x {"GROUP BY 1" if key else ""}),
+b AS (SELECT {"x." + key + ", " if key else ""}CASE WHEN st.mx = st.mn THEN 0 ELSE least(floor((x.x - st.mn) / st.w), {bins - 1}) END AS bin
+      FROM x {"JOIN st ON x." + key + " = st." + key if key else ", st"}),
+c AS (SELECT {kc}bin, count(*) AS cnt FROM b GROUP BY ALL),
+g AS (SELECT {kc}mn, mx, n, w, unnest(generate_series(0, {bins - 1})) AS bin FROM st)
+SELECT {"g." + key + ", " if key else ""}CAST(g.bin AS INTEGER) AS bin, round(g.mn + g.bin * g.w, 6) AS lo,
+       round(CASE WHEN g.bin = {bins - 1} THEN g.mx ELSE g.mn + (g.bin + 1) * g.w END, 6) AS hi,
+       CAST(coalesce(c.cnt, 0) AS BIGINT) AS count{dens}
+FROM g LEFT JOIN c {kj}"""
+
+
+@register("x12_histogram", _hist_sql("SELECT * FROM lineitem", "l_extendedprice", 30, None))
+def q_x12(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 30))
+
+
+@register("x12_histogram_by", _hist_sql("SELECT * FROM lineitem", "l_extendedprice", 50, "l_returnflag"))
+def q_x12b(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(metrics.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 50, by="l_returnflag"))
+
+
+@register("x13_qq_points")
+def q_x13(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").withColumn("r", F.col("l_extendedprice") - F.col("l_quantity") * 1500.0)
+    return diagnostics.qq_points(li, "r", n_points=200)
+
+
+def _acf_sql(max_lag: int = 20) -> str:
+    lags = ", ".join(f"lag(d, {k}) OVER w AS l{k}" for k in range(1, max_lag + 1))
+    sums = ", ".join(f"sum(d * l{k}) AS s{k}" for k in range(1, max_lag + 1))
+    rows = " UNION ALL ".join(f"SELECT event_type, n, {k} AS lag, s{k} / s0 AS acf FROM a" for k in range(1, max_lag + 1))
+    return f"""
+WITH m AS (SELECT event_type, avg(value) AS mu, count(*) AS n FROM events GROUP BY 1),
+d AS (SELECT e.event_type, e.ts, e.event_id, e.value - m.mu AS d, m.n FROM events e JOIN m ON e.event_type = m.event_type),
+l AS (SELECT *, {lags} FROM d WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+a AS (SELECT event_type, first(n) AS n, sum(d * d) AS s0, {sums} FROM l GROUP BY 1),
+r AS (SELECT event_type, n, 0 AS lag, s0 / s0 AS acf FROM a UNION ALL {rows})
+SELECT event_type, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS acf FROM r WHERE lag <= least({max_lag}, n // 4)"""
+
+
+@register("x14_acf", _acf_sql())
+def q_x14(spark: SparkSession, sf: str) -> DataFrame:
+    a = diagnostics.acf(table(spark, sf, "events"), "value", ["ts", "event_id"], key="event_type")
+    return a.select("event_type", F.col("lag").cast("int"), r6(F.col("acf")).alias("acf"))
+
+
+@register("x15_pacf")
+def q_x15(spark: SparkSession, sf: str) -> DataFrame:
+    return diagnostics.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], key="event_type")
+
+
+@register("x16_forecast_frame", f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS pos,
+                  count(*) OVER (PARTITION BY event_type) AS n,
+                  lag(total, 1) OVER (PARTITION BY event_type ORDER BY day) AS fc FROM ({_SQL_DAILY_R})),
+s AS (SELECT *, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.7) + floor(n * 0.15) THEN 'val'
+                     ELSE 'test' END AS split FROM r),
+t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k FROM s WHERE split = 'train')
+SELECT event_type, day, 'train' AS part, total AS actual, CAST(NULL AS DOUBLE) AS forecast FROM t WHERE k <= 50
+UNION ALL SELECT event_type, day, 'val', total, NULL FROM s WHERE split = 'val'
+UNION ALL SELECT event_type, day, 'test', total, fc FROM s WHERE split = 'test'""")
+def q_x16(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    d = encode.add_lags(d, ["total"], 1, order_cols=["day"], key="event_type")
+    s = split.temporal_split(d, order_cols=["day"], key="event_type", layout="keyed")
+    return metrics.forecast_frame(s.filter("split = 'train'"), s.filter("split = 'val'"), s.filter("split = 'test'"),
+                                  "day", "total", "total_lag_1", key="event_type")
