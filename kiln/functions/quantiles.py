@@ -48,7 +48,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by=None,
         return agg.select(*keys, "n", *[F.col("_p")[i].alias(o) for i, o in enumerate(outs)])
     if method == "sort" or len(probs) > SORT_THRESHOLD:
         return _by_position(x, keys, probs, outs)
-    return _bracketed(x, keys, probs, outs, accuracy, slack=4.0 / accuracy, tries=3)
+    return _bracketed(x, keys, probs, outs, accuracy)
 
 
 def _by_position(x: DataFrame, keys, probs, outs) -> DataFrame:
@@ -74,16 +74,35 @@ def _by_position(x: DataFrame, keys, probs, outs) -> DataFrame:
     return m.select(*keys, "n", *cols)
 
 
-def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataFrame:
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    probe = sorted(set(lows + highs))
+# Slack levels probed together; each group uses the narrowest one that covers its ranks.
+_LEVELS = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+
+
+def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -> DataFrame:
+    """Two-pass exact quantiles. Pass 1 (per group): count and ``percentile_approx`` at
+    p +- s for a ladder of slacks s; the group picks the smallest s with
+    s*n >= 3 + 4n/accuracy, which brackets ranks floor(p(n-1)) and +1 whatever the
+    sketch's rank convention. Pass 2: rows below the bracket are counted and only the
+    bracket (about 2*s*n values, bounded by the ladder) is collected and indexed."""
+    base = 4.0 / accuracy
+    levels = sorted({base, *[lv for lv in _LEVELS if lv > base]})
+    probe = sorted({min(1.0, max(0.0, p + sgn * lv)) for p in probs for lv in levels for sgn in (-1, 1)})
     idx = {p: i for i, p in enumerate(probe)}
-    s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"),
-                              F.percentile_approx("_x", probe, accuracy).alias("_pa"))
-    b = s1.select(*keys, "_n",
-                  *[F.col("_pa")[idx[lo]].alias(f"_lo{i}") for i, lo in enumerate(lows)],
-                  *[F.col("_pa")[idx[hi]].alias(f"_hi{i}") for i, hi in enumerate(highs)])
+    s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probe, accuracy).alias("_pa"))
+    need = F.lit(3.0) / F.col("_n") + F.lit(base)
+    bcols = []
+    for i, p in enumerate(probs):
+        lo = hi = None
+        for lv in reversed(levels):  # build CASE from widest to narrowest
+            lv_lo = F.col("_pa")[idx[min(1.0, max(0.0, p - lv))]]
+            lv_hi = F.col("_pa")[idx[min(1.0, max(0.0, p + lv))]]
+            if lo is None:
+                lo, hi = lv_lo, lv_hi
+            else:
+                lo = F.when(F.lit(lv) >= need, lv_lo).otherwise(lo)
+                hi = F.when(F.lit(lv) >= need, lv_hi).otherwise(hi)
+        bcols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    b = s1.select(*keys, "_n", *bcols)
     j = join_small(x, b, keys) if keys else attach_row(x, b)
     aggs = [F.first("_n").alias("_n")]
     for i in range(len(probs)):
@@ -94,8 +113,8 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
     s2 = j.groupBy(*keys).agg(*aggs)
     cols = []
     oks = []
+    n = F.col("_n")
     for i, p in enumerate(probs):
-        n = F.col("_n")
         h = F.lit(p) * (n - 1)
         lo_pos = F.floor(h)
         frac = h - lo_pos
@@ -103,31 +122,46 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack, tries) -> DataF
         arr = F.col(f"_br{i}")
         size = F.size(arr)
         need_hi = frac > 0
-        v0 = F.element_at(arr, k + 1)
-        v1 = F.when(need_hi, F.element_at(arr, k + 2)).otherwise(v0)
         valid = (k >= 0) & (k < size) & (~need_hi | (k + 1 < size))
         oks.append((n == 0) | valid)
         # element_at with a bad index raises under ANSI, so only evaluate valid positions
-        safe_v0 = F.when(valid, v0)
-        safe_v1 = F.when(valid, v1)
-        cols.append((safe_v0 + (safe_v1 - safe_v0) * frac).alias(outs[i]))
+        v0 = F.when(valid, F.element_at(arr, k + 1))
+        v1 = F.when(valid, F.when(need_hi, F.element_at(arr, k + 2)).otherwise(F.element_at(arr, k + 1)))
+        cols.append((v0 + (v1 - v0) * frac).alias(outs[i]))
     all_ok = oks[0]
     for o in oks[1:]:
         all_ok = all_ok & o
     res = s2.select(*keys, F.col("_n").alias("n"), *cols, all_ok.alias("_ok"))
     if tries == "keep":
         return res
-    if tries <= 1:
-        return res.drop("_ok")
     res = res.cache()
     if res.filter(~F.col("_ok")).limit(1).count() == 0:
         return res.drop("_ok")
-    # Rare: a bracket missed. Recompute the failing groups with a wider slack.
-    bad = res.filter(~F.col("_ok")).select(*keys)
+    # Not expected: recompute only the failing groups with Spark's exact percentile.
+    bad = res.filter(~F.col("_ok")).select(*[F.col(k).alias(f"__b_{k}") for k in keys])
     good = res.filter(F.col("_ok")).drop("_ok")
-    xb = x.join(bad, [x[k].eqNullSafe(bad[k]) for k in keys]).select(*[x[k] for k in keys], "_x") if keys else x
-    redo = _bracketed(xb, keys, probs, outs, accuracy, slack * 8, tries - 1)
-    return good.unionByName(redo) if keys else redo
+    if not keys:
+        return exact_quantiles(x.withColumnRenamed("_x", "__x"), "__x", probs, method="builtin",
+                               prefix="q").toDF(*["n", *outs])
+    xb = x.join(bad, [x[k].eqNullSafe(F.col(f"__b_{k}")) for k in keys]).select(*keys, "_x")
+    redo = exact_quantiles(xb, "_x", probs, by=keys, method="builtin", prefix="__q")
+    redo = redo.select(*keys, "n", *[F.col(f"__q{i}").alias(o) for i, o in enumerate(outs)])
+    return good.unionByName(redo)
+
+
+def exact_quantile_row(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY,
+                       method: str = "exact"):
+    """Global quantiles as one collected Row (n, q0, q1, ...): the bracket check is done
+    on the collected row itself, saving a job; a miss is recomputed with wider slack."""
+    if method != "exact" or len(probs) > SORT_THRESHOLD:
+        return exact_quantiles(df, col, probs, accuracy=accuracy, method=method).first()
+    x = df.select(F.col(col).cast("double").alias("_x"))
+    x = x.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    outs = [f"q{i}" for i in range(len(probs))]
+    row = _bracketed(x, [], [float(p) for p in probs], outs, accuracy, tries="keep").first()
+    if row is None or row["_ok"]:
+        return row
+    return exact_quantiles(df, col, probs, method="builtin").first()
 
 
 def quantiles_long(df: DataFrame, col: str, probs: Sequence[float], by=None) -> DataFrame:
@@ -151,18 +185,3 @@ def quantiles_long(df: DataFrame, col: str, probs: Sequence[float], by=None) ->
                                        F.max(F.when(F.col("_d") == 1, F.col("_x"))).alias("_v1"))
     v1 = F.coalesce(F.col("_v1"), F.col("_v0"))
     return agg.select(*keys, "i", "p", (F.col("_v0") + (v1 - F.col("_v0")) * F.col("_frac")).alias("value"))
-
-
-def exact_quantile_row(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY,
-                       method: str = "exact"):
-    """Global quantiles as one collected Row (n, q0, q1, ...): the bracket check is done
-    on the collected row itself, saving a job; a miss is recomputed with wider slack."""
-    if method != "exact" or len(probs) > SORT_THRESHOLD:
-        return exact_quantiles(df, col, probs, accuracy=accuracy, method=method).first()
-    x = df.select(F.col(col).cast("double").alias("_x"))
-    x = x.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    outs = [f"q{i}" for i in range(len(probs))]
-    row = _bracketed(x, [], [float(p) for p in probs], outs, accuracy, 4.0 / accuracy, "keep").first()
-    if row is None or row["_ok"]:
-        return row
-    return _bracketed(x, [], [float(p) for p in probs], outs, accuracy, 32.0 / accuracy, 3).first()

@@ -93,23 +93,23 @@ def assign_row_id(df: DataFrame, order_cols: Sequence[str | Column], key=None,
     sort_cols = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     tagged = (df.repartitionByRange(n, *sort_cols)
                 .sortWithinPartitions(*sort_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                .withColumn("__o_pid", F.spark_partition_id())
+                .withColumn("__o_mid", F.monotonically_increasing_id()))
     ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint(eager=True)
-    stats = tagged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"),
-                                               F.min("_mid").alias("_mid0"))
+    stats = tagged.groupBy("__o_pid", *keys).agg(F.count(F.lit(1)).alias("__o_cnt"),
+                                               F.min("__o_mid").alias("__o_mid0"))
     part = [F.col(k) for k in keys] or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*keys, "_pid", "_mid0", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off")]
+    w = Window.partitionBy(*part).orderBy("__o_pid").rowsBetween(Window.unboundedPreceding, -1)
+    cols = [*keys, "__o_pid", "__o_mid0", F.coalesce(F.sum("__o_cnt").over(w), F.lit(0)).alias("__o_off")]
     if with_count:
-        cols.append(F.sum("_cnt").over(Window.partitionBy(*part)).alias(with_count))
+        cols.append(F.sum("__o_cnt").over(Window.partitionBy(*part)).alias(with_count))
     offsets = stats.select(*cols)
     # Without a key the table has at most one row per partition.
     bound = n if not keys else None
-    joined = join_small(tagged, offsets, [*keys, "_pid"], bound=bound)
-    out = joined.withColumn(row_id, (F.col("_off") + F.col("_mid") - F.col("_mid0")).cast("bigint"))
-    return out.drop("_pid", "_mid", "_mid0", "_off")
+    joined = join_small(tagged, offsets, [*keys, "__o_pid"], bound=bound)
+    out = joined.withColumn(row_id, (F.col("__o_off") + F.col("__o_mid") - F.col("__o_mid0")).cast("bigint"))
+    return out.drop("__o_pid", "__o_mid", "__o_mid0", "__o_off")
 
 
 def _block_size(before: int, after: int, block: int | None) -> int:
@@ -141,15 +141,15 @@ def with_halo(df: DataFrame, key, row_id: str, before: int, after: int,
     if after > 0:
         items.append(F.when(pos < F.lit(after), F.struct((blk - 1).alias("b"), F.lit(True).alias("h"))))
     if len(items) == 1:
-        expanded = df.withColumn("_blk", blk).withColumn("_halo", F.lit(False))
+        expanded = df.withColumn("__o_blk", blk).withColumn("__o_halo", F.lit(False))
     else:
         arr = F.filter(F.array(*items), lambda x: x.isNotNull())
-        expanded = (df.withColumn("_hb", F.explode(arr))
-                      .withColumn("_blk", F.col("_hb.b")).withColumn("_halo", F.col("_hb.h"))
-                      .drop("_hb"))
-    w = Window.partitionBy(*[F.col(k) for k in keys], F.col("_blk")).orderBy(rid)
+        expanded = (df.withColumn("__o_hb", F.explode(arr))
+                      .withColumn("__o_blk", F.col("__o_hb.b")).withColumn("__o_halo", F.col("__o_hb.h"))
+                      .drop("__o_hb"))
+    w = Window.partitionBy(*[F.col(k) for k in keys], F.col("__o_blk")).orderBy(rid)
     out = compute(expanded, w)
-    return out.filter(~F.col("_halo")).drop("_blk", "_halo")
+    return out.filter(~F.col("__o_halo")).drop("__o_blk", "__o_halo")
 
 
 def add_lag_columns(df: DataFrame, key, row_id: str, specs: Sequence[tuple[str, str, int]],
@@ -174,16 +174,16 @@ def running_sum(df: DataFrame, key, row_id: str, value: str | Column, out: str,
     keys = keys_of(key)
     b = block or DEFAULT_BLOCK
     v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    x = df.withColumn("_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint")).withColumn("_v", v)
-    w = (Window.partitionBy(*[F.col(k) for k in keys], F.col("_blk")).orderBy(row_id)
+    x = df.withColumn("__o_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint")).withColumn("__o_v", v)
+    w = (Window.partitionBy(*[F.col(k) for k in keys], F.col("__o_blk")).orderBy(row_id)
          .rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("_loc", F.sum("_v").over(w))
-    totals = x.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_tot"))
+    x = x.withColumn("__o_loc", F.sum("__o_v").over(w))
+    totals = x.groupBy(*keys, "__o_blk").agg(F.sum("__o_v").alias("__o_tot"))
     part = [F.col(k) for k in keys] or [F.lit(0)]
-    wt = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_blk", F.coalesce(F.sum("_tot").over(wt), F.lit(0)).alias("_carry"))
-    y = join_small(x, carry, [*keys, "_blk"])
-    return y.withColumn(out, F.col("_loc") + F.col("_carry")).drop("_blk", "_v", "_loc", "_carry")
+    wt = Window.partitionBy(*part).orderBy("__o_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "__o_blk", F.coalesce(F.sum("__o_tot").over(wt), F.lit(0)).alias("__o_carry"))
+    y = join_small(x, carry, [*keys, "__o_blk"])
+    return y.withColumn(out, F.col("__o_loc") + F.col("__o_carry")).drop("__o_blk", "__o_v", "__o_loc", "__o_carry")
 
 
 def forward_fill(df: DataFrame, key, row_id: str, cols: Sequence[str], block: int | None = None) -> DataFrame:
@@ -193,20 +193,20 @@ def forward_fill(df: DataFrame, key, row_id: str, cols: Sequence[str], block: in
     if not cols:
         return df
     b = block or DEFAULT_BLOCK
-    x = df.withColumn("_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint"))
-    w = (Window.partitionBy(*[F.col(k) for k in keys], F.col("_blk")).orderBy(row_id)
+    x = df.withColumn("__o_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint"))
+    w = (Window.partitionBy(*[F.col(k) for k in keys], F.col("__o_blk")).orderBy(row_id)
          .rowsBetween(Window.unboundedPreceding, 0))
     x = x.select(*[c for c in x.columns if c not in cols],
                  *[F.last(F.col(c), ignorenulls=True).over(w).alias(c) for c in cols])
     # Last non-NULL value of each block, then carried across blocks on the small table.
-    lasts = x.groupBy(*keys, "_blk").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(row_id)))
-                                           .alias(f"_e_{i}") for i, c in enumerate(cols)])
+    lasts = x.groupBy(*keys, "__o_blk").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(row_id)))
+                                           .alias(f"__o_e{i}") for i, c in enumerate(cols)])
     part = [F.col(k) for k in keys] or [F.lit(0)]
-    wt = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lasts.select(*keys, "_blk", *[F.last(f"_e_{i}", ignorenulls=True).over(wt).alias(f"_c_{i}")
+    wt = Window.partitionBy(*part).orderBy("__o_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lasts.select(*keys, "__o_blk", *[F.last(f"__o_e{i}", ignorenulls=True).over(wt).alias(f"__o_c{i}")
                                           for i in range(len(cols))])
-    y = join_small(x, carry, [*keys, "_blk"])
+    y = join_small(x, carry, [*keys, "__o_blk"])
     order = df.columns
-    y = y.select(*[F.coalesce(F.col(c), F.col(f"_c_{cols.index(c)}")).alias(c) if c in cols else F.col(c)
+    y = y.select(*[F.coalesce(F.col(c), F.col(f"__o_c{cols.index(c)}")).alias(c) if c in cols else F.col(c)
                    for c in order])
     return y

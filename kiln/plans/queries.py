@@ -1086,3 +1086,263 @@ def q_x16(spark: SparkSession, sf: str) -> DataFrame:
     s = split.temporal_split(d, order_cols=["day"], key="event_type", layout="keyed")
     return metrics.forecast_frame(s.filter("split = 'train'"), s.filter("split = 'val'"), s.filter("split = 'test'"),
                                   "day", "total", "total_lag_1", key="event_type")
+
+
+# =============================================================================== profiling
+from kiln.operators import assoc, profile  # noqa: E402
+
+_LI_PROFILE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@register("g1_overview", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(11 AS BIGINT) AS n_columns,
+       CAST(0 AS BIGINT) AS missing_cells,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows
+FROM lineitem""")
+def q_g1(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.overview(table(spark, sf, "lineitem"))
+
+
+@register("g1_overview_dirty", f"""
+WITH d AS (SELECT l_returnflag, l_linestatus,
+                  CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity END AS q FROM lineitem)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
+       CAST(count(*) - count(q) AS BIGINT) AS missing_cells,
+       CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM d)) AS BIGINT) AS duplicate_rows
+FROM d""")
+def q_g1d(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    d = li.select("l_returnflag", "l_linestatus",
+                  F.when(F.col("l_linenumber") % 3 == 0, F.lit(None)).otherwise(F.col("l_quantity")).alias("q"))
+    return profile.overview(d)
+
+
+def _profile_sql(cols: list[str]) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count,
+  CAST(count(*) - count({c}) AS BIGINT) AS missing, CAST(count(DISTINCT {c}) AS BIGINT) AS "distinct",
+  round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 9) AS mean,
+  round(stddev_samp({c}), 9) AS std, round(quantile_cont({c}, 0.25), 6) AS q25,
+  round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75,
+  CAST(count_if({c} = 0) AS BIGINT) AS zeros FROM lineitem""")
+    return " UNION ALL ".join(parts)
+
+
+@register("g2_profile", _profile_sql(_LI_PROFILE))
+def q_g2(spark: SparkSession, sf: str) -> DataFrame:
+    # means of 2-decimal data can sit on a 7th-decimal tie: mean / std use 9 places
+    p = profile.profile(table(spark, sf, "lineitem"), _LI_PROFILE)
+    p = p.withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
+    return _rounded(p, keep=("mean", "std"))
+
+
+@register("g2_top_values", """
+WITH u AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders
+           UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
+c AS (SELECT "column", value, count(*) AS count FROM u WHERE value IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c)
+SELECT "column", value, CAST(count AS BIGINT) AS count, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def q_g2t(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.top_values(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], k=3)
+
+
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _corr_sql(src: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS a, '{c}' AS b, 1.0::DOUBLE AS corr" for c in cols]
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT '{a}', '{b}', round(corr({a}, {b}), 6) FROM ({src})")
+            parts.append(f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM ({src})")
+    return " UNION ALL ".join(parts)
+
+
+@register("g3_pearson", _corr_sql("SELECT * FROM lineitem", _CORR_COLS))
+def q_g3(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.corr_matrix(table(spark, sf, "lineitem"), _CORR_COLS))
+
+
+def _ranked_sql(cols: list[str]) -> str:
+    rk = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in cols)
+    return f"SELECT {rk} FROM lineitem"
+
+
+@register("g4_spearman", _corr_sql(_ranked_sql(_CORR_COLS), _CORR_COLS))
+def q_g4(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.corr_matrix(table(spark, sf, "lineitem"), _CORR_COLS, "spearman"))
+
+
+@register("g5_kendall", """
+WITH c AS (SELECT l_quantity AS x, l_discount AS y, count(*) AS c FROM lineitem GROUP BY 1, 2),
+p AS (SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.c * b.c ELSE 0 END) / 2 AS C,
+             sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN a.c * b.c ELSE 0 END) / 2 AS D FROM c a, c b),
+t AS (SELECT sum(c) AS n FROM c),
+tx AS (SELECT sum(t * (t - 1) / 2) AS n1 FROM (SELECT sum(c) AS t FROM c GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1) / 2) AS n2 FROM (SELECT sum(c) AS t FROM c GROUP BY y))
+SELECT CAST(C AS BIGINT) AS concordant, CAST(D AS BIGINT) AS discordant,
+       round((C - D) / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 6) AS tau_b
+FROM p, t, tx, ty""")
+def q_g5(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.kendall_tau(table(spark, sf, "lineitem"), "l_quantity", "l_discount"))
+
+
+def _cramers_sql(src: str, a: str, b: str) -> str:
+    return f"""
+WITH c AS (SELECT CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y, count(*) AS o FROM ({src})
+           WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS rx, sum(o) OVER (PARTITION BY y) AS cy, sum(o) OVER () AS n FROM c),
+s AS (SELECT sum(o * o / (rx * cy / n)) - first(n) AS chi2, first(n) AS n, count(DISTINCT x) AS r,
+             count(DISTINCT y) AS k FROM m),
+v AS (SELECT *, greatest(0.0, chi2 / n - (k - 1) * (r - 1) / (n - 1)) AS phi2c,
+             least(k - (k - 1) * (k - 1) / (n - 1) - 1, r - (r - 1) * (r - 1) / (n - 1) - 1) AS den FROM s)
+SELECT '{a}' AS a, '{b}' AS b, round(CASE WHEN den > 0 THEN sqrt(phi2c / den) END, 6) AS cramers_v FROM v"""
+
+
+@register("g6_cramers_v", _cramers_sql("SELECT * FROM lineitem", "l_returnflag", "l_linestatus"))
+def q_g6(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.cramers_v(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@register("g6_cramers_v_orders", _cramers_sql("SELECT * FROM orders", "o_orderstatus", "o_orderpriority"))
+def q_g6o(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.cramers_v(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+def _decile_sql(col: str, src: str) -> str:
+    cuts = " + ".join(f"CASE WHEN {col} > (SELECT quantile_cont({col}, {i / 10!r}) FROM ({src})) THEN 1 ELSE 0 END"
+                      for i in range(1, 10))
+    return f"({cuts})"
+
+
+@register("g7_contingency_binned", f"""
+WITH b AS (SELECT {_decile_sql('l_extendedprice', 'SELECT * FROM lineitem')} AS x, l_returnflag AS y FROM lineitem),
+c AS (SELECT CAST(x AS VARCHAR) AS x, y, count(*) AS o FROM b GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS rx, sum(o) OVER (PARTITION BY y) AS cy, sum(o) OVER () AS n FROM c),
+s AS (SELECT sum(o * o / (rx * cy / n)) - first(n) AS chi2, first(n) AS n FROM m)
+SELECT 'l_extendedprice' AS a, 'l_returnflag' AS b, round(sqrt(chi2 / (chi2 + n)), 6) AS contingency FROM s""")
+def q_g7(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.contingency_coefficient(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag",
+                                                  numeric=["l_extendedprice"]))
+
+
+@register("g9_uncertainty", """
+WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY y) AS ny, sum(o) OVER (PARTITION BY x) AS nx, sum(o) OVER () AS n FROM c),
+h AS (SELECT sum(-(o / n) * ln(o / ny)) AS hxy, sum(-(o / n) * ln(nx / n)) AS hx FROM m)
+SELECT 'l_returnflag' AS x, 'l_linestatus' AS y,
+       round(CASE WHEN hx = 0 THEN 1.0 ELSE (hx - hxy) / hx END, 6) AS uncertainty FROM h""")
+def q_g9(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.uncertainty_coefficient(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+@register("g9_correlation_ratio", """
+WITH g AS (SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice * l_extendedprice) AS ss
+           FROM lineitem GROUP BY 1),
+r AS (SELECT sum(s * s / n) AS a, sum(s) AS S, sum(n) AS N, sum(ss) AS Q FROM g)
+SELECT 'l_returnflag' AS category, 'l_extendedprice' AS "numeric",
+       round(CASE WHEN Q - S * S / N > 0 THEN sqrt(greatest(a - S * S / N, 0.0) / (Q - S * S / N)) ELSE 0.0 END, 6) AS eta
+FROM r""")
+def q_g9r(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.correlation_ratio(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice"))
+
+
+def _classify_sql() -> str:
+    kinds = {"l_orderkey": "numerical", "l_partkey": "numerical", "l_suppkey": "numerical", "l_linenumber": "numerical",
+             "l_quantity": "numerical", "l_extendedprice": "numerical", "l_discount": "numerical",
+             "l_tax": "numerical", "l_returnflag": "categorical", "l_linestatus": "categorical",
+             "l_shipdate": "unclassified"}
+    parts = [f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' ELSE '{k}' END AS kind, "
+             f"CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct FROM lineitem" for c, k in kinds.items()]
+    return " UNION ALL ".join(parts)
+
+
+@register("g10_classify", _classify_sql())
+def q_g10(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.classify(table(spark, sf, "lineitem"))
+
+
+@register("g11_crosstab", """
+SELECT l_returnflag, CAST(count_if(l_linestatus = 'F') AS BIGINT) AS "F", CAST(count_if(l_linestatus = 'O') AS BIGINT) AS "O"
+FROM lineitem GROUP BY 1""")
+def q_g11(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.crosstab(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("g12_box_stats", """
+WITH q AS (SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.25) AS q1,
+                  quantile_cont(l_extendedprice, 0.5) AS med, quantile_cont(l_extendedprice, 0.75) AS q3
+           FROM lineitem GROUP BY 1),
+j AS (SELECT l.l_extendedprice AS x, q.*, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi
+      FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag)
+SELECT l_returnflag, CAST(first(n) AS BIGINT) AS n, round(first(q1), 6) AS q1, round(first(med), 6) AS median,
+       round(first(q3), 6) AS q3, round(min(CASE WHEN x >= lo AND x <= hi THEN x END), 6) AS whisker_low,
+       round(max(CASE WHEN x >= lo AND x <= hi THEN x END), 6) AS whisker_high,
+       CAST(count_if(NOT (x >= lo AND x <= hi)) AS BIGINT) AS outliers
+FROM j GROUP BY 1""")
+def q_g12(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(profile.box_stats(table(spark, sf, "lineitem"), "l_extendedprice", by="l_returnflag"))
+
+
+@register("g13_density_hist", _hist_sql("SELECT * FROM lineitem", "l_quantity", 10, "l_returnflag", density=True))
+def q_g13(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(profile.density_hist(table(spark, sf, "lineitem"), "l_quantity", "l_returnflag", 10))
+
+
+@register("g14_standardize", """
+WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2,
+                  stddev_pop(l_discount) AS s2, avg(l_tax) AS m3, stddev_pop(l_tax) AS s3 FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((l_quantity - m1) / s1, 6) AS l_quantity,
+       round((l_discount - m2) / s2, 6) AS l_discount, round((l_tax - m3) / s3, 6) AS l_tax
+FROM lineitem, s""")
+def q_g14(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    return _rounded(profile.standardize(li, ["l_quantity", "l_discount", "l_tax"]))
+
+
+@register("g18_test_statistics", """
+WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS rx, sum(o) OVER (PARTITION BY y) AS cy, sum(o) OVER () AS n FROM c),
+chi AS (SELECT sum(o * o / (rx * cy / n)) - first(n) AS stat, (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS dof FROM m),
+w AS (SELECT avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS m0,
+             avg(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS m1,
+             var_samp(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS v0,
+             var_samp(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS v1,
+             count_if(l_linestatus = 'F') AS n0, count_if(l_linestatus = 'O') AS n1 FROM lineitem),
+g AS (SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice * l_extendedprice) AS ss
+      FROM lineitem GROUP BY 1),
+an AS (SELECT sum(s * s / n) AS a, sum(s) AS S, sum(n) AS N, sum(ss) AS Q, count(*) AS k FROM g),
+rk AS (SELECT l_returnflag, l_linestatus,
+              rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
+mw AS (SELECT sum(r) - count(*) * (count(*) + 1) / 2.0 AS u FROM rk WHERE l_linestatus = 'F'),
+kw AS (SELECT sum(rs * rs / n) AS s, sum(n) AS N, count(*) AS k FROM
+         (SELECT l_returnflag, sum(r) AS rs, count(*) AS n FROM rk GROUP BY 1)),
+pc AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem)
+SELECT 'chi2_independence' AS test, round(stat, 6) AS statistic, CAST(dof AS DOUBLE) AS dof FROM chi
+UNION ALL SELECT 'welch_t', round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 6),
+  round(power(v0 / n0 + v1 / n1, 2) / (power(v0 / n0, 2) / (n0 - 1) + power(v1 / n1, 2) / (n1 - 1)), 6) FROM w
+UNION ALL SELECT 'anova_f', round(((a - S * S / N) / (k - 1)) / ((Q - a) / (N - k)), 6), CAST(k - 1 AS DOUBLE) FROM an
+UNION ALL SELECT 'mann_whitney_u', round(u, 6), NULL FROM mw
+UNION ALL SELECT 'kruskal_h', round(12.0 / (N * (N + 1)) * s - 3 * (N + 1), 6), CAST(k - 1 AS DOUBLE) FROM kw
+UNION ALL SELECT 'pearson_t', round(r * sqrt((n - 2) / (1 - r * r)), 6), CAST(n - 2 AS DOUBLE) FROM pc""")
+def q_g18(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    parts = [
+        assoc.chi2_test(li, "l_returnflag", "l_linestatus").select(F.lit("chi2_independence").alias("test"),
+                                                                  "statistic", F.col("dof").cast("double")),
+        assoc.welch_t(li, "l_extendedprice", "l_linestatus", "F", "O").select(F.lit("welch_t").alias("test"),
+                                                                             "statistic", "dof"),
+        assoc.anova_f(li, "l_extendedprice", "l_returnflag").select(F.lit("anova_f").alias("test"), "statistic",
+                                                                    F.col("df_between").cast("double").alias("dof")),
+        assoc.mann_whitney_u(li, "l_quantity", "l_linestatus", "F").select(
+            F.lit("mann_whitney_u").alias("test"), "statistic", F.lit(None).cast("double").alias("dof")),
+        assoc.kruskal_h(li, "l_quantity", "l_returnflag").select(F.lit("kruskal_h").alias("test"), "statistic",
+                                                                  F.col("dof").cast("double")),
+        assoc.pearson_test(li, "l_quantity", "l_extendedprice").select(F.lit("pearson_t").alias("test"),
+                                                                        "statistic", F.col("dof").cast("double")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _rounded(out)
