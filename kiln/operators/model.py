@@ -286,7 +286,8 @@ def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, ord
     need = fit.agg(F.max(F.col("p") + F.col("d")).alias("m")).first()["m"] or 0
     tail = history.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= int(need) + 1)
     tail = tail.select(*keys, "_r", q(target).cast("double").alias("_y"))
-    grouped = tail.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(-F.col("_r"), F.col("_y")))).alias("_h"))
+    grouped = tail.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col("_y").alias("y")))).alias("_h"))
     j = join_small(grouped, meta, keys) if keys else attach_row(grouped, meta)
     key_fields = [f for f in j.schema.fields if f.name in keys]
     schema = T.StructType([*key_fields, T.StructField("step", T.IntegerType()),
@@ -295,7 +296,7 @@ def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, ord
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, r in pdf.iterrows():
-            hist = [float(s[1]) for s in r["_h"]]
+            hist = [float(s["y"]) for s in r["_h"]]
             names, coef = list(r["coef_names"]), np.asarray(r["coef"], dtype=float)
             p, d = int(r["p"]), int(r["d"])
             levels = list(hist)

@@ -1346,3 +1346,192 @@ def q_g18(spark: SparkSession, sf: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return _rounded(out)
+
+
+# =============================================================================== models and tuning
+from kiln.operators import model, tune  # noqa: E402
+
+_CL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
+
+
+def _classification_table(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem with a binary label (quantity above 25) and a deterministic 70/15/15 split."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *_CL_FEATURES,
+                                              (F.col("l_quantity") > 25).cast("int").alias("label"))
+    return split.stratified_split(li, "label", (0.7, 0.15, 0.15), id_cols=["l_orderkey", "l_linenumber"])
+
+
+def _prob1(df: DataFrame) -> DataFrame:
+    return df.select("l_orderkey", "l_linenumber", "label", "split", "prediction",
+                     F.element_at("probability", 2).alias("prob_1"))
+
+
+@register("m1_logistic_scores")
+def q_m1(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    m = model.fit_logistic(t.filter("split = 'train'"), _CL_FEATURES, "label", C=1.0, max_iter=100)
+    return _prob1(model.score(m, t))
+
+
+@register("m2_mlp_scores")
+def q_m2(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    z = profile.standardize(t, _CL_FEATURES)
+    m = model.fit_mlp(z.filter("split = 'train'"), _CL_FEATURES, "label", hidden="8,4", max_iter=50)
+    return _prob1(model.score(m, z))
+
+
+@register("m3_gbt_scores")
+def q_m3(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf).withColumn("is_val", F.col("split") == "val")
+    fit_on = t.filter("split != 'test'")
+    m = model.fit_gbt_classifier(fit_on, _CL_FEATURES, "label", n_trees=20, max_depth=3, subsample=0.8,
+                                 colsample=0.67, validation_col="is_val")
+    return _prob1(model.score(m, t))
+
+
+@register("m3_gbt_multiclass")
+def q_m3m(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", *_CL_FEATURES)
+    li = encode.label_encode(li, ["l_returnflag"])
+    m = model.fit_gbt_classifier(li, ["l_quantity", *_CL_FEATURES], "l_returnflag", n_trees=5, max_depth=3)
+    return model.score(m, li, keep=["l_orderkey", "l_linenumber", "l_returnflag"])
+
+
+def _lagged_daily(spark: SparkSession, sf: str, n_lags: int = 3) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    d = encode.add_lags(d, ["total"], n_lags, order_cols=["day"], key="event_type")
+    return encode.handle_lag_nulls(d, "drop")
+
+
+@register("m4_gbt_forecaster")
+def q_m4(spark: SparkSession, sf: str) -> DataFrame:
+    d = _lagged_daily(spark, sf)
+    feats = ["total_lag_1", "total_lag_2", "total_lag_3", "n_events"]
+    s = split.temporal_split(d, order_cols=["day"], key="event_type", layout="keyed")
+    m = model.fit_gbt_forecaster(s.filter("split = 'train'"), feats, "total", n_trees=20, max_depth=3)
+    out = model.score(m, s.filter("split != 'train'"), keep=["event_type", "day", "split", "total"])
+    return out
+
+
+@register("m5_feature_importance")
+def q_m5(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    m = model.fit_gbt_classifier(t.filter("split = 'train'"), _CL_FEATURES, "label", n_trees=10, max_depth=3)
+    return model.feature_importance(m, _CL_FEATURES)
+
+
+@register("m6_recursive_forecast")
+def q_m6(spark: SparkSession, sf: str) -> DataFrame:
+    d = _lagged_daily(spark, sf).drop("n_events")
+    feats = ["total_lag_1", "total_lag_2", "total_lag_3"]
+    m = model.fit_gbt_forecaster(d, feats, "total", n_trees=10, max_depth=3)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type").orderBy(F.desc("day"))
+    last = d.withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    # the newest row's lags shift by one: the last actual becomes lag 1
+    last = last.select("event_type", F.col("total").alias("total_lag_1"), F.col("total_lag_1").alias("total_lag_2"),
+                       F.col("total_lag_2").alias("total_lag_3"))
+    return model.forecast_recursive(m, last, "total", 3, h=5, key="event_type")
+
+
+@register("m7_ar1_fit", f"""
+WITH z AS (SELECT event_type, total AS z, lag(total, 1) OVER (PARTITION BY event_type ORDER BY day) AS z1
+           FROM ({_SQL_DAILY_R}))
+SELECT event_type, round(regr_intercept(z, z1), 6) AS "const", round(regr_slope(z, z1), 6) AS ar_1,
+       CAST(count(z1) AS BIGINT) AS n
+FROM z GROUP BY 1""")
+def q_m7(spark: SparkSession, sf: str) -> DataFrame:
+    f = model.fit_ar(daily_rounded(spark, sf), "total", p=1, d=0, trend="c", order_cols=["day"], key="event_type")
+    return f.select("event_type", r6(F.col("coef")[0]).alias("const"), r6(F.col("coef")[1]).alias("ar_1"),
+                    F.col("n").cast("bigint").alias("n"))
+
+
+@register("m7_ar_forecast")
+def q_m7f(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    f = model.fit_ar(d, "total", p=2, d=1, trend="c", order_cols=["day"], key="event_type")
+    return model.forecast_ar(f, d, "total", 7, order_cols=["day"], key="event_type")
+
+
+@register("m10_grid_search_cv")
+def q_m10(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    t = _classification_table(spark, sf)
+    lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=50, standardization=False)
+    grid = [{"regParam": 1e-4}, {"regParam": 1e-2}]
+    data = VectorAssembler(inputCols=_CL_FEATURES, outputCol="features").transform(t)
+    cvm = tune.grid_search_cv(lr, grid, data, "label", "l_orderkey", folds=3, parallelism=2)
+    rows = [(i, g["regParam"], float(m)) for i, (g, m) in enumerate(zip(grid, cvm.avgMetrics))]
+    del Pipeline
+    return spark.createDataFrame(rows, "candidate int, regParam double, cv_accuracy double")
+
+
+@register("m10_holdout_search")
+def q_m10h(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    d = _lagged_daily(spark, sf)
+    feats = ["total_lag_1", "total_lag_2", "total_lag_3"]
+    s = split.temporal_split(d, order_cols=["day"], key="event_type", layout="keyed")
+    s = VectorAssembler(inputCols=feats, outputCol="features").transform(s)
+    est = GBTRegressor(featuresCol="features", labelCol="_label", seed=42)
+    grid = [{"maxDepth": 2, "maxIter": 5}, {"maxDepth": 3, "maxIter": 10}]
+    best, _, results = tune.holdout_search(est, grid, s.filter("split = 'train'"), s.filter("split = 'val'"),
+                                           "total", parallelism=2)
+    rows = [(i, int(g["maxDepth"]), int(g["maxIter"]), float(m), g == best) for i, (g, m) in enumerate(results)]
+    return spark.createDataFrame(rows, "candidate int, maxDepth int, maxIter int, val_mse double, best boolean")
+
+
+@register("m11_random_search")
+def q_m11(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    d = _lagged_daily(spark, sf)
+    feats = ["total_lag_1", "total_lag_2", "total_lag_3"]
+    s = split.temporal_split(d, order_cols=["day"], key="event_type", layout="keyed")
+    s = VectorAssembler(inputCols=feats, outputCol="features").transform(s)
+    est = GBTRegressor(featuresCol="features", labelCol="_label", seed=42)
+    space = {"maxDepth": ("int", 2, 4), "stepSize": ("loguniform", 0.01, 0.3), "maxIter": ("int", 3, 8)}
+    best, _, results = tune.random_search(est, space, 3, s.filter("split = 'train'"), s.filter("split = 'val'"),
+                                          "total", seed=42, parallelism=2)
+    rows = [(i, int(g["maxDepth"]), float(g["stepSize"]), int(g["maxIter"]), float(m), g == best)
+            for i, (g, m) in enumerate(results)]
+    return spark.createDataFrame(rows, "draw int, maxDepth int, stepSize double, maxIter int, val_mse double, "
+                                       "best boolean")
+
+
+@register("m11_ar_search")
+def q_m11a(spark: SparkSession, sf: str) -> DataFrame:
+    grid = tune.ar_grid({"p": [1, 2], "d": [0, 1], "trend": ["c"]})
+    best = tune.ar_search(daily_rounded(spark, sf), "total", grid, order_cols=["day"], key="event_type")
+    return best.select("event_type", "p", "d", "aic", "bic", "n", "candidate")
+
+
+@register("m12_walk_forward")
+def q_m12(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    return tune.walk_forward(d, "total", ["day"], W=14, h=2, folds=3, p=1, d=0, trend="c", key="event_type")
+
+
+@register("m14_save_load_score")
+def q_m14(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    m = model.fit_logistic(t.filter("split = 'train'"), _CL_FEATURES, "label", max_iter=20)
+    path = files.scratch_path(spark, "m14-model")
+    model.save_model(m, path)
+    return _prob1(model.score(model.load_model(path), t))
+
+
+@register("m15_seasonal_naive", f"""
+SELECT event_type, day, total, CAST(lag(total, 7) OVER (PARTITION BY event_type ORDER BY day) AS DOUBLE) AS forecast
+FROM ({_SQL_DAILY_R})""")
+def q_m15(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf).select("event_type", "day", "total")
+    return model.forecast_naive(d, "total", season=7, order_cols=["day"], key="event_type")
