@@ -89,7 +89,7 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
     probe = sorted({min(1.0, max(0.0, p + sgn * lv)) for p in probs for lv in levels for sgn in (-1, 1)})
     idx = {p: i for i, p in enumerate(probe)}
     s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probe, accuracy).alias("_pa"))
-    need = F.lit(3.0) / F.col("_n") + F.lit(base)
+    need = F.when(F.col("_n") > 0, F.lit(3.0) / F.col("_n")).otherwise(F.lit(1.0)) + F.lit(base)
     bcols = []
     for i, p in enumerate(probs):
         lo = hi = None

@@ -1535,3 +1535,222 @@ FROM ({_SQL_DAILY_R})""")
 def q_m15(spark: SparkSession, sf: str) -> DataFrame:
     d = daily_rounded(spark, sf).select("event_type", "day", "total")
     return model.forecast_naive(d, "total", season=7, order_cols=["day"], key="event_type")
+
+
+# =============================================================================== run records and replay
+from kiln.plans import replay, runs  # noqa: E402
+
+
+def run_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """One run document per (return flag, line status) group of lineitem, built from the
+    group's statistics: a cleaning step and a training step. The flag picks the record
+    version (A: 1.1, N: 1.0, R: 2.0 = unknown) and the status the search strategy, so the
+    validation rules see valid and invalid records."""
+    li = table(spark, sf, "lineitem")
+    g = li.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("q"),
+        F.round(F.avg("l_discount"), 4).alias("d"), F.round(F.stddev_samp("l_extendedprice") / 1000, 4).alias("s"),
+        F.slice(F.array_sort(F.collect_set("l_suppkey")), 1, 20).alias("supp"))
+    version = F.when(F.col("l_returnflag") == "A", "1.1").when(F.col("l_returnflag") == "N", "1.0").otherwise("2.0")
+    strategy = F.when(F.col("l_linestatus") == "F", "grid").otherwise("bogus")
+    clean_step = F.struct(F.lit("data_cleaning").alias("step"),
+                          F.struct(F.lit(True).alias("eliminar_duplicados"), F.lit("media").alias("relleno"))
+                          .alias("params"), F.col("n").alias("rows"))
+    train_step = F.struct(
+        version.alias("schema_version"), F.lit("train_model").alias("step"), F.lit("xgboost").alias("algorithm"),
+        F.struct(F.lit(100).alias("n_estimators")).alias("params"),
+        F.struct(F.col("q").alias("val_rmse"), F.col("d").alias("val_mae"),
+                 F.lit(None).cast("double").alias("val_mape"), F.col("s").alias("test_rmse"),
+                 F.col("q").alias("test_mae"), F.col("d").alias("test_mape")).alias("metrics"),
+        F.struct(strategy.alias("strategy"), F.lit(4).alias("iterations_total"), F.lit(2).alias("best_iteration"),
+                 F.col("q").alias("best_val_loss")).alias("hyperparameter_search"),
+        F.col("supp").alias("feature_list"))
+    opts = {"ignoreNullFields": "false"}
+    doc = F.concat(F.lit('{"steps":['), F.to_json(clean_step, opts), F.lit(","), F.to_json(train_step, opts),
+                   F.lit("]}"))
+    return g.select(F.concat("l_returnflag", "l_linestatus").alias("run_id"), "l_returnflag", doc.alias("doc"))
+
+
+_SQL_DOCS = """
+SELECT l_returnflag || l_linestatus AS run_id, l_returnflag,
+  json_object('steps', json_array(
+    json_object('step', 'data_cleaning', 'params', json_object('eliminar_duplicados', true, 'relleno', 'media'),
+                'rows', count(*)),
+    json_object('schema_version', CASE l_returnflag WHEN 'A' THEN '1.1' WHEN 'N' THEN '1.0' ELSE '2.0' END,
+                'step', 'train_model', 'algorithm', 'xgboost', 'params', json_object('n_estimators', 100),
+                'metrics', json_object('val_rmse', round(avg(l_quantity), 4), 'val_mae', round(avg(l_discount), 4),
+                                       'val_mape', NULL::DOUBLE,
+                                       'test_rmse', round(stddev_samp(l_extendedprice) / 1000, 4),
+                                       'test_mae', round(avg(l_quantity), 4), 'test_mape', round(avg(l_discount), 4)),
+                'hyperparameter_search', json_object('strategy', CASE WHEN l_linestatus = 'F' THEN 'grid' ELSE 'bogus' END,
+                                                     'iterations_total', 4, 'best_iteration', 2,
+                                                     'best_val_loss', round(avg(l_quantity), 4)),
+                'feature_list', to_json(list_slice(list_sort(list(DISTINCT l_suppkey)), 1, 20))))) AS doc
+FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+
+_SQL_STEPS = f"""
+d AS ({_SQL_DOCS}),
+s AS (SELECT run_id, l_returnflag, unnest(range(1, len(steps) + 1)) AS step_no, unnest(steps) AS st
+      FROM (SELECT run_id, l_returnflag, CAST(json_extract(doc, '$.steps') AS JSON[]) AS steps FROM d))"""
+
+
+@register("r1_append_runs")
+def q_r1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = run_documents(spark, sf)
+    path = files.scratch_path(spark, "r1-runs")
+    steps = runs.steps_of(docs)
+    runs.append_run(spark, path, steps.filter("step_no = 1"))
+    runs.append_run(spark, path, steps.filter("step_no = 2"))
+    return spark.read.parquet(path)
+
+
+@register("r2_flatten_runs", f"""
+WITH {_SQL_STEPS},
+k AS (SELECT run_id, CAST(step_no AS INTEGER) AS step_no, json_extract_string(st, '$.step') AS step,
+             unnest(json_keys(st)) AS key, st FROM s),
+v AS (SELECT *, json_extract(st, '$."' || key || '"') AS jv FROM k),
+one AS (SELECT run_id, step_no, step, key, CAST(0 AS INTEGER) AS part,
+               CASE WHEN json_type(jv) IN ('OBJECT', 'ARRAY') THEN CAST(jv AS VARCHAR)
+                    ELSE json_extract_string(st, '$."' || key || '"') END AS value
+        FROM v WHERE NOT (json_type(jv) = 'ARRAY' AND json_array_length(jv) > 15)),
+many AS (SELECT run_id, step_no, step, key, CAST(p + 1 AS INTEGER) AS part,
+                to_json(list_slice(CAST(jv AS JSON[]), p * 10 + 1, p * 10 + 10))::VARCHAR AS value
+         FROM (SELECT *, unnest(range(0, CAST(ceil(json_array_length(jv) / 10) AS BIGINT))) AS p FROM v
+               WHERE json_type(jv) = 'ARRAY' AND json_array_length(jv) > 15))
+SELECT * FROM one UNION ALL SELECT * FROM many""")
+def q_r2(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.flatten_runs(run_documents(spark, sf))
+
+
+def _validate_sql() -> str:
+    def has(path: str) -> str:
+        return f"json_exists(st, '{path}')"
+
+    def val(path: str) -> str:
+        return f"json_extract_string(st, '{path}')"
+
+    v11 = [f"CASE WHEN NOT {has('$.' + f)} THEN 'Missing required field: {f}' END" for f in runs.V11_TOP_LEVEL]
+    for m in runs.V11_METRICS:
+        v11.append(f"CASE WHEN {has('$.metrics')} AND NOT {has('$.metrics.' + m)} THEN 'Missing required metric: {m}' END")
+        v11.append(f"CASE WHEN {has('$.metrics')} AND {val('$.metrics.' + m)} IS NOT NULL AND "
+                   f"TRY_CAST({val('$.metrics.' + m)} AS DOUBLE) IS NULL THEN 'Invalid type for {m}: expected float or None' END")
+    hs = has("$.hyperparameter_search")
+    for f in runs.V11_SEARCH:
+        v11.append(f"CASE WHEN {hs} AND NOT {has('$.hyperparameter_search.' + f)} "
+                   f"THEN 'Missing hyperparameter_search field: {f}' END")
+    strat = val("$.hyperparameter_search.strategy")
+    known = ", ".join(f"'{x}'" for x in runs.V11_STRATEGIES)
+    v11.append(f"CASE WHEN {hs} AND {strat} IS NOT NULL AND {strat} NOT IN ({known}) THEN 'Invalid strategy: ' || {strat} END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'grid' AND {val('$.hyperparameter_search.grid_search_params')} IS NULL "
+               "THEN 'Missing grid_search_params for grid strategy' END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.random_search_params')} IS NULL "
+               "THEN 'Missing random_search_params for random strategy' END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.n_random_iterations')} IS NULL "
+               "THEN 'Missing n_random_iterations for random strategy' END")
+    bc = has("$.bayesian_config")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND NOT {bc} THEN 'Missing bayesian_config for bayesian strategy' END")
+    for f in runs.V11_BAYESIAN:
+        v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND NOT {has('$.bayesian_config.' + f)} "
+                   f"THEN 'Missing {f} in bayesian_config' END")
+    nt = f"TRY_CAST({val('$.bayesian_config.n_trials')} AS DOUBLE)"
+    ni = f"TRY_CAST({val('$.bayesian_config.n_initial_points')} AS DOUBLE)"
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {nt} < 1 THEN 'n_trials must be at least 1' END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {ni} >= {nt} "
+               "THEN 'n_initial_points must be less than n_trials' END")
+    meta = has("$.lstm_metadata")
+    for f in runs.V11_LSTM_META:
+        v11.append(f"CASE WHEN {meta} AND NOT {has('$.lstm_metadata.' + f)} THEN 'Missing lstm_metadata field: {f}' END")
+    mode = val("$.lstm_metadata.training_mode")
+    modes = ", ".join(f"'{x}'" for x in runs.TRAINING_MODES)
+    v11.append(f"CASE WHEN {meta} AND {mode} IS NOT NULL AND {mode} NOT IN ({modes}) THEN 'Invalid training_mode: ' || {mode} END")
+    nf = val("$.lstm_metadata.n_input_features")
+    v11.append(f"CASE WHEN {meta} AND {nf} IS NOT NULL AND (NOT regexp_matches({nf}, '^[0-9]+$') OR "
+               f"TRY_CAST({nf} AS BIGINT) < 1) THEN 'Invalid n_input_features: ' || {nf} END")
+    v10 = [f"CASE WHEN NOT {has('$.' + f)} THEN 'Missing required field: {f}' END" for f in runs.V10_REQUIRED]
+    ver = "coalesce(json_extract_string(st, '$.schema_version'), '1.0')"
+    errs = (f"CASE WHEN {ver} = '1.1' THEN list_filter([{', '.join(v11)}], lambda x: x IS NOT NULL) "
+            f"WHEN {ver} = '1.0' THEN list_filter([{', '.join(v10)}], lambda x: x IS NOT NULL) "
+            f"ELSE ['Unknown schema version: ' || {ver}] END")
+    return f"""
+WITH {_SQL_STEPS},
+e AS (SELECT run_id, CAST(step_no AS INTEGER) AS step_no, {ver} AS version, {errs} AS errs FROM s)
+SELECT run_id, step_no, version, len(errs) = 0 AS ok, array_to_string(errs, '; ') AS errors,
+       CAST(len(errs) AS BIGINT) AS n_errors FROM e"""
+
+
+@register("r3_validate_runs", _validate_sql())
+def q_r3(spark: SparkSession, sf: str) -> DataFrame:
+    v = runs.validate_runs(run_documents(spark, sf))
+    return v.select("run_id", F.col("step_no").cast("int"), "version", "ok",
+                    F.array_join("errors", "; ").alias("errors"), F.size("errors").cast("bigint").alias("n_errors"))
+
+
+_SQL_METRICS_LONG = f"""
+{_SQL_STEPS},
+m AS (SELECT run_id, l_returnflag, CAST(step_no AS INTEGER) AS step_no, json_extract(st, '$.metrics') AS mj FROM s
+      WHERE json_exists(st, '$.metrics')),
+k AS (SELECT run_id, l_returnflag, step_no, unnest(json_keys(mj)) AS metric, mj FROM m),
+l AS (SELECT run_id, l_returnflag, step_no, metric,
+             TRY_CAST(json_extract_string(mj, '$."' || metric || '"') AS DOUBLE) AS value FROM k
+      WHERE metric LIKE 'val\\_%' ESCAPE '\\' OR metric LIKE 'test\\_%' ESCAPE '\\')"""
+
+
+@register("r5_metrics_long", f"WITH {_SQL_METRICS_LONG} SELECT run_id, step_no, metric, value FROM l WHERE value IS NOT NULL")
+def q_r5(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.metrics_long(run_documents(spark, sf))
+
+
+@register("r6_best_runs", f"""
+WITH {_SQL_METRICS_LONG}
+SELECT l_returnflag, arg_min(run_id, (value, run_id)) AS run_id, min(value) AS value
+FROM l WHERE metric = 'val_rmse' AND value IS NOT NULL GROUP BY 1""")
+def q_r6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = run_documents(spark, sf)
+    m = runs.metrics_long(docs).join(docs.select("run_id", "l_returnflag"), "run_id")
+    return runs.best_runs(m, "val_rmse", by="l_returnflag")
+
+
+_REPLAY_CONFIG = {"steps": [
+    {"step": "data_cleaning", "params": {"eliminar_duplicados": True, "filtrar_outliers": True,
+                                         "relleno_valores_numericos": "media"}},
+    {"step": "data_encoding", "params": {"input_columns": ["event_type", "event_type_vacio"],
+                                         "target_columns": ["value"], "target_encoding": None}},
+    {"step": "train_model", "algorithm": "logistic_regression", "params": {"target": "value"}},
+]}
+
+
+@register("r4_replay_recorded_steps", _cl_flow_sql("""
+SELECT event_id, ts, user_id, round(value, 6) AS value,
+       CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_type_error,
+       CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS event_type_purchase,
+       CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS event_type_signup,
+       CASE WHEN event_type = 'vacio' THEN 1 ELSE 0 END AS event_type_vacio,
+       CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS event_type_view
+FROM {last}"""))
+def q_r4(spark: SparkSession, sf: str) -> DataFrame:
+    res = replay.replay_steps(dirty_events(spark, sf, with_empty=True), _REPLAY_CONFIG, train=False)
+    return _rounded(res.training_table, keep=())
+
+
+# =============================================================================== streaming
+from kiln.streaming import clean_stream  # noqa: E402
+
+
+@register("streaming_row_local_clean", f"""
+SELECT event_id, ts, user_id, coalesce(event_type, 'vacio') AS event_type, coalesce(value, 0.0::DOUBLE) AS value
+FROM {_BLANKED}""")
+def q_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The row-local cleaning operators on a Structured Streaming source over the events
+    table (availableNow trigger, Parquet sink in the shared checkpoint folder)."""
+    like = dirty_events(spark, sf)
+    src = clean_stream.stream_table(spark, f"{sf.rstrip('/')}/events.parquet", table(spark, sf, "events"))
+    eid = F.col("event_id")
+    dirty = src.select(eid, "ts", "user_id",
+                       F.when(eid % 11 == 0, F.lit("   ")).when(eid % 5 == 0, F.concat(F.lit("  "), F.col("event_type"),
+                                                                                      F.lit(" ")))
+                       .otherwise(F.col("event_type")).alias("event_type"),
+                       F.when(eid % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"))
+    del like
+    out = clean_stream.run_available_now(spark, dirty, lambda d: clean_stream.row_local_clean(d, fill_value=0.0),
+                                         name="events-clean")
+    return out.select("event_id", "ts", "user_id", "event_type", "value")

@@ -47,18 +47,29 @@ def steps_of(docs: DataFrame, doc_col: str = "doc", id_col: str = "run_id") -> D
 # ----------------------------------------------------------------------------- R2
 def flatten_runs(docs: DataFrame, doc_col: str = "doc", id_col: str = "run_id") -> DataFrame:
     """(run_id, step_no, step, key, part, value): one row per top-level field of every
-    step; lists longer than 15 are cut in parts of 10 (part 1, 2, ...); other values as
-    text (nested values as compact JSON)."""
+    step; lists longer than 15 are cut in parts of 10 (part 1, 2, ...; part 0 = the whole
+    value); other values as text (nested values as compact JSON)."""
     s = steps_of(docs, doc_col, id_col)
     kv = s.select(id_col, "step_no", F.get_json_object("step_json", "$.step").alias("step"),
                   F.explode(F.from_json("step_json", "map<string,string>")).alias("key", "value"))
     n = F.json_array_length(F.when(F.col("value").startswith("["), F.col("value")))
     long_list = F.coalesce(n, F.lit(0)) > LONG_LIST
     items = F.from_json(F.col("value"), "array<string>")
+    def as_json(e):
+        # elements come back as raw JSON text for numbers / literals / nested values and as
+        # bare text for strings, which are quoted again
+        raw = e.rlike("^-?[0-9]+(\\.[0-9]+)?([eE][-+]?[0-9]+)?$") | e.isin("true", "false", "null") | \
+            e.startswith("{") | e.startswith("[")
+        quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(e, "\\\\", "\\\\\\\\"), '"', '\\\\"'),
+                          F.lit('"'))
+        return F.when(e.isNull(), F.lit("null")).when(raw, e).otherwise(quoted)
+
     parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LIST_PART).cast("int")),
                         lambda i: F.struct((i + 1).alias("part"),
-                                           F.to_json(F.slice(items, i * LIST_PART + 1, LIST_PART)).alias("value")))
-    one = F.array(F.struct(F.lit(None).cast("int").alias("part"), F.col("value").alias("value")))
+                                           F.concat(F.lit("["), F.array_join(F.transform(
+                                               F.slice(items, i * LIST_PART + 1, LIST_PART), as_json), ","),
+                                               F.lit("]")).alias("value")))
+    one = F.array(F.struct(F.lit(0).alias("part"), F.col("value").alias("value")))
     out = kv.select(id_col, "step_no", "step", "key", F.explode(F.when(long_list, parts).otherwise(one)).alias("p"))
     return out.select(id_col, F.col("step_no").cast("int").alias("step_no"), "step", "key",
                       F.col("p.part").alias("part"), F.col("p.value").alias("value"))

@@ -47,8 +47,13 @@ def run_available_now(spark: SparkSession, source: DataFrame, transform: Callabl
 
 
 def stream_table(spark: SparkSession, path: str, like: DataFrame, max_files: int | None = None) -> DataFrame:
-    """A file-source stream over a Parquet path with the schema of ``like``."""
+    """A file-source stream over a Parquet folder, or over one Parquet file (given as a
+    one-file glob with its folder as base path, as the file source expects folders)."""
     r = spark.readStream.schema(like.schema).format("parquet")
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.load(path)
+    p = path.rstrip("/")
+    if p.endswith(".parquet"):
+        parent, name = p.rsplit("/", 1)
+        return r.option("basePath", parent).load(f"{parent}/{name[:-1]}[{name[-1]}]")
+    return r.load(p)
