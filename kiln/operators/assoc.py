@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
 from kiln.functions.quantiles import exact_quantiles
-from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum
+from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of, running_sum
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -76,14 +76,24 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- G5
-def kendall_tau(df: DataFrame, a: str, b: str, max_cells: int | None = None) -> DataFrame:
-    """Kendall tau-b from the (a, b) contingency cells. Concordant partners of a cell are
-    the rows with a' > a and b' > b: a running sum over a (per b) followed by a running sum
-    over b (per a) gives them for every cell at once; discordant likewise with b' < b."""
+MAX_GRID = 4_000_000
+
+
+def kendall_tau(df: DataFrame, a: str, b: str, max_grid: int = MAX_GRID) -> DataFrame:
+    """Kendall tau-b from the (a, b) contingency table completed to the full grid of
+    distinct a x distinct b values (bounded by ``max_grid``; bin continuous columns
+    first). Concordant partners of a cell are the rows with a' > a and b' > b: a running
+    sum over a (per b) followed by a running sum over b (per a) gives them for every cell
+    at once; discordant likewise with b' < b. No pair of rows or cells is materialised."""
     cells = df.filter(q(a).isNotNull() & q(b).isNotNull()).groupBy(
         q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    if max_cells is not None and cells.limit(max_cells + 1).count() > max_cells:
-        raise ValueError(f"more than {max_cells} distinct (a, b) cells; bin the columns first")
+    xs = cells.select("x").distinct()
+    ys = cells.select("y").distinct()
+    nx, ny = xs.count(), ys.count()
+    if nx * ny > max_grid:
+        raise ValueError(f"{nx} x {ny} distinct values exceed max_grid={max_grid}; bin the columns first")
+    grid = attach_row(xs, ys.agg(F.collect_list("y").alias("_ys"))).select("x", F.explode("_ys").alias("y"))
+    cells = join_small(grid, cells, ["x", "y"], how="left").select("x", "y", F.coalesce("c", F.lit(0)).alias("c"))
     after_x = Window.partitionBy("y").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
     s = cells.withColumn("_above", F.coalesce(F.sum("c").over(after_x), F.lit(0)))
     up = Window.partitionBy("x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
