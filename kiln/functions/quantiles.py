@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of
 
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_ACCURACY = 10_000
+# Largest group the bracket path serves: its collected bracket is about 8 n / accuracy
+# values (<= 1e6 doubles here). Bigger groups take the sort-based exact path.
+BRACKET_MAX_ROWS = 125_000_000
 # Above this many probabilities one distributed sort beats per-probability brackets.
 SORT_THRESHOLD = 16
 
@@ -83,12 +86,19 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
     p +- s for a ladder of slacks s; the group picks the smallest s with
     s*n >= 3 + 4n/accuracy, which brackets ranks floor(p(n-1)) and +1 whatever the
     sketch's rank convention. Pass 2: rows below the bracket are counted and only the
-    bracket (about 2*s*n values, bounded by the ladder) is collected and indexed."""
+    bracket (about 2*s*n values, bounded by the ladder) is collected and indexed. When a
+    group is too large for its bracket to be collected, the sort-based path is used."""
     base = 4.0 / accuracy
     levels = sorted({base, *[lv for lv in _LEVELS if lv > base]})
     probe = sorted({min(1.0, max(0.0, p + sgn * lv)) for p in probs for lv in levels for sgn in (-1, 1)})
     idx = {p: i for i, p in enumerate(probe)}
     s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probe, accuracy).alias("_pa"))
+    s1 = s1.cache()  # one small row per group, read twice
+    max_n = s1.agg(F.max("_n")).first()[0] or 0
+    if max_n > BRACKET_MAX_ROWS * accuracy / DEFAULT_ACCURACY:
+        s1.unpersist()
+        res = _by_position(x, keys, probs, outs)
+        return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
     need = F.when(F.col("_n") > 0, F.lit(3.0) / F.col("_n")).otherwise(F.lit(1.0)) + F.lit(base)
     bcols = []
     for i, p in enumerate(probs):

@@ -137,3 +137,60 @@ def standardize(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         else:
             exprs.append(q(c))
     return df.select(*exprs)
+
+
+# ----------------------------------------------------------------------------- G15-G17
+def _fit_pca(x: DataFrame, cols: Sequence[str], k: int):
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    vec = VectorAssembler(inputCols=list(cols), outputCol="_vec", handleInvalid="skip").transform(x)
+    model = PCA(k=k, inputCol="_vec", outputCol="_pc").fit(vec)
+    return model, vec
+
+
+def pca(df: DataFrame, num: Sequence[str], k: int = 2, keep: Sequence[str] = ()):
+    """PCA on standardised numerics (population std). Returns (row coordinates, model);
+    the covariance (Gram) matrix is computed distributed, d x d on the driver."""
+    from pyspark.ml.functions import vector_to_array
+
+    z = standardize(df.select(*[q(c) for c in [*keep, *num]]), num)
+    model, vec = _fit_pca(z, num, k)
+    coords = model.transform(vec).select(*[q(c) for c in keep], vector_to_array("_pc").alias("coords"))
+    return coords, model
+
+
+def famd(df: DataFrame, num: Sequence[str], cat: Sequence[str], k: int = 2, keep: Sequence[str] = (),
+         max_categories: int = 1000):
+    """Factor analysis of mixed data: standardised numerics plus category indicators
+    scaled by 1/sqrt(share) and centred, then PCA. Returns (row coordinates, model)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from kiln.operators.encode import categories
+
+    z = standardize(df, num)
+    cats = categories(df, list(cat), max_categories)
+    ind = {f"{c}={v}": F.when(q(c) == F.lit(v), 1.0).otherwise(0.0) for c in cat for v in cats[c]}
+    shares = df.agg(*[F.avg(e).alias(f"s{i}") for i, e in enumerate(ind.values())]).first()
+    cols = [q(c) for c in keep] + [q(c) for c in num]
+    names = list(num)
+    for i, (name, e) in enumerate(ind.items()):
+        p = shares[f"s{i}"] or 0.0
+        if p > 0:
+            cols.append(((e - F.lit(p)) / F.lit(p ** 0.5)).alias(f"_i{i}"))
+            names.append(f"_i{i}")
+    x = z.select(*cols)
+    model, vec = _fit_pca(x, names, k)
+    coords = model.transform(vec).select(*[q(c) for c in keep], vector_to_array("_pc").alias("coords"))
+    return coords, model
+
+
+def explained(model, names: Sequence[str] | None = None):
+    """(component, variance_ratio, cumulative) from a fitted PCA model."""
+    from pyspark.sql import SparkSession
+
+    ev = [float(v) for v in model.explainedVariance.toArray()]
+    rows, cum = [], 0.0
+    for i, v in enumerate(ev):
+        cum += v
+        rows.append((i + 1, v, cum))
+    return SparkSession.getActiveSession().createDataFrame(rows, "component int, variance_ratio double, cumulative double")

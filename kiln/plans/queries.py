@@ -1754,3 +1754,24 @@ def q_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = clean_stream.run_available_now(spark, dirty, lambda d: clean_stream.row_local_clean(d, fill_value=0.0),
                                          name="events-clean")
     return out.select("event_id", "ts", "user_id", "event_type", "value")
+
+
+@register("g15_famd")
+def q_g15(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    coords, _ = profile.famd(li, ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"],
+                             k=2, keep=["l_orderkey", "l_linenumber"])
+    return coords
+
+
+@register("g16_pca")
+def q_g16(spark: SparkSession, sf: str) -> DataFrame:
+    coords, _ = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+                            k=2, keep=["l_orderkey", "l_linenumber"])
+    return coords
+
+
+@register("g17_explained_variance")
+def q_g17(spark: SparkSession, sf: str) -> DataFrame:
+    _, m = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=4)
+    return profile.explained(m)
