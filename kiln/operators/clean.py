@@ -210,26 +210,39 @@ def filter_outliers(df: DataFrame, k: float = 2.5, cols: Sequence[str] | None =
     ``Q1 - k*IQR <= x <= Q3 + k*IQR`` (NULL is dropped). Quartiles are linear (pandas).
     One aggregate per column (a true data dependency); the bounds are literals, so each
     step is a pushable filter on the same lazy plan."""
+    from pyspark import StorageLevel
+
     num = numeric_columns(df, cols)
-    cur = df
+    # The bounds need one aggregate per column over the survivors of the earlier columns;
+    # the input is persisted while they are computed and the result is a plain filter
+    # with literal bounds on the original plan (pushable to the scan).
+    base = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cur = base
+    cond = None
     removed: dict[str, int] = {}
     prev_rows = None
-    for c in num:
-        stats = exact_quantile_row(cur, c, [0.25, 0.75], method=method)
-        n_rows = None
-        if report:
-            n_rows = cur.count() if prev_rows is None else prev_rows
-        if stats is None or stats["n"] is None or stats["n"] <= 1:
-            continue
-        q1, q3 = float(stats["q0"]), float(stats["q1"])
-        iqr = q3 - q1
-        lo, hi = q1 - k * iqr, q3 + k * iqr
-        cur = cur.filter((q(c) >= F.lit(lo)) & (q(c) <= F.lit(hi)))
-        if report:
-            after = cur.count()
-            removed[c] = int(n_rows - after)
-            prev_rows = after
-    return cur, {"outliers_removed": removed}
+    try:
+        for c in num:
+            stats = exact_quantile_row(cur, c, [0.25, 0.75], method=method)
+            n_rows = None
+            if report:
+                n_rows = cur.count() if prev_rows is None else prev_rows
+            if stats is None or stats["n"] is None or stats["n"] <= 1:
+                continue
+            q1, q3 = float(stats["q0"]), float(stats["q1"])
+            iqr = q3 - q1
+            lo, hi = q1 - k * iqr, q3 + k * iqr
+            keep = (q(c) >= F.lit(lo)) & (q(c) <= F.lit(hi))
+            cond = keep if cond is None else cond & keep
+            cur = cur.filter(keep)
+            if report:
+                after = cur.count()
+                removed[c] = int(n_rows - after)
+                prev_rows = after
+    finally:
+        base.unpersist()
+    out = df if cond is None else df.filter(cond)
+    return out, {"outliers_removed": removed}
 
 
 # ----------------------------------------------------------------------------- C13

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest)
 from pyspark.ml.feature import VectorAssembler
@@ -37,6 +37,21 @@ def _label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_label", q(label).cast("double"))
 
 
+def _fit(features: Sequence[str], estimator, df: DataFrame) -> PipelineModel:
+    """Assemble once, persist the (features, label) columns for the iterative solver,
+    fit, and wrap assembler + model so scoring takes the raw table."""
+    from pyspark import StorageLevel
+
+    asm = _assembler(features)
+    keep = [FEATURES, "_label", *(["_val"] if "_val" in df.columns else [])]
+    data = asm.transform(df).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = estimator.fit(data)
+    finally:
+        data.unpersist()
+    return PipelineModel(stages=[asm, fitted])
+
+
 def _n_classes(df: DataFrame, label: str) -> int:
     row = df.agg(F.max(q(label)).alias("m"), F.count_distinct(q(label)).alias("k")).first()
     return max(int(row["m"] or 0) + 1, int(row["k"] or 0), 2)
@@ -52,7 +67,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float =
     n = df.count()
     lr = LogisticRegression(featuresCol=FEATURES, labelCol="_label", regParam=1.0 / (C * max(n, 1)),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
-    return Pipeline(stages=[_assembler(features), lr]).fit(_label(df, label))
+    return _fit(features, lr, _label(df, label))
 
 
 # ----------------------------------------------------------------------------- M2
@@ -75,7 +90,7 @@ def fit_mlp(df: DataFrame, features: Sequence[str], label: str, hidden=(100,), m
     layers = [len(features), *parse_hidden(hidden), k]
     mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol="_label", layers=layers, maxIter=max_iter,
                                          stepSize=step_size, seed=seed, solver="gd" if solver == "gd" else "l-bfgs")
-    return Pipeline(stages=[_assembler(features), mlp]).fit(_label(df, label))
+    return _fit(features, mlp, _label(df, label))
 
 
 # ----------------------------------------------------------------------------- M3 / M4
@@ -92,11 +107,12 @@ def fit_gbt_classifier(df: DataFrame, features: Sequence[str], label: str, learn
                   maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=_feature_subset(colsample),
                   seed=seed)
     if validation_col:
-        params["validationIndicatorCol"] = validation_col
+        params["validationIndicatorCol"] = "_val"
     gbt = GBTClassifier(**params)
     k = _n_classes(df, label)
     est = gbt if k <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol="_label")
-    return Pipeline(stages=[_assembler(features), est]).fit(_label(df, label))
+    return _fit(features, est, _label(df, label).withColumn("_val", q(validation_col)) if validation_col
+                else _label(df, label))
 
 
 def fit_gbt_forecaster(df: DataFrame, features: Sequence[str], label: str, learning_rate: float = 0.1,
@@ -106,8 +122,11 @@ def fit_gbt_forecaster(df: DataFrame, features: Sequence[str], label: str, learn
                   maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=_feature_subset(colsample),
                   seed=seed)
     if validation_col:
-        params["validationIndicatorCol"] = validation_col
-    return Pipeline(stages=[_assembler(features), GBTRegressor(**params)]).fit(_label(df, label))
+        params["validationIndicatorCol"] = "_val"
+    x = _label(df, label)
+    if validation_col:
+        x = x.withColumn("_val", q(validation_col))
+    return _fit(features, GBTRegressor(**params), x)
 
 
 # ----------------------------------------------------------------------------- M5

@@ -51,6 +51,8 @@ def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
         s = s.withColumnRenamed(k, f"__r_{k}")
     if bound is not None and bound <= BROADCAST_MAX_ROWS:
         s = F.broadcast(s)
+    elif bound is not None:
+        s = s.hint("shuffle_hash")  # too big to broadcast: shuffle both sides
     if not keys:
         return attach_row(big, small)
     cond = None
@@ -89,24 +91,29 @@ def assign_row_id(df: DataFrame, order_cols: Sequence[str | Column], key=None,
     """
     keys = keys_of(key)
     spark = df.sparkSession
-    n = _partition_count(df, partitions)
     sort_cols = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *sort_cols)
-                .sortWithinPartitions(*sort_cols)
-                .withColumn("__o_pid", F.spark_partition_id())
-                .withColumn("__o_mid", F.monotonically_increasing_id()))
+    # Without an explicit count AQE may merge adjacent range partitions, which keeps
+    # partition ids in key/order sequence.
+    ranged = df.repartitionByRange(partitions, *sort_cols) if partitions else df.repartitionByRange(*sort_cols)
+    tagged = (ranged.sortWithinPartitions(*sort_cols)
+                    .withColumn("__o_pid", F.spark_partition_id())
+                    .withColumn("__o_mid", F.monotonically_increasing_id()))
     ensure_checkpoint_dir(spark)
     tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy("__o_pid", *keys).agg(F.count(F.lit(1)).alias("__o_cnt"),
-                                               F.min("__o_mid").alias("__o_mid0"))
+                                                 F.min("__o_mid").alias("__o_mid0"))
     part = [F.col(k) for k in keys] or [F.lit(0)]
     w = Window.partitionBy(*part).orderBy("__o_pid").rowsBetween(Window.unboundedPreceding, -1)
     cols = [*keys, "__o_pid", "__o_mid0", F.coalesce(F.sum("__o_cnt").over(w), F.lit(0)).alias("__o_off")]
     if with_count:
         cols.append(F.sum("__o_cnt").over(Window.partitionBy(*part)).alias(with_count))
     offsets = stats.select(*cols)
-    # Without a key the table has at most one row per partition.
-    bound = n if not keys else None
+    if keys:
+        # one row per (partition, key present in it): size-checked before broadcasting
+        offsets = offsets.checkpoint(eager=True)
+        bound = offsets.count()
+    else:
+        bound = _partition_count(df, partitions)  # at most one row per range partition
     joined = join_small(tagged, offsets, [*keys, "__o_pid"], bound=bound)
     out = joined.withColumn(row_id, (F.col("__o_off") + F.col("__o_mid") - F.col("__o_mid0")).cast("bigint"))
     return out.drop("__o_pid", "__o_mid", "__o_mid0", "__o_off")
