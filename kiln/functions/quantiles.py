@@ -93,12 +93,14 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
     probe = sorted({min(1.0, max(0.0, p + sgn * lv)) for p in probs for lv in levels for sgn in (-1, 1)})
     idx = {p: i for i, p in enumerate(probe)}
     s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probe, accuracy).alias("_pa"))
-    s1 = s1.cache()  # one small row per group, read twice
-    max_n = s1.agg(F.max("_n")).first()[0] or 0
-    if max_n > BRACKET_MAX_ROWS * accuracy / DEFAULT_ACCURACY:
-        s1.unpersist()
-        res = _by_position(x, keys, probs, outs)
-        return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
+    limit = BRACKET_MAX_ROWS * accuracy / DEFAULT_ACCURACY
+    if keys:
+        s1 = s1.cache()  # one small row per group, read twice
+        max_n = s1.agg(F.max("_n")).first()[0] or 0
+        if max_n > limit:
+            s1.unpersist()
+            res = _by_position(x, keys, probs, outs)
+            return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
     need = F.when(F.col("_n") > 0, F.lit(3.0) / F.col("_n")).otherwise(F.lit(1.0)) + F.lit(base)
     bcols = []
     for i, p in enumerate(probs):
@@ -113,7 +115,16 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
                 hi = F.when(F.lit(lv) >= need, lv_hi).otherwise(hi)
         bcols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
     b = s1.select(*keys, "_n", *bcols)
-    j = join_small(x, b, keys) if keys else attach_row(x, b)
+    if not keys:
+        # one job gives both n and the bracket bounds, injected as literals
+        brow = b.first()
+        if brow is not None and (brow["_n"] or 0) > limit:
+            res = _by_position(x, keys, probs, outs)
+            return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
+        j = x.select("*", *[F.lit(brow[f.name] if brow is not None else None).cast(f.dataType).alias(f.name)
+                            for f in b.schema.fields])
+    else:
+        j = join_small(x, b, keys)
     aggs = [F.first("_n").alias("_n")]
     for i in range(len(probs)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")

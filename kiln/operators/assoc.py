@@ -61,9 +61,14 @@ def rank_table(df: DataFrame, col: str, key=None) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add ``_rank_{c}`` (average rank among the column's non-null values) for every
+    column; all columns are ranked in one pass over the unpivoted (column, value) counts."""
+    arr = F.array(*[F.struct(F.lit(c).alias("_col"), q(c).cast("double").alias("_v")) for c in cols])
+    u = df.select(F.explode(arr).alias("u")).select("u.*")
+    ranks = rank_table(u, "_v", key="_col").cache()
     x = df
     for c in cols:
-        rt = rank_table(df, c).select(F.col("_v").alias(f"_v_{c}"), F.col("_rank").alias(f"_rank_{c}"))
+        rt = ranks.filter(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_rank").alias(f"_rank_{c}"))
         x = x.join(rt, q(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return x
 
