@@ -65,7 +65,9 @@ def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     column; all columns are ranked in one pass over the unpivoted (column, value) counts."""
     arr = F.array(*[F.struct(F.lit(c).alias("_col"), q(c).cast("double").alias("_v")) for c in cols])
     u = df.select(F.explode(arr).alias("u")).select("u.*")
-    ranks = rank_table(u, "_v", key="_col").cache()
+    # reused once per column; can approach n rows for continuous columns, so it is written
+    # to the shared checkpoint folder rather than held in executor memory
+    ranks = rank_table(u, "_v", key="_col").checkpoint(eager=True)
     x = df
     for c in cols:
         rt = ranks.filter(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_rank").alias(f"_rank_{c}"))

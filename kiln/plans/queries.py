@@ -1775,3 +1775,23 @@ def q_g16(spark: SparkSession, sf: str) -> DataFrame:
 def q_g17(spark: SparkSession, sf: str) -> DataFrame:
     _, m = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=4)
     return profile.explained(m)
+
+
+def _assoc_sql() -> str:
+    num, cat = ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"]
+    parts = [f"""SELECT 'l_discount' AS a, 'l_quantity' AS b, 'spearman' AS method, round(corr(l_discount, l_quantity), 6) AS value
+FROM ({_ranked_sql(num)})"""]
+    binned = {c: _decile_sql(c, "SELECT * FROM lineitem") for c in num}
+    pairs = [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_quantity"), ("l_returnflag", "l_discount"),
+             ("l_linestatus", "l_quantity"), ("l_linestatus", "l_discount")]
+    for a, b in pairs:
+        bexpr = binned.get(b, b)
+        src = f"SELECT {a}, {bexpr} AS {b} FROM lineitem"
+        parts.append(f"SELECT a, b, 'cramers_v' AS method, cramers_v AS value FROM ({_cramers_sql(src, a, b)})")
+    return " UNION ALL ".join(parts)
+
+
+@register("g8_associations_auto", _assoc_sql())
+def q_g8(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return _rounded(assoc.associations(li, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"]))
