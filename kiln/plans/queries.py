@@ -1795,3 +1795,11 @@ FROM ({_ranked_sql(num)})"""]
 def q_g8(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return _rounded(assoc.associations(li, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"]))
+
+
+@register("x8_mape_eps", _reg_sql("SELECT event_type, value - 5.0 AS y, value AS p FROM events", "event_type", "y", "p",
+                                  "1e-10"))
+def q_x8(spark: SparkSession, sf: str) -> DataFrame:
+    """MAPE over rows with |y| > 1e-10 (values shifted so some actuals are ~0)."""
+    ev = table(spark, sf, "events").select("event_type", (F.col("value") - 5.0).alias("y"), F.col("value").alias("p"))
+    return _rounded(metrics.regression_metrics(ev, "y", "p", by="event_type", mape_eps=1e-10))

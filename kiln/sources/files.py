@@ -29,10 +29,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # ----------------------------------------------------------------------------- S1
-def columns_of(spark: SparkSession, path: str) -> list[str]:
-    """Header names without an inference job."""
-    names = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
-    return dedupe_names(names)
+def columns_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
+    """Header names as pandas reports them (BOM stripped, repeats as x, x.1), read from the
+    first line only (Spark's own header handling renames repeats differently)."""
+    import csv
+
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return []
+    return dedupe_names(next(csv.reader([first[0]["value"]], delimiter=sep)))
 
 
 def dedupe_names(names: Sequence[str]) -> list[str]:
@@ -66,14 +71,16 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     else:
         # Infer on text first, so that NA tokens do not force a column to string.
         raw = r.option("inferSchema", False).csv(path)
-        names = dedupe_names(raw.columns)
-        raw = raw.toDF(*names)
+        names = columns_of(spark, path, sep)
+        if len(names) == len(raw.columns):
+            raw = raw.toDF(*names)
         raw = na_tokens_to_null(raw, na_tokens)
         if not infer:
             return raw
         df = _infer_types(raw)
         return df
-    return df.toDF(*dedupe_names(df.columns))
+    names = columns_of(spark, path, sep)
+    return df.toDF(*names) if len(names) == len(df.columns) else df
 
 
 def _infer_types(raw: DataFrame) -> DataFrame:
@@ -165,9 +172,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", source_path: str
         w.format(fmt).save(path)
 
 
-def write_by_series(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
-    """One output folder per series: hash-partition on the key, then partitionBy."""
-    df.repartition(q(key)).write.mode("overwrite").partitionBy(key).format(fmt).save(path)
+def write_by_series(df: DataFrame, path: str, key: str, fmt: str = "parquet", salt_buckets: int = 16) -> None:
+    """One output folder per series. Rows are hash-partitioned on (key, salt), the salt
+    being a hash of the row modulo ``salt_buckets``, so a series holding a large share of
+    the rows is written by several tasks (several files in its folder), not one."""
+    salt = F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(salt_buckets))
+    (df.repartition(q(key), salt).write.mode("overwrite").partitionBy(key).format(fmt).save(path))
 
 
 # ----------------------------------------------------------------------------- S6
