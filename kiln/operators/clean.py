@@ -10,6 +10,7 @@ long, queryable table.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -234,7 +235,13 @@ def filter_outliers(df: DataFrame, k: float = 2.5, cols: Sequence[str] | None =
             q1, q3 = float(stats["q0"]), float(stats["q1"])
             iqr = q3 - q1
             lo, hi = q1 - k * iqr, q3 + k * iqr
-            keep = (q(c) >= F.lit(lo)) & (q(c) <= F.lit(hi))
+            dt = df.schema[c].dataType
+            if isinstance(dt, T.IntegralType):
+                # same rows, but typed literals keep the comparison pushable to the scan
+                lo_l, hi_l = F.lit(math.ceil(lo)).cast(dt), F.lit(math.floor(hi)).cast(dt)
+            else:
+                lo_l, hi_l = F.lit(lo).cast(dt), F.lit(hi).cast(dt)
+            keep = (q(c) >= lo_l) & (q(c) <= hi_l)
             cond = keep if cond is None else cond & keep
             cur = cur.filter(keep)
             if report:
