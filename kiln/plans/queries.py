@@ -585,10 +585,10 @@ def q_e1(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("e2_one_hot_sorted_float", """
 SELECT o_orderkey, o_totalprice,
-       CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_2-HIGH",
-       CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_3-MEDIUM",
-       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_4-NOT SPECIFIED",
-       CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_5-LOW"
+       CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "o_orderpriority_2-HIGH",
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "o_orderpriority_3-MEDIUM",
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "o_orderpriority_4-NOT SPECIFIED",
+       CASE WHEN o_orderpriority = '5-LOW' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS "o_orderpriority_5-LOW"
 FROM orders""")
 def q_e2(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
@@ -597,8 +597,8 @@ def q_e2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("e3_one_hot_target", """
 SELECT doc_id, toxic,
-       CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END AS quality_0,
-       CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END AS quality_1
+       CASE WHEN quality = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS quality_0,
+       CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS quality_1
 FROM labels""")
 def q_e3(spark: SparkSession, sf: str) -> DataFrame:
     return encode.one_hot_target(table(spark, sf, "labels"), ["quality"])
@@ -606,9 +606,9 @@ def q_e3(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("e3_one_hot_target_text", """
 SELECT o_orderkey,
-       CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS o_orderstatus_F,
-       CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o_orderstatus_O,
-       CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS o_orderstatus_P
+       CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o_orderstatus_F,
+       CASE WHEN o_orderstatus = 'O' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o_orderstatus_O,
+       CASE WHEN o_orderstatus = 'P' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS o_orderstatus_P
 FROM orders""")
 def q_e3t(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
