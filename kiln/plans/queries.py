@@ -710,8 +710,8 @@ WITH h AS (SELECT {idl}, {label}, CAST((CAST({ids[0]} AS HUGEINT) * 2654435761 +
            FROM ({src})),
 r AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY h, {idl}) - 1 AS pos,
              count(*) OVER (PARTITION BY {label}) AS n FROM h),
-c AS (SELECT *, ceil(n * {temp!r} - 1e-9) AS n_temp FROM r),
-d AS (SELECT *, ceil(n_temp * {frac!r} - 1e-9) AS n_test FROM c)
+c AS (SELECT *, ceil(n * {temp!r}::DOUBLE - 1e-9) AS n_temp FROM r),
+d AS (SELECT *, ceil(n_temp * {frac!r}::DOUBLE - 1e-9) AS n_test FROM c)
 SELECT {idl}, {label}, CASE WHEN pos < n - n_temp THEN 'train'
                             WHEN pos < n - n_temp + (n_temp - n_test) THEN 'val' ELSE 'test' END AS split
 FROM d"""
@@ -734,8 +734,9 @@ def _temporal_sql(src: str, key: str | None, order: str, cols: str, ratios=(0.7,
     return f"""
 WITH r AS (SELECT {cols}, row_number() OVER ({part} ORDER BY {order}) - 1 AS pos, count(*) OVER ({part}) AS n
            FROM ({src}))
-SELECT {cols}, CASE WHEN pos < floor(n * {ratios[0]!r}) THEN 'train'
-                    WHEN pos < floor(n * {ratios[0]!r}) + floor(n * {ratios[1]!r}) THEN 'val' ELSE 'test' END AS split
+SELECT {cols}, CASE WHEN pos < floor(n * {ratios[0]!r}::DOUBLE) THEN 'train'
+                    WHEN pos < floor(n * {ratios[0]!r}::DOUBLE) + floor(n * {ratios[1]!r}::DOUBLE) THEN 'val'
+                    ELSE 'test' END AS split
 FROM r"""
 
 
@@ -799,8 +800,9 @@ WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER B
                   count(*) OVER (PARTITION BY event_type) AS n FROM events),
 w AS (SELECT event_type, start FROM r WHERE start <= n - 9),
 s AS (SELECT *, count(*) OVER (PARTITION BY event_type) AS m FROM w)
-SELECT event_type, start, CASE WHEN start < floor(m * 0.7) THEN 'train'
-                               WHEN start < floor(m * 0.7) + floor(m * 0.15) THEN 'val' ELSE 'test' END AS split
+SELECT event_type, start, CASE WHEN start < floor(m * 0.7::DOUBLE) THEN 'train'
+                               WHEN start < floor(m * 0.7::DOUBLE) + floor(m * 0.15::DOUBLE) THEN 'val'
+                               ELSE 'test' END AS split
 FROM s""")
 def q_p7(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
@@ -1074,7 +1076,8 @@ def q_x15(spark: SparkSession, sf: str) -> DataFrame:
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS pos,
                   count(*) OVER (PARTITION BY event_type) AS n,
                   lag(total, 1) OVER (PARTITION BY event_type ORDER BY day) AS fc FROM ({_SQL_DAILY_R})),
-s AS (SELECT *, CASE WHEN pos < floor(n * 0.7) THEN 'train' WHEN pos < floor(n * 0.7) + floor(n * 0.15) THEN 'val'
+s AS (SELECT *, CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train'
+                     WHEN pos < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val'
                      ELSE 'test' END AS split FROM r),
 t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) AS k FROM s WHERE split = 'train')
 SELECT event_type, day, 'train' AS part, total AS actual, CAST(NULL AS DOUBLE) AS forecast FROM t WHERE k <= 50
