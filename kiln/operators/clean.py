@@ -205,20 +205,19 @@ def fill_categorical_df(df: DataFrame, token: str = MISSING_CATEGORY, cols=None)
 
 # ----------------------------------------------------------------------------- C12
 def filter_outliers(df: DataFrame, k: float = 2.5, cols: Sequence[str] | None = None,
-                    method: str = "exact", report: bool = False, persist: bool = True) -> tuple[DataFrame, dict]:
+                    method: str = "exact", report: bool = False, persist: bool = False) -> tuple[DataFrame, dict]:
     """Sequential IQR filter. For each numeric column in schema order, on the rows that
     survived the earlier columns: if more than one non-null value, keep
     ``Q1 - k*IQR <= x <= Q3 + k*IQR`` (NULL is dropped). Quartiles are linear (pandas).
     One aggregate per column (a true data dependency); the bounds are literals, so each
-    step is a pushable filter on the same lazy plan. ``persist`` keeps the input while the
-    bounds are computed; turn it off for inputs that are cheap to re-scan (each bound then
-    reads only its own column from Parquet)."""
+    step is a pushable filter on the same lazy plan: each bound re-reads only its own
+    column, with the earlier bounds pushed into the scan. ``persist=True`` keeps the input
+    while the bounds are computed (worth it only for small, expensive-to-recompute inputs)."""
     from pyspark import StorageLevel
 
     num = numeric_columns(df, cols)
     # The bounds need one aggregate per column over the survivors of the earlier columns;
-    # the input is persisted while they are computed and the result is a plain filter
-    # with literal bounds on the original plan (pushable to the scan).
+    # the result is a plain filter with literal bounds on the original plan (pushable).
     base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
     cur = base
     cond = None

@@ -1806,3 +1806,15 @@ def q_x8(spark: SparkSession, sf: str) -> DataFrame:
     """MAPE over rows with |y| > 1e-10 (values shifted so some actuals are ~0)."""
     ev = table(spark, sf, "events").select("event_type", (F.col("value") - 5.0).alias("y"), F.col("value").alias("p"))
     return _rounded(metrics.regression_metrics(ev, "y", "p", by="event_type", mape_eps=1e-10))
+
+
+@register("d12_regular_first_column", f"""
+WITH s AS ({_regular_sql(_SQL_DAILY, "event_type", "day")})
+SELECT is_regular FROM s WHERE event_type = (SELECT min(event_type) FROM events)""")
+def q_d12(spark: SparkSession, sf: str) -> DataFrame:
+    """Regularity of a table whose first column is the date (no column named): the daily
+    series of the first event type."""
+    d = daily_events(spark, sf)
+    first = d.agg(F.min("event_type").alias("k"))
+    one = d.join(first, d.event_type == first.k, "left_semi").select("day", "total", "n_events")
+    return dates.is_regular(one)
