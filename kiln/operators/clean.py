@@ -280,14 +280,19 @@ def clean_table(df: DataFrame, remove_duplicates: bool = True, remove_outliers:
     x, rep["converted_to_numeric"] = cast_numeric_columns(x)
     if remove_duplicates:
         before = x.count() if with_report else None
-        x = drop_duplicates(x)
+        # lineage cut after the dedupe shuffle: the fill and IQR aggregates below read the
+        # checkpoint instead of re-running the shuffle once per pass
+        x = drop_duplicates(x).checkpoint(eager=True)
         rep["duplicates_removed"] = int(before - x.count()) if with_report else None
     else:
         rep["duplicates_removed"] = 0
     x, r = fill_numeric(x, numeric_fill, fill_value)
     rep.update(r)
-    x, r = fill_categorical(x)
-    rep.update(r)
+    if with_report:
+        x, r = fill_categorical(x)
+        rep.update(r)
+    else:
+        x = fill_categorical_df(x)
     if remove_outliers:
         x, r = filter_outliers(x, method=outlier_method, report=with_report)
         rep.update(r)
@@ -363,6 +368,8 @@ def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool =
     for name, params in parse_cleaning_spec(spec, strict=strict):
         if name == "drop_duplicates":
             x = drop_duplicates(x, sort=True, include=params.get("include", True))
+            if params.get("include", True):
+                x = x.checkpoint(eager=True)  # later aggregate passes read this, not the sort
         elif name == "fill_missing_numeric_values":
             x, r = fill_numeric(x, params.get("method", "media"), params.get("value"))
             rep.update(r)
