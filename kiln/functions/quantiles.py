@@ -25,10 +25,6 @@ BRACKET_MAX_ROWS = 125_000_000
 SORT_THRESHOLD = 16
 
 
-def _qname(i: int) -> str:
-    return f"_q{i}"
-
-
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by=None,
                     accuracy: int = DEFAULT_ACCURACY, method: str = "exact",
                     prefix: str = "q") -> DataFrame:

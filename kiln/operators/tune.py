@@ -99,12 +99,7 @@ def grid_search_cv(estimator: Estimator, grid: list[dict], df: DataFrame, label:
                    folds: int = 5, parallelism: int = 4, metric: str = "accuracy", seed: int = 42):
     """k-fold cross-validated grid search (folds from the id hash); returns the fitted
     ``CrossValidatorModel`` (``avgMetrics`` per candidate, ``bestModel``)."""
-    pg = ParamGridBuilder()
-    maps = []
-    for g in grid:
-        maps.append({estimator.getParam(k): v for k, v in g.items()})
-    if not maps:
-        maps = pg.build()
+    maps = [{estimator.getParam(k): v for k, v in g.items()} for g in grid] or ParamGridBuilder().build()
     data = hash_folds(df, id_col, folds, seed).withColumn("_label", q(label).cast("double"))
     ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName=metric)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,

@@ -19,7 +19,8 @@ from kiln.operators.order import assign_row_id, keys_of, with_halo
 MIN_TRAIN_MARGIN = 50
 
 
-def _series_len(x: DataFrame, keys) -> int:
+def _series_len(x: DataFrame) -> int:
+    """Length of the shortest series (one small aggregate)."""
     return int(x.agg(F.min("_n").alias("m")).first()["m"] or 0)
 
 
@@ -35,7 +36,7 @@ def sequences(df: DataFrame, features: Sequence[str], target: str, L: int, h: in
     chans = list(features) or [target]
     x = assign_row_id(df, list(order_cols), key=keys, row_id="_rid", with_count="_n")
     if adapt_length:
-        n = _series_len(x, keys)
+        n = _series_len(x)
         if L > n - h - MIN_TRAIN_MARGIN:
             L = n - h - MIN_TRAIN_MARGIN
             if L < 1:

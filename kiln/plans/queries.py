@@ -1460,7 +1460,6 @@ def q_m7f(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m10_grid_search_cv")
 def q_m10(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -1470,7 +1469,6 @@ def q_m10(spark: SparkSession, sf: str) -> DataFrame:
     data = VectorAssembler(inputCols=_CL_FEATURES, outputCol="features").transform(t)
     cvm = tune.grid_search_cv(lr, grid, data, "label", "l_orderkey", folds=3, parallelism=2)
     rows = [(i, g["regParam"], float(m)) for i, (g, m) in enumerate(zip(grid, cvm.avgMetrics))]
-    del Pipeline
     return spark.createDataFrame(rows, "candidate int, regParam double, cv_accuracy double")
 
 
@@ -1745,7 +1743,6 @@ FROM {_BLANKED}""")
 def q_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The row-local cleaning operators on a Structured Streaming source over the events
     table (availableNow trigger, Parquet sink in the shared checkpoint folder)."""
-    like = dirty_events(spark, sf)
     src = clean_stream.stream_table(spark, f"{sf.rstrip('/')}/events.parquet", table(spark, sf, "events"))
     eid = F.col("event_id")
     dirty = src.select(eid, "ts", "user_id",
@@ -1753,7 +1750,6 @@ def q_stream(spark: SparkSession, sf: str) -> DataFrame:
                                                                                       F.lit(" ")))
                        .otherwise(F.col("event_type")).alias("event_type"),
                        F.when(eid % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"))
-    del like
     out = clean_stream.run_available_now(spark, dirty, lambda d: clean_stream.row_local_clean(d, fill_value=0.0),
                                          name="events-clean")
     return out.select("event_id", "ts", "user_id", "event_type", "value")
