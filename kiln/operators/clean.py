@@ -348,11 +348,14 @@ def report_numbers(spark: SparkSession, report: dict) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- C15
-def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool = True) -> tuple[DataFrame, dict]:
+def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool = True,
+                   with_regularity: bool = False) -> tuple[DataFrame, dict]:
     """Time-series cleaning: mandatory steps (names, trim, blanks, numeric text,
     categorical fill, empty columns), then the optional list ``{"cleaning_methods":
     [{"method", "params"}]}`` in the given order. Malformed JSON or a missing key is a
-    no-op; unknown names are ignored unless ``strict``. Date methods need ``date_column``."""
+    no-op; unknown names are ignored unless ``strict``. Date methods need ``date_column``
+    (and ``order_cols`` for imputation). ``with_regularity`` adds the regularity verdict of
+    the first column to the report, as the reference records it."""
     from kiln.operators import dates  # local import: dates depends on clean
 
     rep: dict = {}
@@ -385,8 +388,17 @@ def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool =
                 x = dates.to_utc(x, col)
             else:
                 x = dates.keep_tz(x, col)
-            x = dates.impute_dates(x, col, order_cols=params.get("order_cols"), strategy=strategy,
-                                   key=params.get("key"))
+            order = params.get("order_cols")
+            if order and strategy != "leave_as_is":
+                x = dates.impute_dates(x, col, order_cols=order, strategy=strategy, key=params.get("key"))
+            else:
+                # row order is not implicit in Spark: without order columns there is nothing
+                # to interpolate between, so only the count is reported
+                rep["date_imputation"] = {"strategy": strategy if order else "skipped: no order_cols",
+                                          "invalid_dates_found": dates.count_invalid_dates(x, col)}
+    if with_regularity and x.columns:
+        row = dates.is_regular(x).first()
+        rep["is_time_series_regular"] = None if row is None else row["is_regular"]
     return x, rep
 
 

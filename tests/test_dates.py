@@ -126,3 +126,33 @@ def test_reindex_inserts_missing_steps(spark):
     m = spark.createDataFrame([("a", dt.datetime(2024, m, 1), float(m)) for m in (1, 2, 3, 5)], "k string, ts timestamp_ntz, v double")
     steps = dates.infer_step(m.filter(F.month("ts") < 4), "ts", key="k").first()
     assert steps.step_months == 1
+
+
+def test_utc_keep_zone_and_preview(spark):
+    df = spark.createDataFrame([(0, "2024-01-02 10:00:00+02:00"), (1, "2024-01-02 10:00:00-0530"),
+                                (2, "2024-01-02 10:00:00"), (3, "nope")], "k long, s string")
+    u = {r.k: r.us for r in dates.to_utc(df, "s", out="t").select("k", F.unix_micros("t").alias("us")).collect()}
+    base = int(dt.datetime(2024, 1, 2, 10, 0).replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    assert u[0] == base - 2 * 3600 * 1_000_000 and u[1] == base + 330 * 60 * 1_000_000 and u[2] == base
+    assert u[3] is None
+    k = {r.k: (r.t, r.t_offset_minutes) for r in dates.keep_tz(df, "s", out="t").collect()}
+    assert k[0] == (dt.datetime(2024, 1, 2, 10, 0), 120) and k[1][1] == -330 and k[2][1] is None
+    prev = dates.preview_dates(df, "s", order_cols=["k"], n=5).collect()
+    assert len(prev) == 4 and prev[0].transformed == "2024-01-02T08:00:00+00:00"
+    assert sum(1 for r in prev if r.warning) == 1
+    missing = dates.preview_dates(df, "nope_col").first()
+    assert "not found" in missing.warning
+
+
+def test_cleaning_list_with_dates(spark):
+    from kiln.operators import clean
+
+    df = spark.createDataFrame([(0, "2024-01-01 00:00:00"), (1, None), (2, "2024-01-03 00:00:00")], "k long, d string")
+    spec = {"cleaning_methods": [{"method": "standardize_date_to_utc",
+                                  "params": {"date_column": "d", "order_cols": ["k"]}}]}
+    x, rep = clean.apply_cleaning(df, spec, with_regularity=False)
+    got = {r.k: r.d for r in x.collect()}
+    assert got[1] is not None
+    spec2 = {"cleaning_methods": [{"method": "standardize_date_to_utc", "params": {"date_column": "d"}}]}
+    _, rep2 = clean.apply_cleaning(df, spec2)
+    assert rep2["date_imputation"]["invalid_dates_found"] == 1
