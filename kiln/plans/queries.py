@@ -1042,10 +1042,48 @@ def q_x12b(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(metrics.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 50, by="l_returnflag"))
 
 
-@register("x13_qq_points")
+def _inv_norm_sql(p: str) -> str:
+    """The same rational approximation as kiln.functions.exprs.inv_norm, in SQL."""
+    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+         1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+         6.680131188771972e+01, -1.328068155288572e+01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+         -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+         3.754408661907416e+00]
+
+    def poly(coef, x):
+        out = f"{coef[0]!r}::DOUBLE"
+        for k in coef[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    ql = f"sqrt(-2 * ln({p}))"
+    qh = f"sqrt(-2 * ln(1 - {p}))"
+    qc = f"({p} - 0.5::DOUBLE)"
+    r = f"({qc} * {qc})"
+    return (f"CASE WHEN {p} < 0.02425::DOUBLE THEN {poly(c, ql)} / ({poly(d, ql)} * {ql} + 1) "
+            f"WHEN {p} <= 1 - 0.02425::DOUBLE THEN {poly(a, r)} * {qc} / ({poly(b, r)} * {r} + 1) "
+            f"ELSE -{poly(c, qh)} / ({poly(d, qh)} * {qh} + 1) END")
+
+
+def _qq_sql(n_points: int) -> str:
+    from kiln.operators.diagnostics import filliben_positions
+
+    pos = filliben_positions(n_points)
+    plist = ", ".join(f"{p!r}::DOUBLE" for p in pos)
+    return f"""
+WITH r AS (SELECT l_extendedprice - l_quantity * 1500.0 AS r FROM lineitem),
+q AS (SELECT quantile_cont(r, [{plist}]) AS qs FROM r),
+u AS (SELECT unnest(range(0, {n_points})) AS i, unnest([{plist}]) AS p, unnest(qs) AS v FROM q)
+SELECT CAST(i AS INTEGER) AS i, round({_inv_norm_sql("p")}, 6) AS theoretical, round(v, 6) AS sample FROM u"""
+
+
+@register("x13_qq_points", _qq_sql(200))
 def q_x13(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").withColumn("r", F.col("l_extendedprice") - F.col("l_quantity") * 1500.0)
-    return diagnostics.qq_points(li, "r", n_points=200)
+    return _rounded(diagnostics.qq_points(li, "r", n_points=200))
 
 
 def _acf_sql(max_lag: int = 20) -> str:
