@@ -123,6 +123,17 @@ def roc_curve(df: DataFrame, y: str, score: str, positive=1, by=None) -> DataFra
     return origin.unionByName(pts)
 
 
+def roc_curves_ovr(df: DataFrame, y: str, prob_col: str, classes: Sequence, by=None) -> DataFrame:
+    """Multiclass ROC: one curve per class (that class against the rest, scored by its
+    probability in ``prob_col``, an array in ``classes`` order), as (class, threshold, fpr,
+    tpr). Rows are exploded once per class, then each curve is an ordinary ROC keyed by class."""
+    keys = keys_of(by)
+    recs = F.array(*[F.struct(F.lit(str(c)).alias("_class"), q(prob_col)[i].cast("double").alias("_s"),
+                              (q(y) == F.lit(c)).cast("int").alias("_pos")) for i, c in enumerate(classes)])
+    ex = df.select(*keys, F.explode(recs).alias("r")).select(*keys, "r.*")
+    return roc_curve(ex, "_pos", "_s", positive=1, by=[*keys, "_class"]).withColumnRenamed("_class", "class")
+
+
 # ----------------------------------------------------------------------------- X4
 def roc_auc_ovo(df: DataFrame, y: str, prob_col: str, classes: Sequence, by=None) -> DataFrame:
     """One-vs-one macro AUC: for each class pair (a, b), the rows of a or b; AUC of

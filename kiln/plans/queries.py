@@ -1852,3 +1852,26 @@ def q_d12(spark: SparkSession, sf: str) -> DataFrame:
     first = d.agg(F.min("event_type").alias("k"))
     one = d.join(first, d.event_type == first.k, "left_semi").select("day", "total", "n_events")
     return dates.is_regular(one)
+
+
+def _ovr_sql() -> str:
+    parts = [f"SELECT '{c}' AS cls, CAST({_OVO_PROBS[i]} AS DOUBLE) AS s, CAST(l_returnflag = '{c}' AS INTEGER) AS y "
+             f"FROM lineitem" for i, c in enumerate(_OVO_CLASSES)]
+    return f"""
+WITH e AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT cls, s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM e GROUP BY 1, 2),
+c AS (SELECT cls, s,
+             sum(pos) OVER (PARTITION BY cls ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+             sum(neg) OVER (PARTITION BY cls ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+             sum(pos) OVER (PARTITION BY cls) AS P, sum(neg) OVER (PARTITION BY cls) AS N FROM s)
+SELECT cls AS class, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM (SELECT DISTINCT cls FROM s)
+UNION ALL SELECT cls, s, round(CASE WHEN N > 0 THEN fp / N END, 6), round(CASE WHEN P > 0 THEN tp / P END, 6) FROM c"""
+
+
+@register("x6_roc_curves_multiclass", _ovr_sql())
+def q_x6m(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    x = li.select("l_returnflag", F.array((F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0,
+                                          F.col("l_tax") * 12.5).alias("probs"))
+    out = metrics.roc_curves_ovr(x, "l_returnflag", "probs", _OVO_CLASSES)
+    return _rounded(out.select("class", "threshold", "fpr", "tpr"), keep=("threshold",))

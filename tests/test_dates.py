@@ -156,3 +156,12 @@ def test_cleaning_list_with_dates(spark):
     spec2 = {"cleaning_methods": [{"method": "standardize_date_to_utc", "params": {"date_column": "d"}}]}
     _, rep2 = clean.apply_cleaning(df, spec2)
     assert rep2["date_imputation"]["invalid_dates_found"] == 1
+
+
+def test_preview_keep_mode(spark):
+    df = spark.createDataFrame([(0, "2024-01-02 10:00:00+02:00"), (1, "2024-01-02 11:00:00"), (2, "x")],
+                               "k long, s string")
+    rows = {r.original: r for r in dates.preview_dates(df, "s", mode="keep", order_cols=["k"]).collect()}
+    assert rows["2024-01-02 10:00:00+02:00"].transformed == "2024-01-02T10:00:00+02:00"
+    assert rows["2024-01-02 11:00:00"].transformed == "2024-01-02T11:00:00"
+    assert rows["x"].transformed is None and rows["x"].warning
