@@ -99,6 +99,10 @@ def kendall_tau(df: DataFrame, a: str, b: str, max_grid: int = MAX_GRID) -> Data
     nx, ny = xs.count(), ys.count()
     if nx * ny > max_grid:
         raise ValueError(f"{nx} x {ny} distinct values exceed max_grid={max_grid}; bin the columns first")
+    if ny > nx:
+        # tau is symmetric: make y the smaller dimension, whose values are injected below
+        cells = cells.select(F.col("y").alias("x"), F.col("x").alias("y"), "c")
+        xs, ys = ys.withColumnRenamed("y", "x"), xs.withColumnRenamed("x", "y")
     grid = attach_row(xs, ys.agg(F.collect_list("y").alias("_ys"))).select("x", F.explode("_ys").alias("y"))
     cells = join_small(grid, cells, ["x", "y"], how="left").select("x", "y", F.coalesce("c", F.lit(0)).alias("c"))
     after_x = Window.partitionBy("y").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)

@@ -46,11 +46,18 @@ def _class_counts(df: DataFrame, y: str, yhat: str, keys) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("count"))
 
 
-def confusion(df: DataFrame, y: str, yhat: str, by=None) -> DataFrame:
+MAX_CLASSES = 1000
+
+
+def confusion(df: DataFrame, y: str, yhat: str, by=None, max_classes: int = MAX_CLASSES) -> DataFrame:
     """(actual, predicted, count) over every pair of classes seen in y or yhat, zero
-    cells included (classes as text)."""
+    cells included (classes as text). The class list is bounded by ``max_classes``."""
     keys = keys_of(by)
     cells = _class_counts(df, y, yhat, keys)
+    n_cls = cells.select(*keys, F.explode(F.array("actual", "predicted")).alias("c")).distinct() \
+                 .groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if n_cls > max_classes:
+        raise ValueError(f"{n_cls} classes exceed max_classes={max_classes}")
     classes = cells.select(*keys, F.explode(F.array("actual", "predicted")).alias("c")) \
                    .groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("_cls"))
     grid = classes.select(*keys, F.explode("_cls").alias("actual"), F.col("_cls")) \
