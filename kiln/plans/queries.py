@@ -1633,14 +1633,16 @@ s AS (SELECT run_id, l_returnflag, unnest(range(1, len(steps) + 1)) AS step_no,
       FROM (SELECT run_id, l_returnflag, CAST(json_extract(doc, '$.steps') AS JSON[]) AS steps FROM d))"""
 
 
-@register("r1_append_runs")
+@register("r1_append_runs", f"""
+WITH {_SQL_STEPS}
+SELECT run_id, CAST(step_no AS INTEGER) AS step_no, CAST(st AS VARCHAR) AS step_json FROM s""")
 def q_r1(spark: SparkSession, sf: str) -> DataFrame:
     docs = run_documents(spark, sf)
     path = files.scratch_path(spark, "r1-runs")
     steps = runs.steps_of(docs)
     runs.append_run(spark, path, steps.filter("step_no = 1"))
     runs.append_run(spark, path, steps.filter("step_no = 2"))
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("run_id", F.col("step_no").cast("int").alias("step_no"), "step_json")
 
 
 @register("r2_flatten_runs", f"""
