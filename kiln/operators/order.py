@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from kiln.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 262_144
+# A keyed series up to this many rows is numbered with a plain partitionBy(key) window.
+KEYED_MAX_ROWS = 2_000_000
 # Largest small-side row count we broadcast explicitly when a static bound is known.
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -83,14 +85,28 @@ def _partition_count(df: DataFrame, partitions: int | None) -> int:
 
 def assign_row_id(df: DataFrame, order_cols: Sequence[str | Column], key=None,
                   row_id: str = "row_id", partitions: int | None = None,
-                  with_count: str | None = None) -> DataFrame:
+                  with_count: str | None = None, layout: str = "auto") -> DataFrame:
     """Add ``row_id`` = 0-based rank in ``order_cols`` order within each key.
 
     ``order_cols`` must be unique within a key (add a tie-breaker). With ``with_count``
-    the series length is added as well (from the same small table, no extra scan).
+    the series length is added as well. ``layout``: ``"blocked"`` always range-partitions
+    (any key size); ``"keyed"`` uses ``row_number()`` over ``partitionBy(key)``;
+    ``"auto"`` measures the longest series (one small aggregate) and uses the keyed window
+    only when every series has at most ``KEYED_MAX_ROWS`` rows.
     """
     keys = keys_of(key)
     spark = df.sparkSession
+    if keys and layout in ("auto", "keyed"):
+        longest = None
+        if layout == "auto":
+            longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if layout == "keyed" or longest <= KEYED_MAX_ROWS:
+            order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+            w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
+            out = df.withColumn(row_id, (F.row_number().over(w) - 1).cast("bigint"))
+            if with_count:
+                out = out.withColumn(with_count, F.count(F.lit(1)).over(Window.partitionBy(*[F.col(k) for k in keys])))
+            return out
     sort_cols = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     # Without an explicit count AQE may merge adjacent range partitions, which keeps
     # partition ids in key/order sequence.

@@ -8,11 +8,12 @@ from conftest import SF
 from kiln.operators.order import add_lag_columns, assign_row_id, forward_fill, running_sum
 
 
-@pytest.mark.parametrize("key,block,parts", [(None, 7, 3), ("event_type", 5, 8), (None, 1000, 1)])
-def test_blocked_equals_global(spark, key, block, parts):
+@pytest.mark.parametrize("key,block,parts,layout", [(None, 7, 3, "auto"), ("event_type", 5, 8, "blocked"),
+                                                    ("event_type", 5, 8, "auto"), (None, 1000, 1, "auto")])
+def test_blocked_equals_global(spark, key, block, parts, layout):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     ev = ev.withColumn("v", F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("value")))
-    r = assign_row_id(ev, ["ts", "event_id"], key=key, with_count="n", partitions=parts)
+    r = assign_row_id(ev, ["ts", "event_id"], key=key, with_count="n", partitions=parts, layout=layout)
     r = add_lag_columns(r, key, "row_id", [("l1", "value", 1), ("l3", "value", 3), ("f2", "value", -2)], block=block)
     r = running_sum(r, key, "row_id", "value", "cs", block=block)
     r = forward_fill(r, key, "row_id", ["v"], block=block)
