@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from kiln.session import ensure_checkpoint_dir
 
 DEFAULT_BLOCK = 262_144
-# A keyed series up to this many rows is numbered with a plain partitionBy(key) window.
+# Keyed row numbering (a plain partitionBy(key) window) is used when every series is short,
+# or moderately long with enough keys to keep all tasks busy; otherwise range partitioning.
+KEYED_SMALL_ROWS = 50_000
 KEYED_MAX_ROWS = 2_000_000
 # Largest small-side row count we broadcast explicitly when a static bound is known.
 BROADCAST_MAX_ROWS = 1_000_000
@@ -91,16 +93,20 @@ def assign_row_id(df: DataFrame, order_cols: Sequence[str | Column], key=None,
     ``order_cols`` must be unique within a key (add a tie-breaker). With ``with_count``
     the series length is added as well. ``layout``: ``"blocked"`` always range-partitions
     (any key size); ``"keyed"`` uses ``row_number()`` over ``partitionBy(key)``;
-    ``"auto"`` measures the longest series (one small aggregate) and uses the keyed window
-    only when every series has at most ``KEYED_MAX_ROWS`` rows.
+    ``"auto"`` measures the series (one small aggregate) and uses the keyed window only
+    when every series is short (``KEYED_SMALL_ROWS``), or at most ``KEYED_MAX_ROWS`` with
+    at least as many keys as shuffle partitions; a hot key always gets the range layout.
     """
     keys = keys_of(key)
     spark = df.sparkSession
     if keys and layout in ("auto", "keyed"):
-        longest = None
+        use_keyed = layout == "keyed"
         if layout == "auto":
-            longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if layout == "keyed" or longest <= KEYED_MAX_ROWS:
+            st = df.groupBy(*keys).count().agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("k")).first()
+            longest, n_keys = st["m"] or 0, st["k"] or 0
+            use_keyed = longest <= KEYED_SMALL_ROWS or (
+                longest <= KEYED_MAX_ROWS and n_keys >= _partition_count(df, partitions))
+        if use_keyed:
             order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
             w = Window.partitionBy(*[F.col(k) for k in keys]).orderBy(*order)
             out = df.withColumn(row_id, (F.row_number().over(w) - 1).cast("bigint"))
