@@ -1670,48 +1670,48 @@ def _validate_sql() -> str:
     def val(path: str) -> str:
         return f"json_extract_string(st, '{path}')"
 
-    v11 = [f"CASE WHEN NOT {has('$.' + f)} THEN 'Missing required field: {f}' END" for f in runs.V11_TOP_LEVEL]
+    v11 = [f"CASE WHEN NOT {has('$.' + f)} THEN '{runs.MSG["field"].format(f)}' END" for f in runs.V11_TOP_LEVEL]
     for m in runs.V11_METRICS:
-        v11.append(f"CASE WHEN {has('$.metrics')} AND NOT {has('$.metrics.' + m)} THEN 'Missing required metric: {m}' END")
+        v11.append(f"CASE WHEN {has('$.metrics')} AND NOT {has('$.metrics.' + m)} THEN '{runs.MSG["metric"].format(m)}' END")
         v11.append(f"CASE WHEN {has('$.metrics')} AND {val('$.metrics.' + m)} IS NOT NULL AND "
-                   f"TRY_CAST({val('$.metrics.' + m)} AS DOUBLE) IS NULL THEN 'Invalid type for {m}: expected float or None' END")
+                   f"TRY_CAST({val('$.metrics.' + m)} AS DOUBLE) IS NULL THEN '{runs.MSG["metric_type"].format(m)}' END")
     hs = has("$.hyperparameter_search")
     for f in runs.V11_SEARCH:
         v11.append(f"CASE WHEN {hs} AND NOT {has('$.hyperparameter_search.' + f)} "
-                   f"THEN 'Missing hyperparameter_search field: {f}' END")
+                   f"THEN '{runs.MSG["search_field"].format(f)}' END")
     strat = val("$.hyperparameter_search.strategy")
     known = ", ".join(f"'{x}'" for x in runs.V11_STRATEGIES)
-    v11.append(f"CASE WHEN {hs} AND {strat} IS NOT NULL AND {strat} NOT IN ({known}) THEN 'Invalid strategy: ' || {strat} END")
+    v11.append(f"CASE WHEN {hs} AND {strat} IS NOT NULL AND {strat} NOT IN ({known}) THEN '{runs.MSG["strategy"]}' || {strat} END")
     v11.append(f"CASE WHEN {hs} AND {strat} = 'grid' AND {val('$.hyperparameter_search.grid_search_params')} IS NULL "
-               "THEN 'Missing grid_search_params for grid strategy' END")
+               f"THEN '{runs.MSG["grid"]}' END")
     v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.random_search_params')} IS NULL "
-               "THEN 'Missing random_search_params for random strategy' END")
+               f"THEN '{runs.MSG["random_params"]}' END")
     v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.n_random_iterations')} IS NULL "
-               "THEN 'Missing n_random_iterations for random strategy' END")
+               f"THEN '{runs.MSG["random_iters"]}' END")
     bc = has("$.bayesian_config")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND NOT {bc} THEN 'Missing bayesian_config for bayesian strategy' END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND NOT {bc} THEN '{runs.MSG["bayes"]}' END")
     for f in runs.V11_BAYESIAN:
         v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND NOT {has('$.bayesian_config.' + f)} "
-                   f"THEN 'Missing {f} in bayesian_config' END")
+                   f"THEN '{runs.MSG["bayes_field"].format(f)}' END")
     nt = f"TRY_CAST({val('$.bayesian_config.n_trials')} AS DOUBLE)"
     ni = f"TRY_CAST({val('$.bayesian_config.n_initial_points')} AS DOUBLE)"
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {nt} < 1 THEN 'n_trials must be at least 1' END")
+    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {nt} < 1 THEN '{runs.MSG["n_trials"]}' END")
     v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {ni} >= {nt} "
-               "THEN 'n_initial_points must be less than n_trials' END")
+               f"THEN '{runs.MSG["n_initial"]}' END")
     meta = has("$.lstm_metadata")
     for f in runs.V11_LSTM_META:
-        v11.append(f"CASE WHEN {meta} AND NOT {has('$.lstm_metadata.' + f)} THEN 'Missing lstm_metadata field: {f}' END")
+        v11.append(f"CASE WHEN {meta} AND NOT {has('$.lstm_metadata.' + f)} THEN '{runs.MSG["meta_field"].format(f)}' END")
     mode = val("$.lstm_metadata.training_mode")
     modes = ", ".join(f"'{x}'" for x in runs.TRAINING_MODES)
-    v11.append(f"CASE WHEN {meta} AND {mode} IS NOT NULL AND {mode} NOT IN ({modes}) THEN 'Invalid training_mode: ' || {mode} END")
+    v11.append(f"CASE WHEN {meta} AND {mode} IS NOT NULL AND {mode} NOT IN ({modes}) THEN '{runs.MSG["mode"]}' || {mode} END")
     nf = val("$.lstm_metadata.n_input_features")
     v11.append(f"CASE WHEN {meta} AND {nf} IS NOT NULL AND (NOT regexp_matches({nf}, '^[0-9]+$') OR "
-               f"TRY_CAST({nf} AS BIGINT) < 1) THEN 'Invalid n_input_features: ' || {nf} END")
-    v10 = [f"CASE WHEN NOT {has('$.' + f)} THEN 'Missing required field: {f}' END" for f in runs.V10_REQUIRED]
+               f"TRY_CAST({nf} AS BIGINT) < 1) THEN '{runs.MSG["n_features"]}' || {nf} END")
+    v10 = [f"CASE WHEN NOT {has('$.' + f)} THEN '{runs.MSG["field"].format(f)}' END" for f in runs.V10_REQUIRED]
     ver = "coalesce(json_extract_string(st, '$.schema_version'), '1.0')"
     errs = (f"CASE WHEN {ver} = '1.1' THEN list_filter([{', '.join(v11)}], lambda x: x IS NOT NULL) "
             f"WHEN {ver} = '1.0' THEN list_filter([{', '.join(v10)}], lambda x: x IS NOT NULL) "
-            f"ELSE ['Unknown schema version: ' || {ver}] END")
+            f"ELSE ['{runs.MSG["version"]}' || {ver}] END")
     return f"""
 WITH {_SQL_STEPS},
 e AS (SELECT run_id, CAST(step_no AS INTEGER) AS step_no, {ver} AS version, {errs} AS errs FROM s)

@@ -27,6 +27,26 @@ V11_LSTM_META = ["sequence_length", "model_architecture", "total_params", "cpu_o
 TRAINING_MODES = ["univariate", "multivariate"]
 V10_REQUIRED = ["step", "algorithm"]
 
+# Validation message templates ({} = field, metric or value).
+MSG = {
+    "field": "Missing required field: {}",
+    "metric": "Missing required metric: {}",
+    "metric_type": "Invalid type for {}: expected float or None",
+    "search_field": "Missing hyperparameter_search field: {}",
+    "strategy": "Invalid strategy: ",
+    "grid": "Missing grid_search_params for grid strategy",
+    "random_params": "Missing random_search_params for random strategy",
+    "random_iters": "Missing n_random_iterations for random strategy",
+    "bayes": "Missing bayesian_config for bayesian strategy",
+    "bayes_field": "Missing {} in bayesian_config",
+    "n_trials": "n_trials must be at least 1",
+    "n_initial": "n_initial_points must be less than n_trials",
+    "meta_field": "Missing lstm_metadata field: {}",
+    "mode": "Invalid training_mode: ",
+    "n_features": "Invalid n_input_features: ",
+    "version": "Unknown schema version: ",
+}
+
 LONG_LIST = 15
 LIST_PART = 10
 
@@ -94,49 +114,49 @@ def validate_steps(steps: DataFrame, id_col: str = "run_id") -> DataFrame:
     versions are an error."""
     js = F.col("step_json")
     ver = F.coalesce(F.get_json_object(js, "$.schema_version"), F.lit("1.0"))
-    v11 = [_missing(js, f"$.{f}", f"Missing required field: {f}") for f in V11_TOP_LEVEL]
+    v11 = [_missing(js, f"$.{f}", MSG["field"].format(f)) for f in V11_TOP_LEVEL]
     has_metrics = _has(js, "$.metrics")
     for m in V11_METRICS:
         val = F.get_json_object(js, f"$.metrics.{m}")
-        v11.append(F.when(has_metrics & ~_has(js, f"$.metrics.{m}"), F.lit(f"Missing required metric: {m}")))
+        v11.append(F.when(has_metrics & ~_has(js, f"$.metrics.{m}"), F.lit(MSG["metric"].format(m))))
         v11.append(F.when(has_metrics & val.isNotNull() & val.try_cast("double").isNull(),
-                          F.lit(f"Invalid type for {m}: expected float or None")))
+                          F.lit(MSG["metric_type"].format(m))))
     has_hs = _has(js, "$.hyperparameter_search")
     for f in V11_SEARCH:
         v11.append(F.when(has_hs & ~_has(js, f"$.hyperparameter_search.{f}"),
-                          F.lit(f"Missing hyperparameter_search field: {f}")))
+                          F.lit(MSG["search_field"].format(f))))
     strat = F.get_json_object(js, "$.hyperparameter_search.strategy")
     v11.append(F.when(has_hs & strat.isNotNull() & ~strat.isin(*V11_STRATEGIES),
-                      F.concat(F.lit("Invalid strategy: "), strat)))
+                      F.concat(F.lit(MSG["strategy"]), strat)))
     v11.append(F.when(has_hs & (strat == "grid") & F.get_json_object(js, "$.hyperparameter_search.grid_search_params").isNull(),
-                      F.lit("Missing grid_search_params for grid strategy")))
+                      F.lit(MSG["grid"])))
     v11.append(F.when(has_hs & (strat == "random") & F.get_json_object(js, "$.hyperparameter_search.random_search_params").isNull(),
-                      F.lit("Missing random_search_params for random strategy")))
+                      F.lit(MSG["random_params"])))
     v11.append(F.when(has_hs & (strat == "random") & F.get_json_object(js, "$.hyperparameter_search.n_random_iterations").isNull(),
-                      F.lit("Missing n_random_iterations for random strategy")))
+                      F.lit(MSG["random_iters"])))
     has_bc = _has(js, "$.bayesian_config")
-    v11.append(F.when(has_hs & (strat == "bayesian") & ~has_bc, F.lit("Missing bayesian_config for bayesian strategy")))
+    v11.append(F.when(has_hs & (strat == "bayesian") & ~has_bc, F.lit(MSG["bayes"])))
     for f in V11_BAYESIAN:
         v11.append(F.when(has_hs & (strat == "bayesian") & has_bc & ~_has(js, f"$.bayesian_config.{f}"),
-                          F.lit(f"Missing {f} in bayesian_config")))
+                          F.lit(MSG["bayes_field"].format(f))))
     nt = F.get_json_object(js, "$.bayesian_config.n_trials").try_cast("double")
     ni = F.get_json_object(js, "$.bayesian_config.n_initial_points").try_cast("double")
-    v11.append(F.when(has_hs & (strat == "bayesian") & has_bc & (nt < 1), F.lit("n_trials must be at least 1")))
+    v11.append(F.when(has_hs & (strat == "bayesian") & has_bc & (nt < 1), F.lit(MSG["n_trials"])))
     v11.append(F.when(has_hs & (strat == "bayesian") & has_bc & (ni >= nt),
-                      F.lit("n_initial_points must be less than n_trials")))
+                      F.lit(MSG["n_initial"])))
     has_meta = _has(js, "$.lstm_metadata")
     for f in V11_LSTM_META:
-        v11.append(F.when(has_meta & ~_has(js, f"$.lstm_metadata.{f}"), F.lit(f"Missing lstm_metadata field: {f}")))
+        v11.append(F.when(has_meta & ~_has(js, f"$.lstm_metadata.{f}"), F.lit(MSG["meta_field"].format(f))))
     mode = F.get_json_object(js, "$.lstm_metadata.training_mode")
     v11.append(F.when(has_meta & mode.isNotNull() & ~mode.isin(*TRAINING_MODES),
-                      F.concat(F.lit("Invalid training_mode: "), mode)))
+                      F.concat(F.lit(MSG["mode"]), mode)))
     nf = F.get_json_object(js, "$.lstm_metadata.n_input_features")
     v11.append(F.when(has_meta & nf.isNotNull() & (~nf.rlike("^[0-9]+$") | (nf.try_cast("bigint") < 1)),
-                      F.concat(F.lit("Invalid n_input_features: "), nf)))
-    v10 = [_missing(js, f"$.{f}", f"Missing required field: {f}") for f in V10_REQUIRED]
+                      F.concat(F.lit(MSG["n_features"]), nf)))
+    v10 = [_missing(js, f"$.{f}", MSG["field"].format(f)) for f in V10_REQUIRED]
     errs = (F.when(ver == "1.1", F.array_compact(F.array(*v11)))
              .when(ver == "1.0", F.array_compact(F.array(*v10)))
-             .otherwise(F.array(F.concat(F.lit("Unknown schema version: "), ver))))
+             .otherwise(F.array(F.concat(F.lit(MSG["version"]), ver))))
     out = steps.select(id_col, "step_no", ver.alias("version"), errs.alias("errors"))
     return out.select(id_col, "step_no", "version", (F.size("errors") == 0).alias("ok"), "errors")
 
