@@ -14,6 +14,10 @@ depend on the text. A run of symbols is therefore read through a window: once th
 follow a token's end, the token is stable and is emitted, and its symbols are forgotten.
 Memory per run is one window, however long the run is.
 
+Known difference: the library reorders combining marks by older Unicode tables than Python's
+NFC, so two marks in non-canonical order, one of which got its class after Unicode 9, may come
+out swapped.
+
 Defined results: NULL text is treated as empty; empty text has no tokens. Rows are handled one
 by one, so repeated rows give equal results and extra columns pass through untouched.
 """

@@ -30,3 +30,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring_dedup(table(spark, sf_dir, "documents"), window=20, with_text=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+def tokenizer_path() -> str:
+    """Where the public word-level BPE file lies on this machine (a parameter, never copied)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_bpe_roundtrip")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.bpe import bpe_decode, bpe_encode
+
+    path = tokenizer_path()
+    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
