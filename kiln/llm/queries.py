@@ -55,3 +55,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classify(docs, table(spark, sf_dir, "labels")).drop("text")
