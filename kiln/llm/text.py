@@ -12,6 +12,10 @@ import numpy as np
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For comparisons that ignore punctuation: every ASCII byte but letters and digits ends a word.
+MARKS = np.ones(256, dtype=bool)
+MARKS[128:] = False
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -45,14 +49,14 @@ class Batch:
     into ``data``, where the texts stand one after the other with a line feed between.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, ends: np.ndarray = SPACE):
         self.data = b"\n".join(texts)
         raw = np.frombuffer(self.data, dtype=np.uint8)
         if lower:
             raw = LOWER[raw]
         self.raw = raw
         blank = np.ones(len(raw) + 2, dtype=bool)
-        blank[1:-1] = SPACE[raw]
+        blank[1:-1] = ends[raw]
         edge = np.flatnonzero(blank[1:] != blank[:-1])
         self.start, self.end = edge[0::2], edge[1::2]
         ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
