@@ -70,3 +70,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.decontaminate import find_items
 
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
+
+
+@query("op3_document_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.merkle_docs import edit_likeness
+
+    return edit_likeness(table(spark, sf_dir, "documents"))
