@@ -102,3 +102,43 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # The sites of this table stand below example.com, example.net and example.org.
     return judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES, suffix_labels=2)
+
+
+OP7_SQL = """
+WITH a AS (SELECT page_id AS key, 
+                  'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                  || 'WARC-Record-ID: <urn:kiln:record:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                  || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, html
+           FROM (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)),
+ra AS (SELECT key, head || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+                   || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM a),
+rb AS (SELECT key, CASE WHEN key % 89 = 7 THEN replace(record, 'the', 'teh')
+                        WHEN key % 97 = 13 THEN left(record, length(record) - 5) ELSE record END AS record
+       FROM ra WHERE key % 83 <> 5
+       UNION ALL SELECT key + 1000000007, record FROM ra WHERE key % 101 = 3),
+la AS (SELECT key, sha256(record) AS digest_a, strlen(record)::BIGINT AS length_a FROM ra),
+lb AS (SELECT key, sha256(record) AS digest_b, strlen(record)::BIGINT AS length_b FROM rb),
+o AS (SELECT key, key >> 9 AS file, CAST(sum(length_a) OVER (PARTITION BY key >> 9 ORDER BY key) - length_a AS BIGINT) AS "offset" FROM la)
+SELECT coalesce(la.key, lb.key) AS key,
+       CASE WHEN lb.key IS NULL THEN 'missing' WHEN la.key IS NULL THEN 'extra' ELSE 'changed' END AS status,
+       digest_a, digest_b, length_a::DOUBLE AS length_a, length_b::DOUBLE AS length_b, o.file::DOUBLE AS file, o."offset"::DOUBLE AS "offset"
+FROM la FULL JOIN lb ON la.key = lb.key LEFT JOIN o ON o.key = coalesce(la.key, lb.key)
+WHERE digest_a IS DISTINCT FROM digest_b
+"""
+
+
+@query("op7_warc_fixity_audit", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' WARC records against a replica with planted damage: two kinds of changed
+    records, lost records, and records under a foreign key."""
+    from kiln.llm.warc_audit import audit, located, records
+
+    first = records(table(spark, sf_dir, "pages"))
+    key, record = F.col("key"), F.col("record")
+    damaged = F.when(key % 89 == 7, F.replace(record, F.lit("the"), F.lit("teh"))).when(
+        key % 97 == 13, F.substr(record, F.lit(1), F.length(record) - 5)).otherwise(record)
+    second = first.where(key % 83 != 5).select("key", damaged.alias("record")).union(
+        first.where(key % 101 == 3).select((key + 1000000007).alias("key"), "record"))
+    damage = located(audit(first, second), first)
+    # Numbers that can be NULL go out as doubles, so that either engine hands over the same values.
+    return damage.withColumns({c: F.col(c).cast("double") for c in ("length_a", "length_b", "file", "offset")})
