@@ -29,14 +29,18 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_PIECES = 400_000
-SHORT = 48
+SHORT = 40
+NEVER = 1 << 40
 SEGMENT_CHARS = 1 << 16
 
 
@@ -113,8 +117,15 @@ class Model:
         self.suffix: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        pairs = sorted((a << 32) + b for a, b in self.merges)
+        self._pairs = np.array(pairs, dtype=np.int64)
+        self._pair_ranks = np.array([self.merges[p >> 32, p & 0xFFFFFFFF][0] for p in pairs], dtype=np.int64)
+        self._made = np.array([new for _, new in self.merges.values()], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self._strings = np.full(max(self.token) + 1, None, dtype=object)
+        for i, t in self.token.items():
+            self._strings[i] = t
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self._steps(spec, newer_letters() if newer is None else newer)
@@ -189,6 +200,58 @@ class Model:
                 heapq.heappush(heap, (m[0], p, ids[p], new, m[1]))
         return [x for x, g in zip(ids, gone) if not g]
 
+    def _merge_all(self, runs: list[list[int]]) -> list[list[int]]:
+        """The same for many short runs at once: one row each, one merge per row and step."""
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        width = int(size.max())
+        ids = np.full((len(runs), width + 1), -1, dtype=np.int64)
+        ids[np.arange(width + 1)[None, :] < size[:, None]] = [i for r in runs for i in r]
+        rank = self._ranks(ids[:, :-1], ids[:, 1:])
+        out: list[list[int]] = [[]] * len(runs)
+        row, column = np.arange(len(runs)), np.arange(width + 1)[None, :]
+        while len(row):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(row)), at]
+            done = best == NEVER
+            if done.any():
+                for r, x in zip(row[done].tolist(), ids[done].tolist()):
+                    out[r] = x[:x.index(-1)]
+                go = ~done
+                row, ids, rank, at, best = row[go], ids[go], rank[go], at[go], best[go]
+                if not len(row):
+                    break
+            own = np.arange(len(row))
+            move = column + (column > at[:, None])
+            move[:, -1] = width  # stays -1
+            ids = np.take_along_axis(ids, np.minimum(move, width), axis=1)
+            ids[own, at] = self._made[best]
+            rank = np.take_along_axis(rank, np.minimum(move[:, :width], width - 1), axis=1)
+            rank[:, -1] = NEVER
+            rank[own, at] = self._ranks(ids[own, at], ids[own, at + 1])
+            left = np.maximum(at - 1, 0)
+            rank[own, left] = self._ranks(ids[own, left], ids[own, left + 1])
+        return out
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NEVER where there is no merge."""
+        pair = (a << 32) + b
+        k = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where((self._pairs[k] == pair) & (b >= 0), self._pair_ranks[k], NEVER)
+
+    def learn(self, pieces: set[str]) -> None:
+        """Runs not longer than ``SHORT`` end before a window fills; those not met before are
+        merged together and remembered."""
+        new = [p for p in pieces.difference(self._cache) if len(p) <= SHORT]
+        if len(self._cache) + len(new) > CACHE_PIECES:
+            self._cache.clear()
+            new = [p for p in pieces if len(p) <= SHORT]
+        runs = [self._symbols(p) for p in new]
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        for k in range(0, len(order), 4000):
+            part = order[k: k + 4000]
+            for i, ids in zip(part, self._merge_all([runs[i] for i in part])):
+                self._cache[new[i]] = ids
+
     def width(self, token_id: int) -> int:
         """Symbols that a token covers."""
         t = self.token[token_id]
@@ -214,14 +277,14 @@ class Model:
             yield from self._merge(held)
 
     def _piece(self, piece: str) -> list[int]:
-        if len(piece) > SHORT:
-            return list(self.run(self._symbols(piece)))
-        if len(self._cache) >= CACHE_PIECES:
-            self._cache.clear()
-        got = self._cache[piece] = self._merge(self._symbols(piece))
-        return got
+        return list(self.run(self._symbols(piece)))
 
     # ------------------------------------------------------------------ texts
+    @staticmethod
+    def _newer_possible(part: str) -> bool:
+        """Whether a code point from U+0540 on occurs; all newer letters lie there."""
+        return not part.isascii() and int(np.frombuffer(part.encode("utf-8"), np.uint8).max()) >= 0xD5
+
     def _segments(self, text: str) -> Iterator[str]:
         """Parts that end behind white space, where no piece, special token or composition runs across."""
         if not self._blank_gone:
@@ -237,31 +300,66 @@ class Model:
             at = cut
         yield text[at:]
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, a list for each segment."""
+    def _parts(self, text: str) -> Iterator[list[str] | int]:
+        """The pieces of each segment; special tokens as their id."""
         for segment in self._segments(text):
-            out: list[int] = []
             for k, part in enumerate(self._special.split(segment) if self._special else [segment]):
                 if k % 2:
-                    out.append(self.special[part])
+                    yield self.special[part]
                     continue
                 if self.nfc and not part.isascii():
                     part = unicodedata.normalize("NFC", part)
+                high = self._newer_possible(part)
+                newer = high and bool(self._newer(part))
                 if self.lower:
                     part = part.replace("Σ", "σ").lower()  # capital sigma: letter by letter
-                    if not part.isascii():
-                        part = part.translate(NEWER_LOWER)
-                cache = self._cache
-                find = self._pieces if part.isascii() or not self._newer(part) else self._pieces_newer
-                for p in find(part):
-                    out += cache.get(p) or self._piece(p)
-            yield out
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
+                    part = part.translate(NEWER_LOWER) if high else part
+                yield (self._pieces_newer if newer else self._pieces)(part)
+
+    def _ids(self, part: list[str] | int) -> list[int]:
+        if isinstance(part, int):
+            return [part]
+        cache = self._cache
+        try:
+            return list(chain.from_iterable([cache[p] for p in part]))
+        except KeyError:  # a run longer than SHORT, or the cache was emptied meanwhile
+            self.learn(set(part))
+            return [i for p in part for i in (self._cache.get(p) or self._piece(p))]
+
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text, in parts."""
+        for part in self._parts(text):
+            yield self._ids(part)
+
+    def encode_batch(self, texts: Iterable[str | None], at_once: int = 200_000) -> list[list[int]]:
+        """The ids of each text; runs are learnt for many texts together."""
+        out: list[list[int]] = []
+        held, n = [], 0
+
+        def flush():
+            self.learn(set(chain.from_iterable(part for _, part in held if not isinstance(part, int))))
+            for row, part in held:
+                out[row] += self._ids(part)
+            held.clear()
+
+        for row, text in enumerate(texts):
+            out.append([])
+            for part in self._parts(text or ""):
+                held.append((row, part))
+                n += 1 if isinstance(part, int) else len(part)
+                if n >= at_once:
+                    flush()
+                    n = 0
+        flush()
+        return out
+
+    def decode(self, ids: Sequence[int]) -> Iterator[str]:
         """Text of ids, in parts: a byte-level file runs a byte-to-text state machine."""
         if not self.byte_level:
-            token = self.token
-            yield " ".join([token[i] for i in ids if i in token])
+            strings = self._strings
+            at = np.asarray(ids, dtype=np.int64)
+            at = at[(at >= 0) & (at < len(strings))]
+            yield " ".join([t for t in strings[at].tolist() if t is not None])
             return
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
@@ -298,7 +396,7 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = pa.array([[i for s in model.encode(t or "") for i in s] for t in part.column(text_col).to_pylist()], pa.list_(pa.int32()))
+                ids = pa.array(model.encode_batch(part.column(text_col).to_pylist()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
 
     return df.mapInArrow(encode, df.select("*", F.array(F.lit(0)).alias(ids_col)).schema)
@@ -317,7 +415,9 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                text = pa.array(["".join(model.decode(i or ())) for i in part.column(ids_col).to_pylist()], pa.string())
+                column = part.column(ids_col).fill_null([])
+                flat, first = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+                text = pa.array(["".join(model.decode(flat[i:j])) for i, j in zip(first[:-1], first[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, text_col])
 
     return df.mapInArrow(decode, df.select("*", F.lit("").alias(text_col)).schema)
