@@ -142,3 +142,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     damage = located(audit(first, second), first)
     # Numbers that can be NULL go out as doubles, so that either engine hands over the same values.
     return damage.withColumns({c: F.col(c).cast("double") for c in ("length_a", "length_b", "file", "offset")})
+
+
+@query("op9_secret_scans")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.secret_scan import KINDS, listed, scan
+
+    base = F.filter("found", lambda t: t["kind_no"] < 3)
+    count = lambda no: F.size(F.filter("found", lambda t: t["kind_no"] == no)).cast("long").alias(f"n_{KINDS[no]}")
+    return scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", count(0), count(1), count(2), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), count(3))
