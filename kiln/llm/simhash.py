@@ -27,11 +27,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.graph import components
-from kiln.llm.shared import stored
+from kiln.llm.shared import fresh, stored
 
 LARGE_BUCKET = 4096
 SHINGLES_AT_ONCE = 50_000
@@ -152,6 +152,8 @@ def _small_buckets(key: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
 def _links(batches: Iterator[pa.RecordBatch], radius: int, side_by_side: int = 512) -> Iterator[pa.RecordBatch]:
     """Links of the buckets of a partition, whose rows come in order of their key."""
     def solved(key, fps):
+        if not len(key):
+            return
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         i = 0
         while i < len(cut) - 1:
@@ -222,3 +224,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(whole, "root").select("fp", "component_id", "n_copies"), "components")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose doc_id names their component; of rows that share that doc_id the
+    first by text. Rows without a doc_id cannot name a component and stay."""
+    found = simhash_components(docs, id_col, text_col, shingle, radius).where("doc_id = component_id")
+    key, place = fresh(docs, "kept_id"), fresh(docs, "place")
+    named = docs.join(found.select(F.col("doc_id").alias(key)).distinct(), F.col(f"`{id_col}`") == F.col(key), "inner").drop(key)
+    first = named.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(place) == 1).drop(place)
+    return first.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
