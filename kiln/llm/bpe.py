@@ -377,15 +377,9 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def _appended(df: DataFrame, name: str) -> list[str]:
-    if name in df.columns:
-        raise ValueError(f"column {name} exists already")
-    return df.columns
-
-
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", rows: int = 500) -> DataFrame:
-    """``df`` with the token ids (array<int>) of its text."""
-    _appended(df, ids_col)
+    """``df`` with the token ids (array<int>) of its text; a column of that name is replaced."""
+    df = df.drop(ids_col)
     data = load(path)
     made = Model(data)
     lookahead, newer = made.lookahead, made.newer
@@ -403,8 +397,9 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", rows: int = 500) -> DataFrame:
-    """``df`` with the text of its token ids; NULL ids give empty text, unknown ids nothing."""
-    _appended(df, text_col)
+    """``df`` with the text of its token ids; NULL ids give empty text, unknown ids nothing. A column
+    of that name is replaced."""
+    df = df.drop(text_col)
     data = load(path)
     made = Model(data)
     lookahead, newer = made.lookahead, made.newer

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.llm.shared import fresh
 from kiln.llm.text import MARKS, U64, Batch, mix
 
 EXACT_BELOW = 12
@@ -65,8 +66,6 @@ class Index:
             h = np.unique(Batch([b" ".join(w)]).windows(k))
             size = len(w) - k + 1
             groups.setdefault((k, 0 if len(own) < EXACT_BELOW else size.bit_length()), []).append((here, h))
-            if len(own) < EXACT_BELOW and size > len(own):  # repeats inside the item: it may span more places
-                groups[k, 0][-1] = (here, h)
         for (k, c), found in groups.items():
             reach = max(1 << c, 1) if c else 2 * EXACT_BELOW
             bins = bins_per * reach if c else ALL_BINS
@@ -118,33 +117,31 @@ def candidates(index: Index, hashes: dict[int, tuple[np.ndarray, np.ndarray]], f
     return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], items, shingle: int, bins_per: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], items, shingle: int, bins_per: int, threshold: float, text_at: int,
+            out_col: str) -> Iterator[pa.RecordBatch]:
     index = Index(items, shingle, bins_per)
     lengths = {k for k, _ in index.classes}
+    found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shingles", pa.int64())]))
     for batch in batches:
         for s in range(0, batch.num_rows, 1000):
             part = batch.slice(s, 1000)
-            texts = [(t or "").encode("utf-8") for t in part.column(1).to_pylist()]
-            b = Batch(texts, lower=True, ends=MARKS)
+            b = Batch([(t or "").encode("utf-8") for t in part.column(text_at).to_pylist()], lower=True, ends=MARKS)
             ids = b.ids()
             hashes = {k: _padded(b.windows(k, ids=ids), b.fits(k), len(ids)) for k in lengths}
-            found, data = [], None
+            found: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            now, own_words, own = -1, [], {}
             for d, i in sorted(candidates(index, hashes, b.first)):
-                item_id, k, own = index.items[i]
-                if data is None or data[0] != d:
+                item_id, k, wanted = index.items[i]
+                if now != d:
                     lo, hi = b.first[d], b.first[d + 1]
-                    raw = b.raw[b.start[lo]:b.end[hi - 1]].tobytes()
-                    w = [raw[x:y] for x, y in zip((b.start[lo:hi] - b.start[lo]).tolist(), (b.end[lo:hi] - b.start[lo]).tolist())]
-                    data = (d, w, {})
-                if k not in data[2]:
-                    data[2][k] = shingles_of(data[1], k)
-                share = len(own & data[2][k]) / len(own)
+                    raw, at = b.raw[b.start[lo]:b.end[hi - 1]].tobytes(), b.start[lo]
+                    now, own_words, own = d, [raw[x:y] for x, y in zip((b.start[lo:hi] - at).tolist(), (b.end[lo:hi] - at).tolist())], {}
+                if k not in own:
+                    own[k] = shingles_of(own_words, k)
+                share = len(wanted & own[k]) / len(wanted)
                 if share >= threshold:
-                    found.append((d, item_id, share, len(own)))
-            if found:
-                d, item, share, n = zip(*found)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(item, pa.int64()), pa.array(share), pa.array(n, pa.int64())],
-                                                 names=["doc_id", "item_id", "containment", "n_shingles"])
+                    found[d].append({"item_id": item_id, "containment": share, "n_shingles": len(wanted)})
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, found_type)], names=[*part.schema.names, out_col])
 
 
 def _padded(h: np.ndarray, fits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +161,26 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_items: int,
         yield block
 
 
-def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
+def mark_items(docs: DataFrame, items: DataFrame, text_col: str = "text", out_col: str = "found", item_id_col: str = "item_id",
                item_text_col: str = "text", threshold: float = 0.8, shingle: int = 5, bins_per: int = 32,
-               block_items: int = 20_000, block_bytes: int = 16 << 20) -> DataFrame:
+               block_items: int = 20_000, block_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
+    """``docs`` with the items found in each row, array<struct(item_id, containment, n_shingles)>;
+    a column of that name is replaced. Nothing is shuffled."""
+    docs = docs.drop(out_col)
+    kind = "array<struct<item_id:bigint,containment:double,n_shingles:bigint>>"
+    marked, passes = docs, []
+    for n, block in enumerate(item_blocks(items, item_id_col, item_text_col, block_items, block_bytes)):
+        name = fresh(marked, f"{out_col}_{n}")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        schema = marked.select("*", F.lit(None).cast(kind).alias(name)).schema
+        marked = marked.mapInArrow(lambda it, shared=shared, name=name, at=marked.columns.index(text_col): _search(
+            it, shared.value, shingle, bins_per, threshold, at, name), schema)
+        passes.append(name)
+    found = F.concat(*passes) if passes else F.array().cast(kind)
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col], found.alias(out_col))
+
+
+def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """One row per document row and item found in it: doc_id, item_id, containment, n_shingles."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "doc_id long, item_id long, containment double, n_shingles long"
-    out = None
-    for block in item_blocks(items, item_id_col, item_text_col, block_items, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-        hits = rows.mapInArrow(lambda it, shared=shared: _search(it, shared.value, shingle, bins_per, threshold), schema)
-        out = hits if out is None else out.union(hits)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return mark_items(rows, items, keep_text=False, **settings).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")

@@ -88,9 +88,7 @@ def edits(a: Column, b: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "tree") -> DataFrame:
-    """``docs`` with the tree of its text."""
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists already")
+    """``docs`` with the tree of its text; a column of that name is replaced."""
     return docs.withColumn(out_col, tree(F.col(f"`{text_col}`")))
 
 

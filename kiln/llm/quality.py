@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.llm.shared import fresh
 from kiln.llm.text import Batch, mix
 
 
@@ -134,9 +135,8 @@ def train(examples: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, fl
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out_col: str = "score", s: Settings = Settings()) -> DataFrame:
-    """``docs`` with the probability of label 1, from the text alone."""
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists already")
+    """``docs`` with the probability of label 1, from the text alone; a column of that name is replaced."""
+    docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +159,23 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with held_out, score and predicted; learns from the rows of
-    ``labels`` (doc_id, quality) that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the labelled documents that are not held out."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).where(
         "label is not null and _id is not null").distinct()
-    examples = docs.select("doc_id", "text").where(~held_out()).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").where(~held_out()).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with held_out, score and predicted (columns of those names are
+    replaced); learns from the rows of ``labels`` (doc_id, quality) that are not held out."""
+    examples = training_rows(docs, labels)
     return (score(docs.withColumn("held_out", held_out()), train(examples, s), s=s)
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def passed(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with their own columns only."""
+    name = fresh(docs, "score")
+    model = train(training_rows(docs, labels), s)
+    return score(docs, model, out_col=name, s=s).where(F.col(name) >= threshold).drop(name)

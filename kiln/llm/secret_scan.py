@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.shared import stored
+from kiln.llm.shared import fresh, stored
 
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,19 +126,22 @@ def battery(token: Column) -> Column:
     return F.transform(F.transform(F.transform(start, tests), sums), p_values)[0]
 
 
-def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, row (a number of its own), the base spans of each kind, and candidates
-    array<struct(start, end, test)>."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.select("doc_id", "row", spans(F.col("text"), ASSIGN, 1, ASSIGN_LEAST).alias("assign"), spans(F.col("text"), ACCESS).alias("access"),
-                       spans(F.col("text"), HEX).alias("hex"), spans(F.col("text"), CANDIDATE).alias("tokens"))
-    mixed = F.filter("tokens", lambda t: t["hit"].rlike("[0-9]") | (t["hit"].rlike("[a-z]") & t["hit"].rlike("[A-Z]")))
-    base = F.concat("assign", "access", "hex")
-    free = F.filter(mixed, lambda t: ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
-    tested = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["hit"]).alias("test")))
-    bare = lambda c: F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias(c)
-    return rows.select("doc_id", "row", bare("assign"), bare("access"), bare("hex"), tested.alias("candidates"))
+def _bare(c: Column) -> Column:
+    return F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+
+
+def raw_spans(text: Column) -> Column:
+    """struct(assign, access, hex: array<struct(start, end)>, candidates: array<struct(start, end, test)>)."""
+    def free(v):
+        mixed = F.filter(v["tokens"], lambda t: t["hit"].rlike("[0-9]") | (t["hit"].rlike("[a-z]") & t["hit"].rlike("[A-Z]")))
+        base = F.concat(v["assign"], v["access"], v["hex"])
+        left = F.filter(mixed, lambda t: ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
+        tested = F.transform(left, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["hit"]).alias("test")))
+        return F.struct(_bare(v["assign"]).alias("assign"), _bare(v["access"]).alias("access"), _bare(v["hex"]).alias("hex"), tested.alias("candidates"))
+
+    all_of = F.struct(spans(text, ASSIGN, 1, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"),
+                      spans(text, HEX).alias("hex"), spans(text, CANDIDATE).alias("tokens"))
+    return F.transform(F.array(all_of), free)[0]
 
 
 def _stratum(n: Column) -> Column:
@@ -152,7 +155,7 @@ def _bin(p: Column) -> Column:
 
 def thresholds(found: DataFrame, fdr: float, alpha: float) -> dict[int, int]:
     """For each stratum of length, the least bin that Benjamini-Hochberg accepts."""
-    tests = found.select(F.explode("candidates.test").alias("t")).select(_stratum(F.col("t.n")).alias("stratum"), _plausible(F.col("t"), alpha).alias("ok"), _bin(F.col("t.p_text")).alias("bin"))
+    tests = found.select(F.explode("raw.candidates.test").alias("t")).select(_stratum(F.col("t.n")).alias("stratum"), _plausible(F.col("t"), alpha).alias("ok"), _bin(F.col("t.p_text")).alias("bin"))
     counts = tests.groupBy("stratum", F.when(F.col("ok"), F.col("bin")).otherwise(F.lit(-1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("stratum")  # at most MOST_BIN + 2 rows each
     ranked = counts.withColumn("rank", F.sum("n").over(order.orderBy(F.desc("bin")))).withColumn("m", F.sum("n").over(order))
@@ -165,12 +168,9 @@ def _plausible(t: Column, alpha: float) -> Column:
     return (t["p_chi"] >= alpha / 3) & (t["p_runs"] >= alpha / 3) & (t["p_serial"] >= alpha / 3)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001) -> DataFrame:
-    """Per row: doc_id and ``found``, array<struct(start, kind_no, end, kind)> by start, then kind."""
-    found = stored(found_spans(docs, id_col, text_col), "secret-spans")
-    least = thresholds(found, fdr, alpha)
-
-    def accepted(t):
+def accepted(raw: Column, least: dict[int, int], alpha: float) -> Column:
+    """array<struct(start, kind_no, end, kind)> of the spans that stay, by start, then kind."""
+    def random(t):
         out = F.lit(False)
         for stratum, b in least.items():
             out = out | ((_stratum(t["test"]["n"]) == stratum) & (_bin(t["test"]["p_text"]) >= b))
@@ -179,8 +179,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     def kind(c, no):
         return F.transform(c, lambda t: F.struct(t["start"].alias("start"), F.lit(no).alias("kind_no"), t["end"].alias("end"), F.lit(KINDS[no]).alias("kind")))
 
-    every = F.concat(kind(F.col("assign"), 0), kind(F.col("access"), 1), kind(F.col("hex"), 2), kind(F.filter("candidates", accepted), 3))
-    return found.select("doc_id", F.array_sort(every).alias("found"))
+    return F.array_sort(F.concat(kind(raw["assign"], 0), kind(raw["access"], 1), kind(raw["hex"], 2), kind(F.filter(raw["candidates"], random), 3)))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001) -> DataFrame:
+    """Per row: doc_id and ``found``, array<struct(start, kind_no, end, kind)> by start, then kind."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), raw_spans(text).alias("raw")), "secret-spans")
+    return rows.select("doc_id", accepted(F.col("raw"), thresholds(rows, fdr, alpha), alpha).alias("found"))
+
+
+def redacted(docs: DataFrame, text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with its secrets cut out of the text; reads the texts twice and shuffles none."""
+    text, found = F.col(f"`{text_col}`"), fresh(docs, "found")
+    raw = raw_spans(F.coalesce(text, F.lit("")))
+    least = thresholds(docs.select(raw.alias("raw")), fdr, alpha)
+    return docs.withColumn(found, accepted(raw, least, alpha)).withColumn(text_col, redact(text, F.col(found), mark)).drop(found)
 
 
 def listed(found: Column) -> Column:

@@ -31,3 +31,11 @@ def partitions(spark: SparkSession) -> int:
 def buckets_for(total: int, each: int, least: int) -> int:
     """So many buckets that each gets about ``each`` of ``total`` items, ``least`` or more."""
     return max(least, math.ceil(total / each), 1)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
