@@ -1581,17 +1581,21 @@ from kiln.plans import replay, runs  # noqa: E402
 
 
 def run_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """One run document per (return flag, line status) group of lineitem, built from the
-    group's statistics: a cleaning step and a training step. The flag picks the record
-    version (A: 1.1, N: 1.0, R: 2.0 = unknown) and the status the search strategy, so the
-    validation rules see valid and invalid records."""
-    li = table(spark, sf, "lineitem")
+    """One run document per (ship mode, line status) group of lineitem, built from the
+    group's statistics: a cleaning step and a training step. The mode picks the record
+    version and the status the search strategy, so the validation rules see records with
+    numbers, text and nulls in the metrics, each strategy, and an unknown version."""
+    li = (table(spark, sf, "lineitem").withColumn("l_returnflag", F.concat("l_returnflag", (F.col("l_linenumber") % 3).cast("string"))))
+    per_day = li.groupBy("l_returnflag", "l_linestatus", F.dayofmonth("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("c"))
+    days = per_day.groupBy("l_returnflag", "l_linestatus").agg(  # at most 31 items
+        F.transform(F.array_sort(F.collect_list(F.struct("day", "c"))), lambda x: x["c"]).alias("days"))
     g = li.groupBy("l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("l_quantity"), 4).alias("q"),
-        F.round(F.avg("l_discount"), 4).alias("d"), F.round(F.stddev_samp("l_extendedprice") / 1000, 4).alias("s"),
-        F.slice(F.array_sort(F.collect_set("l_suppkey")), 1, 20).alias("supp"))
-    version = F.when(F.col("l_returnflag") == "A", "1.1").when(F.col("l_returnflag") == "N", "1.0").otherwise("2.0")
-    strategy = F.when(F.col("l_linestatus") == "F", "grid").otherwise("bogus")
+        F.round(F.avg("l_discount"), 4).alias("d"), F.round(F.stddev_samp("l_extendedprice") / 1000, 4).alias("s")).join(days, ["l_returnflag", "l_linestatus"])
+    flag, digit = F.substring("l_returnflag", 1, 1), F.substring("l_returnflag", 2, 1)
+    version = F.when(flag == "R", "2.0").when((flag == "N") & (digit == "0"), "1.0").otherwise("1.1")
+    strategy = (F.when(digit == "0", "grid").when((digit == "1") & (flag == "A"), "bayesian").when(digit == "1", "random")
+                .when(F.col("l_linestatus") == "F", "bogus"))
     clean_step = F.struct(F.lit("data_cleaning").alias("step"),
                           F.struct(F.lit(True).alias("eliminar_duplicados"), F.lit("media").alias("relleno"))
                           .alias("params"), F.col("n").alias("rows"))
@@ -1600,10 +1604,13 @@ def run_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(100).alias("n_estimators")).alias("params"),
         F.struct(F.col("q").alias("val_rmse"), F.col("d").alias("val_mae"),
                  F.lit(None).cast("double").alias("val_mape"), F.col("s").alias("test_rmse"),
-                 F.col("q").alias("test_mae"), F.col("d").alias("test_mape")).alias("metrics"),
+                 F.col("q").cast("string").alias("test_mae"), F.col("d").alias("test_mape")).alias("metrics"),
         F.struct(strategy.alias("strategy"), F.lit(4).alias("iterations_total"), F.lit(2).alias("best_iteration"),
                  F.col("q").alias("best_val_loss")).alias("hyperparameter_search"),
-        F.col("supp").alias("feature_list"))
+        F.struct((F.col("n") % 5).alias("n_trials"), F.lit(2).alias("n_initial_points"), F.lit(7).alias("seed")).alias("bayesian_config"),
+        F.struct(F.lit(5).alias("sequence_length"), F.lit("a").alias("model_architecture"), digit.alias("training_mode"),
+                 (F.col("n") % 2).alias("n_input_features")).alias("lstm_metadata"),
+        F.col("days").alias("feature_list"))
     opts = {"ignoreNullFields": "false"}
     doc = F.concat(F.lit('{"steps":['), F.to_json(clean_step, opts), F.lit(","), F.to_json(train_step, opts),
                    F.lit("]}"))
@@ -1614,18 +1621,24 @@ _SQL_DOCS = """
 SELECT l_returnflag || l_linestatus AS run_id, l_returnflag,
   json_object('steps', json_array(
     json_object('step', 'data_cleaning', 'params', json_object('eliminar_duplicados', true, 'relleno', 'media'),
-                'rows', count(*)),
-    json_object('schema_version', CASE l_returnflag WHEN 'A' THEN '1.1' WHEN 'N' THEN '1.0' ELSE '2.0' END,
+                'rows', n),
+    json_object('schema_version', CASE WHEN flag = 'R' THEN '2.0' WHEN flag = 'N' AND digit = '0' THEN '1.0' ELSE '1.1' END,
                 'step', 'train_model', 'algorithm', 'xgboost', 'params', json_object('n_estimators', 100),
-                'metrics', json_object('val_rmse', round(avg(l_quantity), 4), 'val_mae', round(avg(l_discount), 4),
-                                       'val_mape', NULL::DOUBLE,
-                                       'test_rmse', round(stddev_samp(l_extendedprice) / 1000, 4),
-                                       'test_mae', round(avg(l_quantity), 4), 'test_mape', round(avg(l_discount), 4)),
-                'hyperparameter_search', json_object('strategy', CASE WHEN l_linestatus = 'F' THEN 'grid' ELSE 'bogus' END,
-                                                     'iterations_total', 4, 'best_iteration', 2,
-                                                     'best_val_loss', round(avg(l_quantity), 4)),
-                'feature_list', to_json(list_slice(list_sort(list(DISTINCT l_suppkey)), 1, 20))))) AS doc
-FROM lineitem GROUP BY l_returnflag, l_linestatus"""
+                'metrics', json_object('val_rmse', q, 'val_mae', d, 'val_mape', NULL::DOUBLE, 'test_rmse', s,
+                                       'test_mae', CAST(q AS VARCHAR), 'test_mape', d),
+                'hyperparameter_search', json_object('strategy', CASE WHEN digit = '0' THEN 'grid' WHEN digit = '1' AND flag = 'A' THEN 'bayesian'
+                                                                      WHEN digit = '1' THEN 'random' WHEN l_linestatus = 'F' THEN 'bogus' END,
+                                                     'iterations_total', 4, 'best_iteration', 2, 'best_val_loss', q),
+                'bayesian_config', json_object('n_trials', n % 5, 'n_initial_points', 2, 'seed', 7),
+                'lstm_metadata', json_object('sequence_length', 5, 'model_architecture', 'a', 'training_mode', digit, 'n_input_features', n % 2),
+                'feature_list', to_json(days)))) AS doc
+FROM (SELECT l_returnflag || CAST(l_linenumber % 3 AS VARCHAR) AS l_returnflag, l_linestatus, any_value(l_returnflag) AS flag,
+             CAST(any_value(l_linenumber % 3) AS VARCHAR) AS digit, count(*) AS n, round(avg(l_quantity), 4) AS q,
+             round(avg(l_discount), 4) AS d, round(stddev_samp(l_extendedprice) / 1000, 4) AS s
+      FROM lineitem GROUP BY ALL) g
+JOIN (SELECT l_returnflag, l_linestatus, list(c ORDER BY day) AS days FROM (
+        SELECT l_returnflag || CAST(l_linenumber % 3 AS VARCHAR) AS l_returnflag, l_linestatus, day(l_shipdate) AS day, count(*) AS c
+        FROM lineitem GROUP BY ALL) GROUP BY ALL) d USING (l_returnflag, l_linestatus)"""
 
 _SQL_STEPS = f"""
 d AS ({_SQL_DOCS}),
@@ -1663,58 +1676,45 @@ def q_r2(spark: SparkSession, sf: str) -> DataFrame:
     return runs.flatten_runs(run_documents(spark, sf))
 
 
+# The rules spelled out for DuckDB, one line per field: (broken when, error).
+_R3_V11 = [f"(NOT json_exists(st, '$.{f}'), 'absent:{f}')" for f in (
+    "schema_version", "step", "algorithm", "params", "metrics", "hyperparameter_search", "lstm_metadata")] + [
+    f"(json_exists(st, '$.metrics') AND NOT json_exists(st, '$.metrics.{m}'), 'absent:metrics.{m}')" for m in (
+        "val_rmse", "val_mae", "val_mape", "test_rmse", "test_mae", "test_mape")] + [
+    f"(coalesce(json_type(st, '$.metrics.{m}') IN ('VARCHAR', 'ARRAY', 'OBJECT'), false), 'not_a_number:metrics.{m}')" for m in (
+        "val_rmse", "val_mae", "val_mape", "test_rmse", "test_mae", "test_mape")] + [
+    f"(json_exists(st, '$.hyperparameter_search') AND NOT json_exists(st, '$.hyperparameter_search.{f}'), 'absent:hyperparameter_search.{f}')"
+    for f in ("strategy", "iterations_total", "best_iteration", "best_val_loss")] + [
+    "(json_exists(st, '$.hyperparameter_search.strategy') AND coalesce(strat, '?') NOT IN ('none', 'grid', 'random', 'bayesian'), 'not_allowed:hyperparameter_search.strategy')",
+    "(strat = 'grid' AND st->>'$.hyperparameter_search.grid_search_params' IS NULL, 'needed_by_strategy:hyperparameter_search.grid_search_params')",
+    "(strat = 'random' AND st->>'$.hyperparameter_search.random_search_params' IS NULL, 'needed_by_strategy:hyperparameter_search.random_search_params')",
+    "(strat = 'random' AND st->>'$.hyperparameter_search.n_random_iterations' IS NULL, 'needed_by_strategy:hyperparameter_search.n_random_iterations')",
+    "(strat = 'bayesian' AND NOT json_exists(st, '$.bayesian_config'), 'needed_by_strategy:bayesian_config')"] + [
+    f"(strat = 'bayesian' AND json_exists(st, '$.bayesian_config') AND NOT json_exists(st, '$.bayesian_config.{f}'), 'absent:bayesian_config.{f}')"
+    for f in ("n_trials", "n_initial_points", "optimization_metric", "best_trial_number", "n_completed_trials", "best_params", "seed")] + [
+    "(strat = 'bayesian' AND CAST(st->>'$.bayesian_config.n_trials' AS DOUBLE) < 1, 'too_small:bayesian_config.n_trials')",
+    "(strat = 'bayesian' AND CAST(st->>'$.bayesian_config.n_initial_points' AS DOUBLE) >= CAST(st->>'$.bayesian_config.n_trials' AS DOUBLE), "
+    "'not_below_n_trials:bayesian_config.n_initial_points')"] + [
+    f"(json_exists(st, '$.lstm_metadata') AND NOT json_exists(st, '$.lstm_metadata.{f}'), 'absent:lstm_metadata.{f}')"
+    for f in ("sequence_length", "model_architecture", "total_params", "cpu_only")] + [
+    "(json_exists(st, '$.lstm_metadata.training_mode') AND coalesce(st->>'$.lstm_metadata.training_mode', '?') NOT IN ('univariate', 'multivariate'), "
+    "'not_allowed:lstm_metadata.training_mode')",
+    "(json_exists(st, '$.lstm_metadata.n_input_features') AND NOT coalesce(json_type(st, '$.lstm_metadata.n_input_features') IN ('UBIGINT', 'BIGINT') "
+    "AND CAST(st->>'$.lstm_metadata.n_input_features' AS DOUBLE) >= 1, false), 'too_small:lstm_metadata.n_input_features')"]
+
+
 def _validate_sql() -> str:
-    def has(path: str) -> str:
-        return f"json_exists(st, '{path}')"
-
-    def val(path: str) -> str:
-        return f"json_extract_string(st, '{path}')"
-
-    v11 = [f"CASE WHEN NOT {has('$.' + f)} THEN '{runs.MSG["field"].format(f)}' END" for f in runs.V11_TOP_LEVEL]
-    for m in runs.V11_METRICS:
-        v11.append(f"CASE WHEN {has('$.metrics')} AND NOT {has('$.metrics.' + m)} THEN '{runs.MSG["metric"].format(m)}' END")
-        v11.append(f"CASE WHEN {has('$.metrics')} AND {val('$.metrics.' + m)} IS NOT NULL AND "
-                   f"TRY_CAST({val('$.metrics.' + m)} AS DOUBLE) IS NULL THEN '{runs.MSG["metric_type"].format(m)}' END")
-    hs = has("$.hyperparameter_search")
-    for f in runs.V11_SEARCH:
-        v11.append(f"CASE WHEN {hs} AND NOT {has('$.hyperparameter_search.' + f)} "
-                   f"THEN '{runs.MSG["search_field"].format(f)}' END")
-    strat = val("$.hyperparameter_search.strategy")
-    known = ", ".join(f"'{x}'" for x in runs.V11_STRATEGIES)
-    v11.append(f"CASE WHEN {hs} AND {strat} IS NOT NULL AND {strat} NOT IN ({known}) THEN '{runs.MSG["strategy"]}' || {strat} END")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'grid' AND {val('$.hyperparameter_search.grid_search_params')} IS NULL "
-               f"THEN '{runs.MSG["grid"]}' END")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.random_search_params')} IS NULL "
-               f"THEN '{runs.MSG["random_params"]}' END")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'random' AND {val('$.hyperparameter_search.n_random_iterations')} IS NULL "
-               f"THEN '{runs.MSG["random_iters"]}' END")
-    bc = has("$.bayesian_config")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND NOT {bc} THEN '{runs.MSG["bayes"]}' END")
-    for f in runs.V11_BAYESIAN:
-        v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND NOT {has('$.bayesian_config.' + f)} "
-                   f"THEN '{runs.MSG["bayes_field"].format(f)}' END")
-    nt = f"TRY_CAST({val('$.bayesian_config.n_trials')} AS DOUBLE)"
-    ni = f"TRY_CAST({val('$.bayesian_config.n_initial_points')} AS DOUBLE)"
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {nt} < 1 THEN '{runs.MSG["n_trials"]}' END")
-    v11.append(f"CASE WHEN {hs} AND {strat} = 'bayesian' AND {bc} AND {ni} >= {nt} "
-               f"THEN '{runs.MSG["n_initial"]}' END")
-    meta = has("$.lstm_metadata")
-    for f in runs.V11_LSTM_META:
-        v11.append(f"CASE WHEN {meta} AND NOT {has('$.lstm_metadata.' + f)} THEN '{runs.MSG["meta_field"].format(f)}' END")
-    mode = val("$.lstm_metadata.training_mode")
-    modes = ", ".join(f"'{x}'" for x in runs.TRAINING_MODES)
-    v11.append(f"CASE WHEN {meta} AND {mode} IS NOT NULL AND {mode} NOT IN ({modes}) THEN '{runs.MSG["mode"]}' || {mode} END")
-    nf = val("$.lstm_metadata.n_input_features")
-    v11.append(f"CASE WHEN {meta} AND {nf} IS NOT NULL AND (NOT regexp_matches({nf}, '^[0-9]+$') OR "
-               f"TRY_CAST({nf} AS BIGINT) < 1) THEN '{runs.MSG["n_features"]}' || {nf} END")
-    v10 = [f"CASE WHEN NOT {has('$.' + f)} THEN '{runs.MSG["field"].format(f)}' END" for f in runs.V10_REQUIRED]
-    ver = "coalesce(json_extract_string(st, '$.schema_version'), '1.0')"
-    errs = (f"CASE WHEN {ver} = '1.1' THEN list_filter([{', '.join(v11)}], lambda x: x IS NOT NULL) "
-            f"WHEN {ver} = '1.0' THEN list_filter([{', '.join(v10)}], lambda x: x IS NOT NULL) "
-            f"ELSE ['{runs.MSG["version"]}' || {ver}] END")
+    v11 = ", ".join(f"CASE WHEN {x[1:-1].rsplit(', ', 1)[0]} THEN {x[1:-1].rsplit(', ', 1)[1]} END" for x in _R3_V11)
     return f"""
 WITH {_SQL_STEPS},
-e AS (SELECT run_id, CAST(step_no AS INTEGER) AS step_no, {ver} AS version, {errs} AS errs FROM s)
+t AS (SELECT *, json_extract_string(st, '$.hyperparameter_search.strategy') AS strat,
+             coalesce(json_extract_string(st, '$.schema_version'), '1.0') AS version FROM s),
+e AS (SELECT run_id, CAST(step_no AS INTEGER) AS step_no, version,
+             CASE version WHEN '1.1' THEN list_filter([{v11}], lambda x: x IS NOT NULL)
+                          WHEN '1.0' THEN list_filter([CASE WHEN NOT json_exists(st, '$.step') THEN 'absent:step' END,
+                                                       CASE WHEN NOT json_exists(st, '$.algorithm') THEN 'absent:algorithm' END],
+                                                      lambda x: x IS NOT NULL)
+                          ELSE ['unknown_version:' || version] END AS errs FROM t)
 SELECT run_id, step_no, version, len(errs) = 0 AS ok, array_to_string(errs, '; ') AS errors,
        CAST(len(errs) AS BIGINT) AS n_errors FROM e"""
 

@@ -61,11 +61,16 @@ def test_run_validation_and_flatten(spark):
     bad = dict(good, hyperparameter_search={"strategy": "bayesian", "iterations_total": 1, "best_iteration": 0,
                                             "best_val_loss": 1.0})
     old = {"step": "train"}
+    text = dict(good, metrics={**good["metrics"], "val_mae": "0.5", "test_mae": None},
+                hyperparameter_search={**good["hyperparameter_search"], "strategy": None})
+    assert [r.errors for r in runs.validate_runs(spark.createDataFrame(
+        [("r", json.dumps({"steps": [text]}))], "run_id string, doc string")).collect()] == [
+        ["not_a_number:metrics.val_mae", "not_allowed:hyperparameter_search.strategy"]]
     docs = spark.createDataFrame([(f"r{i}", json.dumps({"steps": [d]})) for i, d in enumerate([good, bad, old])],
                                  "run_id string, doc string")
     v = {r.run_id: r for r in runs.validate_runs(docs).collect()}
-    assert v["r0"].ok and not v["r1"].ok and v["r1"].errors == ["Missing bayesian_config for bayesian strategy"]
-    assert v["r2"].errors == ["Missing required field: algorithm"]
+    assert v["r0"].ok and not v["r1"].ok and v["r1"].errors == ["needed_by_strategy:bayesian_config"]
+    assert v["r2"].errors == ["absent:algorithm"]
     flat = runs.flatten_runs(docs).filter("run_id = 'r0' and key = 'features'").orderBy("part").collect()
     assert [r.part for r in flat] == [1, 2, 3] and flat[2].value == "[20,21,22]"
     ml = runs.metrics_long(docs)
