@@ -106,3 +106,12 @@ def inv_norm(p: Column) -> Column:
     qh = F.sqrt(-2 * F.log(1 - p))
     high = -poly(c, qh) / (poly(d, qh) * qh + 1)
     return F.when(p < plow, low).when(p <= 1 - plow, central).otherwise(high)
+
+
+def norm_cdf(z: Column) -> Column:
+    """Standard normal distribution function (rational approximation, error below 8e-8)."""
+    x = F.abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-x * x / 2) * 0.3989422804014327 * poly
+    return F.when(z < 0, tail).otherwise(1 - tail)

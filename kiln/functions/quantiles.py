@@ -2,24 +2,27 @@
 without holding a whole column in one task.
 
 Pass 1: ``percentile_approx`` brackets every wanted order statistic (rank error of the
-sketch is at most n/accuracy, so probabilities p +- slack enclose it). Pass 2: one
-aggregate counts the rows below each bracket and collects only the rows inside it (about
-``8 n / accuracy`` values), from which the exact order statistics are picked. A bracket
-that misses (not expected) is widened and retried.
+sketch is at most n/accuracy, so probabilities p +- slack enclose it). Pass 2 counts rows by
+value inside the brackets and by side outside them, in one aggregate that combines before the
+shuffle: a value that a third of the rows share is one row with a count. A running sum of the
+counts then finds the values at the wanted ranks. A bracket holds at most about
+``8 n / accuracy`` distinct values; groups where that is too much for one window, and requests
+for many probabilities, take the sort-based path with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of
+from kiln.operators.order import assign_row_id, join_small, keys_of
+from kiln.session import ensure_checkpoint_dir
 
 DEFAULT_ACCURACY = 10_000
-# Largest group the bracket path serves: its collected bracket is about 8 n / accuracy
-# values (<= 1e6 doubles here). Bigger groups take the sort-based exact path.
+# Largest group the bracket path serves: at most about 8 n / accuracy distinct values
+# (1e5 here) stand in one window. Bigger groups take the sort-based path, equally exact.
 BRACKET_MAX_ROWS = 125_000_000
 # Above this many probabilities one distributed sort beats per-probability brackets.
 SORT_THRESHOLD = 16
@@ -77,13 +80,11 @@ def _by_position(x: DataFrame, keys, probs, outs) -> DataFrame:
 _LEVELS = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 
 
-def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -> DataFrame:
+def _bracketed(x: DataFrame, keys, probs, outs, accuracy) -> DataFrame:
     """Two-pass exact quantiles. Pass 1 (per group): count and ``percentile_approx`` at
     p +- s for a ladder of slacks s; the group picks the smallest s with
     s*n >= 3 + 4n/accuracy, which brackets ranks floor(p(n-1)) and +1 whatever the
-    sketch's rank convention. Pass 2: rows below the bracket are counted and only the
-    bracket (about 2*s*n values, bounded by the ladder) is collected and indexed. When a
-    group is too large for its bracket to be collected, the sort-based path is used."""
+    sketch's rank convention. Pass 2: counts by value inside the brackets, by side outside."""
     base = 4.0 / accuracy
     levels = sorted({base, *[lv for lv in _LEVELS if lv > base]})
     probe = sorted({min(1.0, max(0.0, p + sgn * lv)) for p in probs for lv in levels for sgn in (-1, 1)})
@@ -91,12 +92,10 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
     s1 = x.groupBy(*keys).agg(F.count("_x").alias("_n"), F.percentile_approx("_x", probe, accuracy).alias("_pa"))
     limit = BRACKET_MAX_ROWS * accuracy / DEFAULT_ACCURACY
     if keys:
-        s1 = s1.cache()  # one small row per group, read twice
-        max_n = s1.agg(F.max("_n")).first()[0] or 0
-        if max_n > limit:
-            s1.unpersist()
-            res = _by_position(x, keys, probs, outs)
-            return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
+        ensure_checkpoint_dir(x.sparkSession)
+        s1 = s1.checkpoint(eager=True)  # one small row per group, read twice
+        if (s1.agg(F.max("_n")).first()[0] or 0) > limit:
+            return _by_position(x, keys, probs, outs)
     need = F.when(F.col("_n") > 0, F.lit(3.0) / F.col("_n")).otherwise(F.lit(1.0)) + F.lit(base)
     bcols = []
     for i, p in enumerate(probs):
@@ -114,71 +113,42 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy, slack=None, tries=2) -
     if not keys:
         # one job gives both n and the bracket bounds, injected as literals
         brow = b.first()
-        if brow is not None and (brow["_n"] or 0) > limit:
-            res = _by_position(x, keys, probs, outs)
-            return res.withColumn("_ok", F.lit(True)) if tries == "keep" else res
-        j = x.select("*", *[F.lit(brow[f.name] if brow is not None else None).cast(f.dataType).alias(f.name)
-                            for f in b.schema.fields])
+        if (brow["_n"] or 0) > limit:
+            return _by_position(x, keys, probs, outs)
+        j = x.select("*", *[F.lit(brow[f.name]).cast(f.dataType).alias(f.name) for f in b.schema.fields])
     else:
         j = join_small(x, b, keys)
-    aggs = [F.first("_n").alias("_n")]
+    inside = [(F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")) for i in range(len(probs))]
+    below = [F.col("_x") < F.col(f"_lo{i}") for i in range(len(probs))]
+    some = inside[0]
+    for c in inside[1:]:
+        some = some | c
+    counted = j.select(*keys, "_n", F.when(some, F.col("_x")).alias("_v"), F.array(*inside).alias("_in"),
+                       F.array(*below).alias("_below")).groupBy(*keys, "_v", "_in", "_below").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    group = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    upto = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = [F.lit(p) * (F.col("_n") - 1) for p in probs]
+    ranked = counted.select("*", *[
+        (F.sum(F.when(F.col("_below")[i], F.col("_c")).otherwise(0)).over(group)
+         + F.sum(F.when(F.col("_in")[i], F.col("_c")).otherwise(0)).over(upto)).alias(f"_r{i}") for i in range(len(probs))])
+    aggs = [F.max("_n").alias("_n")]
     for i in range(len(probs)):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        aggs.append(F.count_if(F.col("_x") < lo).alias(f"_below{i}"))
-        inside = F.when((F.col("_x") >= lo) & (F.col("_x") <= hi), F.col("_x"))
-        aggs.append(F.sort_array(F.collect_list(inside)).alias(f"_br{i}"))
-    s2 = j.groupBy(*keys).agg(*aggs)
+        for d in (0, 1):  # the first value whose running count passes the rank
+            hit = F.col("_in")[i] & (F.col(f"_r{i}") > F.floor(h[i]) + d)
+            aggs.append(F.min(F.when(hit, F.col("_v"))).alias(f"_v{i}_{d}"))
     cols = []
-    oks = []
-    n = F.col("_n")
-    for i, p in enumerate(probs):
-        h = F.lit(p) * (n - 1)
-        lo_pos = F.floor(h)
-        frac = h - lo_pos
-        k = (lo_pos - F.col(f"_below{i}")).cast("int")
-        arr = F.col(f"_br{i}")
-        size = F.size(arr)
-        need_hi = frac > 0
-        valid = (k >= 0) & (k < size) & (~need_hi | (k + 1 < size))
-        oks.append((n == 0) | valid)
-        # element_at with a bad index raises under ANSI, so only evaluate valid positions
-        v0 = F.when(valid, F.element_at(arr, k + 1))
-        v1 = F.when(valid, F.when(need_hi, F.element_at(arr, k + 2)).otherwise(F.element_at(arr, k + 1)))
-        cols.append((v0 + (v1 - v0) * frac).alias(outs[i]))
-    all_ok = oks[0]
-    for o in oks[1:]:
-        all_ok = all_ok & o
-    res = s2.select(*keys, F.col("_n").alias("n"), *cols, all_ok.alias("_ok"))
-    if tries == "keep":
-        return res
-    res = res.cache()
-    if res.filter(~F.col("_ok")).limit(1).count() == 0:
-        return res.drop("_ok")
-    # Not expected: recompute only the failing groups with Spark's exact percentile.
-    bad = res.filter(~F.col("_ok")).select(*[F.col(k).alias(f"__b_{k}") for k in keys])
-    good = res.filter(F.col("_ok")).drop("_ok")
-    if not keys:
-        return exact_quantiles(x.withColumnRenamed("_x", "__x"), "__x", probs, method="builtin",
-                               prefix="q").toDF(*["n", *outs])
-    xb = x.join(bad, [x[k].eqNullSafe(F.col(f"__b_{k}")) for k in keys]).select(*keys, "_x")
-    redo = exact_quantiles(xb, "_x", probs, by=keys, method="builtin", prefix="__q")
-    redo = redo.select(*keys, "n", *[F.col(f"__q{i}").alias(o) for i, o in enumerate(outs)])
-    return good.unionByName(redo)
+    for i in range(len(probs)):
+        v0 = F.col(f"_v{i}_0")
+        frac = h[i] - F.floor(h[i])
+        cols.append((v0 + (F.coalesce(F.col(f"_v{i}_1"), v0) - v0) * frac).alias(outs[i]))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, F.coalesce("_n", F.lit(0)).alias("n"), *cols)
 
 
 def exact_quantile_row(df: DataFrame, col: str, probs: Sequence[float], accuracy: int = DEFAULT_ACCURACY,
                        method: str = "exact"):
-    """Global quantiles as one collected Row (n, q0, q1, ...): the bracket check is done
-    on the collected row itself, saving a job; a miss is recomputed with wider slack."""
-    if method != "exact" or len(probs) > SORT_THRESHOLD:
-        return exact_quantiles(df, col, probs, accuracy=accuracy, method=method).first()
-    x = df.select(F.col(col).cast("double").alias("_x"))
-    x = x.filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    outs = [f"q{i}" for i in range(len(probs))]
-    row = _bracketed(x, [], [float(p) for p in probs], outs, accuracy, tries="keep").first()
-    if row is None or row["_ok"]:
-        return row
-    return exact_quantiles(df, col, probs, method="builtin").first()
+    """Global quantiles as one collected Row (n, q0, q1, ...)."""
+    return exact_quantiles(df, col, probs, accuracy=accuracy, method=method).first()
 
 
 def quantiles_long(df: DataFrame, col: str, probs: Sequence[float], by=None) -> DataFrame:

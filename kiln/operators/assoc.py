@@ -2,37 +2,52 @@
 
 Everything is computed from grouped counts or sums: contingency tables for categorical
 pairs, value-rank tables for rank measures (average ranks from prefix sums over distinct
-values, never a global row window), and the Kendall pair counts from 2-D prefix sums over
-the contingency cells (no pair of rows or cells is ever materialised).
+values, never a global row window), and the Kendall pair counts from running sums by bit of the
+value ranks (no pair of rows or cells is ever materialised).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions.exprs import q
+from kiln.functions.exprs import norm_cdf, q
 from kiln.functions.quantiles import exact_quantiles
-from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of, running_sum
+from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
-def _matrix(pairs_df: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
-    """Full symmetric (a, b, value) matrix from the upper triangle, diagonal = 1."""
-    spark = pairs_df.sparkSession
+def _matrix(pairs_df: DataFrame, diagonal: DataFrame, value: str) -> DataFrame:
+    """Full symmetric (a, b, value) matrix from the upper triangle and the diagonal."""
     mirror = pairs_df.select(F.col("b").alias("a"), F.col("a").alias("b"), value)
-    diag = spark.createDataFrame([(c, c, 1.0) for c in cols], f"a string, b string, {value} double")
-    return pairs_df.select("a", "b", value).unionByName(mirror).unionByName(diag)
+    return pairs_df.select("a", "b", value).unionByName(mirror).unionByName(diagonal.select("a", "b", value))
+
+
+def _diagonal(df: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
+    """1 for columns that vary, NULL for constant and empty ones (one aggregate)."""
+    row = df.agg(*[(F.min(q(c)) < F.max(q(c))).alias(f"v{i}") for i, c in enumerate(cols)])
+    arr = F.array(*[F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.when(F.col(f"v{i}"), F.lit(1.0)).alias(value))
+                    for i, c in enumerate(cols)])
+    return row.select(F.explode(arr).alias("r")).select("r.*")
+
+
+def _safe_corr(a, b):
+    """Pearson correlation of complete pairs; NULL where a side is constant or there is no pair."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
 # ----------------------------------------------------------------------------- G3
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """(a, b, corr) over all ordered pairs; pairwise-complete rows."""
+    """(a, b, corr) over all ordered pairs; pairwise-complete rows; NULL for constants."""
     if method == "spearman":
         return spearman_matrix(df, cols)
     if method == "kendall":
@@ -40,13 +55,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
         for a, b in _pairs(cols):
             k = kendall_tau(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("tau_b").alias("corr"))
             recs = k if recs is None else recs.unionByName(k)
-        return _matrix(recs, cols, "corr")
-    aggs = [F.corr(q(a).cast("double"), q(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(_pairs(cols))]
-    row = df.agg(*aggs)
+        return _matrix(recs, _diagonal(df, cols, "corr"), "corr")
+    return _matrix(_pearson_pairs(df, _pairs(cols)), _diagonal(df, cols, "corr"), "corr")
+
+
+def _pearson_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    row = df.agg(*[_safe_corr(q(a), q(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     arr = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr"))
-                    for i, (a, b) in enumerate(_pairs(cols))])
-    tri = row.select(F.explode(arr).alias("r")).select("r.*")
-    return _matrix(tri, cols, "corr")
+                    for i, (a, b) in enumerate(pairs)])
+    return row.select(F.explode(arr).alias("r")).select("r.*")
 
 
 # ----------------------------------------------------------------------------- G4
@@ -61,67 +78,73 @@ def rank_table(df: DataFrame, col: str, key=None) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Add ``_rank_{c}`` (average rank among the column's non-null values) for every
-    column; all columns are ranked in one pass over the unpivoted (column, value) counts."""
-    arr = F.array(*[F.struct(F.lit(c).alias("_col"), q(c).cast("double").alias("_v")) for c in cols])
-    u = df.select(F.explode(arr).alias("u")).select("u.*")
-    # reused once per column; can approach n rows for continuous columns, so it is written
-    # to the shared checkpoint folder rather than held in executor memory
-    ranks = rank_table(u, "_v", key="_col").checkpoint(eager=True)
-    x = df
-    for c in cols:
-        rt = ranks.filter(F.col("_col") == c).select(F.col("_v").alias(f"_v_{c}"), F.col("_rank").alias(f"_rank_{c}"))
-        x = x.join(rt, q(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
-    return x
+    """Add ``_rank_{c}`` (average rank among the column's non-null values) for every column:
+    the values are unpivoted, ranked and joined once, and pivoted back by a row number."""
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    arr = F.array(*[F.struct(F.lit(i).alias("_col"), q(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
+    u = numbered.select("_row", F.explode(arr).alias("u")).select("_row", "u.*")
+    ranks = rank_table(u.drop("_row"), "_v", key="_col")
+    found = u.join(ranks, ["_col", "_v"], "left")
+    back = found.groupBy("_row").agg(*[F.max(F.when(F.col("_col") == i, F.col("_v"))).alias(c) for i, c in enumerate(cols)],
+                                     *[F.max(F.when(F.col("_col") == i, F.col("_rank"))).alias(f"_rank_{c}") for i, c in enumerate(cols)])
+    return back.drop("_row")
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks (ranks over each column's non-null values)."""
-    r = with_ranks(df.select(*[q(c) for c in cols]), cols)
-    ranked = r.select(*[F.col(f"_rank_{c}").alias(c) for c in cols])
-    return corr_matrix(ranked, cols, "pearson")
+    """Pearson correlation of average ranks over the complete rows of each pair. Columns
+    without NULLs share one ranking; a pair with NULLs is ranked on its own complete rows."""
+    x = df.select(*[q(c).cast("double").alias(c) for c in cols])
+    nulls = x.agg(*[F.count_if(q(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    whole = [c for i, c in enumerate(cols) if not nulls[i]]
+    parts = []
+    if len(whole) > 1:
+        r = with_ranks(x, whole).select(*[F.col(f"_rank_{c}").alias(c) for c in whole])
+        parts.append(_pearson_pairs(r, _pairs(whole)))
+    for a, b in _pairs(cols):
+        if a not in whole or b not in whole:
+            r = with_ranks(x.filter(q(a).isNotNull() & q(b).isNotNull()), [a, b])
+            parts.append(_pearson_pairs(r.select(F.col(f"_rank_{a}").alias(a), F.col(f"_rank_{b}").alias(b)), [(a, b)]))
+    tri = parts[0]
+    for p in parts[1:]:
+        tri = tri.unionByName(p)
+    return _matrix(tri, _diagonal(df, cols, "corr"), "corr")
 
 
 # ----------------------------------------------------------------------------- G5
-MAX_GRID = 4_000_000
-
-
-def kendall_tau(df: DataFrame, a: str, b: str, max_grid: int = MAX_GRID) -> DataFrame:
-    """Kendall tau-b from the (a, b) contingency table completed to the full grid of
-    distinct a x distinct b values (bounded by ``max_grid``; bin continuous columns
-    first). Concordant partners of a cell are the rows with a' > a and b' > b: a running
-    sum over a (per b) followed by a running sum over b (per a) gives them for every cell
-    at once; discordant likewise with b' < b. No pair of rows or cells is materialised."""
+def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Kendall tau-b for columns of any number of distinct values, without pairs of rows.
+
+    Cells (x, y) are put in order of x, then y; a pair is discordant when the later cell has
+    the smaller y, which happens at exactly one bit of the y ranks: the bits above agree and
+    this one falls from 1 to 0. So every cell is dealt to one group per bit (the bits above),
+    and a running sum of the counts with the bit set gives the discordant partners of the
+    cells without it. Groups of any size are cut in blocks by the order layer. Ties come from
+    the margins, concordant pairs from the total."""
     cells = df.filter(q(a).isNotNull() & q(b).isNotNull()).groupBy(
         q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    xs = cells.select("x").distinct()
-    ys = cells.select("y").distinct()
-    nx, ny = xs.count(), ys.count()
-    if nx * ny > max_grid:
-        raise ValueError(f"{nx} x {ny} distinct values exceed max_grid={max_grid}; bin the columns first")
-    if ny > nx:
-        # tau is symmetric: make y the smaller dimension, whose values are injected below
-        cells = cells.select(F.col("y").alias("x"), F.col("x").alias("y"), "c")
-        xs, ys = ys.withColumnRenamed("y", "x"), xs.withColumnRenamed("x", "y")
-    grid = attach_row(xs, ys.agg(F.collect_list("y").alias("_ys"))).select("x", F.explode("_ys").alias("y"))
-    cells = join_small(grid, cells, ["x", "y"], how="left").select("x", "y", F.coalesce("c", F.lit(0)).alias("c"))
-    after_x = Window.partitionBy("y").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
-    s = cells.withColumn("_above", F.coalesce(F.sum("c").over(after_x), F.lit(0)))
-    up = Window.partitionBy("x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)
-    # _above(x, y) = rows with x' > x and y' = y; sum it over y' > y (conc) and y' < y (disc)
-    s = s.withColumn("_conc", F.coalesce(F.sum("_above").over(up), F.lit(0))) \
-         .withColumn("_disc", F.coalesce(F.sum("_above").over(down), F.lit(0))) \
-         .withColumn("_tx", F.sum("c").over(Window.partitionBy("x"))) \
-         .withColumn("_ty", F.sum("c").over(Window.partitionBy("y")))
-    # tie sums: sum over x-groups t(t-1)/2 = sum over cells c (t_x - 1) / 2
-    tot = s.agg(F.sum(F.col("c") * F.col("_conc")).alias("C"), F.sum(F.col("c") * F.col("_disc")).alias("D"),
-                F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("_tx") - 1) / 2).alias("n1"),
-                F.sum(F.col("c") * (F.col("_ty") - 1) / 2).alias("n2"))
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return tot.select(F.col("C").cast("bigint").alias("concordant"), F.col("D").cast("bigint").alias("discordant"),
-                      F.when(den > 0, (F.col("C") - F.col("D")) / den).alias("tau_b"))
+    ys = assign_row_id(cells.select("y").distinct(), ["y"], row_id="_ry")
+    levels = max(1, int(ys.agg(F.max("_ry")).first()[0] or 0).bit_length())
+    c = F.col("c")
+
+    def ties(col: str) -> DataFrame:
+        t = cells.groupBy(col).agg(F.sum("c").alias("t"))
+        return t.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
+
+    tot = cells.agg(F.sum("c").alias("n"), F.sum(c * (c - 1) / 2).alias("both")).first()
+    n1, n2 = ties("x").first()[0] or 0.0, ties("y").first()[0] or 0.0
+    n0 = float(tot["n"] or 0) * (float(tot["n"] or 0) - 1) / 2
+    dealt = join_small(cells, ys, ["y"]).withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    bit = F.expr("shiftright(_ry, _lvl) & 1")
+    dealt = dealt.select("x", "y", "c", "_lvl", F.expr("shiftright(_ry, _lvl + 1)").alias("_above"), bit.alias("_bit"),
+                         F.when(bit == 1, c).otherwise(0).alias("_one"))
+    keys = ["_lvl", "_above"]
+    dealt = assign_row_id(dealt, ["x", "y"], key=keys, row_id="_rid")
+    dealt = running_sum(dealt, keys, "_rid", "_one", "_cum")
+    disc = dealt.agg(F.coalesce(F.sum(F.when(F.col("_bit") == 0, c * F.col("_cum"))), F.lit(0)).cast("double").alias("D"))
+    conc = F.lit(n0 - n1 - n2 + float(tot["both"] or 0.0)) - F.col("D")
+    den = math.sqrt((n0 - n1) * (n0 - n2))
+    tau = (conc - F.col("D")) / F.lit(den) if den > 0 else F.lit(None).cast("double")
+    return disc.select(conc.cast("bigint").alias("concordant"), F.col("D").cast("bigint").alias("discordant"), tau.alias("tau_b"))
 
 
 # ----------------------------------------------------------------------------- G6 / G7 / G9
@@ -134,35 +157,39 @@ def contingency(df: DataFrame, a, b, by=None) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("o"))
 
 
+def _with_margins(cells: DataFrame, keys) -> DataFrame:
+    """Cells with their margins ``_rx`` and ``_cy``, joined from grouped sums."""
+    rx = cells.groupBy(*keys, "x").agg(F.sum("o").alias("_rx"))
+    cy = cells.groupBy(*keys, "y").agg(F.sum("o").alias("_cy"))
+    return join_small(join_small(cells, rx, [*keys, "x"]), cy, [*keys, "y"])
+
+
 def chi_square(cells: DataFrame, keys=None) -> DataFrame:
-    """Pearson chi-square over a contingency table (keys, x, y, o); expected counts from
-    the margins (cells with zero count included implicitly). Returns chi2, n, r, k."""
+    """Pearson chi-square over a contingency table (keys, x, y, o) from its margins (cells
+    with zero count included implicitly): n * sum(o^2 / (rx cy)) - n. Returns chi2, n, r, k."""
     keys = keys_of(keys)
-    wx = Window.partitionBy(*keys, "x")
-    wy = Window.partitionBy(*keys, "y")
-    wall = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
-    c = cells.withColumn("_rx", F.sum("o").over(wx)).withColumn("_cy", F.sum("o").over(wy)) \
-             .withColumn("_n", F.sum("o").over(wall))
-    e = F.col("_rx") * F.col("_cy") / F.col("_n")
-    # sum over all r*k cells of (o-e)^2/e = sum_observed(o^2/e) - n
-    agg = c.groupBy(*keys).agg(F.sum(F.col("o") * F.col("o") / e).alias("_s"), F.first("_n").alias("n"),
-                               F.count_distinct("x").alias("r"), F.count_distinct("y").alias("k"))
-    return agg.select(*keys, (F.col("_s") - F.col("n")).alias("chi2"), F.col("n").cast("bigint").alias("n"),
+    o = F.col("o")
+    agg = _with_margins(cells, keys).groupBy(*keys).agg(
+        F.sum(o * o / (F.col("_rx").cast("double") * F.col("_cy"))).alias("_s"), F.sum("o").alias("n"),
+        F.count_distinct("x").alias("r"), F.count_distinct("y").alias("k"))
+    return agg.select(*keys, (F.col("n") * F.col("_s") - F.col("n")).alias("chi2"), F.col("n").cast("bigint").alias("n"),
                       F.col("r").cast("bigint").alias("r"), F.col("k").cast("bigint").alias("k"))
 
 
+def _bergsma(n, r, k, chi2):
+    """Bias-corrected Cramer's V; NULL where a side has one value or there is one row."""
+    over = lambda x: F.try_divide(x, n - 1)
+    phi2c = F.greatest(F.lit(0.0), chi2 / n - over((k - 1) * (r - 1)))
+    den = F.least(k - over((k - 1) * (k - 1)) - 1, r - over((r - 1) * (r - 1)) - 1)
+    return F.when(den > 0, F.sqrt(F.try_divide(phi2c, den)))
+
+
 def cramers_v(df: DataFrame, a: str, b: str, by=None) -> DataFrame:
     """Bias-corrected Cramer's V (Bergsma)."""
     keys = keys_of(by)
     ch = chi_square(contingency(df, a, b, keys), keys)
-    n, r, k = F.col("n"), F.col("r"), F.col("k")
-    phi2 = F.col("chi2") / n
-    phi2c = F.greatest(F.lit(0.0), phi2 - (k - 1) * (r - 1) / (n - 1))
-    rc = r - (r - 1) * (r - 1) / (n - 1)
-    kc = k - (k - 1) * (k - 1) / (n - 1)
-    den = F.least(kc - 1, rc - 1)
     return ch.select(*keys, F.lit(a).alias("a"), F.lit(b).alias("b"),
-                     F.when(den > 0, F.sqrt(phi2c / den)).alias("cramers_v"))
+                     _bergsma(F.col("n"), F.col("r"), F.col("k"), F.col("chi2")).alias("cramers_v"))
 
 
 def decile_bins(df: DataFrame, col: str, bins: int = 10, method: str = "exact") -> F.Column:
@@ -188,32 +215,31 @@ def contingency_coefficient(df: DataFrame, a: str, b: str, numeric: Sequence[str
 
 def uncertainty_coefficient(df: DataFrame, x: str, y: str) -> DataFrame:
     """Theil's U(x|y) = (H(x) - H(x|y)) / H(x), natural logs; 1 when H(x) = 0."""
-    cells = contingency(df, x, y)
-    wy = Window.partitionBy("y")
-    wx = Window.partitionBy("x")
-    wall = Window.partitionBy(F.lit(0))
-    c = cells.withColumn("_ny", F.sum("o").over(wy)).withColumn("_nx", F.sum("o").over(wx)) \
-             .withColumn("_n", F.sum("o").over(wall))
-    # H(x|y) = -sum o/n log(o/n_y); H(x) = -sum over cells o/n log(n_x/n) (same total per x)
-    h = c.agg(F.sum(-(F.col("o") / F.col("_n")) * F.log(F.col("o") / F.col("_ny"))).alias("hxy"),
-              F.sum(-(F.col("o") / F.col("_n")) * F.log(F.col("_nx") / F.col("_n"))).alias("hx"))
+    c, o = _with_margins(contingency(df, x, y), []), F.col("o")
+    # H(x|y) = -sum o/n log(o/n_y); H(x) = log n - sum over cells o/n log(n_x)
+    h = c.agg(F.sum(-o * F.log(o / F.col("_cy"))).alias("a"), F.sum(o * F.log(F.col("_rx").cast("double"))).alias("b"), F.sum("o").alias("n"))
+    hxy, hx = F.col("a") / F.col("n"), F.log(F.col("n").cast("double")) - F.col("b") / F.col("n")
     return h.select(F.lit(x).alias("x"), F.lit(y).alias("y"),
-                    F.when(F.col("hx") == 0, F.lit(1.0)).otherwise((F.col("hx") - F.col("hxy")) / F.col("hx"))
-                    .alias("uncertainty"))
+                    F.when(hx.between(-1e-12, 1e-12), F.lit(1.0)).otherwise(F.try_divide(hx - hxy, hx)).alias("uncertainty"))
 
 
-def correlation_ratio(df: DataFrame, cat: str, num: str) -> DataFrame:
-    """eta = sqrt(between-group SS / total SS)."""
+def _group_squares(df: DataFrame, cat: str, num: str) -> DataFrame:
+    """One row: groups k, rows N, between-group and within-group sums of squares. Both are sums
+    of squared deviations, so large means do not cancel."""
     x = df.filter(q(cat).isNotNull() & q(num).isNotNull())
     v = q(num).cast("double")
-    g = x.groupBy(q(cat)).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    # between SS = sum S_g^2/n_g - S^2/N ; total SS = sum x^2 - S^2/N
-    r = g.agg(F.sum(F.col("s") ** 2 / F.col("n")).alias("a"), F.sum("s").alias("S"), F.sum("n").alias("N"),
-              F.sum("ss").alias("Q"))
-    ssb = F.col("a") - F.col("S") ** 2 / F.col("N")
-    sst = F.col("Q") - F.col("S") ** 2 / F.col("N")
-    return r.select(F.lit(cat).alias("category"), F.lit(num).alias("numeric"),
-                    F.when(sst > 0, F.sqrt(F.greatest(ssb, F.lit(0.0)) / sst)).otherwise(F.lit(0.0)).alias("eta"))
+    mean = x.agg(F.avg(v)).first()[0]
+    g = x.groupBy(q(cat)).agg(F.count(F.lit(1)).alias("n"), F.avg(v - F.lit(mean or 0.0)).alias("m"), F.var_pop(v).alias("s"))
+    return g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("ssb"),
+                 F.sum(F.col("n") * F.col("s")).alias("ssw"))
+
+
+def correlation_ratio(df: DataFrame, cat: str, num: str) -> DataFrame:
+    """eta = sqrt(between-group SS / total SS)."""
+    ssb, sst = F.col("ssb"), F.col("ssb") + F.col("ssw")
+    return _group_squares(df, cat, num).select(
+        F.lit(cat).alias("category"), F.lit(num).alias("numeric"),
+        F.when(sst > 0, F.sqrt(F.try_divide(ssb, sst))).otherwise(F.lit(0.0)).alias("eta"))
 
 
 # ----------------------------------------------------------------------------- G8
@@ -229,11 +255,8 @@ def associations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         for b in [*categorical[i + 1:], *numeric]:
             cb = binned.get(b, q(b))
             ch = chi_square(contingency(df, a, cb))
-            n, r, k = F.col("n"), F.col("r"), F.col("k")
-            phi2c = F.greatest(F.lit(0.0), F.col("chi2") / n - (k - 1) * (r - 1) / (n - 1))
-            den = F.least(k - (k - 1) * (k - 1) / (n - 1) - 1, r - (r - 1) * (r - 1) / (n - 1) - 1)
             parts.append(ch.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit("cramers_v").alias("method"),
-                                   F.when(den > 0, F.sqrt(phi2c / den)).alias("value")))
+                                   _bergsma(F.col("n"), F.col("r"), F.col("k"), F.col("chi2")).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -275,25 +298,20 @@ def welch_t(df: DataFrame, num: str, group: str, g1, g2) -> DataFrame:
         *[F.avg(F.when(q(group) == g, q(num))).alias(f"m{i}") for i, g in enumerate((g1, g2))],
         *[F.var_samp(F.when(q(group) == g, q(num))).alias(f"v{i}") for i, g in enumerate((g1, g2))],
         *[F.count_if(q(group) == g).alias(f"n{i}") for i, g in enumerate((g1, g2))])
-    se0 = F.col("v0") / F.col("n0")
-    se1 = F.col("v1") / F.col("n1")
-    t = (F.col("m0") - F.col("m1")) / F.sqrt(se0 + se1)
-    dof = (se0 + se1) ** 2 / (se0 ** 2 / (F.col("n0") - 1) + se1 ** 2 / (F.col("n1") - 1))
+    se0 = F.try_divide(F.col("v0"), F.col("n0"))
+    se1 = F.try_divide(F.col("v1"), F.col("n1"))
+    t = F.try_divide(F.col("m0") - F.col("m1"), F.sqrt(se0 + se1))
+    dof = F.try_divide((se0 + se1) ** 2, F.try_divide(se0 ** 2, F.col("n0") - 1) + F.try_divide(se1 ** 2, F.col("n1") - 1))
     return s.select(t.alias("statistic"), dof.alias("dof"))
 
 
 def anova_f(df: DataFrame, num: str, group: str) -> DataFrame:
-    """One-way ANOVA F statistic with (k-1, N-k) degrees of freedom."""
-    x = df.filter(q(group).isNotNull() & q(num).isNotNull())
-    v = q(num).cast("double")
-    g = x.groupBy(q(group)).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    r = g.agg(F.sum(F.col("s") ** 2 / F.col("n")).alias("a"), F.sum("s").alias("S"), F.sum("n").alias("N"),
-              F.sum("ss").alias("Q"), F.count(F.lit(1)).alias("k"))
-    ssb = F.col("a") - F.col("S") ** 2 / F.col("N")
-    ssw = F.col("Q") - F.col("a")
+    """One-way ANOVA F statistic with (k-1, N-k) degrees of freedom; NULL without variation
+    inside the groups or with one group."""
     d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
-    return r.select(((ssb / d1) / (ssw / d2)).alias("statistic"),
-                    d1.cast("bigint").alias("df_between"), d2.cast("bigint").alias("df_within"))
+    f = F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2))
+    return _group_squares(df, group, num).select(f.alias("statistic"), d1.cast("bigint").alias("df_between"),
+                                                 d2.cast("bigint").alias("df_within"))
 
 
 def rank_sums(df: DataFrame, num: str, group: str) -> DataFrame:
@@ -311,17 +329,41 @@ def mann_whitney_u(df: DataFrame, num: str, group: str, g1) -> DataFrame:
     return a.select((F.col("rank_sum") - F.col("n") * (F.col("n") + 1) / 2).alias("statistic"), "n")
 
 
+def _tie_sum(values: DataFrame, col: str):
+    """sum of t^3 - t over the values that t rows share."""
+    t = values.groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("t"))
+    return t.agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0))).first()[0]
+
+
 def kruskal_h(df: DataFrame, num: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H (without the tie correction) and dof."""
-    rs = rank_sums(df, num, group)
-    return rs.agg(F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_s"), F.sum("n").alias("N"),
-                  F.count(F.lit(1)).alias("k")).select(
-        (12.0 / (F.col("N") * (F.col("N") + 1)) * F.col("_s") - 3 * (F.col("N") + 1)).alias("statistic"),
-        (F.col("k") - 1).cast("bigint").alias("dof"))
+    """Kruskal-Wallis H, corrected for ties, and dof; NULL when all values are equal."""
+    x = df.filter(q(group).isNotNull() & q(num).isNotNull())
+    tied = float(_tie_sum(x.select(q(num).cast("double").alias("v")), "v"))
+    n = F.col("N").cast("double")
+    h = F.try_divide(F.lit(12.0) * F.col("_s"), n * (n + 1)) - 3 * (n + 1)
+    return rank_sums(df, num, group).agg(F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_s"), F.sum("n").alias("N"),
+                                         F.count(F.lit(1)).alias("k")).select(
+        F.try_divide(h, 1 - F.try_divide(F.lit(tied), n * n * n - n)).alias("statistic"), (F.col("k") - 1).cast("bigint").alias("dof"))
+
+
+def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Wilcoxon signed-rank test of paired columns: zero differences are left out, tied ones
+    share average ranks. statistic = the smaller rank sum; z = its normal approximation with
+    the tie correction; p_value two-sided; n = the differences used."""
+    d = df.select((q(a).cast("double") - q(b).cast("double")).alias("d")).where("d is not null and d != 0")
+    d = d.select(F.col("d"), F.abs("d").alias("_v"))
+    ranked = join_small(d, rank_table(d, "_v"), ["_v"])
+    tied = float(_tie_sum(d, "_v"))
+    s = ranked.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_rank"))), F.lit(0.0)).alias("plus"),
+                   F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("_rank"))), F.lit(0.0)).alias("minus"), F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("double")
+    w = F.least("plus", "minus")
+    z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.lit(tied) / 48))
+    return s.select(F.when(F.col("n") > 0, w).alias("statistic"), z.alias("z"), F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * norm_cdf(z))).alias("p_value"), "n")
 
 
 def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation test statistic t = r sqrt((n-2)/(1-r^2))."""
-    s = df.filter(q(a).isNotNull() & q(b).isNotNull()).agg(F.corr(q(a), q(b)).alias("r"), F.count(F.lit(1)).alias("n"))
-    return s.select("r", (F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") ** 2))).alias("statistic"),
+    """Correlation test statistic t = r sqrt((n-2)/(1-r^2)); NULL for a constant column."""
+    s = df.filter(q(a).isNotNull() & q(b).isNotNull()).agg(_safe_corr(q(a), q(b)).alias("r"), F.count(F.lit(1)).alias("n"))
+    return s.select("r", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))).alias("statistic"),
                     (F.col("n") - 2).cast("bigint").alias("dof"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from kiln.functions.exprs import (INTEGER_TEXT, MISSING_CATEGORY, NUMERIC_TEXT, PANDAS_NA_TOKENS,
                                   is_blank, nan_to_null, numeric_columns, q, string_columns, strip_ws)
-from kiln.functions.quantiles import exact_quantile_row
+from kiln.functions.quantiles import exact_quantiles
 
 # Numeric fill strategy names accepted by the cleaning list (both spellings).
 FILL_MEAN = ("mean", "media")
@@ -74,10 +74,10 @@ def numeric_text_flags(df: DataFrame, cols: Sequence[str] | None = None) -> dict
     aggs = []
     for i, c in enumerate(targets):
         aggs.append(F.bool_and(q(c).isNull() | q(c).rlike(NUMERIC_TEXT)).alias(f"n{i}"))
-        aggs.append(F.bool_and(q(c).isNull() | q(c).rlike(INTEGER_TEXT)).alias(f"i{i}"))
+        aggs.append((F.bool_and(q(c).isNull() | q(c).rlike(INTEGER_TEXT)) & (F.count(q(c)) > 0)).alias(f"i{i}"))
     row = df.agg(*aggs).first()
-    # An empty table gives NULL; treat as vacuously true like pandas.
-    return {c: (row[f"n{i}"] is not False, row[f"i{i}"] is not False) for i, c in enumerate(targets)}
+    # A column without values is vacuously numeric, but double, as pandas has it.
+    return {c: (row[f"n{i}"] is not False, bool(row[f"i{i}"])) for i, c in enumerate(targets)}
 
 
 def cast_numeric_columns(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -89,10 +89,7 @@ def cast_numeric_columns(df: DataFrame, cols: Sequence[str] | None = None) -> tu
     exprs = []
     for c in df.columns:
         if c in converted:
-            all_int = flags[c][1]
-            # all-NULL column: pandas gives float64
-            exprs.append(q(c).try_cast("bigint" if all_int else "double").alias(c) if all_int
-                         else q(c).try_cast("double").alias(c))
+            exprs.append(q(c).try_cast("bigint" if flags[c][1] else "double").alias(c))
         else:
             exprs.append(q(c))
     out = df.select(*exprs)
@@ -143,7 +140,7 @@ def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = No
                  cols: Sequence[str] | None = None) -> tuple[DataFrame, dict]:
     """Numeric missing values: ``mean`` fill (columns with a gap become double),
     ``value`` fill (only when a value is given), ``drop`` rows with any numeric NULL,
-    ``keep``. NaN counts as missing."""
+    ``keep``; an unknown strategy leaves the columns alone. NaN counts as missing."""
     num = numeric_columns(df, cols)
     types = {f.name: f.dataType for f in df.schema.fields}
     base = df.select(*[nan_to_null(q(c)).alias(c) if c in num and _float_like(types[c]) else q(c)
@@ -161,7 +158,7 @@ def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = No
     report["numeric_missing_before"] = missing
     if strategy in FILL_DROP:
         return base.dropna(how="any", subset=num), report
-    if strategy in FILL_KEEP:
+    if strategy not in FILL_MEAN and strategy not in FILL_VALUE:  # FILL_KEEP and unknown names
         report["numeric_missing_after"] = dict(missing)
         return base, report
     imputations = {}
@@ -175,7 +172,7 @@ def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = No
             fills[c] = F.coalesce(q(c).cast("double") if not isinstance(value, int) or _float_like(types[c])
                                   else q(c), F.lit(value))
             imputations[c] = {"filled_with": value, "missing_count": missing[c]}
-        else:  # mean (also the default for unknown names)
+        else:
             mean = row[f"a{i}"]
             if mean is None:
                 continue  # all-NULL column stays NULL
@@ -204,54 +201,74 @@ def fill_categorical_df(df: DataFrame, token: str = MISSING_CATEGORY, cols=None)
 
 
 # ----------------------------------------------------------------------------- C12
+def _bound_literals(lo: float, hi: float, dt: T.DataType):
+    """Typed literals of a column's own type, so the comparison reaches the scan; bounds beyond
+    an integer type's range are cut to it, which keeps the same rows."""
+    if isinstance(dt, T.IntegralType):
+        bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(dt), 64)
+        least, most = -(1 << (bits - 1)), (1 << (bits - 1)) - 1
+        low, high = math.ceil(lo), math.floor(hi)
+        if low > most or high < least:
+            return None
+        return F.lit(max(low, least)).cast(dt), F.lit(min(high, most)).cast(dt)
+    return F.lit(lo).cast(dt), F.lit(hi).cast(dt)
+
+
 def filter_outliers(df: DataFrame, k: float = 2.5, cols: Sequence[str] | None = None,
                     method: str = "exact", report: bool = False, persist: bool = False) -> tuple[DataFrame, dict]:
     """Sequential IQR filter. For each numeric column in schema order, on the rows that
     survived the earlier columns: if more than one non-null value, keep
     ``Q1 - k*IQR <= x <= Q3 + k*IQR`` (NULL is dropped). Quartiles are linear (pandas).
-    One aggregate per column (a true data dependency); the bounds are literals, so each
-    step is a pushable filter on the same lazy plan: each bound re-reads only its own
-    column, with the earlier bounds pushed into the scan. ``persist=True`` keeps the input
-    while the bounds are computed (worth it only for small, expensive-to-recompute inputs)."""
+
+    The bounds of all columns are computed together on the rows at hand (one pair of jobs), and
+    hold up to and including the first column that removes a row, which one more aggregate
+    tells; the columns behind it are redone on the survivors, in batches that halve at every
+    removal. The result is one filter with literal bounds on the original plan (pushable)."""
     from pyspark import StorageLevel
 
     num = numeric_columns(df, cols)
-    # The bounds need one aggregate per column over the survivors of the earlier columns;
-    # the result is a plain filter with literal bounds on the original plan (pushable).
     base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    cur = base
-    cond = None
-    removed: dict[str, int] = {}
-    prev_rows = None
+    cond, removed, width = None, {}, max(len(num), 1)
+    todo = list(num)
     try:
-        for c in num:
-            stats = exact_quantile_row(cur, c, [0.25, 0.75], method=method)
-            n_rows = None
-            if report:
-                n_rows = cur.count() if prev_rows is None else prev_rows
-            if stats is None or stats["n"] is None or stats["n"] <= 1:
-                continue
-            q1, q3 = float(stats["q0"]), float(stats["q1"])
-            iqr = q3 - q1
-            lo, hi = q1 - k * iqr, q3 + k * iqr
-            dt = df.schema[c].dataType
-            if isinstance(dt, T.IntegralType):
-                # same rows, but typed literals keep the comparison pushable to the scan
-                lo_l, hi_l = F.lit(math.ceil(lo)).cast(dt), F.lit(math.floor(hi)).cast(dt)
-            else:
-                lo_l, hi_l = F.lit(lo).cast(dt), F.lit(hi).cast(dt)
-            keep = (q(c) >= lo_l) & (q(c) <= hi_l)
-            cond = keep if cond is None else cond & keep
-            cur = cur.filter(keep)
-            if report:
-                after = cur.count()
-                removed[c] = int(n_rows - after)
-                prev_rows = after
+        while todo:
+            cur = base if cond is None else base.filter(cond)
+            batch = todo[:width]
+            items = F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v")) for i, c in enumerate(batch)])
+            stats = {r["c"]: r for r in exact_quantiles(cur.select(F.explode(items).alias("x")).select("x.*"), "v", [0.25, 0.75],
+                                                        by="c", method=method).collect()}
+            keeps = []
+            for i, c in enumerate(batch):
+                r = stats.get(i)
+                if r is None or r["n"] <= 1:
+                    keeps.append(F.lit(True))
+                    continue
+                keeps.append(F.coalesce(_within_fences(df, c, r, k), F.lit(False)))
+            upto, gone = F.lit(True), []
+            for i, keep in enumerate(keeps):
+                gone.append(F.count_if(upto & ~keep).alias(f"g{i}"))
+                upto = upto & keep
+            lost = cur.agg(*gone).first()
+            done = next((i for i in range(len(batch)) if lost[i]), len(batch) - 1) + 1
+            for i, c in enumerate(batch[:done]):
+                if i in stats and stats[i]["n"] > 1:
+                    removed[c] = int(lost[i])
+                    fence = _within_fences(df, c, stats[i], k)
+                    cond = fence if cond is None else cond & fence
+            todo = todo[done:]
+            width = max(1, width // 2) if done < len(batch) else max(width, 1) * 2
     finally:
         if persist:
             base.unpersist()
     out = df if cond is None else df.filter(cond)
-    return out, {"outliers_removed": removed}
+    return out, {"outliers_removed": removed if report else {}}
+
+
+def _within_fences(df: DataFrame, c: str, r, k: float):
+    """The filter of one column from its quartiles."""
+    reach = k * (float(r["q1"]) - float(r["q0"]))
+    bounds = _bound_literals(float(r["q0"]) - reach, float(r["q1"]) + reach, df.schema[c].dataType)
+    return F.lit(False) if bounds is None else (q(c) >= bounds[0]) & (q(c) <= bounds[1])
 
 
 # ----------------------------------------------------------------------------- C13

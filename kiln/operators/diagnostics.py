@@ -17,37 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import inv_norm, q
-from kiln.functions.quantiles import quantiles_long
 from kiln.operators.order import add_lag_columns, assign_row_id, join_small, keys_of
 
 MAX_ACF_LAG = 20
 
 
 # ----------------------------------------------------------------------------- X13
-def filliben_positions(n: int) -> list[float]:
-    """Filliben's order-statistic medians for n points."""
-    if n == 1:
-        return [0.5]
-    last = 0.5 ** (1.0 / n)
-    mids = [(i - 0.3175) / (n + 0.365) for i in range(2, n)]
-    return [1 - last, *mids, last]
-
-
-def qq_points(df: DataFrame, col: str, n_points: int = 200) -> DataFrame:
-    """(i, theoretical, sample): normal quantiles at Filliben positions against the exact
-    sample quantiles at the same positions (at most ``n_points`` points)."""
-    n = int(df.filter(q(col).isNotNull()).count())
-    m = max(1, min(n_points, n))
-    pts = quantiles_long(df, col, filliben_positions(m))
-    return pts.select(F.col("i").cast("int"), inv_norm(F.col("p")).alias("theoretical"),
-                      F.col("value").alias("sample"))
+def qq_points(df: DataFrame, col: str) -> DataFrame:
+    """(i, theoretical, sample) for every non-null value in order: the normal quantile at
+    Filliben's order-statistic median of its rank, against the value itself. Ranks come from
+    the range-partitioned row ids, so no list of positions exists anywhere."""
+    x = df.filter(q(col).isNotNull()).select(q(col).cast("double").alias("sample"))
+    x = assign_row_id(x, ["sample"], row_id="i", with_count="_n")
+    n, i = F.col("_n"), F.col("i")
+    last = F.pow(F.lit(0.5), 1.0 / n)
+    p = (F.when(n == 1, F.lit(0.5)).when(i == 0, 1 - last).when(i == n - 1, last)
+          .otherwise((i + 1 - 0.3175) / (n + 0.365)))
+    return x.select("i", inv_norm(p).alias("theoretical"), "sample")
 
 
 # ----------------------------------------------------------------------------- X14
 def acf(df: DataFrame, col: str, order_cols: Sequence[str], key=None, max_lag: int = MAX_ACF_LAG,
         block: int | None = None) -> DataFrame:
     """(keys, lag, acf) for lags 0..min(max_lag, n//4) per series:
-    sum_t (x_t - m)(x_{t-k} - m) / sum_t (x_t - m)^2."""
+    sum_t (x_t - m)(x_{t-k} - m) / sum_t (x_t - m)^2; NULL for a constant series."""
     keys = keys_of(key)
     x = df.filter(q(col).isNotNull()).select(*[q(k) for k in keys], *[q(c) for c in order_cols if c not in keys],
                                              q(col).cast("double").alias("_x"))
@@ -58,7 +51,7 @@ def acf(df: DataFrame, col: str, order_cols: Sequence[str], key=None, max_lag: i
     x = add_lag_columns(x, keys, "_rid", [(f"_l{k}", "_d", k) for k in range(1, max_lag + 1)], block=block)
     sums = x.groupBy(*keys).agg(F.first("_n").alias("_n"), F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
                                 *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, max_lag + 1)])
-    arr = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_s{k}") / F.col("_s0")).alias("acf"))
+    arr = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_s{k}"), F.col("_s0")).alias("acf"))
                     for k in range(0, max_lag + 1)])
     out = sums.select(*keys, "_n", F.explode(arr).alias("r")).select(*keys, "_n", "r.*")
     return out.filter(F.col("lag") <= F.least(F.lit(max_lag), F.floor(F.col("_n") / 4))).drop("_n")
@@ -68,7 +61,7 @@ def acf(df: DataFrame, col: str, order_cols: Sequence[str], key=None, max_lag: i
 def pacf_from_acf(r: Sequence[float]) -> list[float]:
     """Durbin-Levinson recursion: partial autocorrelations for lags 0..len(r)-1."""
     K = len(r) - 1
-    out = [1.0]
+    out = [1.0 if r[0] == r[0] else float("nan")]
     phi_prev: list[float] = []
     for k in range(1, K + 1):
         if k == 1:
@@ -96,7 +89,8 @@ def pacf(df: DataFrame, col: str, order_cols: Sequence[str], key=None, max_lag:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, r in pdf.iterrows():
-            vals = [float(s["acf"]) if isinstance(s, dict) else float(s[1]) for s in r["_a"]]
+            vals = [s["acf"] if isinstance(s, dict) else s[1] for s in r["_a"]]
+            vals = [float("nan") if v is None else float(v) for v in vals]
             for lag, v in enumerate(pacf_from_acf(vals)):
                 rec = {k: r[k] for k in keys}
                 rec.update(lag=lag, pacf=None if np.isnan(v) else v)

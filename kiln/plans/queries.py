@@ -1068,22 +1068,19 @@ def _inv_norm_sql(p: str) -> str:
             f"ELSE -{poly(c, qh)} / ({poly(d, qh)} * {qh} + 1) END")
 
 
-def _qq_sql(n_points: int) -> str:
-    from kiln.operators.diagnostics import filliben_positions
-
-    pos = filliben_positions(n_points)
-    plist = ", ".join(f"{p!r}::DOUBLE" for p in pos)
-    return f"""
+_QQ_SQL = f"""
 WITH r AS (SELECT l_extendedprice - l_quantity * 1500.0 AS r FROM lineitem),
-q AS (SELECT quantile_cont(r, [{plist}]) AS qs FROM r),
-u AS (SELECT unnest(range(0, {n_points})) AS i, unnest([{plist}]) AS p, unnest(qs) AS v FROM q)
-SELECT CAST(i AS INTEGER) AS i, round({_inv_norm_sql("p")}, 6) AS theoretical, round(v, 6) AS sample FROM u"""
+u AS (SELECT r, row_number() OVER (ORDER BY r) AS k, count(*) OVER () AS n FROM r),
+p AS (SELECT k - 1 AS i, r, CASE WHEN k = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN k = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n)
+                                 ELSE (k - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM u)
+SELECT CAST(i AS BIGINT) AS i, round({_inv_norm_sql("p")}, 6) AS theoretical, round(r, 6) AS sample FROM p"""
 
 
-@register("x13_qq_points", _qq_sql(200))
+@register("x13_qq_points", _QQ_SQL)
 def q_x13(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of lineitem is a point."""
     li = table(spark, sf, "lineitem").withColumn("r", F.col("l_extendedprice") - F.col("l_quantity") * 1500.0)
-    return _rounded(diagnostics.qq_points(li, "r", n_points=200))
+    return _rounded(diagnostics.qq_points(li, "r"))
 
 
 def _acf_sql(max_lag: int = 20) -> str:
@@ -1229,6 +1226,57 @@ def q_g5(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(assoc.kendall_tau(table(spark, sf, "lineitem"), "l_quantity", "l_discount"))
 
 
+@register("g5_kendall_continuous", """
+WITH r AS (SELECT l_extendedprice AS x, l_partkey + l_discount AS y FROM lineitem),
+ix AS (SELECT x, y, row_number() OVER (ORDER BY x, y) AS i FROM r),
+n AS (SELECT count(*)::DOUBLE AS n FROM r),
+tx AS (SELECT sum(t * (t - 1) / 2)::DOUBLE AS v FROM (SELECT count(*) AS t FROM r GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1) / 2)::DOUBLE AS v FROM (SELECT count(*) AS t FROM r GROUP BY y)),
+txy AS (SELECT sum(t * (t - 1) / 2)::DOUBLE AS v FROM (SELECT count(*) AS t FROM r GROUP BY x, y)),
+d AS (SELECT count(*)::DOUBLE AS d FROM r a JOIN r b ON a.x < b.x AND a.y > b.y)
+SELECT CAST(n * (n - 1) / 2 - tx.v - ty.v + txy.v - d AS BIGINT) AS concordant, CAST(d AS BIGINT) AS discordant,
+       round((n * (n - 1) / 2 - tx.v - ty.v + txy.v - 2 * d) / sqrt((n * (n - 1) / 2 - tx.v) * (n * (n - 1) / 2 - ty.v)), 6) AS tau_b
+FROM n, tx, ty, txy, d""")
+def q_g5c(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns of thousands of distinct values."""
+    li = table(spark, sf, "lineitem").select("l_extendedprice", (F.col("l_partkey") + F.col("l_discount")).alias("y"))
+    return _rounded(assoc.kendall_tau(li, "l_extendedprice", "y"))
+
+
+_DEGENERATE = """
+SELECT CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_quantity END AS a,
+       CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_extendedprice END AS b, 1.0::DOUBLE AS c, l_discount AS d FROM lineitem"""
+
+
+def degenerate_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns with NULLs on different rows, a constant one, and a plain one."""
+    return table(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity")).alias("a"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("l_extendedprice")).alias("b"), F.lit(1.0).alias("c"), F.col("l_discount").alias("d"))
+
+
+def _pairwise_sql(ranked: bool) -> str:
+    parts = [f"SELECT '{c}' AS a, '{c}' AS b, {'NULL::DOUBLE' if c == 'c' else '1.0::DOUBLE'} AS corr" for c in "abcd"]
+    for x, y in (("a", "b"), ("a", "d"), ("b", "d")):
+        rk = lambda v: f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS {v}"
+        cols = f"{rk(x)}, {rk(y)}" if ranked else f"{x}, {y}"
+        one = f"(SELECT corr({x}, {y}) FROM (SELECT {cols} FROM dd WHERE {x} IS NOT NULL AND {y} IS NOT NULL))"
+        parts += [f"SELECT '{x}', '{y}', {one}", f"SELECT '{y}', '{x}', {one}"]
+    for x in "abd":
+        parts += [f"SELECT '{x}', 'c', NULL", f"SELECT 'c', '{x}', NULL"]
+    return f"WITH dd AS ({_DEGENERATE}), r AS ({' UNION ALL '.join(parts)}) SELECT a, b, round(corr, 6) AS corr FROM r"
+
+
+@register("g3_pearson_degenerate", _pairwise_sql(False))
+def q_g3d(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.corr_matrix(degenerate_columns(spark, sf), ["a", "b", "c", "d"]))
+
+
+@register("g4_spearman_degenerate", _pairwise_sql(True))
+def q_g4d(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(assoc.corr_matrix(degenerate_columns(spark, sf), ["a", "b", "c", "d"], "spearman"))
+
+
 def _cramers_sql(src: str, a: str, b: str) -> str:
     return f"""
 WITH c AS (SELECT CAST({a} AS VARCHAR) AS x, CAST({b} AS VARCHAR) AS y, count(*) AS o FROM ({src})
@@ -1351,21 +1399,26 @@ w AS (SELECT avg(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS m0,
              var_samp(CASE WHEN l_linestatus = 'F' THEN l_extendedprice END) AS v0,
              var_samp(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END) AS v1,
              count_if(l_linestatus = 'F') AS n0, count_if(l_linestatus = 'O') AS n1 FROM lineitem),
-g AS (SELECT l_returnflag, count(*) AS n, sum(l_extendedprice) AS s, sum(l_extendedprice * l_extendedprice) AS ss
-      FROM lineitem GROUP BY 1),
-an AS (SELECT sum(s * s / n) AS a, sum(s) AS S, sum(n) AS N, sum(ss) AS Q, count(*) AS k FROM g),
+g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1),
+an AS (SELECT sum(n * (m - (SELECT avg(l_extendedprice) FROM lineitem)) * (m - (SELECT avg(l_extendedprice) FROM lineitem))) AS b,
+              sum(n * v) AS w, sum(n) AS N, count(*) AS k FROM g),
 rk AS (SELECT l_returnflag, l_linestatus,
               rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
 mw AS (SELECT sum(r) - count(*) * (count(*) + 1) / 2.0 AS u FROM rk WHERE l_linestatus = 'F'),
-kw AS (SELECT sum(rs * rs / n) AS s, sum(n) AS N, count(*) AS k FROM
-         (SELECT l_returnflag, sum(r) AS rs, count(*) AS n FROM rk GROUP BY 1)),
+kw AS (SELECT l_returnflag, avg(r) AS mr, count(*) AS n FROM rk GROUP BY 1),
+kn AS (SELECT count(*)::DOUBLE AS n, avg(r) AS m, sum((r - (SELECT avg(r) FROM rk)) * (r - (SELECT avg(r) FROM rk))) AS ss FROM rk),
+wd AS (SELECT l_quantity - l_linenumber * 6.0 AS d FROM lineitem WHERE l_quantity <> l_linenumber * 6.0),
+wr AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM wd),
+ws AS (SELECT sum(CASE WHEN d > 0 THEN r END) AS p, sum(CASE WHEN d < 0 THEN r END) AS m FROM wr),
 pc AS (SELECT corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem)
 SELECT 'chi2_independence' AS test, round(stat, 6) AS statistic, CAST(dof AS DOUBLE) AS dof FROM chi
 UNION ALL SELECT 'welch_t', round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 6),
   round(power(v0 / n0 + v1 / n1, 2) / (power(v0 / n0, 2) / (n0 - 1) + power(v1 / n1, 2) / (n1 - 1)), 6) FROM w
-UNION ALL SELECT 'anova_f', round(((a - S * S / N) / (k - 1)) / ((Q - a) / (N - k)), 6), CAST(k - 1 AS DOUBLE) FROM an
+UNION ALL SELECT 'anova_f', round((b / (k - 1)) / (w / (N - k)), 6), CAST(k - 1 AS DOUBLE) FROM an
 UNION ALL SELECT 'mann_whitney_u', round(u, 6), NULL FROM mw
-UNION ALL SELECT 'kruskal_h', round(12.0 / (N * (N + 1)) * s - 3 * (N + 1), 6), CAST(k - 1 AS DOUBLE) FROM kw
+UNION ALL SELECT 'kruskal_h', round((n - 1) * (SELECT sum(g.n * (g.mr - kn.m) * (g.mr - kn.m)) FROM kw g) / ss, 5),
+  CAST((SELECT count(*) - 1 FROM kw) AS DOUBLE) FROM kn
+UNION ALL SELECT 'wilcoxon', round(least(p, m), 6), CAST((SELECT count(*) FROM wd) AS DOUBLE) FROM ws
 UNION ALL SELECT 'pearson_t', round(r * sqrt((n - 2) / (1 - r * r)), 6), CAST(n - 2 AS DOUBLE) FROM pc""")
 def q_g18(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
@@ -1378,7 +1431,9 @@ def q_g18(spark: SparkSession, sf: str) -> DataFrame:
                                                                     F.col("df_between").cast("double").alias("dof")),
         assoc.mann_whitney_u(li, "l_quantity", "l_linestatus", "F").select(
             F.lit("mann_whitney_u").alias("test"), "statistic", F.lit(None).cast("double").alias("dof")),
-        assoc.kruskal_h(li, "l_quantity", "l_returnflag").select(F.lit("kruskal_h").alias("test"), "statistic",
+        assoc.wilcoxon(li.withColumn("six", F.col("l_linenumber") * 6.0), "l_quantity", "six").select(
+            F.lit("wilcoxon").alias("test"), "statistic", F.col("n").cast("double").alias("dof")),
+        assoc.kruskal_h(li, "l_quantity", "l_returnflag").select(F.lit("kruskal_h").alias("test"), F.round("statistic", 5).alias("statistic"),
                                                                   F.col("dof").cast("double")),
         assoc.pearson_test(li, "l_quantity", "l_extendedprice").select(F.lit("pearson_t").alias("test"),
                                                                         "statistic", F.col("dof").cast("double")),

@@ -85,8 +85,8 @@ def test_acf_pacf_match_numpy(spark):
 
 def test_qq_points(spark):
     df = spark.createDataFrame([(float(v),) for v in np.random.default_rng(1).normal(size=500)], "x double")
-    pts = diagnostics.qq_points(df, "x", n_points=50).orderBy("i").collect()
-    assert len(pts) == 50 and pts[0].theoretical < -2 and pts[-1].theoretical > 2
+    pts = diagnostics.qq_points(df, "x").orderBy("i").collect()
+    assert len(pts) == 500 and pts[0].theoretical < -2 and pts[-1].theoretical > 2
     assert np.corrcoef([p.theoretical for p in pts], [p.sample for p in pts])[0, 1] > 0.98
 
 
@@ -117,3 +117,33 @@ def test_standardize_population(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, c double")
     r = profile.standardize(df).collect()
     assert [x.x for x in r] == [-1.0, 1.0] and [x.c for x in r] == [0.0, 0.0]
+
+
+def test_degenerate_inputs_give_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "g", 1), (1.0, 3.0, "g", 2), (1.0, None, "g", 3)], "c double, x double, g string, t int")
+    m = {(r.a, r.b): r.corr for r in assoc.corr_matrix(df, ["c", "x"]).collect()}
+    assert m == {("c", "x"): None, ("x", "c"): None, ("c", "c"): None, ("x", "x"): 1.0}
+    assert {r.acf for r in diagnostics.acf(df.union(df.selectExpr("c", "x", "g", "t + 3")), "c", ["t"]).collect()} == {None}
+    one = df.limit(1)
+    assert assoc.cramers_v(one, "g", "t").first().cramers_v is None
+    assert assoc.kruskal_h(df, "c", "g").first().statistic is None and assoc.anova_f(df, "c", "g").first().statistic is None
+    assert assoc.pearson_test(df, "c", "x").first().statistic is None
+    assert assoc.kendall_tau(df, "c", "x").first().tau_b is None
+    assert assoc.wilcoxon(df, "c", "c").first().statistic is None
+
+
+def test_rank_tests_against_definitions(spark):
+    rng = np.random.default_rng(4)
+    a, b, g = rng.integers(0, 9, 200), rng.integers(0, 9, 200), rng.integers(0, 3, 200)
+    df = spark.createDataFrame([(int(x), int(y), int(z)) for x, y, z in zip(a, b, g)], "a int, b int, g int")
+
+    def ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    r = ranks(a)
+    h = 199 * sum((g == k).sum() * (r[g == k].mean() - r.mean()) ** 2 for k in range(3)) / ((r - r.mean()) ** 2).sum()
+    assert abs(assoc.kruskal_h(df, "a", "g").first().statistic - h) < 1e-9
+    d = (a - b)[a != b]
+    rd = ranks(np.abs(d))
+    w = assoc.wilcoxon(df, "a", "b").first()
+    assert abs(w.statistic - min(rd[d > 0].sum(), rd[d < 0].sum())) < 1e-9 and 0 < w.p_value <= 1 and w.n == len(d)

@@ -41,3 +41,17 @@ def test_long_form(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     out = {r["i"]: r["value"] for r in quantiles_long(df, "x", [0.05, 0.5, 0.95]).collect()}
     assert np.allclose([out[0], out[1], out[2]], np.quantile(vals, [0.05, 0.5, 0.95]))
+
+
+def test_ties_are_counted_not_collected(spark):
+    """A constant and a zero-inflated column: one row per value, and no list of rows in the plan."""
+    df = spark.range(20_000).selectExpr("7.0D as c", "if(id % 10 < 9, 0.0D, id * 1.0D) as z", "id % 3 as g")
+    for col in ("c", "z"):
+        vals = np.array([r[0] for r in df.select(col).collect()])
+        got = exact_quantiles(df, col, [0.05, 0.5, 0.9, 0.95])
+        assert np.allclose([got.first()[f"q{i}"] for i in range(4)], np.quantile(vals, [0.05, 0.5, 0.9, 0.95]), atol=1e-9)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+    by = {r.g: r for r in exact_quantiles(df, "z", [0.95], by="g").collect()}
+    for g in range(3):
+        vals = np.array([r[0] for r in df.where(f"g = {g}").select("z").collect()])
+        assert abs(by[g].q0 - np.quantile(vals, 0.95)) < 1e-9
