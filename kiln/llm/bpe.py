@@ -38,7 +38,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 400_000
+from kiln.llm.shared import bounded_batches
+
+CACHE_PIECES = 200_000
 SHORT = 40
 NEVER = 1 << 40
 SEGMENT_CHARS = 1 << 16
@@ -380,6 +382,7 @@ def load(path: str) -> bytes:
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", rows: int = 500) -> DataFrame:
     """``df`` with the token ids (array<int>) of its text; a column of that name is replaced."""
     df = df.drop(ids_col)
+    bounded_batches(df.sparkSession)
     data = load(path)
     made = Model(data)
     lookahead, newer = made.lookahead, made.newer
@@ -400,6 +403,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     """``df`` with the text of its token ids; NULL ids give empty text, unknown ids nothing. A column
     of that name is replaced."""
     df = df.drop(text_col)
+    bounded_batches(df.sparkSession)
     data = load(path)
     made = Model(data)
     lookahead, newer = made.lookahead, made.newer

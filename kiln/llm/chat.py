@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.llm.shared import bounded_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _ROLE = re.compile(r"[%\r\n<]")
@@ -109,6 +111,7 @@ def format_turns(conversations: DataFrame, loss_role: str = "assistant", rows: i
     """Per turn: conv_id, turn, role, text, formatted, loss_start, loss_end (code points in
     ``formatted`` that count for the loss; both 0 for other roles). A conversation's formatted
     text is its turns' in order, end to end."""
+    bounded_batches(conversations.sparkSession)
     source = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                                   F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.shared import fresh
+from kiln.llm.shared import bounded_batches, fresh
 from kiln.llm.text import MARKS, U64, Batch, mix
 
 EXACT_BELOW = 12
@@ -166,6 +166,7 @@ def mark_items(docs: DataFrame, items: DataFrame, text_col: str = "text", out_co
                block_items: int = 20_000, block_bytes: int = 16 << 20, keep_text: bool = True) -> DataFrame:
     """``docs`` with the items found in each row, array<struct(item_id, containment, n_shingles)>;
     a column of that name is replaced. Nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     kind = "array<struct<item_id:bigint,containment:double,n_shingles:bigint>>"
     marked, passes = docs, []

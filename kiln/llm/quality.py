@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.shared import fresh
+from kiln.llm.shared import bounded_batches, fresh
 from kiln.llm.text import Batch, mix
 
 
@@ -136,6 +136,7 @@ def train(examples: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, fl
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out_col: str = "score", s: Settings = Settings()) -> DataFrame:
     """``docs`` with the probability of label 1, from the text alone; a column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.shared import fresh, stored
+from kiln.llm.shared import stored
 
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -191,10 +191,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
 def redacted(docs: DataFrame, text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001, mark: str = "[secret]") -> DataFrame:
     """``docs`` with its secrets cut out of the text; reads the texts twice and shuffles none."""
-    text, found = F.col(f"`{text_col}`"), fresh(docs, "found")
+    text = F.col(f"`{text_col}`")
     raw = raw_spans(F.coalesce(text, F.lit("")))
     least = thresholds(docs.select(raw.alias("raw")), fdr, alpha)
-    return docs.withColumn(found, accepted(raw, least, alpha)).withColumn(text_col, redact(text, F.col(found), mark)).drop(found)
+    found = F.transform(F.array(raw), lambda r: accepted(r, least, alpha))  # each step's value is worked out once
+    return docs.withColumn(text_col, F.transform(found, lambda f: redact(text, f, mark))[0])
 
 
 def listed(found: Column) -> Column:

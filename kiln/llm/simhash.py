@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.graph import components
-from kiln.llm.shared import fresh, stored
+from kiln.llm.shared import bounded_batches, fresh, stored
 
 LARGE_BUCKET = 4096
 SHINGLES_AT_ONCE = 50_000
@@ -64,6 +64,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of every row."""
+    bounded_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm import text as tx
-from kiln.llm.shared import buckets_for, partitions, scratch, stored
+from kiln.llm.shared import bounded_batches, buckets_for, partitions, scratch, stored
 
 CHUNK_BYTES = 4 << 20
 #: Windows in one hash bucket, on average; a bucket is one task's group.
@@ -251,6 +251,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("window must be 2 words or more")
     spark, width = docs.sparkSession, window // 2
+    bounded_batches(spark)
     width = width if 2 * width - 1 <= window else 1
     n = partitions(spark)
     table = scratch(spark, "substring").rsplit("/", 1)[-1].replace("-", "_")

@@ -23,6 +23,10 @@ LOWER[65:91] += 32
 LANES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
 
+#: Bytes of text whose prefix sums are held at a time (a single longer word is held whole).
+BLOCK_BYTES = 1 << 19
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply, twice)."""
     x = x ^ (x >> U64(30))
@@ -71,14 +75,18 @@ class Batch:
         return np.repeat(np.arange(len(self.first) - 1), self.n_words)
 
     def ids(self, lane: int = 0) -> np.ndarray:
-        """A 64-bit id for each word."""
+        """A 64-bit id for each word; worked out for a bounded number of bytes at a time."""
         base = LANES[lane][0]
-        n = len(self.raw)
-        prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.raw.astype(U64) + U64(1)) * _powers(base, n)[:n], out=prefix[1:])
-        back = _powers(_inverse(base), n)
-        value = (prefix[self.end] - prefix[self.start]) * back[self.start]
-        return mix(value + (self.end - self.start).astype(U64) * U64(0x2545F4914F6CDD1D))
+        out = np.empty(len(self.start), dtype=U64)
+        cut = np.unique(np.append(np.searchsorted(self.start, np.arange(0, len(self.raw), BLOCK_BYTES)), len(self.start)))
+        for i, j in zip(cut[:-1], cut[1:]):
+            lo, hi = self.start[i], self.end[j - 1]
+            n = int(hi - lo)
+            prefix = np.zeros(n + 1, dtype=U64)
+            np.cumsum((self.raw[lo:hi].astype(U64) + U64(1)) * _powers(base, n)[:n], out=prefix[1:])
+            start, end = self.start[i:j] - lo, self.end[i:j] - lo
+            out[i:j] = (prefix[end] - prefix[start]) * _powers(_inverse(base), n)[start] + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D)
+        return mix(out)
 
     def windows(self, width: int, lane: int = 0, ids: np.ndarray | None = None) -> np.ndarray:
         """A hash of the ``width`` words from each word on; only those that ``fits`` marks count."""
