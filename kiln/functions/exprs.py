@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,11 +45,10 @@ def from_micros_ntz(c: Column) -> Column:
     return F.timestamp_micros(c).cast("timestamp_ntz")
 
 
-def portable_hash(c: Column, seed: int = 42) -> Column:
-    """Deterministic 32-bit multiplicative hash of an integer id, identical in DuckDB:
-    ``(id * 2654435761 + seed) mod 2^32`` (computed in decimal to avoid overflow)."""
-    v = c.cast("decimal(38,0)") * F.lit(2654435761) + F.lit(seed)
-    return F.pmod(v, F.lit(4294967296)).cast("bigint")
+def portable_hash(cols: Sequence[Column], seed: int = 42) -> Column:
+    """MD5 (hexadecimal) of a seed and the values of ``cols`` of any type, the same in DuckDB:
+    ``md5(concat_ws(chr(31), seed, c1, c2, ...))`` with NULL as empty text."""
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]))
 
 
 def r6(c: Column) -> Column:

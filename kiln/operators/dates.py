@@ -46,9 +46,9 @@ COMMON_STEPS = [3600, 86400, 604800, 2628000, 31536000]
 STEP_TOLERANCE = 0.1
 
 # Formats accepted by the UTC / keep-zone standardisation (optional offset suffix).
-_ZONED = ["yyyy-M-d H:m:s.SSSSSS[XXX][XX]", "yyyy-M-d'T'H:m:s.SSSSSS[XXX][XX]",
-          "yyyy-M-d H:m:s[XXX][XX]", "yyyy-M-d'T'H:m:s[XXX][XX]", "yyyy-M-d'T'H:m:s'Z'",
-          "yyyy-M-d H:m[XXX][XX]", "yyyy-M-d"]
+_ZONED = ["yyyy-M-d H:m:s.SSSSSS[XXX][XX][X]", "yyyy-M-d'T'H:m:s.SSSSSS[XXX][XX][X]",
+          "yyyy-M-d H:m:s[XXX][XX][X]", "yyyy-M-d'T'H:m:s[XXX][XX][X]", "yyyy-M-d'T'H:m:s'Z'",
+          "yyyy-M-d H:m[XXX][XX][X]", "yyyy-M-d"]
 
 MICROS_PER_SECOND = 1_000_000
 HOUR_US = 3600 * MICROS_PER_SECOND
@@ -101,8 +101,9 @@ def parse_dates(df: DataFrame, col: str, formats: Sequence[str] | None = None, m
     """Text -> ``timestamp_ntz``; anything not in the chosen format becomes NULL.
 
     ``mode="first"``: one format is fixed from the first (by ``order_cols``) non-null value
-    that any candidate parses, and applied to every row (pandas behaviour: a later value
-    in another layout becomes NULL). ``mode="any"``: first candidate that parses each row.
+    and applied to every row (pandas behaviour: a later value in another layout becomes
+    NULL); if no candidate fits that value, every row is parsed on its own, as in
+    ``mode="any"``: the first candidate that parses it.
     """
     out = out or col
     if not _is_text(df, col):
@@ -111,17 +112,16 @@ def parse_dates(df: DataFrame, col: str, formats: Sequence[str] | None = None, m
     if mode == "any":
         parsed = F.coalesce(*[_try_parse(q(col), f) for f in cands])
     else:
-        ok_any = F.coalesce(*[_try_parse(q(col), f) for f in cands]).isNotNull()
         order = order_cols or []
+        known = df.filter(q(col).isNotNull())
         if order:
-            ordkey = F.struct(*[q(c) for c in order])
-            row = df.filter(ok_any).agg(F.min_by(q(col), ordkey).alias("s")).first()
+            row = known.agg(F.min_by(q(col), F.struct(*[q(c) for c in order])).alias("s")).first()
         else:
-            row = df.filter(ok_any).agg(F.first(q(col), ignorenulls=True).alias("s")).first()
+            row = known.agg(F.first(q(col)).alias("s")).first()
         sample = row["s"] if row else None
         fmt = guess_format(sample, cands) if sample is not None else None
         if fmt is None:
-            parsed = F.lit(None).cast("timestamp")
+            parsed = F.coalesce(*[_try_parse(q(col), f) for f in cands])
         else:
             parsed = _try_parse(q(col), fmt)
     return df.withColumn(out, _ntz(parsed))
@@ -159,16 +159,17 @@ def keep_tz(df: DataFrame, col: str, out: str | None = None, offset_col: str | N
     c = q(col)
     if not _is_text(df, col):
         return df.withColumn(out, c.cast("timestamp_ntz")).withColumn(offset_col, F.lit(None).cast("int"))
-    m = F.regexp_extract(c, "([+-])(\\d{2}):?(\\d{2})$", 0)
-    sign = F.when(F.regexp_extract(c, "([+-])(\\d{2}):?(\\d{2})$", 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hh = F.regexp_extract(c, "([+-])(\\d{2}):?(\\d{2})$", 2)
-    mm = F.regexp_extract(c, "([+-])(\\d{2}):?(\\d{2})$", 3)
+    zone = "(?<=:\\d{1,2}(?:\\.\\d{1,9})?)([+-])(\\d{2}):?(\\d{2})?$"  # an offset follows a time of day
+    m = F.regexp_extract(c, zone, 0)
+    sign = F.when(F.regexp_extract(c, zone, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    hh = F.regexp_extract(c, zone, 2)
+    mm = F.coalesce(F.nullif(F.regexp_extract(c, zone, 3), F.lit("")), F.lit("0"))
     is_z = c.rlike("Z$")
     offset = (F.when(m != "", sign * (hh.cast("int") * 60 + mm.cast("int")))
                 .when(is_z, F.lit(0)))
-    local_txt = F.when(m != "", F.regexp_replace(c, "([+-])(\\d{2}):?(\\d{2})$", "")) \
+    local_txt = F.when(m != "", F.regexp_replace(c, zone, "")) \
                  .when(is_z, F.regexp_replace(c, "Z$", "")).otherwise(c)
-    local = F.coalesce(*[_try_parse(local_txt, f.replace("[XXX][XX]", "")) for f in _ZONED if "'Z'" not in f])
+    local = F.coalesce(*[_try_parse(local_txt, f.replace("[XXX][XX][X]", "")) for f in _ZONED if "'Z'" not in f])
     valid = _zoned_parse(c).isNotNull()
     return (df.withColumn(out, F.when(valid, local.cast("timestamp_ntz")))
               .withColumn(offset_col, F.when(valid, offset).cast("int")))
@@ -225,10 +226,11 @@ def preview_dates(df: DataFrame, col: str, mode: str = "utc", order_cols: Sequen
 
 # ----------------------------------------------------------------------------- D5
 def detect_format(df: DataFrame, col: str, order_cols: Sequence[str] | None = None,
-                  n_samples: int | None = 3) -> DataFrame:
-    """Format detection over the first ``n_samples`` non-null values (``None``: all).
-    Each sample counts for the first of the nine patterns that parses it; best = most
-    hits (earlier pattern on ties); rate = best hits / samples; a zone flag when a sample
+                  n_samples: int | None = 3, n_passed: int = 5) -> DataFrame:
+    """Format detection over the first ``n_samples`` of the first ``n_passed`` non-null values
+    (``None``: all values). Each sample counts for the first of the nine patterns that parses
+    it; best = most hits (earlier pattern on ties); rate = best hits / values passed (so at
+    most 0.6 by default); a zone flag when a sample
     holds ``+``, ``Z``, ``UTC`` or ``GMT``. One row: detected_format, success_rate,
     timezone_info."""
     base = df.filter(q(col).isNotNull()).select(q(col).cast("string").alias("_s"),
@@ -236,13 +238,17 @@ def detect_format(df: DataFrame, col: str, order_cols: Sequence[str] | None = No
     if n_samples is not None:
         if order_cols:
             base = base.orderBy(*[q(c) for c in order_cols])
-        base = base.limit(n_samples)
+        base = base.limit(max(n_passed, n_samples))
+        place = F.row_number().over(Window.orderBy(*[q(c) for c in (order_cols or ["_s"])]))  # of n_passed rows
+        base = base.withColumn("_test", place <= n_samples)
+    else:
+        base = base.withColumn("_test", F.lit(True))
     s = F.col("_s")
     first_hit = F.lit(None).cast("int")
     for i in range(len(DETECT_PATTERNS) - 1, -1, -1):
         first_hit = F.when(_try_parse(s, DETECT_PATTERNS[i][1]).isNotNull(), F.lit(i)).otherwise(first_hit)
-    tagged = base.select(first_hit.alias("_p"),
-                         (s.contains("+") | s.contains("Z") | s.contains("UTC") | s.contains("GMT")).alias("_tz"))
+    zone = s.contains("+") | s.contains("Z") | s.contains("UTC") | s.contains("GMT")
+    tagged = base.select(F.when(F.col("_test"), first_hit).alias("_p"), (F.col("_test") & zone).alias("_tz"))
     names = F.array(*[F.lit(p) for p, _ in DETECT_PATTERNS])
     agg = tagged.agg(
         F.count(F.lit(1)).alias("_n"),
@@ -471,7 +477,8 @@ def infer_step(df: DataFrame, ts: str, key=None, block: int | None = None) -> Da
                & (F.col("_tod") == 1) & ((F.col("_dom") == 1) | F.col("_eom")))
     return agg.select(*keys,
                       F.when(fixed, F.col("_gmin")).alias("step_us"),
-                      F.when(~fixed & monthly, F.col("_mmin")).cast("int").alias("step_months"))
+                      F.when(~fixed & monthly, F.col("_mmin")).cast("int").alias("step_months"),
+                      (~fixed & monthly & F.col("_eom")).alias("month_end"))
 
 
 REINDEX_CHUNK = 100_000
@@ -485,7 +492,8 @@ def reindex(df: DataFrame, ts: str, key=None, step_us: int | None = None, step_m
     The grid is produced in two levels (chunk starts, then steps inside a chunk) and the
     chunk rows are spread round-robin before the second explode, so one long series does
     not expand inside a single task. ``steps`` may hold per-key ``step_us`` /
-    ``step_months`` (from :func:`infer_step`)."""
+    ``step_months`` / ``month_end`` (from :func:`infer_step`); a series that stands on month
+    ends has its grid on the last day of each month."""
     keys = keys_of(key)
     was_ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
     bounds = df.filter(q(ts).isNotNull()).groupBy(*keys).agg(F.min(q(ts)).alias("_t0"), F.max(q(ts)).alias("_t1"))
@@ -494,6 +502,8 @@ def reindex(df: DataFrame, ts: str, key=None, step_us: int | None = None, step_m
     else:
         bounds = bounds.withColumn("step_us", F.lit(step_us).cast("bigint")) \
                        .withColumn("step_months", F.lit(step_months).cast("int"))
+    if "month_end" not in bounds.columns:
+        bounds = bounds.withColumn("month_end", F.lit(False))
     t0us = micros(F.col("_t0"))
     t1us = micros(F.col("_t1"))
     months_span = ((F.year("_t1") * 12 + F.month("_t1")) - (F.year("_t0") * 12 + F.month("_t0")))
@@ -509,6 +519,7 @@ def reindex(df: DataFrame, ts: str, key=None, step_us: int | None = None, step_m
     grid = chunks.withColumn("_i", F.explode(F.sequence(lo, hi)))
     fixed_ts = F.timestamp_micros(t0us + F.col("_i") * F.col("step_us"))
     month_ts = F.add_months(F.col("_t0").cast("timestamp"), (F.col("_i") * F.col("step_months")).cast("int"))
+    month_ts = F.when(F.col("month_end"), F.last_day(month_ts)).otherwise(month_ts.cast("date"))
     month_ts = F.timestamp_micros(F.unix_micros(F.date_trunc("day", month_ts.cast("timestamp")))
                                   + (t0us - F.unix_micros(F.date_trunc("day", F.col("_t0").cast("timestamp")))))
     g_ts = F.when(F.col("step_us").isNotNull(), fixed_ts).otherwise(month_ts)

@@ -1,7 +1,7 @@
 """Categorical encodings, boolean casts and lag features.
 
-Category lists are metadata: they are read with one bounded ``distinct`` (guarded by
-``max_categories``) and the encoding itself is a single projection.
+Dummy columns are metadata: their category lists are read with one ``distinct`` and the
+encoding itself is a single projection. Label codes need no list: they are joined.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from pyspark.sql import types as T
 from kiln.functions.exprs import MISSING_CATEGORY, q
 from kiln.operators.order import add_lag_columns, assign_row_id, forward_fill, keys_of
 
-MAX_CATEGORIES = 1000
-
-
-def categories(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES,
+def categories(df: DataFrame, cols: Sequence[str], max_categories: int | None = None,
                include_null: bool = False) -> dict[str, list]:
-    """Sorted distinct values per column in one job; raises past ``max_categories``."""
+    """Sorted distinct values per column in one job; raises past ``max_categories`` where the
+    caller names one (a dummy column per value is as wide as the values are many)."""
     cols = list(cols)
     if not cols:
         return {}
@@ -31,15 +29,14 @@ def categories(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CAT
     u = df.select(F.explode(items).alias("x")).select("x.*").distinct()
     if not include_null:
         u = u.filter(F.col("v").isNotNull())
-    cap = len(cols) * max_categories + 1
-    rows = u.limit(cap).collect()
+    rows = (u if max_categories is None else u.limit(len(cols) * max_categories + 1)).collect()
     out: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         out[cols[r["c"]]].append((r["n"], r["v"]))
     res = {}
     for c in cols:
         vals = out[c]
-        if len(vals) > max_categories:
+        if max_categories is not None and len(vals) > max_categories:
             raise ValueError(f"column {c!r} has more than {max_categories} categories")
         numeric = isinstance(df.schema[c].dataType, T.NumericType)
         if numeric:
@@ -56,7 +53,7 @@ def _value_label(v) -> str:
 
 # ----------------------------------------------------------------------------- E1 / E2
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, dtype: str = "int",
-            max_categories: int = MAX_CATEGORIES, sort_columns: bool = False) -> DataFrame:
+            max_categories: int | None = None, sort_columns: bool = False) -> DataFrame:
     """Dummy columns ``{col}_{value}`` for string input columns (numeric ones are left
     alone), categories sorted, the first dropped, NULL -> all zeros; dummies appended at
     the end, sources removed. ``dtype="double"`` with ``sort_columns`` is the TS variant."""
@@ -78,7 +75,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, dtype:
 
 
 # ----------------------------------------------------------------------------- E3
-def one_hot_target(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
+def one_hot_target(df: DataFrame, cols: Sequence[str], max_categories: int | None = None) -> DataFrame:
     """All categories kept as float 0/1 ``{col}_{value}``; NULL is its own ``nan``
     category; string and integer columns only."""
     targets = [c for c in cols if isinstance(df.schema[c].dataType, (T.StringType, T.IntegralType))]
@@ -94,19 +91,17 @@ def one_hot_target(df: DataFrame, cols: Sequence[str], max_categories: int = MAX
 
 
 # ----------------------------------------------------------------------------- E4
-def label_encode(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
-    """0..k-1 by sorted distinct value (numeric order for numbers); NULL stays NULL."""
-    cats = categories(df, list(cols), max_categories)
-    exprs = []
-    for c in df.columns:
-        if c in cats:
-            m = F.create_map(*[x for i, v in enumerate(cats[c]) for x in (F.lit(v), F.lit(i))]) if cats[c] \
-                else F.create_map().cast("map<string,int>")
-            exprs.append(F.element_at(m, q(c).cast("string")).cast("int").alias(c) if cats[c]
-                         else F.lit(None).cast("int").alias(c))
-        else:
-            exprs.append(q(c))
-    return df.select(*exprs)
+def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """0..k-1 by sorted distinct value (numeric order for numbers); NULL stays NULL. Columns
+    of any number of values: the distinct values are numbered by the order layer and joined
+    back, so no value list passes through the driver or the plan."""
+    out = df
+    for n, c in enumerate(c for c in cols if c in df.columns):
+        codes = df.filter(q(c).isNotNull()).select(q(c).alias("_v")).distinct()
+        codes = assign_row_id(codes, ["_v"], row_id="_code").select(F.col("_v").alias(f"_v{n}"), F.col("_code").cast("int").alias(f"_code{n}"))
+        out = out.join(codes, q(c) == F.col(f"_v{n}"), "left").drop(f"_v{n}")
+    done = {c: f"_code{n}" for n, c in enumerate(c for c in cols if c in df.columns)}
+    return out.select(*[F.col(done[c]).alias(c) if c in done else q(c) for c in df.columns])
 
 
 # ----------------------------------------------------------------------------- E5

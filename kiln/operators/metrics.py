@@ -46,18 +46,11 @@ def _class_counts(df: DataFrame, y: str, yhat: str, keys) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("count"))
 
 
-MAX_CLASSES = 1000
-
-
-def confusion(df: DataFrame, y: str, yhat: str, by=None, max_classes: int = MAX_CLASSES) -> DataFrame:
+def confusion(df: DataFrame, y: str, yhat: str, by=None) -> DataFrame:
     """(actual, predicted, count) over every pair of classes seen in y or yhat, zero
-    cells included (classes as text). The class list is bounded by ``max_classes``."""
+    cells included (classes as text)."""
     keys = keys_of(by)
     cells = _class_counts(df, y, yhat, keys)
-    n_cls = cells.select(*keys, F.explode(F.array("actual", "predicted")).alias("c")).distinct() \
-                 .groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if n_cls > max_classes:
-        raise ValueError(f"{n_cls} classes exceed max_classes={max_classes}")
     classes = cells.select(*keys, F.explode(F.array("actual", "predicted")).alias("c")) \
                    .groupBy(*keys).agg(F.array_sort(F.collect_set("c")).alias("_cls"))
     grid = classes.select(*keys, F.explode("_cls").alias("actual"), F.col("_cls")) \
@@ -220,14 +213,15 @@ def residuals(df: DataFrame, y: str, yhat: str, keep: Sequence[str] = ()) -> Dat
 
 def histogram(df: DataFrame, col: str, bins: int = 30, by=None, density: bool = False) -> DataFrame:
     """Equal-width bins between min and max (last bin closed), every bin emitted:
-    (bin, lo, hi, count[, density])."""
+    (bin, lo, hi, count[, density]). A constant group has width 0: all rows in bin 0, and no
+    density (NULL)."""
     keys = keys_of(by)
     x = df.filter(q(col).isNotNull() & ~F.isnan(q(col).cast("double"))).select(*keys, q(col).cast("double").alias("_x"))
     st = x.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"), F.count(F.lit(1)).alias("_n"))
     w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     j = join_small(x, st, keys) if keys else attach_row(x, st)
     b = F.when(F.col("_mx") == F.col("_mn"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_x") - F.col("_mn")) / w), F.lit(bins - 1))).cast("int")
+        F.least(F.floor(F.try_divide(F.col("_x") - F.col("_mn"), w)), F.lit(bins - 1))).cast("int")
     counts = j.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = st.select(*keys, "_mn", "_mx", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = join_small(grid, counts, [*keys, "bin"], how="left")
@@ -235,7 +229,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by=None, density: bool =
     hi = F.when(F.col("bin") == bins - 1, F.col("_mx")).otherwise(F.col("_mn") + (F.col("bin") + 1) * w)
     cols = [*keys, "bin", lo.alias("lo"), hi.alias("hi"), F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")]
     if density:
-        cols.append((F.coalesce(F.col("count"), F.lit(0)) / (F.col("_n") * w)).alias("density"))
+        cols.append(F.try_divide(F.coalesce(F.col("count"), F.lit(0)), F.col("_n") * w).alias("density"))
     return out.select(*cols)
 
 

@@ -54,6 +54,26 @@ def profile(df: DataFrame, cols: Sequence[str] | None = None, exact_distinct: bo
                       F.col("zeros").cast("bigint"))
 
 
+def profile_all(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """Every column, whatever its type: (column, type, count, missing, distinct, min, max, top,
+    top_count), values as text, from one aggregate over (column, value) counts; numeric columns
+    get their moments and quantiles from :func:`profile`."""
+    names = list(cols or df.columns)
+    arr = F.array(*[F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("value")) for i, c in enumerate(names)])
+    counts = df.select(F.explode(arr).alias("u")).select("u.*").groupBy("i", "value").agg(F.count(F.lit(1)).alias("c"))
+    seen = F.col("value").isNotNull()
+    per = counts.groupBy("i").agg(
+        F.sum(F.when(seen, F.col("c")).otherwise(0)).alias("count"), F.sum(F.when(seen, 0).otherwise(F.col("c"))).alias("missing"),
+        F.count("value").alias("distinct"), F.max(F.when(seen, F.col("c"))).alias("top_count"),
+        F.min_by("value", F.when(seen, F.struct(-F.col("c"), F.col("value")))).alias("top"))
+    ranges = df.agg(*[f(q(c)).cast("string").alias(f"{n}{i}") for i, c in enumerate(names) for n, f in (("a", F.min), ("z", F.max))])
+    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+                               F.col(f"a{i}").alias("min"), F.col(f"z{i}").alias("max")) for i, c in enumerate(names)])
+    return join_small(ranges.select(F.explode(kinds).alias("k")).select("k.*"), per, ["i"], how="left").select(
+        "column", "type", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing"),
+        F.coalesce("distinct", F.lit(0)).cast("bigint").alias("distinct"), "min", "max", "top", F.col("top_count").cast("double").alias("top_count"))
+
+
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """Most frequent values of each string column (ties by value), as (column, value,
     count, rank). The per-column limit is applied before the final exchange."""
@@ -69,31 +89,38 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5) ->
 # ----------------------------------------------------------------------------- G10
 def classify(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, kind, n_distinct): 2 distinct values -> binary; string -> categorical;
-    integer / floating -> numerical; anything else -> unclassified."""
+    64-bit integer / floating -> numerical; anything else (also the narrower numbers) ->
+    unclassified."""
     cols = list(cols or df.columns)
     agg = df.agg(*[F.count_distinct(q(c)).alias(f"d{i}") for i, c in enumerate(cols)])
     recs = []
     for i, c in enumerate(cols):
         dt = df.schema[c].dataType
         base = ("categorical" if isinstance(dt, T.StringType) else
-                "numerical" if isinstance(dt, (T.IntegralType, T.FloatType, T.DoubleType)) else "unclassified")
+                "numerical" if isinstance(dt, (T.LongType, T.DoubleType)) else "unclassified")
         kind = F.when(F.col(f"d{i}") == 2, F.lit("binary")).otherwise(F.lit(base))
         recs.append(F.struct(F.lit(c).alias("column"), kind.alias("kind"), F.col(f"d{i}").cast("bigint").alias("n_distinct")))
     return agg.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
 
 
 # ----------------------------------------------------------------------------- G11
-def crosstab(df: DataFrame, a: str, b: str, max_columns: int = 1000) -> DataFrame:
-    """Counts of (a, b) with one column per value of b (sorted); NULL pairs excluded,
-    empty cells 0."""
-    vals = [r[0] for r in df.filter(q(b).isNotNull()).select(q(b).cast("string")).distinct()
-            .orderBy(1).limit(max_columns + 1).collect()]
-    if len(vals) > max_columns:
+def crosstab(df: DataFrame, a: str, b: str, max_columns: int | None = None) -> DataFrame:
+    """Counts of (a, b) with one column per value of b (sorted); NULL pairs excluded, empty
+    cells 0. The table is as wide as b has values: a caller who wants a bound names it, and
+    :func:`crosstab_long` has no width at all."""
+    vals = [r[0] for r in df.filter(q(b).isNotNull()).select(q(b).cast("string")).distinct().orderBy(1).collect()]
+    if max_columns is not None and len(vals) > max_columns:
         raise ValueError(f"{b!r} has more than {max_columns} values")
     x = df.filter(q(a).isNotNull() & q(b).isNotNull()).select(q(a), q(b).cast("string").alias("_b"))
     return x.groupBy(a).pivot("_b", vals).count().na.fill(0)
 
 
+def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, count) of the pairs that occur, for columns of any number of values."""
+    x = df.filter(q(a).isNotNull() & q(b).isNotNull())
+    return x.groupBy(q(a), q(b)).agg(F.count(F.lit(1)).alias("count"))
+
+
 # ----------------------------------------------------------------------------- G12
 def box_stats(df: DataFrame, num: str, by=None, whisker: float = 1.5, method: str = "exact") -> DataFrame:
     """Per group: n, q1, median, q3, whisker_low / whisker_high (most extreme points within

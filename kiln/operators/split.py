@@ -55,14 +55,13 @@ def validate_data(df: DataFrame, features: Sequence[str], target: str) -> DataFr
 # ----------------------------------------------------------------------------- P2
 def stratified_split(df: DataFrame, label: str, ratios: Sequence[float] = (0.7, 0.15, 0.15),
                      id_cols: Sequence[str] = (), seed: int = 42, out: str = "split") -> DataFrame:
-    """Train / val / test inside each class. Rows are ordered by ``portable_hash(id)``
-    (then id) within the class; the class keeps ``ceil(n*(val+test))`` rows for the
+    """Train / val / test inside each class. Rows are ordered by ``portable_hash`` of
+    all id columns (then id) within the class; the class keeps ``ceil(n*(val+test))`` rows for the
     second cut, which gives ``ceil(m*test/(val+test))`` to test and the rest to val."""
     r_train, r_val, r_test = check_ratios(ratios)
     if not id_cols:
         raise ValueError("stratified_split needs id columns to hash (row order is not implicit)")
-    h = portable_hash(q(id_cols[0]), seed)
-    x = df.withColumn("_h", h)
+    x = df.withColumn("_h", portable_hash([q(c) for c in id_cols], seed))
     x = assign_row_id(x, ["_h", *id_cols], key=[label], row_id="_pos", with_count="_n")
     temp_share = r_val + r_test
     n_temp = F.ceil(F.col("_n") * F.lit(temp_share) - F.lit(1e-9))
@@ -90,10 +89,10 @@ def temporal_split(df: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15),
     keys = keys_of(key)
     x = df
     if row_id is None or count_col is None:
-        if layout == "keyed":
-            w = Window.partitionBy(*[q(k) for k in keys] or [F.lit(0)]).orderBy(*[q(c) for c in order_cols])
+        if layout == "keyed" and keys:  # without a key the whole table would be one partition
+            w = Window.partitionBy(*[q(k) for k in keys]).orderBy(*[q(c) for c in order_cols])
             x = df.withColumn("_pos", F.row_number().over(w) - 1) \
-                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*[q(k) for k in keys] or [F.lit(0)])))
+                  .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*[q(k) for k in keys])))
         else:
             x = assign_row_id(df, list(order_cols), key=keys, row_id="_pos", with_count="_n")
         pos, n = F.col("_pos"), F.col("_n")

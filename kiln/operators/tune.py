@@ -91,8 +91,9 @@ def param_samples(space: dict[str, tuple], n: int, seed: int = 42) -> list[dict]
 
 # ----------------------------------------------------------------------------- M10 / M11 (classification)
 def hash_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Deterministic fold ids 0..k-1 from the portable hash of an id."""
-    return df.withColumn(out, F.pmod(portable_hash(q(id_col), seed), F.lit(k)).cast("int"))
+    """Deterministic fold ids 0..k-1 from the portable hash of an id (of any type)."""
+    h = F.conv(F.substring(portable_hash([q(id_col)], seed), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn(out, F.pmod(h, F.lit(k)).cast("int"))
 
 
 def grid_search_cv(estimator: Estimator, grid: list[dict], df: DataFrame, label: str, id_col: str,

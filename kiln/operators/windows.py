@@ -19,42 +19,38 @@ from kiln.operators.order import assign_row_id, keys_of, with_halo
 MIN_TRAIN_MARGIN = 50
 
 
-def _series_len(x: DataFrame) -> int:
-    """Length of the shortest series (one small aggregate)."""
-    return int(x.agg(F.min("_n").alias("m")).first()["m"] or 0)
-
-
 def sequences(df: DataFrame, features: Sequence[str], target: str, L: int, h: int = 1,
               order_cols: Sequence[str] | None = None, key=None, stride: int = 1,
               block: int | None = None, adapt_length: bool = True) -> DataFrame:
     """Window i: ``x`` = rows i..i+L-1 of the features (the target alone when no features
-    are given), ``y`` = target at row i+L+h-1; ``n-L-h+1`` windows per series. When
-    ``L > n-h-50`` the length is lowered to that (error if it drops below 1)."""
+    are given), ``y`` = target at row i+L+h-1; ``n-L-h+1`` windows per series. A series with
+    ``L > n-h-50`` has its own length lowered to that (``seq_len``); one too short for any
+    window has none, and it is an error if that holds for every series."""
     keys = keys_of(key)
     if h < 1 or L < 1:
         raise ValueError("L and h must be >= 1")
     chans = list(features) or [target]
     x = assign_row_id(df, list(order_cols), key=keys, row_id="_rid", with_count="_n")
     if adapt_length:
-        n = _series_len(x)
-        if L > n - h - MIN_TRAIN_MARGIN:
-            L = n - h - MIN_TRAIN_MARGIN
-            if L < 1:
-                raise ValueError(f"series too short ({n} rows) for a window with horizon {h}")
+        longest = int(x.agg(F.max("_n")).first()[0] or 0)
+        if longest - h - MIN_TRAIN_MARGIN < 1:
+            raise ValueError(f"series too short ({longest} rows) for a window with horizon {h}")
+        x = x.withColumn("_len", F.least(F.lit(L), F.greatest(F.col("_n") - h - MIN_TRAIN_MARGIN, F.lit(0))).cast("int"))
+    else:
+        x = x.withColumn("_len", F.lit(L))
     reach = L + h - 1
 
     def compute(z, w):
-        step = F.struct(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(chans)])
-        frame = F.collect_list(step).over(w.rowsBetween(0, L - 1))
-        return z.select("*", frame.alias("_win"), F.lead(q(target), reach).over(w).alias("_y"))
+        step = F.struct(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(chans)], q(target).cast("double").alias("t"))
+        return z.select("*", F.collect_list(step).over(w.rowsBetween(0, reach)).alias("_win"))
 
     out = with_halo(x, keys, "_rid", 0, reach, compute, block)
-    out = out.filter(F.col("_rid") <= F.col("_n") - L - h)
+    out = out.filter((F.col("_len") >= 1) & (F.col("_rid") <= F.col("_n") - F.col("_len") - h))
     if stride > 1:
         out = out.filter(F.col("_rid") % stride == 0)
-    arr = F.transform(F.col("_win"), lambda s: F.array(*[s[f"c{i}"] for i in range(len(chans))]))
+    arr = F.transform(F.slice("_win", F.lit(1), F.col("_len")), lambda s: F.array(*[s[f"c{i}"] for i in range(len(chans))]))
     return out.select(*[q(k) for k in keys], F.col("_rid").alias("start"), arr.alias("x"),
-                      F.col("_y").cast("double").alias("y"), F.lit(L).alias("seq_len"))
+                      F.element_at("_win", F.col("_len") + h)["t"].alias("y"), F.col("_len").alias("seq_len"))
 
 
 def context_windows(df: DataFrame, channels: Sequence[str], L: int, H: int,

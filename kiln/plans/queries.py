@@ -39,7 +39,26 @@ FROM labels
 def q_s3(spark: SparkSession, sf: str) -> DataFrame:
     path = files.scratch_path(spark, "s3-arff")
     files.write_arff(table(spark, sf, "labels"), path, relation="labels")
-    return files.scan_arff(spark, path + "/*")
+    return files.scan_arff(spark, path)
+
+
+@register("s2_csv_text_round_trip", "SELECT doc_id, text FROM documents")
+def q_s2t(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with quotes and line feeds through a CSV file."""
+    path = files.scratch_path(spark, "s2-text")
+    files.write_table(table(spark, sf, "documents").select("doc_id", "text"), path, fmt="csv")
+    return files.scan_csv(spark, path, multiline=True)
+
+
+@register("s3_arff_text_round_trip", """
+SELECT CAST(doc_id AS DOUBLE) AS doc_id, text, url, html FROM (
+  SELECT doc_id, text, NULL AS url, NULL AS html FROM documents UNION ALL SELECT page_id, NULL, url, html FROM pages)""")
+def q_s3t(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts and pages through ARFF files of different layouts."""
+    path = files.scratch_path(spark, "s3-text")
+    files.write_arff(table(spark, sf, "documents").select("doc_id", "text"), f"{path}/a")
+    files.write_arff(table(spark, sf, "pages").select("url", F.col("page_id").alias("doc_id"), "html"), f"{path}/b")
+    return files.scan_arff(spark, f"{path}/*").select("doc_id", "text", "url", "html")
 
 
 @register("s4_write_table", "SELECT * FROM orders")
@@ -289,7 +308,13 @@ def zoned_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("d1_parse_dates", f"""
-SELECT o_orderkey, try_strptime(o_date_text, '%d/%m/%Y') AS parsed FROM ({_SQL_ORDERS_TEXT})""")
+WITH t AS ({_SQL_ORDERS_TEXT}),
+f AS (SELECT first(o_date_text ORDER BY o_orderkey) AS v FROM t WHERE o_date_text IS NOT NULL),
+m AS (SELECT CASE WHEN try_strptime(v, '%m/%d/%Y') IS NOT NULL THEN 'month' WHEN try_strptime(v, '%d/%m/%Y') IS NOT NULL THEN 'day'
+                  ELSE 'each' END AS mode FROM f)
+SELECT o_orderkey, CASE mode WHEN 'month' THEN try_strptime(o_date_text, '%m/%d/%Y') WHEN 'day' THEN try_strptime(o_date_text, '%d/%m/%Y')
+                             ELSE coalesce(try_strptime(o_date_text, '%m/%d/%Y'), try_strptime(o_date_text, '%d/%m/%Y')) END AS parsed
+FROM t, m""")
 def q_d1(spark: SparkSession, sf: str) -> DataFrame:
     x = dates.parse_dates(dirty_orders_dates(spark, sf), "o_date_text", mode="first", order_cols=["o_orderkey"],
                           out="parsed")
@@ -336,30 +361,29 @@ def q_d4(spark: SparkSession, sf: str) -> DataFrame:
     return dates.preview_dates(zoned_events(spark, sf), "ts_text", mode="utc", order_cols=["event_id"], n=5)
 
 
-def _detect_sql(src: str, limit: str) -> str:
-    pats = [p for p, _ in dates.DETECT_PATTERNS]
-    case = " ".join(f"WHEN try_strptime(v, '{p}') IS NOT NULL THEN {i}" for i, p in enumerate(pats))
-    names = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(pats))
+def _detect_sql(src: str, tested: str, passed: str) -> str:
+    """The nine patterns in the order of the survey; every value counts for the first that fits."""
     return f"""
-WITH s AS (SELECT o_date_text AS v FROM ({src}) WHERE o_date_text IS NOT NULL ORDER BY o_orderkey {limit}),
-t AS (SELECT CASE {case} END AS p,
-             (contains(v, '+') OR contains(v, 'Z') OR contains(v, 'UTC') OR contains(v, 'GMT')) AS tz FROM s),
-h AS (SELECT p, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p),
-b AS (SELECT first(p ORDER BY c DESC, p ASC) AS bp, max(c) AS bc FROM h)
-SELECT CASE WHEN b.bc > 0 THEN CASE b.bp {names} END ELSE 'Mixed formats' END AS detected_format,
-       CASE WHEN (SELECT count(*) FROM t) > 0 THEN coalesce(CAST(b.bc AS DOUBLE), 0.0) / (SELECT count(*) FROM t)
-            ELSE 0.0 END AS success_rate,
-       CASE WHEN (SELECT bool_or(tz) FROM t) THEN 'Timezone detected' ELSE 'No timezone detected' END
-         AS timezone_info
-FROM b"""
-
-
-@register("d5_detect_format", _detect_sql(_SQL_ORDERS_TEXT, "LIMIT 3"))
+WITH a AS (SELECT o_date_text AS v, row_number() OVER (ORDER BY o_orderkey) AS k FROM ({src}) WHERE o_date_text IS NOT NULL),
+t AS (SELECT CASE WHEN try_strptime(v, '%Y-%m-%d') IS NOT NULL THEN 1 WHEN try_strptime(v, '%Y-%m-%d %H:%M:%S') IS NOT NULL THEN 2
+                  WHEN try_strptime(v, '%Y-%m-%dT%H:%M:%S') IS NOT NULL THEN 3 WHEN try_strptime(v, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL THEN 4
+                  WHEN try_strptime(v, '%Y-%m-%d %H:%M:%S%z') IS NOT NULL THEN 5 WHEN try_strptime(v, '%d/%m/%Y') IS NOT NULL THEN 6
+                  WHEN try_strptime(v, '%m/%d/%Y') IS NOT NULL THEN 7 WHEN try_strptime(v, '%d-%m-%Y') IS NOT NULL THEN 8
+                  WHEN try_strptime(v, '%Y/%m/%d') IS NOT NULL THEN 9 END AS p,
+             regexp_matches(v, '[+Z]|UTC|GMT') AS tz FROM a WHERE {tested}),
+b AS (SELECT p, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p ORDER BY c DESC, p LIMIT 1)
+SELECT coalesce((SELECT ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%d %H:%M:%S%z', '%d/%m/%Y',
+                         '%m/%d/%Y', '%d-%m-%Y', '%Y/%m/%d'][p] FROM b), 'Mixed formats') AS detected_format,
+       coalesce((SELECT c FROM b), 0)::DOUBLE / (SELECT count(*) FROM a WHERE {passed}) AS success_rate,
+       CASE WHEN (SELECT bool_or(tz) FROM t) THEN 'Timezone detected' ELSE 'No timezone detected' END AS timezone_info"""
+
+
+@register("d5_detect_format", _detect_sql(_SQL_ORDERS_TEXT, "k <= 3", "k <= 5"))
 def q_d5(spark: SparkSession, sf: str) -> DataFrame:
-    return dates.detect_format(dirty_orders_dates(spark, sf), "o_date_text", order_cols=["o_orderkey"], n_samples=3)
+    return dates.detect_format(dirty_orders_dates(spark, sf), "o_date_text", order_cols=["o_orderkey"])
 
 
-@register("d5_detect_format_all", _detect_sql(_SQL_ORDERS_TEXT, ""))
+@register("d5_detect_format_all", _detect_sql(_SQL_ORDERS_TEXT, "true", "true"))
 def q_d5a(spark: SparkSession, sf: str) -> DataFrame:
     return dates.detect_format(dirty_orders_dates(spark, sf), "o_date_text", order_cols=["o_orderkey"],
                                n_samples=None)
@@ -557,6 +581,20 @@ def q_d13(spark: SparkSession, sf: str) -> DataFrame:
     return _r6_cols(x, ["total"])
 
 
+@register("d13_load_series_month_end", """
+WITH d AS (SELECT l_returnflag, last_day(l_shipdate)::TIMESTAMP AS month, sum(l_quantity) AS total FROM lineitem
+           WHERE l_shipdate IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT l_returnflag, min(month) AS m0, max(month) AS m1 FROM d GROUP BY 1),
+g AS (SELECT l_returnflag, last_day(unnest(generate_series(date_trunc('month', m0), m1, INTERVAL 1 MONTH)))::TIMESTAMP AS month FROM k)
+SELECT g.l_returnflag, g.month, round(d.total, 6) AS total
+FROM g LEFT JOIN d ON g.l_returnflag = d.l_returnflag AND g.month = d.month""")
+def q_d13e(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly totals dated on the last day of each month."""
+    li = table(spark, sf, "lineitem").groupBy("l_returnflag", F.last_day("l_shipdate").cast("timestamp_ntz").alias("month")).agg(
+        F.sum("l_quantity").alias("total"))
+    return _r6_cols(dates.load_series(li, "month", "total", key="l_returnflag"), ["total"])
+
+
 @register("d13_load_series_monthly", f"""
 WITH d AS ({_SQL_MONTHLY}),
 k AS (SELECT l_returnflag, min(month) AS m0, max(month) AS m1 FROM d GROUP BY 1),
@@ -625,6 +663,14 @@ def q_e4(spark: SparkSession, sf: str) -> DataFrame:
     return encode.label_encode(o, ["o_orderpriority", "o_orderstatus"])
 
 
+@register("e4_label_encode_many", """
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS o_custkey,
+       CAST(dense_rank() OVER (ORDER BY o_orderdate) - 1 AS INTEGER) AS o_orderdate FROM orders""")
+def q_e4m(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of thousands of values."""
+    return encode.label_encode(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey", "o_orderdate"])
+
+
 @register("e4_label_encode_numeric", """
 SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_nationkey) - 1 AS INTEGER) AS c_nationkey FROM customer""")
 def q_e4n(spark: SparkSession, sf: str) -> DataFrame:
@@ -706,8 +752,7 @@ def _strat_sql(src: str, label: str, ids: list[str], ratios=(0.7, 0.15, 0.15), s
     frac = ratios[2] / temp
     idl = ", ".join(ids)
     return f"""
-WITH h AS (SELECT {idl}, {label}, CAST((CAST({ids[0]} AS HUGEINT) * 2654435761 + {seed}) % 4294967296 AS BIGINT) AS h
-           FROM ({src})),
+WITH h AS (SELECT {idl}, {label}, md5(concat_ws(chr(31), '{seed}', {idl})) AS h FROM ({src})),
 r AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY h, {idl}) - 1 AS pos,
              count(*) OVER (PARTITION BY {label}) AS n FROM h),
 c AS (SELECT *, ceil(n * {temp!r}::DOUBLE - 1e-9) AS n_temp FROM r),
@@ -780,6 +825,19 @@ def q_p5(spark: SparkSession, sf: str) -> DataFrame:
     return windows.sequences(ev, ["value"], "value", L=8, h=1, order_cols=["ts", "event_id"], key="event_type")
 
 
+@register("p5_sequence_windows_mixed", """
+WITH e AS (SELECT CASE WHEN event_id < 70 THEN 'short' WHEN event_id < 90 THEN 'none' ELSE 'long' END AS k, event_id, value FROM events),
+n AS (SELECT k, count(*) AS n, least(30, count(*) - 1 - 50) AS len FROM e GROUP BY 1),
+r AS (SELECT e.k, row_number() OVER w - 1 AS start, n.n, n.len, list([value]) OVER (w ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING) AS win
+      FROM e JOIN n USING (k) WINDOW w AS (PARTITION BY e.k ORDER BY event_id))
+SELECT k, start, win[1:len] AS x, win[len + 1][1] AS y, CAST(len AS INTEGER) AS seq_len FROM r WHERE len >= 1 AND start <= n - len - 1""")
+def q_p5m(spark: SparkSession, sf: str) -> DataFrame:
+    """A long series keeps its length beside a short one and one too short for any window."""
+    eid = F.col("event_id")
+    ev = table(spark, sf, "events").select(F.when(eid < 70, "short").when(eid < 90, "none").otherwise("long").alias("k"), "event_id", "value")
+    return windows.sequences(ev, ["value"], "value", L=30, h=1, order_cols=["event_id"], key="k")
+
+
 @register("p6_context_windows", """
 WITH r AS (SELECT event_type,
                   row_number() OVER w - 1 AS start, count(*) OVER (PARTITION BY event_type) AS n,
@@ -1175,6 +1233,22 @@ def q_g2(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(p, keep=("mean", "std"))
 
 
+def _profile_all_sql(src: str, cols: dict[str, str]) -> str:
+    one = []
+    for c, kind in cols.items():
+        one.append(f"""SELECT '{c}' AS "column", '{kind}' AS type, count({c}) AS count, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "distinct",
+CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,
+(SELECT CAST({c} AS VARCHAR) FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top,
+CAST((SELECT max(k) FROM (SELECT count(*) AS k FROM {src} WHERE {c} IS NOT NULL GROUP BY {c})) AS DOUBLE) AS top_count FROM {src}""")
+    return " UNION ALL ".join(one)
+
+
+@register("g2_profile_all", _profile_all_sql("conversations", {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}))
+def q_g2a(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of a mixed table."""
+    return profile.profile_all(table(spark, sf, "conversations"))
+
+
 @register("g2_top_values", """
 WITH u AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders
            UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
@@ -1338,7 +1412,7 @@ def q_g9r(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _classify_sql() -> str:
-    kinds = {"l_orderkey": "numerical", "l_partkey": "numerical", "l_suppkey": "numerical", "l_linenumber": "numerical",
+    kinds = {"l_orderkey": "numerical", "l_partkey": "numerical", "l_suppkey": "numerical", "l_linenumber": "unclassified",
              "l_quantity": "numerical", "l_extendedprice": "numerical", "l_discount": "numerical",
              "l_tax": "numerical", "l_returnflag": "categorical", "l_linestatus": "categorical",
              "l_shipdate": "unclassified"}

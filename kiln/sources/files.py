@@ -61,11 +61,15 @@ def dedupe_names(names: Sequence[str]) -> list[str]:
 
 # ----------------------------------------------------------------------------- S2
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             na_tokens: Sequence[str] = PANDAS_NA_TOKENS, sep: str = ",", infer: bool = True) -> DataFrame:
+             na_tokens: Sequence[str] = PANDAS_NA_TOKENS, sep: str = ",", infer: bool = True,
+             multiline: bool = False) -> DataFrame:
     """CSV with header (UTF-8, optional BOM), pandas NA tokens as NULL, inferred types;
-    ragged rows are padded with NULL (PERMISSIVE)."""
-    r = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-         .option("encoding", "UTF-8").option("nullValue", "").option("emptyValue", ""))
+    ragged rows are padded with NULL (PERMISSIVE). A quote inside a quoted cell is doubled.
+    ``multiline`` allows line feeds inside quoted cells; such files cannot be split, so it is
+    the caller's choice."""
+    r = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("escape", '"')
+         .option("encoding", "UTF-8").option("nullValue", "").option("emptyValue", "").option("multiLine", multiline)
+         .option("maxCharsPerColumn", -1))
     if schema is not None:
         df = r.schema(schema).csv(path)
     else:
@@ -115,49 +119,88 @@ def _infer_types(raw: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- S3
+# One cell of a data line: quoted with either quote (a backslash escapes), or bare.
+_ARFF_CELL = (r"(?:^|,)[ \t]*+('[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|[^,]*+)")
+_ARFF_ESCAPES = [("n", "\n"), ("r", "\r"), ("t", "\t")]
+
+
+def _arff_attribute(line: str) -> tuple[str, T.DataType]:
+    body = line.split(None, 1)[1].strip()
+    if body[:1] in "'\"":
+        end = body.index(body[0], 1)
+        name, kind = body[1:end], body[end + 1:]
+    else:
+        name, kind = body.split(None, 1)
+    number = kind.strip().lower() in ("numeric", "real", "integer")
+    return name, T.DoubleType() if number else T.StringType()
+
+
+def _arff_text(cell):
+    """A cell's text: NULL for ``?``, quotes taken off and escapes undone."""
+    quoted = cell.rlike("^['\"]")
+    inner = F.substr(cell, F.lit(2), F.length(cell) - 2)
+    inner = F.replace(inner, F.lit("\\\\"), F.lit("\u0000"))  # a lone marker while the others are undone
+    for mark, char in _ARFF_ESCAPES:
+        inner = F.replace(inner, F.lit("\\" + mark), F.lit(char))
+    inner = F.replace(F.regexp_replace(inner, r"\\(['\"%])", "$1"), F.lit("\u0000"), F.lit("\\"))
+    bare = F.trim(cell)
+    return F.when(quoted, inner).when(bare != "?", bare)
+
+
 def scan_arff(spark: SparkSession, path: str) -> DataFrame:
-    """ARFF: ``@attribute name type`` lines give the columns (numeric -> double,
-    ``{a,b}`` nominal and string -> string), rows after ``@data`` are CSV; ``?`` is
-    missing. Lines are classified in parallel; only the header lines reach the driver."""
-    lines = spark.read.text(path).select(F.trim(F.col("value")).alias("l"))
-    low = F.lower(F.col("l"))
-    header = (lines.filter(low.startswith("@attribute"))
-                   .select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("o"), "l"))
-    attrs = [r["l"] for r in header.orderBy("f", "o").limit(100_000).collect()]
-    fields = []
-    for a in attrs:
-        body = a.split(None, 1)[1].strip()
-        if body.startswith("'") or body.startswith('"'):
-            qch = body[0]
-            end = body.index(qch, 1)
-            name, typ = body[1:end], body[end + 1:].strip()
-        else:
-            name, typ = body.split(None, 1)
-        t = typ.strip().lower()
-        dt = T.DoubleType() if t in ("numeric", "real", "integer") else T.StringType()
-        fields.append(T.StructField(name, dt))
-    schema = T.StructType(fields)
-    data = lines.filter((F.col("l") != "") & ~F.col("l").startswith("@") & ~F.col("l").startswith("%"))
-    txt = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
-    parsed = data.select(F.from_csv(F.col("l"), txt.simpleString(), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    """ARFF files: per file, the ``@attribute`` lines before ``@data`` give the columns (numeric
+    -> double, nominal and string -> string) and every later line that is not blank is a row,
+    whatever it begins with; ``?`` is missing, cells may be quoted with either quote. Files may
+    declare their columns in different orders: rows are matched by name, and a column that a
+    file lacks is NULL. Lines are sorted out in parallel; only header lines reach the driver."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("o"),
+        F.regexp_replace("value", "\r$", "").alias("l"))
+    begins = lines.filter(F.lower(F.trim("l")) == "@data").groupBy("f").agg(F.min("o").alias("at"))
+    heads = lines.join(begins, "f").filter((F.col("o") < F.col("at")) & F.lower(F.trim("l")).startswith("@attribute"))
+    layouts: dict[str, list[tuple[str, T.DataType]]] = {}
+    for r in heads.select("f", "o", F.trim("l").alias("l")).orderBy("f", "o").collect():
+        layouts.setdefault(r["f"], []).append(_arff_attribute(r["l"]))
+    rows = lines.join(begins, "f").filter((F.col("o") > F.col("at")) & (F.trim("l") != ""))
+    rows = rows.select("f", F.regexp_extract_all("l", F.lit(_ARFF_CELL), F.lit(1)).alias("c"))
+    kinds = dict(f for layout in layouts.values() for f in layout)
+    by_layout: dict[tuple, list[str]] = {}
+    for f, layout in layouts.items():
+        by_layout.setdefault(tuple(n for n, _ in layout), []).append(f)
     out = []
-    for f in fields:
-        v = F.when(F.trim(q(f.name)) == "?", F.lit(None)).otherwise(F.trim(q(f.name)))
-        out.append((v.try_cast("double") if isinstance(f.dataType, T.DoubleType) else v).alias(f.name))
-    return parsed.select(*out)
+    for name, kind in kinds.items():
+        cell = F.lit(None).cast("string")
+        for names, files in by_layout.items():
+            if name in names:
+                cell = F.when(F.col("f").isin(files), _arff_text(F.get("c", F.lit(names.index(name))))).otherwise(cell)
+        out.append((cell.try_cast("double") if isinstance(kind, T.DoubleType) else cell).alias(name))
+    return rows.select(*out)
 
 
 def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
-    """Write a table as ARFF: one small header file plus CSV data part files."""
-    spark = df.sparkSession
+    """Write a table as ARFF part files, each with its own header; text is quoted and escaped
+    where it needs to be, so any text comes back."""
     head = [f"@relation {relation}"]
     for f in df.schema.fields:
         kind = "numeric" if isinstance(f.dataType, T.NumericType) else "string"
-        head.append(f"@attribute {f.name} {kind}")
+        head.append(f"@attribute '{f.name}' {kind}")
     head.append("@data")
-    spark.createDataFrame([(h,) for h in head], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    row = F.concat_ws(",", *[F.coalesce(q(c).cast("string"), F.lit("?")) for c in df.columns])
-    df.select(row.alias("value")).write.mode("overwrite").text(f"{path}/data")
+
+    def cell(f: T.StructField):
+        c = q(f.name).cast("string")
+        if not isinstance(f.dataType, T.NumericType):
+            safe = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+            for mark, char in _ARFF_ESCAPES:
+                safe = F.replace(safe, F.lit(char), F.lit("\\" + mark))
+            c = F.when(c.rlike(r"^[A-Za-z0-9_.:/+-]+$"), c).otherwise(F.concat(F.lit("'"), safe, F.lit("'")))
+        return F.coalesce(c, F.lit("?"))
+
+    row = F.concat_ws(",", *[cell(f) for f in df.schema.fields])
+    # the header is the first row of every part: rows are numbered inside their partition
+    body = df.select(row.alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    first = F.col("i") == F.shiftleft(F.col("p").cast("bigint"), 33)
+    lines = F.when(first, F.array(*[F.lit(h) for h in head], F.col("value"))).otherwise(F.array("value"))
+    body.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)
 
 
 # ----------------------------------------------------------------------------- S4 / S5
@@ -167,17 +210,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", source_path: str
         raise ValueError("output path equals the input path")
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+          .option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         w.format(fmt).save(path)
 
 
-def write_by_series(df: DataFrame, path: str, key: str, fmt: str = "parquet", salt_buckets: int = 16) -> None:
-    """One output folder per series. Rows are hash-partitioned on (key, salt), the salt
-    being a hash of the row modulo ``salt_buckets``, so a series holding a large share of
-    the rows is written by several tasks (several files in its folder), not one."""
-    salt = F.pmod(F.xxhash64(*[q(c) for c in df.columns]), F.lit(salt_buckets))
-    (df.repartition(q(key), salt).write.mode("overwrite").partitionBy(key).format(fmt).save(path))
+def write_by_series(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
+    """One output folder per series. A rebalance on the key lets Spark split a series that holds
+    a large share of the rows over as many tasks as its size asks for, and merge small ones."""
+    df.hint("rebalance", q(key)).write.mode("overwrite").partitionBy(key).format(fmt).save(path)
 
 
 # ----------------------------------------------------------------------------- S6
@@ -188,9 +230,22 @@ def row_bytes(df: DataFrame, cols: Sequence[str] | None = None) -> F.Column:
 
 
 def take_bytes(df: DataFrame, order_cols: Sequence[str], max_bytes: int, block: int | None = None) -> DataFrame:
-    """Longest prefix (in ``order_cols`` order) whose CSV bytes stay within the budget:
-    row bytes, blocked prefix sum, filter."""
+    """Longest prefix (in ``order_cols`` order) whose CSV bytes stay within the budget. Byte
+    totals of the range partitions first tell how far the prefix can reach; only rows up to
+    there are put in exact order and summed."""
+    order = [q(c) for c in order_cols]
     x = df.withColumn("_b", row_bytes(df))
+    ranged = x.select(*order, "_b").repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    totals = ranged.groupBy("_p").agg(F.sum("_b").alias("b"), F.max(F.struct(*order)).alias("last")).orderBy("_p").collect()
+    reach, last = 0, None
+    for t in totals:  # one row for each range partition
+        reach, last = reach + t["b"], t["last"]
+        if reach > max_bytes:
+            break
+    if reach > max_bytes:
+        types = df.select(*order).schema
+        bound = F.struct(*[F.lit(last[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(types.fields)])
+        x = x.filter(F.struct(*order) <= bound)
     x = assign_row_id(x, list(order_cols), row_id="_rid")
     x = running_sum(x, None, "_rid", "_b", "_cum", block=block)
     return x.filter(F.col("_cum") <= F.lit(max_bytes)).select(*df.columns)

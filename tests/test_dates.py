@@ -98,11 +98,15 @@ def test_regularity_rules(spark):
 
 
 def test_parse_dates_first_format(spark):
-    df = spark.createDataFrame([(0, "bad"), (1, "28/05/1997"), (2, "03/04/1999"), (3, "1999-04-03")],
+    df = spark.createDataFrame([(0, "28/05/1997"), (1, "bad"), (2, "03/04/1999"), (3, "1999-04-03")],
                                "k long, s string")
     got = {r.k: r.p for r in dates.parse_dates(df, "s", order_cols=["k"], out="p").collect()}
-    assert got[1] == dt.datetime(1997, 5, 28) and got[2] == dt.datetime(1999, 4, 3)
-    assert got[0] is None and got[3] is None  # not in the chosen day-first format
+    assert got[0] == dt.datetime(1997, 5, 28) and got[2] == dt.datetime(1999, 4, 3)
+    assert got[1] is None and got[3] is None  # not in the chosen day-first format
+    # no format fits the first value: every row on its own, month first (as pandas does)
+    bad = spark.createDataFrame([(0, "garbage"), (1, "05/03/2024"), (2, "31/12/2024")], "k long, s string")
+    got = {r.k: r.p for r in dates.parse_dates(bad, "s", order_cols=["k"], out="p").collect()}
+    assert got == {0: None, 1: dt.datetime(2024, 5, 3), 2: dt.datetime(2024, 12, 31)}
     anym = {r.k: r.p for r in dates.parse_dates(df, "s", mode="any", out="p").collect()}
     assert anym[3] == dt.datetime(1999, 4, 3)
 
@@ -114,6 +118,26 @@ def test_detect_format(spark):
     assert r.detected_format == "%Y-%m-%d"
     assert abs(r.success_rate - 2 / 3) < 1e-12
     assert r.timezone_info == "Timezone detected"
+    # three of five values are tested, all five count for the rate
+    five = spark.createDataFrame([(i, f"2024-01-0{i + 1}") for i in range(5)], "k long, s string")
+    assert abs(dates.detect_format(five, "s", order_cols=["k"]).first().success_rate - 0.6) < 1e-12
+
+
+def test_month_end_series_keeps_its_values(spark):
+    ends = [dt.datetime(2024, 4, 30), dt.datetime(2024, 5, 31), dt.datetime(2024, 6, 30), dt.datetime(2024, 7, 31)]
+    df = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(ends)], "k string, ts timestamp_ntz, v double")
+    out = dates.load_series(df, "ts", "v", key="k").orderBy("ts").collect()
+    assert [(r.ts, r.v) for r in out] == [(t, float(i)) for i, t in enumerate(ends)]
+    gap = dates.reindex(df.filter("v != 1"), "ts", key="k", steps=dates.infer_step(df, "ts", key="k")).orderBy("ts").collect()
+    assert [r.ts for r in gap] == ends and [r.v for r in gap] == [0.0, None, 2.0, 3.0]
+
+
+def test_hour_only_offsets(spark):
+    df = spark.createDataFrame([(0, "2024-01-01 10:00:00+02"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01")], "k long, s string")
+    u = {r.k: r.h for r in dates.to_utc(df, "s", out="t").select("k", F.hour("t").alias("h")).collect()}
+    assert u == {0: 8, 1: 10, 2: 0}
+    k = {r.k: (r.t.hour, r.t_offset_minutes) for r in dates.keep_tz(df, "s", out="t").collect()}
+    assert k == {0: (10, 120), 1: (10, None), 2: (0, None)}
 
 
 def test_reindex_inserts_missing_steps(spark):

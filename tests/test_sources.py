@@ -71,3 +71,35 @@ def test_positional_and_preview(spark):
 def test_write_table_refuses_same_path(spark):
     with pytest.raises(ValueError):
         files.write_table(spark.range(1), "/tmp/x", source_path="/tmp/x/")
+
+
+def test_csv_doubled_quotes_and_line_feeds(spark):
+    p = _write('a,b\n1,"he said ""hi"", ok"\n2,"x\ny"\n')
+    got = {r.a: r.b for r in files.scan_csv(spark, p, multiline=True).collect()}
+    assert got == {1: 'he said "hi", ok', 2: "x\ny"}
+    p = _write('a,b\n1,"he said ""hi"", ok"\n')
+    assert files.scan_csv(spark, p).first().b == 'he said "hi", ok'
+
+
+def test_arff_odd_data_lines_and_several_files(spark):
+    import os
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="kiln-test-")
+    texts = {"a.arff": "% c\n@RELATION t\n@ATTRIBUTE name string\n@ATTRIBUTE n numeric\n@DATA\n@home,1\n%x,2\n'a,b',4\n\"q\"\"\n'it\\'s',?\n",
+             "b.arff": "@relation t\n@attribute n numeric\n@attribute 'other one' {u,v}\n@data\n@attribute,v\n7,u\n"}
+    for name, text in texts.items():
+        with open(os.path.join(d, name), "w") as fh:
+            fh.write(text)
+    df = files.scan_arff(spark, d)
+    assert set(df.columns) == {"name", "n", "other one"}
+    got = {(r.name, r.n, r["other one"]) for r in df.collect()}
+    assert {("@home", 1.0, None), ("%x", 2.0, None), ("a,b", 4.0, None), ("it's", None, None), (None, None, "v"), (None, 7.0, "u")} <= got
+    assert len(got) == 7
+
+
+def test_arff_any_text_comes_back(spark, tmp_path):
+    texts = ["", " a ", "?", "it's", "a\\nb", "tab\tnl\ncr\r", "\\", "'", '"', "x,y", "%", "é 😀", None, "\\'"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    files.write_arff(df, str(tmp_path / "t"))
+    assert {r.i: r.t for r in files.scan_arff(spark, str(tmp_path / "t")).collect()} == dict(enumerate(texts))
