@@ -58,15 +58,26 @@ def _n_classes(df: DataFrame, label: str) -> int:
 
 
 # ----------------------------------------------------------------------------- M1
+# The penalties each solver name accepts.
+SOLVER_PENALTIES = {"lbfgs": ("l2", None), "newton-cg": ("l2", None), "newton-cholesky": ("l2", None), "sag": ("l2", None),
+                    "liblinear": ("l1", "l2"), "saga": ("l1", "l2", "elasticnet", None)}
+
+
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, C: float = 1.0, max_iter: int = 100,
-                 tol: float = 1e-6) -> PipelineModel:
-    """L2 logistic regression with sklearn's ``C``: regParam = 1 / (C * n), no
-    standardisation (so the penalty is on the raw coefficients)."""
+                 tol: float = 1e-6, penalty: str | None = "l2", solver: str = "lbfgs", l1_ratio: float = 0.5) -> PipelineModel:
+    """Logistic regression with the usual ``C``: regParam = 1 / (C * n), no standardisation (so
+    the penalty is on the raw coefficients). ``penalty``: l2, l1, elasticnet (with
+    ``l1_ratio``) or None. ``solver`` names are checked against the penalty they accept;
+    Spark picks its own optimiser for each."""
     if C <= 0:
         raise ValueError("C must be positive")
-    n = df.count()
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol="_label", regParam=1.0 / (C * max(n, 1)),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
+    penalty = None if penalty in (None, "none") else penalty
+    if penalty not in SOLVER_PENALTIES.get(solver, ()):
+        raise ValueError(f"solver {solver!r} with penalty {penalty!r} is not available")
+    mix = {"l1": 1.0, "elasticnet": float(l1_ratio)}.get(penalty, 0.0)
+    reg = 0.0 if penalty is None else 1.0 / (C * max(df.count(), 1))
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol="_label", regParam=reg, elasticNetParam=mix,
+                            standardization=False, maxIter=max_iter, tol=tol)
     return _fit(features, lr, _label(df, label))
 
 
@@ -198,154 +209,233 @@ def forecast_recursive(model: PipelineModel, last_rows: DataFrame, target: str,
 
 
 # ----------------------------------------------------------------------------- M7 / X17
-def _difference(df: DataFrame, keys, rid: str, col: str, d: int, out: str, block=None) -> DataFrame:
-    """d-th difference of ``col`` in row order (NULL for the first d rows)."""
-    if d == 0:
-        return df.withColumn(out, q(col).cast("double"))
-    specs = [(f"_dl{i}", col, i) for i in range(1, d + 1)]
-    x = add_lag_columns(df, keys, rid, specs, block=block)
-    # binomial expansion: sum_{i=0..d} (-1)^i C(d,i) y_{t-i}
-    from math import comb
-
-    expr = q(col).cast("double")
-    for i in range(1, d + 1):
-        expr = expr + F.lit(float((-1) ** i * comb(d, i))) * F.col(f"_dl{i}")
-    return x.withColumn(out, expr).drop(*[s[0] for s in specs])
-
-
-def ar_design(df: DataFrame, target: str, p: int, d: int = 0, exog: Sequence[str] = (), trend: str = "c",
-              order_cols: Sequence[str] | None = None, key=None, row_id: str | None = None,
-              block: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Rows (keys, _rid, z, regressors...) for CLS: z = d-th difference of the target,
-    regressors = const (trend 'c'), z lags 1..p, differenced exog."""
-    keys = keys_of(key)
-    x = df
-    rid = row_id
+def difference_weights(d: int = 0, D: int = 0, s: int = 0) -> dict[int, float]:
+    """Weights by lag of ``(1 - B)^d (1 - B^s)^D``; lag 0 has weight 1."""
+    if (D and s < 2) or min(d, D, s) < 0:
+        raise ValueError("seasonal differences need a season of 2 or more")
+    w = np.array([1.0])
+    for _ in range(d):
+        w = np.convolve(w, [1.0, -1.0])
+    for _ in range(D):
+        w = np.convolve(w, [1.0, *[0.0] * (s - 1), -1.0])
+    return {k: float(v) for k, v in enumerate(w) if v}
+
+
+def ar_lags(p: int, P: int = 0, s: int = 0) -> dict[str, int]:
+    """Names and lags of the autoregressive terms; seasonal ones are ``sar_i`` at lag i*s."""
+    if P and s < 2:
+        raise ValueError("seasonal lags need a season of 2 or more")
+    return {**{f"ar_{i}": i for i in range(1, p + 1)}, **{f"sar_{i}": i * s for i in range(1, P + 1) if i * s > p}}
+
+
+def _reach(p: int, d: int, P: int, D: int, s: int) -> int:
+    """Rows before t that a model of this order looks at."""
+    return d + D * s + max([0, *ar_lags(p, P, s).values()])
+
+
+def _combined(name: str, weights: dict[int, float], shift: int = 0):
+    """sum of weight * name at (shift + lag), from lag columns ``{name}@k``."""
+    out = F.lit(0.0)
+    for lag, w in weights.items():
+        out = out + F.lit(w) * F.col(f"`{name}@{shift + lag}`")
+    return out
+
+
+def _with_lag_table(df: DataFrame, columns: dict[str, int], order_cols, keys, row_id: str | None, block) -> DataFrame:
+    """(keys, _rid, name@0..name@k): each column with its lags, from one halo-block window."""
+    x, rid = df, row_id
     if rid is None:
         x = assign_row_id(df, list(order_cols), key=keys, row_id="_rid")
         rid = "_rid"
-    x = _difference(x, keys, rid, target, d, "_z", block)
-    regs = []
-    for j, e in enumerate(exog):
-        x = _difference(x, keys, rid, e, d, f"_x{j}", block)
-        regs.append(f"_x{j}")
-    if p > 0:
-        x = add_lag_columns(x, keys, rid, [(f"_zl{i}", "_z", i) for i in range(1, p + 1)], block=block)
-    names = (["const"] if trend in ("c", "ct") else []) + (["trend"] if trend in ("t", "ct") else []) + \
-        [f"ar_{i}" for i in range(1, p + 1)] + [f"exog_{e}" for e in exog]
-    cols = ([F.lit(1.0).alias("const")] if trend in ("c", "ct") else []) + \
-           ([F.col(rid).cast("double").alias("trend")] if trend in ("t", "ct") else []) + \
-           [F.col(f"_zl{i}").alias(f"ar_{i}") for i in range(1, p + 1)] + \
-           [F.col(r).alias(f"exog_{e}") for r, e in zip(regs, exog)]
-    out = x.select(*keys, F.col(rid).alias("_rid"), F.col("_z").alias("z"), *cols)
-    return out.dropna(how="any", subset=["z", *names]), names
-
-
-def ar_normal_sums(design: DataFrame, names: Sequence[str], key=None) -> DataFrame:
-    """Per series: n, X'X (row-major array), X'z and z'z in one aggregate."""
+    x = x.select(*[q(k) for k in keys], F.col(rid).alias("_rid"), *[q(c).cast("double").alias(f"{c}@0") for c in columns])
+    specs = [(f"{c}@{k}", f"{c}@0", k) for c, most in columns.items() for k in range(1, most + 1)]
+    return add_lag_columns(x, keys, "_rid", specs, block=block) if specs else x
+
+
+def _terms(target: str, p: int, d: int, exog: Sequence[str], trend: str | None, P: int, D: int, s: int):
+    """(response, [(name, expression)]) of a model over the lag table."""
+    w = difference_weights(d, D, s)
+    terms = []
+    if trend in ("c", "ct"):
+        terms.append(("const", F.lit(1.0)))
+    if trend in ("t", "ct"):
+        terms.append(("trend", F.col("_rid").cast("double")))
+    terms += [(name, _combined(target, w, lag)) for name, lag in ar_lags(p, P, s).items()]
+    terms += [(f"exog_{e}", _combined(e, w)) for e in exog]
+    return _combined(target, w), terms
+
+
+def _normal_sums(z, terms) -> list:
+    """n, X'X (row by row), X'z and z'z as aggregates over rows where every term is known."""
+    known = z.isNotNull()
+    for _, t in terms:
+        known = known & t.isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(known, c)), F.lit(0.0))
+    cols = [t for _, t in terms]
+    none = F.array().cast("array<double>")
+    return [F.count_if(known).alias("n"), (F.array(*[total(a * b) for a in cols for b in cols]) if cols else none).alias("xtx"),
+            (F.array(*[total(a * z) for a in cols]) if cols else none).alias("xtz"), total(z * z).alias("ztz")]
+
+
+FIT_FIELDS = ("coef_names array<string>, coef array<double>, n bigint, rss double, sigma2 double, aic double, bic double, "
+              "p int, d int, sp int, sd int, season int")
+
+
+def _solve(sums: DataFrame, keys) -> DataFrame:
+    """One row per (keys, model): the least-squares solution of its normal equations. AIC / BIC
+    from the residual sum, whose floor is rounding error, so an exact fit does not win by
+    minus infinity."""
+    kept = [f for f in sums.schema.fields if f.name in keys]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(FIT_FIELDS).fields])
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                n, k = int(r["n"]), len(r["names"])
+                A, b = np.asarray(r["xtx"], dtype=float).reshape(k, k), np.asarray(r["xtz"], dtype=float)
+                out = {f.name: r[f.name] for f in kept} | {c: int(r[c]) for c in ("p", "d", "sp", "sd", "season")}
+                out |= {"coef_names": list(r["names"]), "coef": None, "n": n, "rss": None, "sigma2": None, "aic": None, "bic": None}
+                if n >= max(k, 1):
+                    beta = np.linalg.lstsq(A, b, rcond=None)[0] if k else np.zeros(0)
+                    rss = max(float(r["ztz"] - 2 * beta @ b + beta @ A @ beta), 1e-12 * float(r["ztz"]), 1e-300)
+                    out |= {"coef": [float(v) for v in beta], "rss": rss, "sigma2": rss / n,
+                            "aic": n * np.log(rss / n) + 2 * (k + 1), "bic": n * np.log(rss / n) + (k + 1) * np.log(n)}
+                rows.append(out)
+            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+
+    return sums.mapInPandas(solve, schema)
+
+
+def _order_columns(names: Sequence[str], p: int, d: int, P: int, D: int, s: int) -> list:
+    values = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    return [values.alias("names"), *[F.lit(v).alias(c) for c, v in (("p", p), ("d", d), ("sp", P), ("sd", D), ("season", s))]]
+
+
+def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[str] = (), trend: str | None = "c",
+           order_cols: Sequence[str] | None = None, key=None, block: int | None = None,
+           P: int = 0, D: int = 0, s: int = 0, ma: int = 0) -> DataFrame:
+    """AR(p) on d-th (and D-th seasonal) differences with seasonal lags, trend and exogenous
+    regressors by conditional least squares. One row per series: coefficient names and values,
+    sigma2, rss, n, aic, bic (Gaussian log-likelihood from the residual sum, constants
+    dropped); the order stands in p, d, sp, sd (seasonal lags and differences) and season.
+    Moving-average terms (``ma``) are not fitted and are an error."""
+    if ma:
+        raise ValueError("moving-average terms are not available")
     keys = keys_of(key)
-    k = len(names)
-    xtx = [F.sum(q(names[i]) * q(names[j])) for i in range(k) for j in range(k)]
-    xtz = [F.sum(q(names[i]) * F.col("z")) for i in range(k)]
-    return design.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*xtx).alias("xtx"),
-                                     F.array(*xtz).alias("xtz"), F.sum(F.col("z") * F.col("z")).alias("ztz"))
-
-
-def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[str] = (), trend: str = "c",
-           order_cols: Sequence[str] | None = None, key=None, block: int | None = None) -> DataFrame:
-    """AR(p) on d-th differences with exogenous regressors by conditional least squares.
-    One row per series: coefficient names/values, sigma2, rss, n, aic, bic (Gaussian
-    log-likelihood from the residual sum, constants dropped). MA terms are not fitted."""
+    reach = _reach(p, d, P, D, s)
+    x = _with_lag_table(df, {target: reach, **{e: d + D * s for e in exog}}, order_cols, keys, None, block)
+    z, terms = _terms(target, p, d, exog, trend, P, D, s)
+    sums = x.groupBy(*keys).agg(*_normal_sums(z, terms)).select("*", *_order_columns([n for n, _ in terms], p, d, P, D, s))
+    return _solve(sums, keys)
+
+
+def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Sequence[str], key=None,
+                block: int | None = None) -> DataFrame:
+    """Every candidate (p, d, trend, P, D, s) of every series from one pass: one lag table, one
+    aggregate that holds the sums of all candidates, over the rows that all of them can use
+    (differencing has a unit Jacobian, so on equal rows their AIC compare). Adds ``candidate``."""
     keys = keys_of(key)
-    design, names = ar_design(df, target, p, d, exog, trend, order_cols, keys, block=block)
-    sums = ar_normal_sums(design, names, keys)
-    k = len(names)
-    key_fields = [f for f in sums.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields,
-                           T.StructField("coef_names", T.ArrayType(T.StringType())),
-                           T.StructField("coef", T.ArrayType(T.DoubleType())),
-                           T.StructField("n", T.LongType()), T.StructField("rss", T.DoubleType()),
-                           T.StructField("sigma2", T.DoubleType()), T.StructField("aic", T.DoubleType()),
-                           T.StructField("bic", T.DoubleType()), T.StructField("p", T.IntegerType()),
-                           T.StructField("d", T.IntegerType())])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            n = int(r["n"])
-            A = np.asarray(r["xtx"], dtype=float).reshape(k, k)
-            b = np.asarray(r["xtz"], dtype=float)
-            beta = np.linalg.lstsq(A, b, rcond=None)[0] if n >= k else np.full(k, np.nan)
-            rss = float(r["ztz"] - 2 * beta @ b + beta @ A @ beta) if n >= k else float("nan")
-            rss = max(rss, 0.0)
-            sigma2 = rss / n if n > 0 else float("nan")
-            ll_term = n * np.log(sigma2) if sigma2 > 0 else float("-inf")
-            rec = {kk: r[kk] for kk in keys}
-            rec.update(coef_names=list(names), coef=[float(v) for v in beta], n=n, rss=rss, sigma2=sigma2,
-                       aic=float(ll_term + 2 * (k + 1)), bic=float(ll_term + (k + 1) * np.log(max(n, 1))),
-                       p=p, d=d)
-            rows.append(rec)
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    if keys:
-        return sums.groupBy(*keys).applyInPandas(solve, schema)
-    return sums.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(
-        lambda pdf: solve(pdf.drop(columns=["_g"])), schema)
+    orders = []
+    for g in grid:
+        if g.get("q") or g.get("Q"):
+            raise ValueError("moving-average terms are not available")
+        orders.append(dict(p=int(g.get("p") or 0), d=int(g.get("d") or 0), P=int(g.get("P") or 0), D=int(g.get("D") or 0), s=int(g.get("s") or 0),
+                           trend=g.get("trend")))
+    shape = [{k: v for k, v in o.items() if k != "trend"} for o in orders]
+    reach = max(_reach(**o) for o in shape)
+    x = _with_lag_table(df, {target: reach}, order_cols, keys, None, block)
+    whole = F.lit(True)
+    for k in range(reach + 1):
+        whole = whole & F.col(f"`{target}@{k}`").isNotNull()
+    x = x.filter(whole)
+    aggs = []
+    for i, o in enumerate(orders):
+        z, terms = _terms(target, o["p"], o["d"], (), o["trend"], o["P"], o["D"], o["s"])
+        aggs.append(F.struct(*_normal_sums(z, terms), *_order_columns([n for n, _ in terms], **shape[i]), F.lit(i).alias("candidate")).alias(f"g{i}"))
+    sums = x.groupBy(*keys).agg(*aggs).select(*[q(k) for k in keys], F.explode(F.array(*[f"g{i}" for i in range(len(orders))])).alias("g"))
+    return _solve(sums.select(*[q(k) for k in keys], "g.*"), [*keys, "candidate"])
 
 
 def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, order_cols: Sequence[str],
-                key=None) -> DataFrame:
-    """Recursive AR forecast (no exog, or exog held at zero change) for ``steps`` ahead,
-    integrated back to levels. Uses only the last p+d rows of every series (top-k per key,
-    limited before the shuffle) and one small task per series."""
+                key=None, future: DataFrame | None = None) -> DataFrame:
+    """Recursive forecast ``steps`` ahead in levels. The trend goes on counting rows; a model
+    with exogenous regressors needs their future levels in ``future`` (keys, step 1..steps, the
+    columns), else it is an error. Uses only the last rows of every series (top-k per key,
+    limited before the shuffle); one small row per series is solved in Python."""
     keys = keys_of(key)
-    meta = fit.select(*keys, "coef_names", "coef", "p", "d")
+    shape = fit.agg(F.max(F.col("p") + F.col("d") + (F.col("sp") + F.col("sd")) * F.col("season")).alias("m"),
+                    F.array_distinct(F.flatten(F.collect_set("coef_names"))).alias("names")).first()
+    need = int(shape["m"] or 0)
+    exog = sorted(n[5:] for n in (shape["names"] or []) if n.startswith("exog_"))
+    if exog and future is None:
+        raise ValueError(f"the model needs future values of {exog}")
     w = Window.partitionBy(*[q(k) for k in keys] or [F.lit(0)]).orderBy(*[q(c).desc() for c in order_cols])
-    # p + d is bounded by the model order (small); the limit is applied per map partition.
-    need = fit.agg(F.max(F.col("p") + F.col("d")).alias("m")).first()["m"] or 0
-    tail = history.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= int(need) + 1)
-    tail = tail.select(*keys, "_r", q(target).cast("double").alias("_y"))
-    grouped = tail.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("_r")).alias("o"), F.col("_y").alias("y")))).alias("_h"))
-    j = join_small(grouped, meta, keys) if keys else attach_row(grouped, meta)
-    key_fields = [f for f in j.schema.fields if f.name in keys]
-    schema = T.StructType([*key_fields, T.StructField("step", T.IntegerType()),
-                           T.StructField("forecast", T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            hist = [float(s["y"]) for s in r["_h"]]
-            names, coef = list(r["coef_names"]), np.asarray(r["coef"], dtype=float)
-            p, d = int(r["p"]), int(r["d"])
-            levels = list(hist)
-            series = np.asarray(levels, dtype=float)
-            diffs = [series]
-            for _ in range(d):
-                diffs.append(np.diff(diffs[-1]))
-            z = list(diffs[-1])
-            for s in range(1, steps + 1):
-                x = []
-                for nm in names:
-                    if nm == "const":
-                        x.append(1.0)
-                    elif nm.startswith("ar_"):
-                        i = int(nm[3:])
-                        x.append(z[-i] if len(z) >= i else 0.0)
-                    else:
-                        x.append(0.0)
-                zn = float(np.dot(coef, x)) if len(x) else 0.0
-                z.append(zn)
-                # integrate back: level = last levels of each difference order
-                val = zn
-                for lvl in range(d - 1, -1, -1):
-                    val = val + diffs[lvl][-1]
-                    diffs[lvl] = np.append(diffs[lvl], val)
-                rec = {kk: r[kk] for kk in keys}
-                rec.update(step=s, forecast=val if d > 0 else zn)
-                out.append(rec)
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    if keys:
-        return j.groupBy(*keys).applyInPandas(run, schema)
-    return j.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: run(pdf.drop(columns=["_g"])), schema)
+    tail = history.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= need + 1)
+    past = F.struct((-F.col("_r")).alias("o"), q(target).cast("double").alias("y"), F.array(*[q(e).cast("double") for e in exog]).cast("array<double>").alias("x"))
+    grouped = tail.groupBy(*keys).agg(F.sort_array(F.collect_list(past)).alias("_h"))  # need + 1 rows each
+    counts = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    meta = fit.select(*keys, "coef_names", "coef", "p", "d", "sp", "sd", "season")
+    j = grouped
+    for other in (counts, meta):
+        j = join_small(j, other, keys) if keys else attach_row(j, other)
+    if exog:
+        ahead = F.struct(F.col("step"), F.array(*[q(e).cast("double") for e in exog]).alias("x"))
+        known = future.filter(F.col("step").between(1, steps)).groupBy(*keys).agg(F.sort_array(F.collect_list(ahead)).alias("_f"))
+        if keys:
+            j = join_small(j, known, keys, how="left")
+        else:  # one row on either side
+            j = j.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    else:
+        j = j.withColumn("_f", F.lit(None).cast("array<struct<step:int,x:array<double>>>"))
+    kept = [f for f in j.schema.fields if f.name in keys]
+    schema = T.StructType([*kept, T.StructField("step", T.IntegerType()), T.StructField("forecast", T.DoubleType())])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                rec = {f.name: r[f.name] for f in kept}
+                out += [rec | {"step": i + 1, "forecast": v} for i, v in enumerate(_ahead(r, exog, steps))]
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    return j.mapInPandas(run, schema)
+
+
+def _ahead(r: dict, exog: Sequence[str], steps: int) -> list[float | None]:
+    """The forecasts of one series from its last levels, its coefficients and future levels."""
+    if r["coef"] is None:
+        return [None] * steps
+    names, coef = list(r["coef_names"]), np.asarray(r["coef"], dtype=float)
+    w = difference_weights(int(r["d"]), int(r["sd"]), int(r["season"]))
+    lags = ar_lags(int(r["p"]), int(r["sp"]), int(r["season"]))
+    y = [h["y"] for h in r["_h"]]
+    x = [list(h["x"]) for h in r["_h"]]
+    given = {f["step"]: list(f["x"]) for f in (r["_f"] if r["_f"] is not None else ())}
+
+    def changed(levels, back):
+        """The differenced value ``back`` steps before the end of ``levels``."""
+        at = len(levels) - 1 - back
+        return sum(v * levels[at - k] for k, v in w.items()) if at >= max(w) else float("nan")
+
+    out: list[float | None] = []
+    for step in range(1, steps + 1):
+        if exog:
+            if step not in given:
+                raise ValueError(f"no future values for step {step}")
+            x.append(given[step])
+        value = 0.0
+        for name, c in zip(names, coef):
+            if name == "const":
+                value += c
+            elif name == "trend":
+                value += c * (int(r["_rows"]) + step - 1)
+            elif name in lags:
+                value += c * changed(y, lags[name] - 1)
+            else:
+                e = exog.index(name[5:])
+                value += c * changed([v[e] for v in x], 0)
+        value -= sum(v * y[len(y) - k] for k, v in w.items() if k) if len(y) >= max(w) else float("nan")
+        y.append(value)
+        out.append(None if np.isnan(value) else float(value))
+    return out

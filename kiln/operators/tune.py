@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions.exprs import portable_hash, q
 from kiln.operators import metrics
-from kiln.operators.model import fit_ar, forecast_ar
+from kiln.operators.model import fit_ar, fit_ar_grid, forecast_ar
 from kiln.operators.order import keys_of
 from kiln.operators.split import rolling_folds
 
@@ -36,11 +36,12 @@ def param_grid(space: dict[str, Sequence]) -> list[dict]:
 
 def ar_grid(spec: dict) -> list[dict]:
     """Autoregressive grid rules: empty seasonal lists -> non-seasonal only; empty p, d, q
-    reuse P, D, Q; a ``None`` in ``s`` adds the non-seasonal set; trend 'n' -> none."""
+    reuse P, D, Q; a ``None`` in ``s`` adds the non-seasonal set; trend 'n', or none given, ->
+    none."""
     p = spec.get("p") or spec.get("P") or [0]
     d = spec.get("d") or spec.get("D") or [0]
     qq = spec.get("q") or spec.get("Q") or [0]
-    trends = [None if t in ("n", None) else t for t in (spec.get("trend") or ["c"])]
+    trends = [None if t in ("n", None) else t for t in (spec.get("trend") or ["n"])]
     seasons = list(spec.get("s") or [])
     seasonal = bool(seasons) and bool(spec.get("P") or spec.get("D") or spec.get("Q"))
     out = []
@@ -154,18 +155,38 @@ def random_search(estimator: Estimator, space: dict, n: int, train: DataFrame, v
     return holdout_search(estimator, ok, train, val, label, parallelism)
 
 
+def accuracy_search(fit, space: dict, n: int, train: DataFrame, val: DataFrame, label: str, seed: int = 42):
+    """Seeded random draws for a classifier, compared by accuracy on ``val``. ``fit(train,
+    **draw)`` returns a fitted model; a draw whose *fit* fails is skipped, and it is an error
+    if all fail. Returns (best draw, best model, [(draw, accuracy or None)])."""
+    ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="accuracy")
+    known = val.withColumn("_label", q(label).cast("double"))
+    results, best = [], None
+    for draw in param_samples(space, n, seed):
+        try:
+            model = fit(train, **draw)
+        except Exception as failed:  # noqa: BLE001 - whatever this draw broke
+            results.append((draw, None))
+            last = failed
+            continue
+        acc = float(ev.evaluate(model.transform(known)))
+        results.append((draw, acc))
+        if best is None or acc > best[2]:
+            best = (draw, model, acc)
+    if best is None:
+        raise ValueError(f"every draw failed, the last with: {last}")
+    return best[0], best[1], results
+
+
 # ----------------------------------------------------------------------------- M11 (autoregressive)
 def ar_search(df: DataFrame, target: str, grid: list[dict], order_cols: Sequence[str], key=None) -> DataFrame:
-    """Fit every (p, d, trend) candidate for every series and keep the lowest AIC per
-    series. Each candidate is one grouped aggregate over all series."""
+    """The (p, d, trend, P, D, s) candidate with the lowest AIC of every series (the earlier
+    one on ties). All candidates come from one aggregate over the rows that all can use;
+    moving-average terms in the grid are an error."""
     keys = keys_of(key)
-    fits = None
-    for i, g in enumerate(grid):
-        f = fit_ar(df, target, p=int(g.get("p", 1)), d=int(g.get("d", 0)), trend=g.get("trend") or "n",
-                   order_cols=order_cols, key=keys).withColumn("candidate", F.lit(i))
-        fits = f if fits is None else fits.unionByName(f)
-    return fits.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in fits.columns if c not in keys]),
-                                            F.col("aic")).alias("best")).select(*keys, "best.*")
+    fits = fit_ar_grid(df, target, grid, order_cols, keys).filter(F.col("aic").isNotNull())
+    cols = [c for c in fits.columns if c not in keys]
+    return fits.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct("aic", "candidate")).alias("best")).select(*keys, "best.*")
 
 
 # ----------------------------------------------------------------------------- M12
@@ -173,7 +194,8 @@ def walk_forward(df: DataFrame, target: str, order_cols: Sequence[str], W: int,
                  p: int = 1, d: int = 0, trend: str = "c", key=None) -> DataFrame:
     """Fit on each rolling-origin fold's training rows, forecast its test rows, pool all
     predictions in time order; the first half are validation, the rest test
-    (``n // 2``). Returns (keys, fold, step, actual, forecast, part)."""
+    (``n // 2``). Returns (keys, fold, step, actual, forecast, part). Fewer than two
+    predictions of a series are an error."""
     keys = keys_of(key)
     f = rolling_folds(df, W, h, folds, order_cols=order_cols, key=keys)
     train = f.filter(F.col("role") == "train")
@@ -187,8 +209,16 @@ def walk_forward(df: DataFrame, target: str, order_cols: Sequence[str], W: int,
     actual = test.withColumn("step", F.row_number().over(wt)).select(*fk, "step", *order_cols,
                                                                     q(target).cast("double").alias("actual"))
     pooled = actual.join(fc, [*fk, "step"], "inner")
-    wp = Window.partitionBy(*[q(k) for k in keys] or [F.lit(0)])
+    counted = pooled.groupBy(*keys).count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("k")).first()
+    if not counted["k"] or counted["least"] < 2:
+        raise ValueError("walk-forward validation needs two predictions or more of every series")
+    wp = Window.partitionBy(*[q(k) for k in keys] or [F.lit(0)])  # folds * h rows of a series
     wo = wp.orderBy(*[q(c) for c in order_cols], "fold")
     pooled = pooled.withColumn("_i", F.row_number().over(wo) - 1).withColumn("_n", F.count(F.lit(1)).over(wp))
     return pooled.withColumn("part", F.when(F.col("_i") < F.floor(F.col("_n") / 2), "val").otherwise("test")) \
                  .drop("_i", "_n")
+
+
+def walk_forward_metrics(pooled: DataFrame, key=None) -> DataFrame:
+    """Forecast metrics of the validation and the test half of ``walk_forward``'s predictions."""
+    return metrics.regression_metrics(pooled, "actual", "forecast", by=[*keys_of(key), "part"])

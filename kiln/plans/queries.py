@@ -1625,6 +1625,39 @@ def q_m7f(spark: SparkSession, sf: str) -> DataFrame:
     return model.forecast_ar(f, d, "total", 7, order_cols=["day"], key="event_type")
 
 
+_AR_PAIRS = f"""
+d AS (SELECT event_type, day, total::DOUBLE AS y, row_number() OVER w - 1 AS rid, lag(total) OVER w AS y1
+      FROM ({_SQL_DAILY_R}) WINDOW w AS (PARTITION BY event_type ORDER BY day))"""
+
+
+@register("m7_ar1_forecast", f"""
+WITH {_AR_PAIRS},
+f AS (SELECT event_type, regr_slope(y, y1) AS b, regr_intercept(y, y1) AS a, max_by(y, rid) AS last FROM d GROUP BY 1)
+SELECT event_type, CAST(k AS INTEGER) AS step, round(a * (1 - power(b, k)) / (1 - b) + power(b, k) * last, 4) AS forecast
+FROM f, (SELECT unnest(range(1, 8)) AS k)""")
+def q_m7a(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    f = model.fit_ar(d, "total", p=1, trend="c", order_cols=["day"], key="event_type")
+    return model.forecast_ar(f, d, "total", 7, order_cols=["day"], key="event_type").select("event_type", "step", F.round("forecast", 4).alias("forecast"))
+
+
+@register("m7_trend_exog_forecast", f"""
+WITH {_AR_PAIRS},
+t AS (SELECT event_type, regr_slope(y, rid) AS b, regr_intercept(y, rid) AS a, count(*) AS n FROM d GROUP BY 1),
+e AS (SELECT event_type, regr_slope(total, n_events) AS b, regr_intercept(total, n_events) AS a FROM ({_SQL_DAILY_R}) GROUP BY 1)
+SELECT event_type, 'trend' AS model, CAST(k AS INTEGER) AS step, round(a + b * (n + k - 1), 4) AS forecast FROM t, (SELECT unnest(range(1, 4)) AS k)
+UNION ALL SELECT event_type, 'exog', CAST(k AS INTEGER), round(a + b * 10 * k, 4) FROM e, (SELECT unnest(range(1, 4)) AS k)""")
+def q_m7t(spark: SparkSession, sf: str) -> DataFrame:
+    """A trend goes on, and a regressor's future values are used."""
+    d = daily_rounded(spark, sf)
+    trend = model.forecast_ar(model.fit_ar(d, "total", p=0, trend="ct", order_cols=["day"], key="event_type"), d, "total", 3, ["day"], key="event_type")
+    future = d.select("event_type").distinct().withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("n_events", F.col("step") * 10)
+    exog = model.forecast_ar(model.fit_ar(d, "total", p=0, trend="c", exog=["n_events"], order_cols=["day"], key="event_type"), d, "total", 3,
+                             ["day"], key="event_type", future=future)
+    both = trend.withColumn("model", F.lit("trend")).unionByName(exog.withColumn("model", F.lit("exog")))
+    return both.select("event_type", "model", "step", F.round("forecast", 4).alias("forecast"))
+
+
 @register("m10_grid_search_cv")
 def q_m10(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression
@@ -1675,17 +1708,70 @@ def q_m11(spark: SparkSession, sf: str) -> DataFrame:
                                        "best boolean")
 
 
-@register("m11_ar_search")
+@register("m11_ar_search", f"""
+WITH {_AR_PAIRS},
+r AS (SELECT event_type, count(*) AS n, regr_syy(y, y1) * (1 - power(corr(y, y1), 2)) AS rss1, regr_syy(y, y1) AS rss0,
+             var_pop(y - y1) * count(*) AS rssd FROM d WHERE y1 IS NOT NULL GROUP BY 1),
+c AS (SELECT event_type, n, unnest([0, 1, 2]) AS candidate, unnest([0, 1, 0]) AS p, unnest([0, 0, 1]) AS d,
+             unnest([n * ln(rss0 / n) + 4, n * ln(rss1 / n) + 6, n * ln(rssd / n) + 4]) AS aic,
+             unnest([n * ln(rss0 / n) + 2 * ln(n), n * ln(rss1 / n) + 3 * ln(n), n * ln(rssd / n) + 2 * ln(n)]) AS bic FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY aic, candidate) AS k FROM c)
+SELECT event_type, p, d, round(aic, 5) AS aic, round(bic, 5) AS bic, n, candidate FROM b WHERE k = 1""")
 def q_m11a(spark: SparkSession, sf: str) -> DataFrame:
-    grid = tune.ar_grid({"p": [1, 2], "d": [0, 1], "trend": ["c"]})
+    grid = [{"p": 0, "d": 0, "trend": "c"}, {"p": 1, "d": 0, "trend": "c"}, {"p": 0, "d": 1, "trend": "c"}]
+    best = tune.ar_search(daily_rounded(spark, sf), "total", grid, order_cols=["day"], key="event_type")
+    return best.select("event_type", "p", "d", F.round("aic", 5).alias("aic"), F.round("bic", 5).alias("bic"), "n", "candidate")
+
+
+@register("m11_seasonal_ar_search")
+def q_m11s(spark: SparkSession, sf: str) -> DataFrame:
+    grid = tune.ar_grid({"p": [1, 2], "d": [0, 1], "P": [1], "s": [None, 7], "trend": ["c"]})
     best = tune.ar_search(daily_rounded(spark, sf), "total", grid, order_cols=["day"], key="event_type")
-    return best.select("event_type", "p", "d", "aic", "bic", "n", "candidate")
+    return best.select("event_type", "p", "d", "sp", "season", "aic", "bic", "n", "candidate")
 
 
-@register("m12_walk_forward")
+@register("m11_accuracy_search")
+def q_m11c(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    space = {"C": ("loguniform", 0.01, 10.0), "solver": ("choice", ["lbfgs", "liblinear", "saga"]), "penalty": ("choice", ["l2", "l1"])}
+    best, _, results = tune.accuracy_search(
+        lambda train, **draw: model.fit_logistic(train, _CL_FEATURES, "label", max_iter=15, **draw), space, 4,
+        t.filter("split = 'train'"), t.filter("split = 'val'"), "label", seed=3)
+    rows = [(i, float(g["C"]), g["solver"], g["penalty"], acc, g == best) for i, (g, acc) in enumerate(results)]
+    return spark.createDataFrame(rows, "draw int, C double, solver string, penalty string, accuracy double, best boolean")
+
+
+_WALK_SQL = f"""
+n AS (SELECT event_type, max(rid) + 1 AS n FROM d GROUP BY 1),
+f AS (SELECT unnest([0, 1, 2]) AS fold),
+t AS (SELECT d.event_type, fold, regr_slope(y, y1) AS b, regr_intercept(y, y1) AS a, max_by(y, rid) AS last
+      FROM d JOIN n USING (event_type) JOIN f ON rid >= fold * 2 AND rid < fold * 2 + 14 AND n >= 16
+      WHERE rid > fold * 2 GROUP BY 1, 2),
+p AS (SELECT d.event_type, f.fold, CAST(rid - fold * 2 - 13 AS INTEGER) AS step, day, y AS actual
+      FROM d JOIN f ON rid >= fold * 2 + 14 AND rid < fold * 2 + 16),
+w AS (SELECT p.event_type, p.fold, step, day, actual, CASE step WHEN 1 THEN a + b * last ELSE a + b * (a + b * last) END AS forecast
+      FROM p JOIN t ON p.event_type = t.event_type AND p.fold = t.fold),
+x AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day, fold) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS k FROM w),
+y AS (SELECT event_type, fold, step, day, actual, forecast, CASE WHEN i < k // 2 THEN 'val' ELSE 'test' END AS part FROM x)"""
+
+
+@register("m12_walk_forward", f"""
+WITH {_AR_PAIRS}, {_WALK_SQL}
+SELECT event_type, fold, step, day, round(actual, 5) AS actual, round(forecast, 5) AS forecast, part FROM y""")
 def q_m12(spark: SparkSession, sf: str) -> DataFrame:
     d = daily_rounded(spark, sf)
-    return tune.walk_forward(d, "total", ["day"], W=14, h=2, folds=3, p=1, d=0, trend="c", key="event_type")
+    w = tune.walk_forward(d, "total", ["day"], W=14, h=2, folds=3, p=1, d=0, trend="c", key="event_type")
+    return w.select("event_type", "fold", "step", "day", F.round("actual", 5).alias("actual"), F.round("forecast", 5).alias("forecast"), "part")
+
+
+@register("m12_walk_forward_metrics", f"""
+WITH {_AR_PAIRS}, {_WALK_SQL}
+SELECT event_type, part, count(*) AS n, round(avg((actual - forecast) * (actual - forecast)), 2) AS mse,
+       round(avg(abs(actual - forecast)), 4) AS mae FROM y GROUP BY 1, 2""")
+def q_m12m(spark: SparkSession, sf: str) -> DataFrame:
+    d = daily_rounded(spark, sf)
+    w = tune.walk_forward(d, "total", ["day"], W=14, h=2, folds=3, p=1, d=0, trend="c", key="event_type")
+    return tune.walk_forward_metrics(w, "event_type").select("event_type", "part", "n", F.round("mse", 2).alias("mse"), F.round("mae", 4).alias("mae"))
 
 
 @register("m14_save_load_score")
@@ -1881,12 +1967,57 @@ def q_r6(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REPLAY_CONFIG = {"steps": [
-    {"step": "data_cleaning", "params": {"eliminar_duplicados": True, "filtrar_outliers": True,
-                                         "relleno_valores_numericos": "media"}},
-    {"step": "data_encoding", "params": {"input_columns": ["event_type", "event_type_vacio"],
-                                         "target_columns": ["value"], "target_encoding": None}},
-    {"step": "train_model", "algorithm": "logistic_regression", "params": {"target": "value"}},
+    {"step": "data_cleaning", "outputs": {"raw_data": {"path": "raw/x.csv"}},
+     "parameters": {"eliminar_duplicados": True, "filtrar_outliers": True, "relleno_valores_numericos": "media", "valor_imputacion": None}},
+    {"step": "data_encoding", "parameters": {"input_features": ["event_type", "event_type_vacio"], "target_variables": ["value"],
+                                             "encode_target_ohe": False, "encode_target_label": False}},
 ]}
+# A record that keeps duplicates and outliers, drops rows without values, label-encodes, and trains.
+_REPLAY_CL = {"steps": [
+    {"step": "data_cleaning", "parameters": {"eliminar_duplicados": False, "filtrar_outliers": False, "relleno_valores_numericos": "eliminar"}},
+    {"step": "data_encoding", "parameters": {"input_features": ["value", "user_id"], "target_variables": ["event_type"], "encode_target_label": True}},
+    {"step": "train_logistic_regression", "input_features": ["value", "user_id"], "target_variable": "event_type",
+     "split_ratios": {"train": 0.6, "val": 0.2, "test": 0.2}, "hyperparameters": {"C": 1.0, "max_iter": 5, "solver": "lbfgs", "random_state": 42},
+     "hyperparameter_search_strategy": "none", "grid_search": {"use_grid_search": False}},
+]}
+# A series record: a list of cleaning methods, two lags, rows without lags dropped, horizon 2.
+_REPLAY_TS = {"steps": [
+    {"step": "data_cleaning", "parameters": {"optional_methods": {"cleaning_methods": [
+        {"method": "fill_missing_numeric_values", "params": {"method": "valor", "value": 0.0}}]}}},
+    {"step": "data_encoding", "parameters": {"input_features": ["n_events"], "target_variables": ["total"], "date_column": "day",
+                                             "lag_periods": 2, "lag_nan_handling": "drop"}},
+    {"step": "train_xgboost", "date_col_name": "day", "target_variable": "total", "input_features": ["n_events"], "forecast_horizon": 2,
+     "split_ratios": [0.7, 0.15, 0.15], "hyperparameters": {"n_estimators": 3, "max_depth": 2}},
+]}
+
+
+@register("r4_replay_tabular_record", f"""
+WITH c AS (SELECT event_id, coalesce(nullif(trim(event_type), ''), 'vacio') AS event_type, user_id, value FROM ({SQL_DIRTY_EVENTS}) WHERE value IS NOT NULL),
+l AS (SELECT event_id, user_id, value, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS event_type FROM c),
+h AS (SELECT *, md5(concat_ws(chr(31), '42', event_id)) AS h FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY h, event_id) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM h),
+t AS (SELECT *, ceil(n * 0.4::DOUBLE - 1e-9) AS nt, ceil(ceil(n * 0.4::DOUBLE - 1e-9) * 0.5::DOUBLE - 1e-9) AS ns FROM r)
+SELECT event_id, user_id, value, event_type, CASE WHEN pos < n - nt THEN 'train' WHEN pos < n - ns THEN 'val' ELSE 'test' END AS split FROM t""")
+def q_r4c(spark: SparkSession, sf: str) -> DataFrame:
+    ev = dirty_events(spark, sf).select("event_id", "event_type", "user_id", "value")
+    return replay.replay_steps(ev, _REPLAY_CL, train=False, id_cols=["event_id"]).splits.select("event_id", "user_id", "value", "event_type", "split")
+
+
+@register("r4_replay_series_record", f"""
+WITH e AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END) AS DOUBLE) AS total, count(*) AS n_events FROM events GROUP BY 1),
+d AS (SELECT day, CASE WHEN day(day) % 5 = 0 THEN 0.0 ELSE round(total, 4) END AS total, n_events FROM e),
+l AS (SELECT *, lag(n_events, 1) OVER w AS n1, lag(n_events, 2) OVER w AS n2 FROM d WINDOW w AS (ORDER BY day)),
+k AS (SELECT day, n_events, n1, n2, lead(total, 2) OVER (ORDER BY day) AS y FROM l WHERE n2 IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM k WHERE y IS NOT NULL)
+SELECT CAST(day AS TIMESTAMP) AS day, n_events, n1 AS n_events_lag_1, n2 AS n_events_lag_2, round(y, 4) AS y,
+       CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r""")
+def q_r4t(spark: SparkSession, sf: str) -> DataFrame:
+    kept = F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.col("value"))
+    daily = table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(kept).alias("total"), F.count(F.lit(1)).alias("n_events"))
+    daily = daily.withColumn("total", F.when(F.dayofmonth("day") % 5 != 0, F.round("total", 4)))
+    out = replay.replay_steps(daily, _REPLAY_TS, train=False).splits
+    return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "n_events", F.col("n_events_lag_1").cast("bigint").alias("n_events_lag_1"),
+                      F.col("n_events_lag_2").cast("bigint").alias("n_events_lag_2"), F.round("y", 4).alias("y"), "split")
 
 
 @register("r4_replay_recorded_steps", _cl_flow_sql("""

@@ -1,27 +1,57 @@
 """Replay a recorded step list on fresh data.
 
-The record is a list of step dicts. Cleaning is ``steps[0]``; profiling runs when flagged
-or present; the first ``data_encoding`` step encodes; the first step whose name starts
-with ``train`` trains on the encoded table (the cleaned one when no encoding was
-recorded). Everything up to training stays one lazy plan; only declared outputs are
-materialised by the caller.
+A record is ``{"steps": [...]}``. Cleaning is ``steps[0]``; profiling runs when flagged or when
+the record holds it; the first ``data_encoding`` step encodes; the first step whose name starts
+with ``train`` trains on the encoded table, or on the cleaned one without encoding. Two kinds of
+record are read: tabular ones (cleaning switches, encoders, classifiers) and time-series ones
+(a list of cleaning methods, lags, a horizon, forecasters). What a record says in a key that is
+not known here, or with an algorithm that is not, is an error, never a default.
+
+Everything up to training stays one lazy plan; only declared outputs are materialised.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kiln.operators import clean, encode, model, profile, split
 
+# The keys of recorded parameters, and what they are here.
+CLEANING_KEYS = {"eliminar_duplicados": "remove_duplicates", "filtrar_outliers": "remove_outliers",
+                 "relleno_valores_numericos": "numeric_fill", "valor_imputacion": "fill_value"}
+SERIES_CLEANING_KEYS = ("optional_methods",)
+ENCODING_KEYS = ("input_features", "target_variables", "encode_target_ohe", "encode_target_label",
+                 "date_column", "lag_periods", "lag_nan_handling")
+SEARCH_KEYS = ("hyperparameter_search_strategy", "grid_search", "random_search", "bayesian_search", "hyperparameter_search")
+# The training steps' names, by kind of model.
+TABULAR = {"train_logistic_regression": "logistic", "train_mlp_model": "mlp", "train_mlp": "mlp", "train_xgboost": "gbt"}
+SERIES = {"train_arima": "ar", "train_sarimax": "ar", "train_xgboost": "gbt_forecast"}
+HYPER = {
+    "logistic": {"C": "C", "regularization": "C", "max_iter": "max_iter", "maxIter": "max_iter", "solver": "solver",
+                 "penalty": "penalty", "l1_ratio": "l1_ratio"},
+    "mlp": {"hidden_layer_sizes": "hidden", "max_iter": "max_iter", "maxIter": "max_iter", "activation": "activation",
+            "solver": "solver", "learning_rate_init": "step_size"},
+    "gbt": {"learning_rate": "learning_rate", "n_estimators": "n_trees", "max_depth": "max_depth", "subsample": "subsample",
+            "colsample_bytree": "colsample"},
+    "ar": {"p": "p", "d": "d", "P": "P", "D": "D", "s": "s", "q": "ma", "trend": "trend"},
+}
+HYPER["gbt_forecast"] = HYPER["gbt"]
+# Recorded beside the hyperparameters, without effect on a fit here.
+REMARKS = ("random_state", "verbose", "val_accuracy", "best_iteration", "objective", "eval_metric", "n_jobs", "seed", "num_class")
+
 
 @dataclass
 class ReplayResult:
     cleaned: DataFrame
     encoded: DataFrame | None = None
     profile: DataFrame | None = None
+    splits: DataFrame | None = None
     model: object | None = None
+    forecast: DataFrame | None = None
     reports: dict = field(default_factory=dict)
 
     @property
@@ -29,55 +59,133 @@ class ReplayResult:
         return self.encoded if self.encoded is not None else self.cleaned
 
 
-def _first(steps, pred):
-    for s in steps:
-        if pred(s):
-            return s
-    return None
+def _only(given: dict, known, where: str) -> dict:
+    unknown = sorted(set(given) - set(known))
+    if unknown:
+        raise ValueError(f"{where}: unknown keys {unknown}")
+    return given
+
+
+def _first(steps: Sequence[dict], pred):
+    return next((s for s in steps if pred(str(s.get("step", "")).lower())), None)
+
 
+def _ratios(given) -> tuple[float, float, float]:
+    if isinstance(given, dict):
+        _only(given, ("train", "val", "validation", "test"), "split_ratios")
+        return float(given["train"]), float(given.get("val", given.get("validation", 0.0))), float(given["test"])
+    return tuple(float(r) for r in given)
 
-def replay_steps(df: DataFrame, config: dict, train: bool = True, with_report: bool = False) -> ReplayResult:
+
+def replay_steps(df: DataFrame, config: dict, train: bool = True, with_report: bool = False,
+                 id_cols: Sequence[str] = (), order_cols: Sequence[str] = ()) -> ReplayResult:
+    """``id_cols`` identify rows for the stratified split, ``order_cols`` put a series in order
+    (the recorded date column is taken first): rows have no implicit order in Spark."""
     steps = list(config.get("steps") or [])
     if not steps:
         raise ValueError("the record has no steps")
-    c = steps[0]
-    p = c.get("params", c)
-    cleaned, rep = clean.clean_table(
-        df, remove_duplicates=p.get("eliminar_duplicados", p.get("remove_duplicates", True)),
-        remove_outliers=p.get("filtrar_outliers", p.get("remove_outliers", True)),
-        numeric_fill=p.get("relleno_valores_numericos", p.get("numeric_fill", "media")),
-        fill_value=p.get("valor_imputacion", p.get("fill_value")), with_report=with_report)
+    p = dict(steps[0].get("parameters") or {})
+    if "optional_methods" in p:
+        _only(p, SERIES_CLEANING_KEYS, "cleaning")
+        cleaned, rep = clean.apply_cleaning(df, p["optional_methods"], strict=True)
+    else:
+        _only(p, CLEANING_KEYS, "cleaning")
+        defaults = {"remove_duplicates": True, "remove_outliers": True, "numeric_fill": "media", "fill_value": None}
+        cleaned, rep = clean.clean_table(df, with_report=with_report, **defaults | {CLEANING_KEYS[k]: v for k, v in p.items()})
     res = ReplayResult(cleaned=cleaned, reports={"cleaning": rep})
-    eda = _first(steps, lambda s: s.get("step") in ("eda", "profile"))
-    if config.get("run_eda") or eda is not None:
-        res.profile = profile.profile(cleaned)
-    enc = _first(steps, lambda s: s.get("step") == "data_encoding")
-    if enc is not None:
-        ep = enc.get("params", enc)
-        x = cleaned
-        inputs = encode.usable(ep.get("input_columns", []))
-        targets = encode.usable(ep.get("target_columns", []))
-        x = encode.one_hot(x, inputs)
-        if ep.get("target_encoding") == "one_hot":
-            x = encode.one_hot_target(x, targets)
-        elif ep.get("target_encoding") == "label":
-            x = encode.label_encode(x, targets)
-        x = encode.bool_to_int(x)
-        res.encoded = x
-    tr = _first(steps, lambda s: str(s.get("step", "")).startswith("train"))
-    if train and tr is not None:
-        tp = tr.get("params", tr)
-        table = res.training_table
-        label = tp["target"]
-        feats = [c for c in table.columns if c != label and c in tp.get("features", table.columns)]
-        algo = tr.get("algorithm", "logistic_regression")
-        if tp.get("split"):
-            table = split.stratified_split(table, label, tp["split"], id_cols=tp["id_cols"])
-            table = table.filter("split = 'train'").drop("split")
-        if algo in ("logistic_regression", "logistic"):
-            res.model = model.fit_logistic(table, feats, label, C=tp.get("C", 1.0), max_iter=tp.get("max_iter", 100))
-        elif algo in ("mlp", "neural_network"):
-            res.model = model.fit_mlp(table, feats, label, hidden=tp.get("hidden_layer_sizes", (100,)))
-        else:
-            res.model = model.fit_gbt_classifier(table, feats, label)
+    if config.get("run_eda") or _first(steps, lambda name: name == "generate_eda"):
+        res.profile = profile.profile_all(cleaned)
+    enc = _first(steps, lambda name: name == "data_encoding")
+    if enc is not None and enc.get("parameters"):
+        res.encoded = _encoded(cleaned, enc["parameters"], order_cols)
+    tr = _first(steps, lambda name: name.startswith("train"))
+    if tr is not None:
+        _train(res, tr, train, id_cols, order_cols)
     return res
+
+
+def _encoded(x: DataFrame, ep: dict, order_cols: Sequence[str]) -> DataFrame:
+    _only(ep, ENCODING_KEYS, "encoding")
+    if not ep.get("input_features") or not ep.get("target_variables"):
+        raise ValueError("encoding needs input_features and target_variables")
+    inputs, targets = encode.usable(ep["input_features"]), encode.usable(ep["target_variables"])
+    encode.require_columns(x, inputs, targets)
+    if ep.get("encode_target_ohe") and ep.get("encode_target_label"):
+        raise ValueError("one-hot or label encoding of the targets, not both")
+    lags = int(ep.get("lag_periods") or 0)
+    if lags > 0:
+        date = ep.get("date_column") or x.columns[0]
+        order = list(dict.fromkeys([date, *order_cols]))
+        kept, _ = split.numeric_features(x, [c for c in inputs if c != date and c not in targets])
+        x = encode.handle_lag_nulls(encode.add_lags(x, kept, lags, order_cols=order), ep.get("lag_nan_handling") or "leave_as_is", order_cols=order)
+    x = encode.one_hot(x, inputs)
+    if ep.get("encode_target_ohe"):
+        x = encode.one_hot_target(x, targets)
+    elif ep.get("encode_target_label"):
+        x = encode.label_encode(x, targets)
+    return encode.bool_to_int(x)
+
+
+def _train(res: ReplayResult, tr: dict, fit: bool, id_cols: Sequence[str], order_cols: Sequence[str]) -> None:
+    name = str(tr["step"]).lower()
+    series = "date_col_name" in tr or "forecast_horizon" in tr
+    if name == "train_model":  # newer records name the algorithm beside the step
+        name = f"train_{str(tr.get('algorithm', '')).lower()}"
+    kind = (SERIES if series else TABULAR).get(name)
+    if kind is None:
+        raise ValueError(f"unknown training step {tr['step']!r} (algorithm {tr.get('algorithm')!r})")
+    given = dict(tr.get("hyperparameters") or tr.get("params") or {})
+    _only(given, [*HYPER[kind], *REMARKS], "hyperparameters")
+    params = {HYPER[kind][k]: v for k, v in given.items() if k in HYPER[kind] and v is not None}
+    target = tr.get("target_variable") or (tr.get("target_variables") or [None])[0]
+    if not target:
+        raise ValueError("the training step names no target_variable")
+    table, ratios = res.training_table, _ratios(tr.get("split_ratios") or (0.7, 0.15, 0.15))
+    wanted = [c for c in encode.usable(tr.get("input_features") or []) if c != target]
+    feats = _expanded(table, wanted)
+    if series:
+        date = tr.get("date_col_name") or table.columns[0]
+        order, h = list(dict.fromkeys([date, *order_cols])), int(tr.get("forecast_horizon") or 1)
+        if kind == "ar":
+            res.splits = split.temporal_split(table, ratios, order_cols=order)
+            if fit:
+                past = res.splits.filter("split = 'train'")
+                res.model = model.fit_ar(past, target, order_cols=order, **{"p": 1, "trend": "c"} | params)
+                res.forecast = model.forecast_ar(res.model, past, target, h, order)
+            return
+        res.splits = split.supervised(table, target, [c for c in feats if c != date], h=h, order_cols=order, ratios=ratios)
+        if fit:
+            res.model = model.fit_gbt_forecaster(res.splits.filter("split = 'train'"), [c for c in feats if c != date], "y", **params)
+        return
+    if not id_cols:
+        raise ValueError("a stratified split needs id_cols")
+    res.splits = split.stratified_split(table, target, ratios, id_cols=list(id_cols))
+    if fit:
+        run = {"logistic": model.fit_logistic, "mlp": model.fit_mlp, "gbt": model.fit_gbt_classifier}[kind]
+        feats = [c for c in feats if c not in id_cols]
+        res.model = run(res.splits.filter("split = 'train'"), feats, target, **params)
+
+
+def _expanded(table: DataFrame, wanted: Sequence[str]) -> list[str]:
+    """The wanted columns as they stand after encoding: a one-hot feature by its dummies, a
+    lagged one with its lags."""
+    out: list[str] = []
+    for c in wanted:
+        if c in table.columns:
+            out += [c, *[x for x in table.columns if x.startswith(f"{c}_lag_")]]
+        else:
+            dummies = [x for x in table.columns if x.startswith(f"{c}_")]
+            if not dummies:
+                raise ValueError(f"training feature {c!r} is not in the table")
+            out += dummies
+    return list(dict.fromkeys(out))
+
+
+def record_of(docs: DataFrame, run_id: str, doc_col: str = "doc", id_col: str = "run_id") -> dict:
+    """One recorded document by its id, ready for :func:`replay_steps`."""
+    import json
+
+    row = docs.filter(F.col(id_col) == run_id).select(doc_col).first()
+    if row is None:
+        raise ValueError(f"no record {run_id!r}")
+    return json.loads(row[0])

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kiln.operators import model, tune
@@ -77,3 +78,77 @@ def test_run_validation_and_flatten(spark):
     assert ml.count() == 12
     best = runs.best_runs(ml, "val_rmse").first()
     assert best.value == 0.5
+
+
+def test_forecasts_use_trend_and_future_regressors(spark):
+    df = spark.createDataFrame([(t, 5.0 + 2 * t, 10.0 * (t % 4) + 3, float(t % 4)) for t in range(40)], "t long, y double, z double, e double")
+    trend = model.forecast_ar(model.fit_ar(df, "y", p=0, trend="ct", order_cols=["t"]), df, "y", 3, ["t"])
+    assert np.allclose([r.forecast for r in trend.orderBy("step").collect()], [85, 87, 89])
+    fit = model.fit_ar(df, "z", p=0, trend="c", exog=["e"], order_cols=["t"])
+    future = spark.createDataFrame([(1, 7.0), (2, 0.0)], "step int, e double")
+    got = model.forecast_ar(fit, df, "z", 2, ["t"], future=future)
+    assert np.allclose([r.forecast for r in got.orderBy("step").collect()], [73, 3])
+    with pytest.raises(ValueError):
+        model.forecast_ar(fit, df, "z", 2, ["t"])
+    with pytest.raises(ValueError):
+        model.fit_ar(df, "y", p=1, ma=1, order_cols=["t"])
+
+
+def test_seasonal_lags_and_differences(spark):
+    season = [3.0, -1.0, 4.0, 0.5]
+    df = spark.createDataFrame([(t, season[t % 4] + 0.25 * (t // 4)) for t in range(60)], "t long, y double")
+    want = [season[t % 4] + 0.25 * (t // 4) for t in range(60, 66)]
+    diff = model.forecast_ar(model.fit_ar(df, "y", p=0, D=1, s=4, trend="c", order_cols=["t"]), df, "y", 6, ["t"])
+    assert np.allclose([r.forecast for r in diff.orderBy("step").collect()], want)
+    lag = model.forecast_ar(model.fit_ar(df, "y", p=0, P=1, s=4, trend="c", order_cols=["t"]), df, "y", 6, ["t"])
+    assert np.allclose([r.forecast for r in lag.orderBy("step").collect()], want, atol=1e-6)
+    best = tune.ar_search(df, "y", [{"p": 1, "d": 0, "trend": "c"}, {"p": 0, "D": 1, "s": 4, "trend": "c"}], ["t"]).first()
+    assert (best.candidate, best.sd, best.season) == (1, 1, 4)
+    with pytest.raises(ValueError):
+        tune.ar_search(df, "y", [{"p": 1, "q": 2}], ["t"])
+
+
+def test_walk_forward_needs_two_predictions(spark):
+    df = spark.createDataFrame([(t, float(t * t % 7)) for t in range(16)], "t long, y double")
+    assert {r.part for r in tune.walk_forward_metrics(tune.walk_forward(df, "y", ["t"], W=10, h=2, folds=2)).collect()} == {"val", "test"}
+    with pytest.raises(ValueError):
+        tune.walk_forward(df, "y", ["t"], W=15, h=1, folds=1)
+
+
+def test_accuracy_search_skips_failing_fits(spark):
+    df = _separable(spark)
+    space = {"solver": ("choice", ["lbfgs", "liblinear"]), "penalty": ("choice", ["l1", "l2"]), "C": ("loguniform", 0.1, 10.0)}
+    best, fitted, results = tune.accuracy_search(lambda d, **g: model.fit_logistic(d, ["x1", "x2"], "y", max_iter=10, **g), space, 6, df, df, "y", seed=1)
+    assert any(a is None for _, a in results) and max(a for _, a in results if a is not None) > 0.9 and fitted is not None
+    assert (best["solver"], best["penalty"]) != ("lbfgs", "l1")
+    with pytest.raises(ValueError):
+        tune.accuracy_search(lambda d, **g: model.fit_logistic(d, ["x1", "x2"], "y", solver="none"), space, 2, df, df, "y")
+
+
+def test_replay_of_records(spark):
+    from kiln.plans import replay
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), "a" if x > 0 else "b", "u" if i % 3 else None) for i, x in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "id long, x double, label string, color string")
+    record = {"steps": [
+        {"step": "data_cleaning", "parameters": {"eliminar_duplicados": False, "filtrar_outliers": False, "relleno_valores_numericos": "dejar"}},
+        {"step": "generate_eda"},
+        {"step": "data_encoding", "parameters": {"input_features": ["x", "color"], "target_variables": ["label"], "encode_target_label": True}},
+        {"step": "train_logistic_regression", "input_features": ["x", "color"], "target_variable": "label", "split_ratios": [0.6, 0.2, 0.2],
+         "hyperparameters": {"C": 10.0, "max_iter": 20, "solver": "lbfgs", "random_state": 1}}]}
+    res = replay.replay_steps(df, record, id_cols=["id"])
+    assert res.profile.count() == 4 and "color_vacio" in res.encoded.columns
+    test = model.score(res.model, res.splits.filter("split = 'test'"))
+    assert test.filter("prediction = label").count() / test.count() > 0.9
+    for broken in ({"step": "train_svm", "target_variable": "label"}, {**record["steps"][3], "hyperparameters": {"gamma": 1}}):
+        with pytest.raises(ValueError):
+            replay.replay_steps(df, {"steps": [*record["steps"][:3], broken]}, id_cols=["id"])
+    with pytest.raises(ValueError):
+        replay.replay_steps(df, {"steps": [{"step": "data_cleaning", "parameters": {"dedupe": True}}]})
+    series = spark.createDataFrame([(f"2024-01-{d:02d}", float(d)) for d in range(1, 29)], "day string, y double")
+    got = replay.replay_steps(series, {"steps": [
+        {"step": "data_cleaning", "parameters": {"optional_methods": None}},
+        {"step": "train_arima", "date_col_name": "day", "target_variable": "y", "forecast_horizon": 3, "split_ratios": [0.8, 0.1, 0.1],
+         "hyperparameters": {"p": 0, "d": 1, "trend": "c"}}]})
+    assert [round(r.forecast, 6) for r in got.forecast.orderBy("step").collect()] == [23.0, 24.0, 25.0]
