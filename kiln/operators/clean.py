@@ -373,8 +373,6 @@ def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool =
     no-op; unknown names are ignored unless ``strict``. Date methods need ``date_column``
     (and ``order_cols`` for imputation). ``with_regularity`` adds the regularity verdict of
     the first column to the report, as the reference records it."""
-    from kiln.operators import dates  # local import: dates depends on clean
-
     rep: dict = {}
     x = df
     if mandatory:
@@ -387,9 +385,9 @@ def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool =
         x, rep["columns_removed_all_na"] = drop_empty_columns(x)
     for name, params in parse_cleaning_spec(spec, strict=strict):
         if name == "drop_duplicates":
-            x = drop_duplicates(x, sort=True, include=params.get("include", True))
+            x = drop_duplicates(x, include=params.get("include", True))
             if params.get("include", True):
-                x = x.checkpoint(eager=True)  # later aggregate passes read this, not the sort
+                x = x.checkpoint(eager=True)  # later aggregate passes read this, not the shuffle
         elif name == "fill_missing_numeric_values":
             x, r = fill_numeric(x, params.get("method", "media"), params.get("value"))
             rep.update(r)
@@ -400,25 +398,46 @@ def apply_cleaning(df: DataFrame, spec, strict: bool = False, mandatory: bool =
             col = params.get("date_column")
             if not col:
                 continue
-            strategy = params.get("imputation_strategy", "mean_timedelta")
-            if name == "standardize_date_to_utc":
-                x = dates.to_utc(x, col)
-            else:
-                x = dates.keep_tz(x, col)
-            order = params.get("order_cols")
-            if order and strategy != "leave_as_is":
-                x = dates.impute_dates(x, col, order_cols=order, strategy=strategy, key=params.get("key"))
-            else:
-                # row order is not implicit in Spark: without order columns there is nothing
-                # to interpolate between, so only the count is reported
-                rep["date_imputation"] = {"strategy": strategy if order else "skipped: no order_cols",
-                                          "invalid_dates_found": dates.count_invalid_dates(x, col)}
+            x, rep["date_standardization"] = _date_step(x, name, col, params)
     if with_regularity and x.columns:
+        from kiln.operators import dates  # local import: dates depends on clean
+
         row = dates.is_regular(x).first()
         rep["is_time_series_regular"] = None if row is None else row["is_regular"]
     return x, rep
 
 
+def _date_step(x: DataFrame, name: str, col: str, params: dict) -> tuple[DataFrame, dict]:
+    """One recorded date method: standardise (to UTC, or keeping the offset), fill dates that are
+    missing or did not parse, spread repeated timestamps; with what was found on the way. Filling
+    and spreading need a row order, which Spark does not have by itself: without ``order_cols``
+    they are left out, and the report says so."""
+    from kiln.operators import dates  # local import: dates depends on clean
+
+    strategy = params.get("imputation_strategy", "mean_timedelta")
+    order, key = params.get("order_cols"), params.get("key")
+    before = x.agg(F.count(q(col))).first()[0]
+    samples = dates.preview_dates(x, col, mode="utc" if name == "standardize_date_to_utc" else "keep", order_cols=order)
+    out = {"column": col, "samples": [r.asDict() for r in samples.collect()]}  # five rows
+    if name == "standardize_date_to_utc":
+        x = dates.to_utc(x, col)
+        out["timezone"] = "UTC"
+    else:
+        x = dates.keep_tz(x, col)
+        out["timezone"] = dates.zone_label(x, f"{col}_offset_minutes")
+    row = x.agg(F.count(q(col)).alias("n"), F.count_if(q(col).isNull()).alias("m")).first()
+    out |= {"parse_failures": int(before - row["n"]), "invalid_dates_found": int(row["m"])}
+    if not order:
+        return x, out | {"strategy": "skipped: no order_cols"}
+    out["strategy"] = strategy
+    if strategy != "leave_as_is":
+        x = dates.impute_dates(x, col, order_cols=order, strategy=strategy, key=key)
+    out["duplicate_timestamps"] = dates.duplicate_timestamp_count(x, col, key)
+    if out["duplicate_timestamps"]:
+        x = dates.spread_duplicates(x, col, order, key=key)
+    return x, out
+
+
 KNOWN_METHODS = ("drop_duplicates", "fill_missing_numeric_values", "filter_outliers",
                  "standardize_date_to_utc", "standardize_date_retain_timezone")
 

@@ -171,8 +171,7 @@ def keep_tz(df: DataFrame, col: str, out: str | None = None, offset_col: str | N
                  .when(is_z, F.regexp_replace(c, "Z$", "")).otherwise(c)
     local = F.coalesce(*[_try_parse(local_txt, f.replace("[XXX][XX][X]", "")) for f in _ZONED if "'Z'" not in f])
     valid = _zoned_parse(c).isNotNull()
-    return (df.withColumn(out, F.when(valid, local.cast("timestamp_ntz")))
-              .withColumn(offset_col, F.when(valid, offset).cast("int")))
+    return df.withColumns({offset_col: F.when(valid, offset).cast("int"), out: F.when(valid, local.cast("timestamp_ntz"))})
 
 
 def zone_label(df: DataFrame, offset_col: str) -> str:
@@ -320,12 +319,12 @@ def impute_dates(df: DataFrame, col: str, order_cols: Sequence[str] | None = Non
     was_ntz = isinstance(df.schema[col].dataType, T.TimestampNTZType)
     x = df.withColumn("_us", micros(q(col)))
     x = assign_row_id(x, list(order_cols), key=keys, row_id="_rid")
+    stats = x.groupBy(*keys).agg(F.max("_us").alias("_mx"), F.min("_us").alias("_mn"), F.count("_us").alias("_cnt"))
     # previous valid (value, position) and next valid (value, position)
     x = x.withColumn("_pv", F.when(F.col("_us").isNotNull(), F.struct(F.col("_us").alias("v"), F.col("_rid").alias("p"))))
     x = x.withColumn("_nv", F.col("_pv")).withColumn("_nrid", -F.col("_rid"))
     x = forward_fill(x, keys, "_rid", ["_pv"], block=block)
     x = forward_fill(x, keys, "_nrid", ["_nv"], block=block)
-    stats = x.groupBy(*keys).agg(F.max("_us").alias("_mx"), F.min("_us").alias("_mn"), F.count("_us").alias("_cnt"))
     if strategy == "auto_detected":
         steps = detect_step(df, col, key=keys, order_cols=None, block=block)
         stats = join_small(stats, steps.select(*keys, "step_us"), keys, how="left") if keys \

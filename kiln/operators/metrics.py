@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
-from kiln.operators.order import assign_row_id, attach_row, join_small, keys_of, running_sum
+from kiln.operators.order import add_lag_columns, assign_row_id, attach_row, join_small, keys_of, running_sum
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -105,17 +105,26 @@ def _auc_from_scores(t: DataFrame, keys) -> DataFrame:
     return agg.select(*keys, auc.alias("auc"))
 
 
-def roc_curve(df: DataFrame, y: str, score: str, positive=1, by=None) -> DataFrame:
+def roc_curve(df: DataFrame, y: str, score: str, positive=1, by=None, drop_intermediate: bool = True) -> DataFrame:
     """(threshold, fpr, tpr): the origin at +inf, then one point per distinct score in
-    descending order (intermediate collinear points are kept)."""
+    descending order. ``drop_intermediate`` leaves out points that lie evenly between their
+    neighbours, as the usual library default does; the first and the last point stay."""
     keys = keys_of(by)
     t = _score_table(df, y, score, positive, keys).withColumn("_ns", -F.col("s"))
     t = assign_row_id(t, ["_ns"], key=keys, row_id="_r")
     t = running_sum(t, keys, "_r", "pos", "_tp")
     t = running_sum(t, keys, "_r", "neg", "_fp")
+    if drop_intermediate:
+        near = [(f"{c}{k}", c, d) for c in ("_tp", "_fp") for k, d in (("b", 1), ("a", -1))]
+        t = add_lag_columns(t, keys, "_r", near)
+        bend = lambda c: F.col(f"{c}a") - 2 * F.col(c) + F.col(f"{c}b") != 0
+        edge = F.col("_tpb").isNull() | F.col("_tpa").isNull()
+        t = t.withColumn("_keep", edge | bend("_tp") | bend("_fp"))
+    else:
+        t = t.withColumn("_keep", F.lit(True))
     tot = t.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     t = join_small(t, tot, keys) if keys else attach_row(t, tot)
-    pts = t.select(*keys, F.col("s").alias("threshold"),
+    pts = t.filter("_keep").select(*keys, F.col("s").alias("threshold"),
                    F.when(F.col("_N") > 0, F.col("_fp") / F.col("_N")).alias("fpr"),
                    F.when(F.col("_P") > 0, F.col("_tp") / F.col("_P")).alias("tpr"))
     origin = tot.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
@@ -123,7 +132,7 @@ def roc_curve(df: DataFrame, y: str, score: str, positive=1, by=None) -> DataFra
     return origin.unionByName(pts)
 
 
-def roc_curves_ovr(df: DataFrame, y: str, prob_col: str, classes: Sequence, by=None) -> DataFrame:
+def roc_curves_ovr(df: DataFrame, y: str, prob_col: str, classes: Sequence, by=None, drop_intermediate: bool = True) -> DataFrame:
     """Multiclass ROC: one curve per class (that class against the rest, scored by its
     probability in ``prob_col``, an array in ``classes`` order), as (class, threshold, fpr,
     tpr). Rows are exploded once per class, then each curve is an ordinary ROC keyed by class."""
@@ -131,7 +140,7 @@ def roc_curves_ovr(df: DataFrame, y: str, prob_col: str, classes: Sequence, by=N
     recs = F.array(*[F.struct(F.lit(str(c)).alias("_class"), q(prob_col)[i].cast("double").alias("_s"),
                               (q(y) == F.lit(c)).cast("int").alias("_pos")) for i, c in enumerate(classes)])
     ex = df.select(*keys, F.explode(recs).alias("r")).select(*keys, "r.*")
-    return roc_curve(ex, "_pos", "_s", positive=1, by=[*keys, "_class"]).withColumnRenamed("_class", "class")
+    return roc_curve(ex, "_pos", "_s", positive=1, by=[*keys, "_class"], drop_intermediate=drop_intermediate).withColumnRenamed("_class", "class")
 
 
 # ----------------------------------------------------------------------------- X4

@@ -284,6 +284,24 @@ def q_c15(spark: SparkSession, sf: str) -> DataFrame:
     return x
 
 
+_C15_DATES = {"cleaning_methods": [{"method": "standardize_date_to_utc", "params": {"date_column": "ts_text", "order_cols": ["event_id"]}}]}
+
+
+@register("c15_date_step", """
+WITH t AS (SELECT event_id, CASE WHEN event_id % 10 = 4 THEN NULL ELSE epoch_us(date_trunc('hour', ts)) END AS us FROM events),
+n AS (SELECT event_id, us, lag(us) OVER w AS p, lead(us) OVER w AS nx FROM t WINDOW w AS (ORDER BY event_id)),
+f AS (SELECT event_id, coalesce(us, nx - (abs(nx - p) + 1) // 2 * sign(nx - p)) AS us FROM n),
+d AS (SELECT event_id, us, CASE WHEN lag(us) OVER w = us THEN 1 ELSE 0 END AS dup FROM f WINDOW w AS (ORDER BY us, event_id)),
+i AS (SELECT event_id, us, dup, sum(dup) OVER (ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS i FROM d)
+SELECT event_id, CAST(us + CASE WHEN dup = 1 THEN i * 1000 ELSE 0 END AS BIGINT) AS us FROM i""")
+def q_c15d(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours as text, every tenth one bad: parsed, the bad ones filled, repeated ones spread."""
+    hour = F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss")
+    ev = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 10 == 4, "bad").otherwise(hour).alias("ts_text"))
+    x, _ = clean.apply_cleaning(ev, _C15_DATES, mandatory=False)
+    return x.select("event_id", F.unix_micros(F.col("ts_text")).alias("us"))
+
+
 # =============================================================================== dates
 from kiln.operators import dates  # noqa: E402
 from kiln.plans.tables import dirty_orders_dates, holey_events_ts  # noqa: E402
@@ -1013,7 +1031,24 @@ c AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING
 SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
 UNION ALL SELECT s, round(CASE WHEN N > 0 THEN fp / N END, 6), round(CASE WHEN P > 0 THEN tp / P END, 6) FROM c""")
 def q_x6(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(metrics.roc_curve(_scored_lineitem(spark, sf), "y", "l_discount"), keep=("threshold",))
+    return _rounded(metrics.roc_curve(_scored_lineitem(spark, sf), "y", "l_discount", drop_intermediate=False), keep=("threshold",))
+
+
+@register("x6_roc_curve_bends", f"""
+WITH r AS (SELECT round(l_discount * 100) + l_linenumber * 100 AS s, y FROM (
+             SELECT l_discount, l_linenumber, CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END AS y FROM lineitem)),
+s AS (SELECT s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM r GROUP BY 1),
+c AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+             sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp,
+             sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM s),
+k AS (SELECT *, lag(tp) OVER w AS tb, lead(tp) OVER w AS ta, lag(fp) OVER w AS fb, lead(fp) OVER w AS fa FROM c WINDOW w AS (ORDER BY s DESC))
+SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
+UNION ALL SELECT s, round(fp / N, 6), round(tp / P, 6) FROM k WHERE tb IS NULL OR ta IS NULL OR ta - tp <> tp - tb OR fa - fp <> fp - fb""")
+def q_x6b(spark: SparkSession, sf: str) -> DataFrame:
+    """Default curve: only points at which it bends."""
+    li = table(spark, sf, "lineitem")
+    x = li.select((F.round(F.col("l_discount") * 100) + F.col("l_linenumber") * 100).alias("s"), (F.col("l_linenumber") > 3).cast("int").alias("y"))
+    return _rounded(metrics.roc_curve(x, "y", "s"), keep=("threshold",))
 
 
 def _reg_sql(src: str, key: str, y: str, p: str, eps: str) -> str:
@@ -2135,5 +2170,5 @@ def q_x6m(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     x = li.select("l_returnflag", F.array((F.col("l_quantity") / 50.0), F.col("l_discount") * 10.0,
                                           F.col("l_tax") * 12.5).alias("probs"))
-    out = metrics.roc_curves_ovr(x, "l_returnflag", "probs", _OVO_CLASSES)
+    out = metrics.roc_curves_ovr(x, "l_returnflag", "probs", _OVO_CLASSES, drop_intermediate=False)
     return _rounded(out.select("class", "threshold", "fpr", "tpr"), keep=("threshold",))

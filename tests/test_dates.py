@@ -179,7 +179,17 @@ def test_cleaning_list_with_dates(spark):
     assert got[1] is not None
     spec2 = {"cleaning_methods": [{"method": "standardize_date_to_utc", "params": {"date_column": "d"}}]}
     _, rep2 = clean.apply_cleaning(df, spec2)
-    assert rep2["date_imputation"]["invalid_dates_found"] == 1
+    assert rep2["date_standardization"]["invalid_dates_found"] == 1
+    assert rep2["date_standardization"]["strategy"].startswith("skipped")
+    # the whole step: a bad date, a repeated one, offsets
+    odd = spark.createDataFrame([(0, "2024-01-01 00:00:00+02:00"), (1, "bad"), (2, "2024-01-03 00:00:00+02:00"), (3, "2024-01-03 00:00:00+02:00")],
+                                "k long, d string")
+    keep = {"cleaning_methods": [{"method": "standardize_date_retain_timezone", "params": {"date_column": "d", "order_cols": ["k"]}}]}
+    y, rep3 = clean.apply_cleaning(odd, keep, mandatory=False)
+    found = rep3["date_standardization"]
+    assert (found["parse_failures"], found["duplicate_timestamps"], found["timezone"], len(found["samples"])) == (1, 1, "UTC+02:00", 4)
+    stamps = {r.k: r.d for r in y.collect()}
+    assert stamps[1] == dt.datetime(2024, 1, 2) and stamps[3] - stamps[2] == dt.timedelta(milliseconds=1)
 
 
 def test_preview_keep_mode(spark):
