@@ -187,7 +187,7 @@ def pca(df: DataFrame, num: Sequence[str], k: int = 2, keep: Sequence[str] = ())
 
 
 def famd(df: DataFrame, num: Sequence[str], cat: Sequence[str], k: int = 2, keep: Sequence[str] = (),
-         max_categories: int = 1000):
+         max_categories: int | None = None):
     """Factor analysis of mixed data: standardised numerics plus category indicators
     scaled by 1/sqrt(share) and centred, then PCA. Returns (row coordinates, model)."""
     from pyspark.ml.functions import vector_to_array

@@ -58,11 +58,14 @@ def context_windows(df: DataFrame, channels: Sequence[str], L: int, H: int,
                     block: int | None = None) -> DataFrame:
     """Window i: ``past`` = rows i..i+L-1, ``future`` = rows i+L..i+L+H-1, all channels in
     both, plus ``past_observed`` (not NULL) masks; ``n-L-H+1`` windows per series.
-    Non-numeric channels raise."""
+    Non-numeric channels and infinite values raise."""
     keys = keys_of(key)
     bad = [c for c in channels if not isinstance(df.schema[c].dataType, T.NumericType)]
     if bad:
         raise ValueError(f"non-numeric channels: {bad}")
+    wild = [F.count_if(F.abs(q(c).cast("double")) == float("inf")) for c in channels]
+    if any(df.agg(*wild).first()):
+        raise ValueError("channels hold infinite values")
     x = assign_row_id(df, list(order_cols), key=keys, row_id="_rid", with_count="_n")
     reach = L + H - 1
 

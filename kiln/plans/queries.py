@@ -1200,6 +1200,16 @@ def q_x15(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], key="event_type")
 
 
+@register("x15_pacf_two_lags", f"""
+WITH a AS ({_acf_sql(2)}),
+r AS (SELECT event_type, max(CASE WHEN lag = 1 THEN acf END) AS r1, max(CASE WHEN lag = 2 THEN acf END) AS r2 FROM a GROUP BY 1)
+SELECT event_type, CAST(k AS INTEGER) AS lag, round(CASE k WHEN 0 THEN 1.0 WHEN 1 THEN r1 ELSE (r2 - r1 * r1) / (1 - r1 * r1) END, 4) AS pacf
+FROM r, (SELECT unnest([0, 1, 2]) AS k)""")
+def q_x15t(spark: SparkSession, sf: str) -> DataFrame:
+    p = diagnostics.pacf(table(spark, sf, "events"), "value", ["ts", "event_id"], key="event_type", max_lag=2)
+    return p.select("event_type", "lag", F.round("pacf", 4).alias("pacf"))
+
+
 @register("x16_forecast_frame", f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS pos,
                   count(*) OVER (PARTITION BY event_type) AS n,
@@ -2105,6 +2115,29 @@ def q_g16(spark: SparkSession, sf: str) -> DataFrame:
     return coords
 
 
+_Z2 = """
+SELECT l_orderkey, l_linenumber, (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem) AS a,
+       (l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) / (SELECT stddev_pop(l_extendedprice) FROM lineitem) AS b FROM lineitem"""
+
+
+@register("g16_pca_two_columns", f"""
+SELECT l_orderkey, l_linenumber, round(abs(a + sign(r) * b) / sqrt(2.0::DOUBLE), 5) AS first, round(abs(a - sign(r) * b) / sqrt(2.0::DOUBLE), 5) AS second
+FROM ({_Z2}), (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)""")
+def q_g16t(spark: SparkSession, sf: str) -> DataFrame:
+    """Two standardised columns have the diagonals as axes; signs are arbitrary, so sizes."""
+    coords, _ = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], k=2, keep=["l_orderkey", "l_linenumber"])
+    return coords.select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("coords")[0]), 5).alias("first"), F.round(F.abs(F.col("coords")[1]), 5).alias("second"))
+
+
+@register("g17_explained_two_columns", """
+SELECT CAST(k AS INTEGER) AS component, round(CASE k WHEN 1 THEN (1 + abs(r)) / 2 ELSE (1 - abs(r)) / 2 END, 6) AS explained_variance_ratio
+FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem), (SELECT unnest([1, 2]) AS k)""")
+def q_g17t(spark: SparkSession, sf: str) -> DataFrame:
+    _, m = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], k=2)
+    e = profile.explained(m)
+    return e.select(F.col(e.columns[0]).cast("int").alias("component"), F.round(F.col(e.columns[1]), 6).alias("explained_variance_ratio"))
+
+
 @register("g17_explained_variance")
 def q_g17(spark: SparkSession, sf: str) -> DataFrame:
     _, m = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k=4)
