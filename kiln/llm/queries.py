@@ -24,7 +24,23 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_substring_dedup")
+OP1_SQL = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i,
+             unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS t FROM d WHERE len(w) >= 20),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM f WHERE r > 1),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE p IS NULL OR p < j - 1) AS n_spans
+         FROM (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS p FROM g) GROUP BY 1),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY words.j) AS t FROM words ANTI JOIN g ON g.doc_id = words.doc_id AND g.j = words.j GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.substring_dedup import substring_dedup
 
@@ -65,11 +81,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
-@query("op10_benchmark_decontamination")
+def _words_sql(table_name: str, id_col: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return (f"SELECT {id_col}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), "
+            f"'[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w FROM {table_name}")
+
+
+def _shingles_sql(name: str, id_col: str) -> str:
+    return (f"SELECT DISTINCT {id_col}, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS t "
+            f"FROM {name} WHERE len(w) >= 5")
+
+
+#: The benchmark's items have five words or more.
+OP10_SQL = f"""
+WITH dw AS ({_words_sql("documents", "doc_id")}), iw AS ({_words_sql("benchmark", "item_id")}),
+ds AS ({_shingles_sql("dw", "doc_id")}), si AS ({_shingles_sql("iw", "item_id")}),
+n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN si USING (t) GROUP BY 1, 2)
+SELECT doc_id, item_id, round(k / n_shingles, 9) AS containment, n_shingles FROM c JOIN n USING (item_id) WHERE k / n_shingles >= 0.8
+"""
+
+
+@query("op10_benchmark_decontamination", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.decontaminate import find_items
 
-    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8, shingle=5)
+    return found.withColumn("containment", F.round("containment", 9))
 
 
 @query("op3_document_fingerprints")
@@ -96,12 +134,48 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.join(labels, "doc_id").select("host", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
 
 
-@query("op4_url_filters")
+def _moments_sql(level: str) -> str:
+    """Prior pseudo-outcomes of a level, by the method of moments."""
+    return (f"SELECT 1 / least(greatest(coalesce(CASE WHEN den <> 0 AND pq <> 0 THEN (spread / pq - k) / den END, 0.01), 1e-3), 0.5) - 1 AS v FROM ("
+            f"SELECT sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS spread, sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) AS pq, count(*) - 1 AS k, "
+            f"sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS den FROM {level} WHERE n > 0)")
+
+
+OP4_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+o AS (SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
+      FROM (SELECT host, TRY_CAST(regexp_extract(path, '^/[^/]*/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT) AS doc_id FROM p) JOIN l USING (doc_id)),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-3:], '.') AS domain, array_to_string(string_split(host, '.')[-2:], '.') AS suffix,
+             coalesce(sum(bad), 0)::DOUBLE AS bad, count(bad)::DOUBLE AS n FROM (SELECT DISTINCT host FROM p) LEFT JOIN o USING (host) GROUP BY 1),
+d AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY 1),
+ks AS ({_moments_sql("s")}), kd AS ({_moments_sql("d")}), kh AS ({_moments_sql("h")}),
+b AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS v FROM s),
+sr AS (SELECT suffix, (bad + ks.v * b.v) / (n + ks.v) AS rate FROM s, ks, b),
+dr AS (SELECT domain, (bad + kd.v * sr.rate) / (n + kd.v) AS rate FROM d JOIN sr USING (suffix), kd),
+ab AS (SELECT host, n, bad + kh.v * dr.rate AS a, n - bad + kh.v * (1 - dr.rate) AS z FROM h JOIN dr USING (domain), kh),
+m AS (SELECT host, n, a / (a + z) AS mean, 1.645 * sqrt(a * z / ((a + z) * (a + z) * (a + z + 1))) AS reach FROM ab),
+f AS (SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM p JOIN m USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                                       WHEN mean - reach > 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       CAST(n AS BIGINT) AS n_outcomes, round(mean, 6) AS bad_rate, round(greatest(0.0, mean - reach), 6) AS bad_low, round(least(1.0, mean + reach), 6) AS bad_high
+FROM f
+"""
+
+
+@query("op4_url_filters", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.url_filter import judge
 
     # The sites of this table stand below example.com, example.net and example.org.
-    return judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES, suffix_labels=2)
+    judged = judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES, suffix_labels=2)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low", "bad_high")})
 
 
 OP7_SQL = """
@@ -158,7 +232,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
-@query("op8_chat_formatting")
+OP8_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+e AS (SELECT *, CASE WHEN contains(text, '<|im_start|>') OR contains(text, '<|im_end|>') OR regexp_matches(text, '<\\\\+\\|')
+                     THEN length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) ELSE length(text) END AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + n + 10 + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY 1
+"""
+
+
+@query("op8_chat_formatting", OP8_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.chat import format_turns, read_back
 
