@@ -192,20 +192,16 @@ def forecast_recursive(model: PipelineModel, last_rows: DataFrame, target: str,
     features stay frozen. Work grows with the number of series, not rows."""
     keys = keys_of(key)
     lag = [f"{target}_lag_{i}" for i in range(1, n_lags + 1)]
-    cur = last_rows
-    outs = []
+    cur, done = last_rows, []
     for step in range(1, h + 1):
-        pred = model.transform(cur).select(*cur.columns, F.col("prediction").cast("double").alias("_pred"))
-        outs.append(pred.select(*keys, F.lit(step).alias(step_col), F.col("_pred").alias("forecast")))
-        shifted = {lag[0]: F.col("_pred")}
-        for i in range(1, n_lags):
-            shifted[lag[i]] = F.col(lag[i - 1])
-        # the plan grows by one projection per step; h is small
-        cur = pred.select(*[shifted[c].alias(c) if c in shifted else q(c) for c in cur.columns])
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+        # one chain of h projections: the forecasts so far ride along as columns of the same row
+        shifted = {lag[0]: F.col("prediction").cast("double")} | {lag[i]: F.col(lag[i - 1]) for i in range(1, n_lags)}
+        pred = model.transform(cur)
+        cur = pred.select(*[shifted[c].alias(c) if c in shifted else q(c) for c in last_rows.columns], *done,
+                          F.col("prediction").cast("double").alias(f"_step_{step}"))
+        done.append(f"_step_{step}")
+    rows = F.array(*[F.struct(F.lit(i + 1).alias(step_col), F.col(c).alias("forecast")) for i, c in enumerate(done)])
+    return cur.select(*[q(k) for k in keys], F.explode(rows).alias("_r")).select(*[q(k) for k in keys], "_r.*")
 
 
 # ----------------------------------------------------------------------------- M7 / X17
