@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm import queries
-from kiln.llm.bpe import bpe_decode, bpe_encode
+from kiln.llm.bpe import bpe_round_trip
 from kiln.llm.decontaminate import mark_items
 from kiln.llm.quality import passed
 from kiln.llm.secret_scan import redacted
@@ -54,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (token ids) and decoded (their text)."""
     path = os.environ.get("KILN_TOKENIZER") or queries.tokenizer_path()
     rows = docs.select("doc_id", "lang", "source", "text")
-    coded = bpe_decode(bpe_encode(rows, path).drop("text"), path)
+    coded = bpe_round_trip(rows, path)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

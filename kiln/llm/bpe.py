@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.shared import bounded_batches
 
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 SHORT = 40
 NEVER = 1 << 40
 SEGMENT_CHARS = 1 << 16
@@ -333,7 +333,7 @@ class Model:
         for part in self._parts(text):
             yield self._ids(part)
 
-    def encode_batch(self, texts: Iterable[str | None], at_once: int = 200_000) -> list[list[int]]:
+    def encode_batch(self, texts: Iterable[str | None], at_once: int = 50_000) -> list[list[int]]:
         """The ids of each text; runs are learnt for many texts together."""
         out: list[list[int]] = []
         held, n = [], 0
@@ -379,44 +379,55 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", rows: int = 500) -> DataFrame:
-    """``df`` with the token ids (array<int>) of its text; a column of that name is replaced."""
-    df = df.drop(ids_col)
+def _run(df: DataFrame, path: str, columns: dict[str, tuple[pa.DataType, str]], work, rows: int) -> DataFrame:
+    """``df`` with new columns (replaced where they exist) that ``work(model, rows)`` gives for a
+    few rows at a time; the model is built once per task from the broadcast file."""
+    df = df.drop(*columns)
     bounded_batches(df.sparkSession)
     data = load(path)
     made = Model(data)
     lookahead, newer = made.lookahead, made.newer
     shared = df.sparkSession.sparkContext.broadcast(data)
+    names = list(columns)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value, lookahead, newer)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = pa.array(model.encode_batch(part.column(text_col).to_pylist()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(model, part)], names=[*part.schema.names, *names])
+        del model
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+
+    kinds = [F.lit(None).cast(kind).alias(n) for n, (_, kind) in columns.items()]
+    return df.mapInArrow(run, df.select("*", *kinds).schema)
+
+
+IDS, TEXT = (pa.list_(pa.int32()), "array<int>"), (pa.string(), "string")
+
 
-    return df.mapInArrow(encode, df.select("*", F.array(F.lit(0)).alias(ids_col)).schema)
+def _decoded(model: Model, column: pa.Array) -> pa.Array:
+    column = column.fill_null([])
+    flat, first = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
+    return pa.array(["".join(model.decode(flat[i:j])) for i, j in zip(first[:-1], first[1:])], pa.string())
 
 
-def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", rows: int = 500) -> DataFrame:
+def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", rows: int = 200) -> DataFrame:
+    """``df`` with the token ids (array<int>) of its text; a column of that name is replaced."""
+    return _run(df, path, {ids_col: IDS}, lambda model, part: [pa.array(model.encode_batch(part.column(text_col).to_pylist()), IDS[0])], rows)
+
+
+def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded", rows: int = 200) -> DataFrame:
     """``df`` with the text of its token ids; NULL ids give empty text, unknown ids nothing. A column
     of that name is replaced."""
-    df = df.drop(text_col)
-    bounded_batches(df.sparkSession)
-    data = load(path)
-    made = Model(data)
-    lookahead, newer = made.lookahead, made.newer
-    shared = df.sparkSession.sparkContext.broadcast(data)
+    return _run(df, path, {text_col: TEXT}, lambda model, part: [_decoded(model, part.column(ids_col))], rows)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, lookahead, newer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                column = part.column(ids_col).fill_null([])
-                flat, first = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))])
-                text = pa.array(["".join(model.decode(flat[i:j])) for i, j in zip(first[:-1], first[1:])], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*part.schema.names, text_col])
 
-    return df.mapInArrow(decode, df.select("*", F.lit("").alias(text_col)).schema)
+def bpe_round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded",
+                   rows: int = 200) -> DataFrame:
+    """Both in one pass: ``df`` with the token ids of its text and the text decoded from those ids."""
+    def work(model: Model, part: pa.RecordBatch) -> list[pa.Array]:
+        ids = pa.array(model.encode_batch(part.column(text_col).to_pylist()), IDS[0])
+        return [ids, _decoded(model, ids)]
+
+    return _run(df, path, {ids_col: IDS, decoded_col: TEXT}, work, rows)

@@ -123,8 +123,8 @@ def _search(batches: Iterator[pa.RecordBatch], items, shingle: int, bins_per: in
     lengths = {k for k, _ in index.classes}
     found_type = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64()), ("n_shingles", pa.int64())]))
     for batch in batches:
-        for s in range(0, batch.num_rows, 1000):
-            part = batch.slice(s, 1000)
+        for s in range(0, batch.num_rows, 200):
+            part = batch.slice(s, 200)
             b = Batch([(t or "").encode("utf-8") for t in part.column(text_at).to_pylist()], lower=True, ends=MARKS)
             ids = b.ids()
             hashes = {k: _padded(b.windows(k, ids=ids), b.fits(k), len(ids)) for k in lengths}

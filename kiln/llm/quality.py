@@ -143,8 +143,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
                 at, first = features(part.column(text_col).to_pylist(), s.bits)
                 sums = np.concatenate([[0.0], np.cumsum(weights[at], dtype=np.float64)])
                 n = np.diff(first)

@@ -57,10 +57,10 @@ def tokenizer_path() -> str:
 
 @query("op2_bpe_roundtrip")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from kiln.llm.bpe import bpe_decode, bpe_encode
+    from kiln.llm.bpe import bpe_round_trip
 
     path = tokenizer_path()
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

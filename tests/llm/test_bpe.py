@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kiln.llm.bpe import Model, bpe_decode, bpe_encode, load, sufficient_lookahead
+from kiln.llm.bpe import Model, bpe_decode, bpe_encode, bpe_round_trip, load, sufficient_lookahead
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -79,8 +79,11 @@ def test_byte_level_decoder_is_incremental():
 
 
 def test_tables(messy, rows, empty, library):
-    coded = bpe_decode(bpe_encode(messy, PATH), PATH)
-    got = sorted((str(r.doc_id), hashlib.sha256(str(r.ids).encode()).hexdigest(), r.decoded) for r in coded.collect())
+    def digests(df):
+        return sorted((str(r.doc_id), hashlib.sha256(str(r.ids).encode()).hexdigest(), r.decoded) for r in df.collect())
+
+    got = digests(bpe_decode(bpe_encode(messy, PATH), PATH))
+    assert digests(bpe_round_trip(messy, PATH, rows=7)) == got
     want = []
     for r in rows:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
