@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.graph import components
@@ -62,16 +62,22 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, with_digest: bool = False) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of every row, on request the digest of its text."""
     bounded_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    also = [_digest(text_col).alias("digest")] if with_digest else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *also).mapInArrow(
+        run, "doc_id long, fp long" + (", digest string" if with_digest else ""))
+
+
+def _digest(text_col: str) -> Column:
+    """SHA-256 of a text; NULL text comes before any other."""
+    return F.coalesce(F.sha2(F.col(f"`{text_col}`"), 256), F.lit(""))
 
 
 # ---------------------------------------------------------------------- bit-sliced comparison
@@ -228,10 +234,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; of rows that share that doc_id the
-    first by text. Rows without a doc_id cannot name a component and stay."""
-    found = simhash_components(docs, id_col, text_col, shingle, radius).where("doc_id = component_id")
-    key, place = fresh(docs, "kept_id"), fresh(docs, "place")
-    named = docs.join(found.select(F.col("doc_id").alias(key)).distinct(), F.col(f"`{id_col}`") == F.col(key), "inner").drop(key)
-    first = named.withColumn(place, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(place) == 1).drop(place)
-    return first.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """One row of each component: that of its least doc_id, of texts that share it the first by
+    digest. Components whose least doc_id is the same stay apart. Rows without a doc_id cannot
+    name a component and stay."""
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    distinct = fingerprints(docs, id_col, text_col, shingle, with_digest=True).groupBy("fp").agg(first.alias("first"))
+    distinct = stored(distinct, "distinct-fingerprints")
+    tree = components(links(distinct.select("fp"), radius), "a", "b")
+    rooted = distinct.join(tree, distinct.fp == tree.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))  # one text has one root: no pair comes twice
+    key, text, digest, place = (fresh(docs, c) for c in ("kept_id", "kept_text", "digest", "place"))
+    kept = kept.select(F.col("first.doc_id").alias(key), F.col("first.digest").alias(text))
+    marked = docs.withColumn(digest, _digest(text_col))
+    named = marked.join(kept, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (F.col(digest) == F.col(text)), "inner")
+    same = Window.partitionBy(key, text).orderBy(digest)  # rows repeated whole
+    single = named.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(key, text, digest, place)
+    return single.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -100,3 +100,25 @@ def test_one_of_each(messy, rows, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(ids)
     assert sum(r.doc_id is None for r in kept.collect()) == 2
     assert one_of_each(empty).collect() == []
+
+
+def test_one_of_each_keeps_every_component(messy, rows):
+    """Components whose least doc_id is the same (7 in the fixture) each keep a document."""
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    group = plain_components([(k, f) for k, f in enumerate(fps)], 2)
+    least = plain_components([(r[0], f) for r, f in zip(rows, fps)], 2)
+    got = [(r.doc_id, r.text) for r in one_of_each(messy).collect() if r.doc_id is not None]
+    at = [next(k for k, r in enumerate(rows) if (r[0], r[1]) == g and least[k] == g[0]) for g in got]
+    assert len({group[k] for k in at}) == len(got)
+    assert {group[k] for k in at} == {group[k] for k, r in enumerate(rows) if r[0] is not None}
+
+
+def test_one_of_each_shared_ids(spark):
+    """The unlinked document stays and the near copy goes, whichever text sorts first."""
+    long, other = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(80))
+    docs = [(1, long), (2, long), (2, f"zz {other}"), (3, long), (3, f"aa {other} x y z"), (4, None), (4, ""), (4, None)]
+    kept = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()))
+    items = [(i, plain_fingerprint(t)) for i, t in docs]
+    assert len(set(plain_components([(k, f) for k, (_, f) in enumerate(items)], 2).values())) == 4
+    assert got == [(1, long), (2, f"zz {other}"), (3, f"aa {other} x y z"), (4, "")]
