@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from kiln.llm.shared import partitions
 
 LEAF = r"(?:\S{1,64}\s{0,64}|\s{1,64}){1,12}"
-NULL_ID = -(1 << 63)
 OUTER_BINS = 256
 
 
@@ -94,25 +93,27 @@ def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "tree")
 
 def with_next(docs: DataFrame, n_bins: int | None = None) -> tuple[DataFrame, object]:
     """Rows (doc_id, text) dealt to bins of consecutive ids, each bin with a copy of the row that
-    follows it (``ahead`` not 0); and the window over a bin in order. The row after the last is
-    the first. Texts are shuffled once; what the driver sees is one id for each bin.
+    follows it (``ahead`` not 0); and the window over a bin in order. Rows without an id have a
+    bin of their own before the others. The row after the last is the first. Texts are shuffled
+    once; what the driver sees is one id for each bin.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"))
+                       F.col("doc_id").cast("long").alias("place"))
     n_bins = n_bins or 4 * partitions(docs.sparkSession)
     outer = min(n_bins, OUTER_BINS)
     cuts = rows.agg(F.percentile_approx("place", [k / outer for k in range(outer + 1)], 10_000)).first()[0] or [0]
     cuts = sorted(set(cuts))
     inner = max(1, n_bins // len(cuts))
     low = F.array(*[F.lit(c).cast("long") for c in cuts])
-    wide = F.array(*[F.lit(max(1, -(-(b - a) // inner))).cast("long") for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1])])
+    wide = F.array(*[F.lit(float(max(1, -(-(b - a) // inner)))) for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1])])
     k = F.greatest(F.size(F.filter(low, lambda c: c <= F.col("place"))), F.lit(1))
-    binned = rows.withColumn("k", k).withColumn("bin", F.col("k") * inner + F.least(
-        F.lit(inner - 1), F.expr("0L") + F.floor((F.col("place") - F.element_at(low, F.col("k"))) / F.element_at(wide, F.col("k")))))
+    past = F.col("place").cast("decimal(20,0)") - F.element_at(low, F.col("k")).cast("decimal(20,0)")  # may be beyond a long
+    binned = rows.withColumn("k", k).withColumn("bin", F.when(F.col("place").isNull(), F.lit(0)).otherwise(F.col("k") * inner + F.least(
+        F.lit(inner - 1), F.greatest(F.lit(0), F.floor(past.cast("double") / F.element_at(wide, F.col("k")))))))
     first = binned.groupBy("bin").agg(F.min("place").alias("place")).orderBy("bin").collect()  # one row for each bin
     before = [(r["place"], first[i - 1]["bin"], 2 if i == 0 else 1) for i, r in enumerate(first)]
-    ahead = docs.sparkSession.createDataFrame(before, "place long, before long, ahead int")
-    spread = (binned.join(F.broadcast(ahead), "place", "left")  # at most one row for each bin
+    ahead = docs.sparkSession.createDataFrame(before, "starts long, before long, ahead int")
+    spread = (binned.join(F.broadcast(ahead), F.col("place").eqNullSafe(F.col("starts")), "left")  # at most one row for each bin
               .select("doc_id", "text", "place", F.explode(F.array(
                   F.struct(F.col("bin").cast("long").alias("bin"), F.lit(0).alias("ahead")),
                   F.struct(F.col("before").alias("bin"), F.col("ahead")))).alias("to"))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from kiln.llm.merkle_docs import edit_likeness, edits, tree
@@ -55,3 +56,15 @@ def test_single_row_and_empty(spark, empty):
     r = edit_likeness(one).first()
     assert r.edited_sha256 == hashlib.sha256(b"abc abc").hexdigest() and r.near_next == 1.0
     assert edit_likeness(empty).collect() == []
+
+
+@pytest.mark.parametrize("ids", [[None, *range(1000)], [None, None, -(1 << 63), -5, *range(300), (1 << 63) - 1], [None, None]])
+def test_null_and_far_ids(spark, ids):
+    """A NULL id ranks first, before every id a long can hold."""
+    rows = sorted(((i, f"{k} text of {i}") for k, i in enumerate(ids)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        h = len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[:len(t) - h] + rows[(k + 1) % len(rows)][1][:h]).encode()).hexdigest()))
+    got = edit_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_chars, r.edited_sha256) for r in got))) == sorted(map(str, want))
