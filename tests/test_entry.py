@@ -51,3 +51,20 @@ def test_query_matches_oracle(spark, name):
     a = _rows(entry.queries()[name](spark, SF).toPandas())
     b = _rows(con.execute(entry.oracle_sql()[name]).df())
     assert a == b
+
+
+def test_missing_days_stay_in_the_table(spark):
+    """The planted gaps are NULL dates, not dropped rows."""
+    from kiln.plans.queries import irregular_daily, table
+    days = table(spark, SF, "lineitem").select("l_returnflag", "l_shipdate").distinct()
+    got = irregular_daily(spark, SF)
+    gaps = days.where("dayofmonth(l_shipdate) % 9 = 0").count()
+    assert got.count() == days.count() and got.where("day is null").count() == gaps > 0
+
+
+@pytest.mark.parametrize("name", ["d11_regular_irregular", "d13_reindex_daily"])
+def test_missing_days_match_oracle(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    assert _rows(entry.queries()[name](spark, SF).toPandas()) == _rows(con.execute(entry.oracle_sql()[name]).df())
