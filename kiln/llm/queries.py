@@ -253,3 +253,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{CONTROL_TEXT}' AS text "
                     f"UNION ALL SELECT -1L, 1L, 'assistant', '{CONTROL_TEXT}'")
     return read_back(format_turns(rows.unionByName(own)))
+
+
+@query("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.pii import KINDS, find_pii, listed
+
+    base = F.filter("found", lambda t: ~t["disguised"])
+    count = lambda no: F.size(F.filter("found", lambda t: (t["kind_no"] == no) & ~t["disguised"])).cast("long").alias(f"n_{KINDS[no]}")
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", *[count(no) for no in range(len(KINDS))], F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("found")).alias("spans"), F.size(F.filter("found", lambda t: t["disguised"])).cast("long").alias("n_disguised"))
