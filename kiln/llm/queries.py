@@ -264,3 +264,19 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *[count(no) for no in range(len(KINDS))], F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("found")).alias("spans"), F.size(F.filter("found", lambda t: t["disguised"])).cast("long").alias("n_disguised"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kiln.llm.shared import stored
+    from kiln.llm.whitening import finite, fit_whitening, quantised
+
+    rows = table(spark, sf_dir, "embeddings")
+    whole = F.col("embedding")
+    rows = stored(rows.where(finite(whole) & (F.size(whole) > 0)).select("vec_id", quantised(whole, 64, 1_000_000).alias("x")), "whitening")
+    model = fit_whitening(rows, "x", k=32)
+    error = model.identity_error(rows, "x")
+    explained = F.array(*[F.lit(v).cast("double") for v in model.explained]).cast("array<double>")
+    out = model.transform(rows, "x").select("vec_id", "deviation", F.posexplode(F.arrays_zip(F.col("whitened"), explained.alias("explained"))).alias("at", "c"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.moments.n).cast("long").alias("n"), "deviation",
+                      F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
