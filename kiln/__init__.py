@@ -1,0 +1,10 @@
+"""Tabular preparation, forecasting and corpus steps as Spark jobs.
+
+Worker functions travel to the executors by value, so a cluster needs no installed copy.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

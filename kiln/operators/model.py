@@ -2,9 +2,9 @@
 
 Classifiers and the boosted-tree forecaster are Spark ML estimators wrapped with their
 feature assembly in a ``PipelineModel`` so that scoring takes the raw table. The
-autoregressive model is fitted by conditional least squares: the normal-equation sums
-are one grouped aggregate over all rows (per series), and only the tiny (p+k)^2 systems
-are solved, one row per series, in ``applyInPandas``.
+autoregressive model is fitted by conditional least squares on mergeable triangular factors
+(``operators.factors``): every task reduces its rows of each series, and only factors of a few
+numbers meet.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import q
+from kiln.operators.factors import Factor, Model, least_squares, partial_factors, solve_factors
 from kiln.operators.order import add_lag_columns, assign_row_id, attach_row, join_small, keys_of
 
 FEATURES = "features"
@@ -224,20 +225,12 @@ def ar_lags(p: int, P: int = 0, s: int = 0) -> dict[str, int]:
     return {**{f"ar_{i}": i for i in range(1, p + 1)}, **{f"sar_{i}": i * s for i in range(1, P + 1) if i * s > p}}
 
 
-def _reach(p: int, d: int, P: int, D: int, s: int) -> int:
+def reach_of(p: int, d: int, P: int, D: int, s: int) -> int:
     """Rows before t that a model of this order looks at."""
     return d + D * s + max([0, *ar_lags(p, P, s).values()])
 
 
-def _combined(name: str, weights: dict[int, float], shift: int = 0):
-    """sum of weight * name at (shift + lag), from lag columns ``{name}@k``."""
-    out = F.lit(0.0)
-    for lag, w in weights.items():
-        out = out + F.lit(w) * F.col(f"`{name}@{shift + lag}`")
-    return out
-
-
-def _with_lag_table(df: DataFrame, columns: dict[str, int], order_cols, keys, row_id: str | None, block) -> DataFrame:
+def with_lag_table(df: DataFrame, columns: dict[str, int], order_cols, keys, row_id: str | None, block) -> DataFrame:
     """(keys, _rid, name@0..name@k): each column with its lags, from one halo-block window."""
     x, rid = df, row_id
     if rid is None:
@@ -248,64 +241,48 @@ def _with_lag_table(df: DataFrame, columns: dict[str, int], order_cols, keys, ro
     return add_lag_columns(x, keys, "_rid", specs, block=block) if specs else x
 
 
-def _terms(target: str, p: int, d: int, exog: Sequence[str], trend: str | None, P: int, D: int, s: int):
-    """(response, [(name, expression)]) of a model over the lag table."""
-    w = difference_weights(d, D, s)
-    terms = []
-    if trend in ("c", "ct"):
-        terms.append(("const", F.lit(1.0)))
-    if trend in ("t", "ct"):
-        terms.append(("trend", F.col("_rid").cast("double")))
-    terms += [(name, _combined(target, w, lag)) for name, lag in ar_lags(p, P, s).items()]
-    terms += [(f"exog_{e}", _combined(e, w)) for e in exog]
-    return _combined(target, w), terms
-
+class Design:
+    """The columns (name, lag) that models need, and the models over them."""
 
-def _normal_sums(z, terms) -> list:
-    """n, X'X (row by row), X'z and z'z as aggregates over rows where every term is known."""
-    known = z.isNotNull()
-    for _, t in terms:
-        known = known & t.isNotNull()
-    total = lambda c: F.coalesce(F.sum(F.when(known, c)), F.lit(0.0))
-    cols = [t for _, t in terms]
-    none = F.array().cast("array<double>")
-    return [F.count_if(known).alias("n"), (F.array(*[total(a * b) for a in cols for b in cols]) if cols else none).alias("xtx"),
-            (F.array(*[total(a * z) for a in cols]) if cols else none).alias("xtz"), total(z * z).alias("ztz")]
+    def __init__(self):
+        self.columns: list[tuple[str, int]] = []
 
+    def _at(self, name: str, lag: int = 0) -> int:
+        if (name, lag) not in self.columns:
+            self.columns.append((name, lag))
+        return self.columns.index((name, lag)) + 1
 
-FIT_FIELDS = ("coef_names array<string>, coef array<double>, n bigint, rss double, sigma2 double, aic double, bic double, "
-              "p int, d int, sp int, sd int, season int")
-
+    def model(self, target: str, p: int, d: int, exog: Sequence[str], trend: str | None, P: int, D: int, s: int, start: int = 0) -> Model:
+        """``start``: the row at which the trend counts 0."""
+        w = difference_weights(d, D, s)
+        form = lambda name, shift=0: {self._at(name, shift + lag): v for lag, v in w.items()}
+        terms: list[tuple[str, dict[int, float]]] = []
+        if trend in ("c", "ct"):
+            terms.append(("const", {0: 1.0}))
+        if trend in ("t", "ct"):
+            terms.append(("trend", {self._at("_rid"): 1.0, 0: -float(start)} if start else {self._at("_rid"): 1.0}))
+        terms += [(name, form(target, lag)) for name, lag in ar_lags(p, P, s).items()]
+        terms += [(f"exog_{e}", form(e)) for e in exog]
+        return Model([n for n, _ in terms], [t for _, t in terms], form(target))
 
-def _solve(sums: DataFrame, keys) -> DataFrame:
-    """One row per (keys, model): the least-squares solution of its normal equations. AIC / BIC
-    from the residual sum, whose floor is rounding error, so an exact fit does not win by
-    minus infinity."""
-    kept = [f for f in sums.schema.fields if f.name in keys]
-    schema = T.StructType([*kept, *T.StructType.fromDDL(FIT_FIELDS).fields])
+    def expressions(self) -> list:
+        return [F.col("_rid") if name == "_rid" else F.col(f"`{name}@{lag}`") for name, lag in self.columns]
 
-    def solve(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                n, k = int(r["n"]), len(r["names"])
-                A, b = np.asarray(r["xtx"], dtype=float).reshape(k, k), np.asarray(r["xtz"], dtype=float)
-                out = {f.name: r[f.name] for f in kept} | {c: int(r[c]) for c in ("p", "d", "sp", "sd", "season")}
-                out |= {"coef_names": list(r["names"]), "coef": None, "n": n, "rss": None, "sigma2": None, "aic": None, "bic": None}
-                if n >= max(k, 1):
-                    beta = np.linalg.lstsq(A, b, rcond=None)[0] if k else np.zeros(0)
-                    rss = max(float(r["ztz"] - 2 * beta @ b + beta @ A @ beta), 1e-12 * float(r["ztz"]), 1e-300)
-                    out |= {"coef": [float(v) for v in beta], "rss": rss, "sigma2": rss / n,
-                            "aic": n * np.log(rss / n) + 2 * (k + 1), "bic": n * np.log(rss / n) + (k + 1) * np.log(n)}
-                rows.append(out)
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
 
-    return sums.mapInPandas(solve, schema)
+FIT_FIELDS = ("coef_names array<string>, coef array<double>, n bigint, rss double, sigma2 double, aic double, bic double, "
+              "p int, d int, sp int, sd int, season int")
 
 
-def _order_columns(names: Sequence[str], p: int, d: int, P: int, D: int, s: int) -> list:
-    values = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return [values.alias("names"), *[F.lit(v).alias(c) for c, v in (("p", p), ("d", d), ("sp", P), ("sd", D), ("season", s))]]
+def fit_row(factor: Factor, m: Model, order: dict) -> dict:
+    """A row of ``FIT_FIELDS``; AIC / BIC from the residual sum. Too few rows give NULLs."""
+    n, k = factor.n, len(m.names)
+    out = {"coef_names": m.names, "coef": None, "n": n, "rss": None, "sigma2": None, "aic": None, "bic": None,
+           "p": order["p"], "d": order["d"], "sp": order["P"], "sd": order["D"], "season": order["s"]}
+    if n >= max(k, 1):
+        fit = least_squares(factor, m)
+        out |= {"coef": fit.coef, "rss": fit.rss, "sigma2": fit.rss / n,
+                "aic": float(n * np.log(fit.rss / n) + 2 * (k + 1)), "bic": float(n * np.log(fit.rss / n) + (k + 1) * np.log(n))}
+    return out
 
 
 def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[str] = (), trend: str | None = "c",
@@ -319,38 +296,30 @@ def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[st
     if ma:
         raise ValueError("moving-average terms are not available")
     keys = keys_of(key)
-    reach = _reach(p, d, P, D, s)
-    x = _with_lag_table(df, {target: reach, **{e: d + D * s for e in exog}}, order_cols, keys, None, block)
-    z, terms = _terms(target, p, d, exog, trend, P, D, s)
-    sums = x.groupBy(*keys).agg(*_normal_sums(z, terms)).select("*", *_order_columns([n for n, _ in terms], p, d, P, D, s))
-    return _solve(sums, keys)
+    order = dict(p=p, d=d, P=P, D=D, s=s)
+    x = with_lag_table(df, {target: reach_of(**order), **{e: d + D * s for e in exog}}, order_cols, keys, None, block)
+    design = Design()
+    m = design.model(target, exog=exog, trend=trend, **order)
+    return solve_factors(partial_factors(x, keys, design.expressions()), keys, FIT_FIELDS, lambda _, factor: [fit_row(factor, m, order)])
 
 
 def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Sequence[str], key=None,
                 block: int | None = None) -> DataFrame:
     """Every candidate (p, d, trend, P, D, s) of every series from one pass: one lag table, one
-    aggregate that holds the sums of all candidates, over the rows that all of them can use
+    factor that serves all candidates, over the rows that all of them can use
     (differencing has a unit Jacobian, so on equal rows their AIC compare). Adds ``candidate``."""
     keys = keys_of(key)
-    orders = []
+    design, orders, models = Design(), [], []
     for g in grid:
         if g.get("q") or g.get("Q"):
             raise ValueError("moving-average terms are not available")
-        orders.append(dict(p=int(g.get("p") or 0), d=int(g.get("d") or 0), P=int(g.get("P") or 0), D=int(g.get("D") or 0), s=int(g.get("s") or 0),
-                           trend=g.get("trend")))
-    shape = [{k: v for k, v in o.items() if k != "trend"} for o in orders]
-    reach = max(_reach(**o) for o in shape)
-    x = _with_lag_table(df, {target: reach}, order_cols, keys, None, block)
-    whole = F.lit(True)
-    for k in range(reach + 1):
-        whole = whole & F.col(f"`{target}@{k}`").isNotNull()
-    x = x.filter(whole)
-    aggs = []
-    for i, o in enumerate(orders):
-        z, terms = _terms(target, o["p"], o["d"], (), o["trend"], o["P"], o["D"], o["s"])
-        aggs.append(F.struct(*_normal_sums(z, terms), *_order_columns([n for n, _ in terms], **shape[i]), F.lit(i).alias("candidate")).alias(f"g{i}"))
-    sums = x.groupBy(*keys).agg(*aggs).select(*[q(k) for k in keys], F.explode(F.array(*[f"g{i}" for i in range(len(orders))])).alias("g"))
-    return _solve(sums.select(*[q(k) for k in keys], "g.*"), [*keys, "candidate"])
+        orders.append({c: int(g.get(c) or 0) for c in ("p", "d", "P", "D", "s")})
+        models.append(design.model(target, exog=(), trend=g.get("trend"), **orders[-1]))
+    reach = max(reach_of(**o) for o in orders)
+    x = with_lag_table(df, {target: reach}, order_cols, keys, None, block)
+    needed = [F.col(f"`{target}@{k}`") for k in range(reach + 1)]
+    return solve_factors(partial_factors(x, keys, design.expressions(), needed), keys, FIT_FIELDS + ", candidate int",
+                         lambda _, factor: [fit_row(factor, m, o) | {"candidate": i} for i, (m, o) in enumerate(zip(models, orders))])
 
 
 def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, order_cols: Sequence[str],
@@ -371,35 +340,45 @@ def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, ord
     past = F.struct((-F.col("_r")).alias("o"), q(target).cast("double").alias("y"), F.array(*[q(e).cast("double") for e in exog]).cast("array<double>").alias("x"))
     grouped = tail.groupBy(*keys).agg(F.sort_array(F.collect_list(past)).alias("_h"))  # need + 1 rows each
     counts = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    grouped = join_small(grouped, counts, keys) if keys else attach_row(grouped, counts)
+    return project_ar(fit, grouped, steps, keys, exog, future)
+
+
+def project_ar(fit: DataFrame, grouped: DataFrame, steps: int, keys: Sequence[str], exog: Sequence[str] = (),
+               future: DataFrame | None = None, known: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """Forecasts from (keys, _h: the last levels in order, _rows: how many rows there were). Future
+    levels of regressors are in ``future``, or (``known``) in a column _f: array<struct(step, x)>,
+    which may end early; the columns ``keep`` stay beside every step."""
     meta = fit.select(*keys, "coef_names", "coef", "p", "d", "sp", "sd", "season")
-    j = grouped
-    for other in (counts, meta):
-        j = join_small(j, other, keys) if keys else attach_row(j, other)
-    if exog:
+    j = join_small(grouped, meta, keys) if keys else attach_row(grouped, meta)
+    if known:
+        pass
+    elif exog:
         ahead = F.struct(F.col("step"), F.array(*[q(e).cast("double") for e in exog]).alias("x"))
-        known = future.filter(F.col("step").between(1, steps)).groupBy(*keys).agg(F.sort_array(F.collect_list(ahead)).alias("_f"))
+        given = future.filter(F.col("step").between(1, steps)).groupBy(*keys).agg(F.sort_array(F.collect_list(ahead)).alias("_f"))
         if keys:
-            j = join_small(j, known, keys, how="left")
+            j = join_small(j, given, keys, how="left")
         else:  # one row on either side
-            j = j.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+            j = j.withColumn("_one", F.lit(1)).join(given.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     else:
         j = j.withColumn("_f", F.lit(None).cast("array<struct<step:int,x:array<double>>>"))
-    kept = [f for f in j.schema.fields if f.name in keys]
-    schema = T.StructType([*kept, T.StructField("step", T.IntegerType()), T.StructField("forecast", T.DoubleType())])
+    j = j.withColumn("_ahead", _ahead_udf(list(exog), steps, known)(F.struct("_h", "_rows", "_f", "coef_names", "coef", "p", "d", "sp", "sd", "season")))
+    return j.select(*[q(k) for k in keys], *keep, F.posexplode("_ahead").alias("_step", "forecast")).select(
+        *[q(k) for k in keys], (F.col("_step") + 1).alias("step"), *keep, "forecast")
+
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                rec = {f.name: r[f.name] for f in kept}
-                out += [rec | {"step": i + 1, "forecast": v} for i, v in enumerate(_ahead(r, exog, steps))]
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+def _ahead_udf(exog: list[str], steps: int, known: bool):
+    """Forecasts of a batch of series as array<double>, one small row each."""
+    @F.pandas_udf("array<double>")
+    def ahead(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([_ahead(r, exog, steps, known) for r in rows.to_dict("records")])
 
-    return j.mapInPandas(run, schema)
+    return ahead
 
 
-def _ahead(r: dict, exog: Sequence[str], steps: int) -> list[float | None]:
-    """The forecasts of one series from its last levels, its coefficients and future levels."""
+def _ahead(r: dict, exog: Sequence[str], steps: int, known: bool = False) -> list[float | None]:
+    """The forecasts of one series from its last levels, its coefficients and future levels. With
+    ``known``, they end where the given levels do."""
     if r["coef"] is None:
         return [None] * steps
     names, coef = list(r["coef_names"]), np.asarray(r["coef"], dtype=float)
@@ -417,6 +396,8 @@ def _ahead(r: dict, exog: Sequence[str], steps: int) -> list[float | None]:
     out: list[float | None] = []
     for step in range(1, steps + 1):
         if exog:
+            if step not in given and known:
+                return out + [None] * (steps - len(out))
             if step not in given:
                 raise ValueError(f"no future values for step {step}")
             x.append(given[step])

@@ -17,14 +17,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import portable_hash, q
 from kiln.operators import metrics
-from kiln.operators.model import fit_ar, fit_ar_grid, forecast_ar
-from kiln.operators.order import keys_of
-from kiln.operators.split import rolling_folds
+from kiln.operators.factors import partial_factors, solve_factors
+from kiln.operators.model import FIT_FIELDS, Design, fit_ar_grid, fit_row, project_ar, reach_of, with_lag_table
+from kiln.operators.order import assign_row_id, keys_of
 
 
 # ----------------------------------------------------------------------------- M8
@@ -191,24 +191,63 @@ def ar_search(df: DataFrame, target: str, grid: list[dict], order_cols: Sequence
 
 # ----------------------------------------------------------------------------- M12
 def walk_forward(df: DataFrame, target: str, order_cols: Sequence[str], W: int, h: int, folds: int = 5,
-                 p: int = 1, d: int = 0, trend: str = "c", key=None) -> DataFrame:
+                 p: int = 1, d: int = 0, trend: str | None = "c", key=None, exog: Sequence[str] = (), P: int = 0, D: int = 0, s: int = 0,
+                 block: int | None = None) -> DataFrame:
     """Fit on each rolling-origin fold's training rows, forecast its test rows, pool all
     predictions in time order; the first half are validation, the rest test
-    (``n // 2``). Returns (keys, fold, step, actual, forecast, part). Fewer than two
-    predictions of a series are an error."""
+    (``n // 2``). Returns (keys, fold, step, order columns, actual, forecast, part). Fold f
+    trains on rows [f h, f h + W) and is tested on the next h. Fewer than two predictions of a
+    series are an error, and so is a window too short for the model's lags.
+
+    No row is copied into the folds that train on it. The folds' first and last usable rows
+    cut a series into at most 2 * folds segments; each row goes into the triangular factor of
+    its segment, and a fold merges the factors of its segments. Only a fold's last levels (as
+    many as the model looks back) and its test rows are dealt to it."""
     keys = keys_of(key)
-    f = rolling_folds(df, W, h, folds, order_cols=order_cols, key=keys)
-    train = f.filter(F.col("role") == "train")
-    test = f.filter(F.col("role") == "test")
+    order = dict(p=p, d=d, P=P, D=D, s=s)
+    reach = reach_of(**order)
+    if W < 1 or h < 1 or reach >= W:
+        raise ValueError(f"a window of {W} rows (horizon {h}) is too short for a model that looks {reach} rows back")
     fk = [*keys, "fold"]
-    fit = fit_ar(train, target, p=p, d=d, trend=trend, order_cols=order_cols, key=fk)
-    fc = forecast_ar(fit, train, target, h, order_cols, key=fk)
-    from pyspark.sql import Window
-
-    wt = Window.partitionBy(*[q(k) for k in fk]).orderBy(*[q(c) for c in order_cols])
-    actual = test.withColumn("step", F.row_number().over(wt)).select(*fk, "step", *order_cols,
-                                                                    q(target).cast("double").alias("actual"))
-    pooled = actual.join(fc, [*fk, "step"], "inner")
+    kept = list(dict.fromkeys([*keys, *order_cols, target, *exog]))
+    x = assign_row_id(df.select(*[q(c) for c in kept]), list(order_cols), key=keys, row_id="_rid", with_count="_n")
+    rid = F.col("_rid")
+
+    # factors by segment, merged by fold
+    design = Design()
+    design.model(target, exog=exog, trend=trend, **order)
+    first, last = {f: f * h + reach for f in range(folds)}, {f: f * h + W for f in range(folds)}
+    bounds = sorted({*first.values(), *last.values()})
+    cuts = F.array(*[F.lit(b) for b in bounds])
+    lagged = with_lag_table(x, {target: reach, **{e: d + D * s for e in exog}}, None, keys, "_rid", block)
+    lagged = lagged.filter(rid.between(bounds[0], bounds[-1] - 1)).withColumn("_seg", F.size(F.filter(cuts, lambda b: b <= rid)))
+    parts = partial_factors(lagged, [*keys, "_seg"], design.expressions())
+    low = F.element_at(cuts, F.col("_seg"))
+    uses = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: (f * h + reach <= low) & (low < f * h + W))
+    parts = parts.withColumn("fold", F.explode(uses)).drop("_seg")
+    fit = solve_factors(parts, fk, FIT_FIELDS, lambda k, factor: [fit_row(factor, design.model(target, exog=exog, trend=trend, start=k[-1] * h, **order), order)])
+
+    # each fold's last levels and test rows
+    most = F.least(F.lit(folds - 1), F.floor((F.col("_n") - W - 1) / F.lit(h)))  # the last fold with a test row
+    def dealt(lo, hi, from_row):  # folds whose rows from_row .. hold this row, with its place
+        lo, hi = F.greatest(F.lit(0), lo).cast("int"), F.least(most, hi).cast("int")
+        return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda f: F.struct(f.alias("fold"), (rid - f * h - from_row).cast("int").alias("place"))))
+
+    back = reach + 1
+    tail = dealt(F.ceil((rid - W + 1) / F.lit(h)), F.floor((rid - W + back) / F.lit(h)), W)  # places -back .. -1
+    test = dealt(F.ceil((rid - W - h + 1) / F.lit(h)), F.floor((rid - W) / F.lit(h)), W)  # places 0 .. h - 1
+    none = F.array().cast("array<struct<fold:int,place:int>>")
+    rows = x.filter(F.col("_n") >= W + h).withColumn("_f", F.explode(F.concat(F.coalesce(tail, none), F.coalesce(test, none)))).select("*", "_f.fold", "_f.place")
+    level = F.struct(F.col("place").cast("bigint").alias("o"), q(target).cast("double").alias("y"), F.array(*[q(e).cast("double") for e in exog]).cast("array<double>").alias("x"))
+    tested = F.struct((F.col("place") + 1).alias("step"), *[q(c).alias(c) for c in order_cols], q(target).cast("double").alias("actual"),
+                      F.array(*[q(e).cast("double") for e in exog]).cast("array<double>").alias("x"))
+    # reach + 1 + h rows of a fold
+    by_fold = rows.groupBy(*fk).agg(F.sort_array(F.collect_list(F.when(F.col("place") < 0, level))).alias("_h"),
+                                    F.sort_array(F.collect_list(F.when(F.col("place") >= 0, tested))).alias("_t")).withColumn("_rows", F.lit(W))
+    ahead = by_fold.withColumn("_f", F.transform("_t", lambda t: F.struct(t["step"].alias("step"), t["x"].alias("x"))))
+    out = project_ar(fit, ahead, h, fk, exog, known=True, keep=["_t"])
+    pooled = out.withColumn("_t", F.try_element_at("_t", F.col("step"))).filter(F.col("_t").isNotNull()).select(*fk, "_t.*", "forecast").drop("x")
+    pooled = pooled.select(*fk, "step", *order_cols, "actual", "forecast")
     counted = pooled.groupBy(*keys).count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("k")).first()
     if not counted["k"] or counted["least"] < 2:
         raise ValueError("walk-forward validation needs two predictions or more of every series")

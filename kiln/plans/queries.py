@@ -1704,6 +1704,42 @@ def q_m7t(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("event_type", "model", "step", F.round("forecast", 4).alias("forecast"))
 
 
+_SQL_PRICES = """
+d AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS day, round(sum(l_extendedprice), 2) AS y FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, y - avg(y) OVER (PARTITION BY l_returnflag) AS c FROM d),
+l AS (SELECT l_returnflag, c, lag(c) OVER (PARTITION BY l_returnflag ORDER BY day) AS c1 FROM m)"""
+
+
+def daily_prices(spark: SparkSession, sf: str, level: float) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    daily = li.groupBy("l_returnflag", F.col("l_shipdate").cast("date").alias("day")).agg(F.round(F.sum("l_extendedprice"), 2).alias("y"))
+    return daily.withColumn("y", F.col("y") + F.lit(float(level)))
+
+
+@register("m7_ar_level_1e9", f"""
+WITH {_SQL_PRICES}, r AS (SELECT l_returnflag, count(c1) AS n, regr_slope(c, c1) AS b, regr_syy(c, c1) * (1 - power(corr(c, c1), 2)) AS rss FROM l GROUP BY 1)
+SELECT l_returnflag, CAST(n AS BIGINT) AS n, round(b, 6) AS ar_1, round(sqrt(rss / n), 3) AS sigma, round(n * ln(rss / n) + 6, 4) AS aic FROM r""")
+def q_m7l(spark: SparkSession, sf: str) -> DataFrame:
+    """A level of 1e9 changes neither the coefficient nor sigma nor AIC: the SQL fits the centred series."""
+    f = model.fit_ar(daily_prices(spark, sf, 1e9), "y", p=1, trend="c", order_cols=["day"], key="l_returnflag")
+    return f.select("l_returnflag", "n", F.round(F.col("coef")[1], 6).alias("ar_1"), F.round(F.sqrt("sigma2"), 3).alias("sigma"), F.round("aic", 4).alias("aic"))
+
+
+@register("m11_ar_search_levels", f"""
+WITH {_SQL_PRICES},
+r AS (SELECT l_returnflag, count(*) AS n, regr_syy(c, c1) * (1 - power(corr(c, c1), 2)) AS rss1, regr_syy(c, c1) AS rss0, var_pop(c - c1) * count(*) AS rssd
+      FROM l WHERE c1 IS NOT NULL GROUP BY 1),
+k AS (SELECT l_returnflag, unnest([0, 1, 2]) AS candidate, unnest([n * ln(rss0 / n) + 4, n * ln(rss1 / n) + 6, n * ln(rssd / n) + 4]) AS aic FROM r)
+SELECT l_returnflag, CAST(level AS BIGINT) AS level, CAST(min_by(candidate, (aic, candidate)) AS INTEGER) AS candidate, round(min(aic), 3) AS aic
+FROM k, (SELECT unnest([0, 1000000, 1000000000]) AS level) GROUP BY 1, 2""")
+def q_m11l(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidate that wins by AIC does not depend on the level of the series."""
+    grid = [{"p": 0, "d": 0, "trend": "c"}, {"p": 1, "d": 0, "trend": "c"}, {"p": 0, "d": 1, "trend": "c"}]
+    series = daily_prices(spark, sf, 0.0).withColumn("level", F.explode(F.array(*[F.lit(v).cast("bigint") for v in (0, 1_000_000, 1_000_000_000)])))
+    best = tune.ar_search(series.withColumn("y", F.col("y") + F.col("level")), "y", grid, ["day"], key=["l_returnflag", "level"])
+    return best.select("l_returnflag", "level", "candidate", F.round("aic", 3).alias("aic"))
+
+
 @register("m10_grid_search_cv")
 def q_m10(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegression

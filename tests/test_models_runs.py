@@ -115,6 +115,47 @@ def test_walk_forward_needs_two_predictions(spark):
         tune.walk_forward(df, "y", ["t"], W=15, h=1, folds=1)
 
 
+def _plain_walk(y, x, W, h, folds, p, d, trend):
+    """Fold by fold on the rows themselves."""
+    out = []
+    for f in range(folds):
+        a, b = f * h, f * h + W
+        if b >= len(y):
+            break
+        w = np.diff(y[a:b], d)
+        z = np.diff(x[a:b], d) if x is not None else None
+        at = np.arange(p, len(w))
+        cols = [np.ones(len(at))] + ([at + float(d)] if trend == "ct" else []) + [w[at - i] for i in range(1, p + 1)] + ([z[at]] if x is not None else [])
+        beta = np.linalg.lstsq(np.column_stack(cols), w[at], rcond=None)[0]
+        level, xs = list(y[a:b]), list(x[a:b]) if x is not None else None
+        for step in range(1, min(h, len(y) - b) + 1):
+            w = np.diff(level, d)
+            terms = [1.0] + ([W + step - 1.0] if trend == "ct" else []) + [w[-i] for i in range(1, p + 1)]
+            if xs is not None:
+                xs.append(x[b + step - 1])
+                terms.append(np.diff(xs, d)[-1])
+            value = float(np.dot(beta, terms)) + (level[-1] if d else 0.0)
+            level.append(value)
+            out.append((f, step, round(float(y[b + step - 1]), 6), round(value, 6)))
+    return out
+
+
+@pytest.mark.parametrize("p, d, trend, exog", [(1, 0, "c", False), (2, 1, "c", False), (1, 0, "ct", True), (0, 1, "c", True)])
+def test_walk_forward_equals_fold_by_fold_fits(spark, p, d, trend, exog):
+    rng = np.random.default_rng(11)
+    y = {k: np.cumsum(rng.normal(size=n)) + 1000 for k, n in (("a", 60), ("b", 33), ("short", 20))}
+    x = {k: rng.normal(size=len(v)) for k, v in y.items()}
+    rows = [(k, t, float(v), float(x[k][t])) for k in y for t, v in enumerate(y[k])]
+    df = spark.createDataFrame(rows, "k string, t long, y double, x double").repartition(4)
+    got = tune.walk_forward(df, "y", ["t"], W=20, h=3, folds=6, p=p, d=d, trend=trend, key="k", exog=["x"] if exog else (), block=7)
+    got = sorted((r.k, r.fold, r.step, round(r.actual, 6), round(r.forecast, 6)) for r in got.collect())
+    want = sorted((k, *r) for k in y for r in _plain_walk(y[k], x[k] if exog else None, 20, 3, 6, p, d, trend))
+    assert [g[:4] for g in got] == [w[:4] for w in want] and "short" not in {g[0] for g in got}
+    assert np.allclose([g[4] for g in got], [w[4] for w in want], atol=1e-5)
+    with pytest.raises(ValueError):
+        tune.walk_forward(df, "y", ["t"], W=3, h=1, p=3, key="k")
+
+
 def test_accuracy_search_skips_failing_fits(spark):
     df = _separable(spark)
     space = {"solver": ("choice", ["lbfgs", "liblinear"]), "penalty": ("choice", ["l1", "l2"]), "C": ("loguniform", 0.1, 10.0)}
