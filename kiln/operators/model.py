@@ -252,10 +252,14 @@ class Design:
             self.columns.append((name, lag))
         return self.columns.index((name, lag)) + 1
 
+    def form(self, name: str, weights: dict[int, float], shift: int = 0) -> dict[int, float]:
+        """The differenced column ``shift`` rows back."""
+        return {self._at(name, shift + lag): w for lag, w in weights.items()}
+
     def model(self, target: str, p: int, d: int, exog: Sequence[str], trend: str | None, P: int, D: int, s: int, start: int = 0) -> Model:
         """``start``: the row at which the trend counts 0."""
         w = difference_weights(d, D, s)
-        form = lambda name, shift=0: {self._at(name, shift + lag): v for lag, v in w.items()}
+        form = lambda name, shift=0: self.form(name, w, shift)
         terms: list[tuple[str, dict[int, float]]] = []
         if trend in ("c", "ct"):
             terms.append(("const", {0: 1.0}))
@@ -287,14 +291,16 @@ def fit_row(factor: Factor, m: Model, order: dict) -> dict:
 
 def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[str] = (), trend: str | None = "c",
            order_cols: Sequence[str] | None = None, key=None, block: int | None = None,
-           P: int = 0, D: int = 0, s: int = 0, ma: int = 0) -> DataFrame:
+           P: int = 0, D: int = 0, s: int = 0, ma: int = 0, Q: int = 0) -> DataFrame:
     """AR(p) on d-th (and D-th seasonal) differences with seasonal lags, trend and exogenous
     regressors by conditional least squares. One row per series: coefficient names and values,
     sigma2, rss, n, aic, bic (Gaussian log-likelihood from the residual sum, constants
     dropped); the order stands in p, d, sp, sd (seasonal lags and differences) and season.
-    Moving-average terms (``ma``) are not fitted and are an error."""
-    if ma:
-        raise ValueError("moving-average terms are not available")
+    With moving-average terms (``ma``, seasonal ``Q``) the fit is ``arma.fit_arma``."""
+    if ma or Q:
+        from kiln.operators.arma import fit_arma
+
+        return fit_arma(df, target, p, d, ma, exog, trend, order_cols, key, P, D, Q, s)
     keys = keys_of(key)
     order = dict(p=p, d=d, P=P, D=D, s=s)
     x = with_lag_table(df, {target: reach_of(**order), **{e: d + D * s for e in exog}}, order_cols, keys, None, block)
@@ -307,25 +313,37 @@ def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Se
                 block: int | None = None) -> DataFrame:
     """Every candidate (p, d, trend, P, D, s) of every series from one pass: one lag table, one
     factor that serves all candidates, over the rows that all of them can use
-    (differencing has a unit Jacobian, so on equal rows their AIC compare). Adds ``candidate``."""
+    (differencing has a unit Jacobian, so on equal rows their AIC compare). Adds ``candidate``.
+    Candidates with moving-average terms (q, Q) are fitted one by one from the same first row on."""
     keys = keys_of(key)
-    design, orders, models = Design(), [], []
-    for g in grid:
-        if g.get("q") or g.get("Q"):
-            raise ValueError("moving-average terms are not available")
-        orders.append({c: int(g.get(c) or 0) for c in ("p", "d", "P", "D", "s")})
-        models.append(design.model(target, exog=(), trend=g.get("trend"), **orders[-1]))
+    design, orders = Design(), [{c: int(g.get(c) or 0) for c in ("p", "d", "P", "D", "s")} for g in grid]
     reach = max(reach_of(**o) for o in orders)
+    moving = {i: {"q": int(g.get("q") or 0), "Q": int(g.get("Q") or 0)} for i, g in enumerate(grid) if g.get("q") or g.get("Q")}
+    models = {i: design.model(target, exog=(), trend=g.get("trend"), **orders[i]) for i, g in enumerate(grid) if i not in moving}
+    fits = [_plain_grid(df, target, models, orders, design, reach, order_cols, keys, block)] if models else []
+    for i, ma in moving.items():
+        from kiln.operators.arma import fit_arma
+
+        fit = fit_arma(df, target, trend=grid[i].get("trend"), order_cols=order_cols, key=keys, skip=reach, **orders[i], **ma)
+        fits.append(fit.drop("resid").withColumn("candidate", F.lit(i)))
+    out = fits[0]
+    for more in fits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _plain_grid(df: DataFrame, target: str, models: dict[int, Model], orders: list[dict], design: Design, reach: int, order_cols, keys, block) -> DataFrame:
     x = with_lag_table(df, {target: reach}, order_cols, keys, None, block)
     needed = [F.col(f"`{target}@{k}`") for k in range(reach + 1)]
     return solve_factors(partial_factors(x, keys, design.expressions(), needed), keys, FIT_FIELDS + ", candidate int",
-                         lambda _, factor: [fit_row(factor, m, o) | {"candidate": i} for i, (m, o) in enumerate(zip(models, orders))])
+                         lambda _, factor: [fit_row(factor, m, orders[i]) | {"candidate": i} for i, m in models.items()])
 
 
 def forecast_ar(fit: DataFrame, history: DataFrame, target: str, steps: int, order_cols: Sequence[str],
                 key=None, future: DataFrame | None = None) -> DataFrame:
-    """Recursive forecast ``steps`` ahead in levels. The trend goes on counting rows; a model
-    with exogenous regressors needs their future levels in ``future`` (keys, step 1..steps, the
+    """Recursive forecast ``steps`` ahead in levels. The trend goes on counting rows; residuals
+    after the fitted rows count as 0 (``history`` has to end where they do if there are
+    moving-average terms); a model with exogenous regressors needs their future levels in ``future`` (keys, step 1..steps, the
     columns), else it is an error. Uses only the last rows of every series (top-k per key,
     limited before the shuffle); one small row per series is solved in Python."""
     keys = keys_of(key)
@@ -349,7 +367,8 @@ def project_ar(fit: DataFrame, grouped: DataFrame, steps: int, keys: Sequence[st
     """Forecasts from (keys, _h: the last levels in order, _rows: how many rows there were). Future
     levels of regressors are in ``future``, or (``known``) in a column _f: array<struct(step, x)>,
     which may end early; the columns ``keep`` stay beside every step."""
-    meta = fit.select(*keys, "coef_names", "coef", "p", "d", "sp", "sd", "season")
+    resid = F.col("resid") if "resid" in fit.columns else F.lit(None).cast("array<double>")
+    meta = fit.select(*keys, "coef_names", "coef", "p", "d", "sp", "sd", "season", resid.alias("resid"))
     j = join_small(grouped, meta, keys) if keys else attach_row(grouped, meta)
     if known:
         pass
@@ -362,7 +381,7 @@ def project_ar(fit: DataFrame, grouped: DataFrame, steps: int, keys: Sequence[st
             j = j.withColumn("_one", F.lit(1)).join(given.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
     else:
         j = j.withColumn("_f", F.lit(None).cast("array<struct<step:int,x:array<double>>>"))
-    j = j.withColumn("_ahead", _ahead_udf(list(exog), steps, known)(F.struct("_h", "_rows", "_f", "coef_names", "coef", "p", "d", "sp", "sd", "season")))
+    j = j.withColumn("_ahead", _ahead_udf(list(exog), steps, known)(F.struct("_h", "_rows", "_f", "coef_names", "coef", "p", "d", "sp", "sd", "season", "resid")))
     return j.select(*[q(k) for k in keys], *keep, F.posexplode("_ahead").alias("_step", "forecast")).select(
         *[q(k) for k in keys], (F.col("_step") + 1).alias("step"), *keep, "forecast")
 
@@ -409,6 +428,9 @@ def _ahead(r: dict, exog: Sequence[str], steps: int, known: bool = False) -> lis
                 value += c * (int(r["_rows"]) + step - 1)
             elif name in lags:
                 value += c * changed(y, lags[name] - 1)
+            elif name.startswith(("ma_", "sma_")):
+                lag = int(name.split("_")[1]) * (int(r["season"]) if name[0] == "s" else 1)
+                value += c * float(r["resid"][lag - step]) if lag >= step else 0.0
             else:
                 e = exog.index(name[5:])
                 value += c * changed([v[e] for v in x], 0)

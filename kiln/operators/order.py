@@ -17,6 +17,7 @@ All take ``key=None`` for one series; a hot key is split into blocks like any ot
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +34,14 @@ KEYED_MAX_ROWS = 2_000_000
 BROADCAST_MAX_ROWS = 1_000_000
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder. For loops: unlike a checkpoint, which keeps
+    its plan's size estimate, the table starts anew with the size of its files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keys_of(key) -> list[str]:
     if key is None:
         return []

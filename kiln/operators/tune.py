@@ -35,23 +35,26 @@ def param_grid(space: dict[str, Sequence]) -> list[dict]:
 
 
 def ar_grid(spec: dict) -> list[dict]:
-    """Autoregressive grid rules: empty seasonal lists -> non-seasonal only; empty p, d, q
-    reuse P, D, Q; a ``None`` in ``s`` adds the non-seasonal set; trend 'n', or none given, ->
-    none."""
-    p = spec.get("p") or spec.get("P") or [0]
-    d = spec.get("d") or spec.get("D") or [0]
-    qq = spec.get("q") or spec.get("Q") or [0]
+    """Candidates of an autoregressive grid, from lists of p, d, q, P, D, Q, s and trend.
+
+    * All seasonal lists empty: every (p, d, q).
+    * p, d and q all empty, some seasonal list not: P, D, Q are taken as p, d, q, without seasons.
+    * Else the seasonal products over every s; a ``None`` in ``s`` adds the non-seasonal ones.
+
+    A list that is empty beside others that are not leaves its product empty. Trend 'n', or none
+    given, is no trend."""
+    p, d, qq, P, D, Q = (list(spec.get(c) or []) for c in ("p", "d", "q", "P", "D", "Q"))
+    s = list(spec.get("s") or [])
     trends = [None if t in ("n", None) else t for t in (spec.get("trend") or ["n"])]
-    seasons = list(spec.get("s") or [])
-    seasonal = bool(seasons) and bool(spec.get("P") or spec.get("D") or spec.get("Q"))
+    seasonal = bool(P or D or Q or s)
+    if seasonal and not (p or d or qq):
+        p, d, qq, seasonal = P, D, Q, False
     out = []
-    base = [dict(p=a, d=b, q=c, trend=t) for a, b, c, t in itertools.product(p, d, qq, trends)]
-    if not seasonal or None in seasons:
-        out.extend(dict(x, P=0, D=0, Q=0, s=0) for x in base)
+    if not seasonal or None in s:
+        out += [dict(p=int(a), d=int(b), q=int(c), P=0, D=0, Q=0, s=0, trend=t) for a, b, c, t in itertools.product(p, d, qq, trends)]
     if seasonal:
-        for s in [v for v in seasons if v is not None]:
-            for P, D, Q in itertools.product(spec.get("P") or [0], spec.get("D") or [0], spec.get("Q") or [0]):
-                out.extend(dict(x, P=P, D=D, Q=Q, s=s) for x in base)
+        out += [dict(p=int(a), d=int(b), q=int(c), P=int(A), D=int(B), Q=int(C), s=int(v), trend=t)
+                for a, b, c, A, B, C, v, t in itertools.product(p, d, qq, P, D, Q, [v for v in s if v is not None], trends)]
     return out
 
 
@@ -181,8 +184,8 @@ def accuracy_search(fit, space: dict, n: int, train: DataFrame, val: DataFrame,
 # ----------------------------------------------------------------------------- M11 (autoregressive)
 def ar_search(df: DataFrame, target: str, grid: list[dict], order_cols: Sequence[str], key=None) -> DataFrame:
     """The (p, d, trend, P, D, s) candidate with the lowest AIC of every series (the earlier
-    one on ties). All candidates come from one aggregate over the rows that all can use;
-    moving-average terms in the grid are an error."""
+    one on ties). All candidates without moving-average terms come from one factor over the rows
+    that all can use; those with such terms are fitted one by one on the same rows."""
     keys = keys_of(key)
     fits = fit_ar_grid(df, target, grid, order_cols, keys).filter(F.col("aic").isNotNull())
     cols = [c for c in fits.columns if c not in keys]

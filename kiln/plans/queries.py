@@ -1725,6 +1725,13 @@ def q_m7l(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("l_returnflag", "n", F.round(F.col("coef")[1], 6).alias("ar_1"), F.round(F.sqrt("sigma2"), 3).alias("sigma"), F.round("aic", 4).alias("aic"))
 
 
+@register("m7_arma_fit")
+def q_m7ma(spark: SparkSession, sf: str) -> DataFrame:
+    """ARMA(1, 1) of the daily totals, by series."""
+    f = model.fit_ar(daily_prices(spark, sf, 1e6), "y", p=1, ma=1, trend="c", order_cols=["day"], key="l_returnflag")
+    return f.select("l_returnflag", "n", *[F.round(F.col("coef")[i], 4).alias(c) for i, c in enumerate(("const", "ar_1", "ma_1"))], F.round("aic", 3).alias("aic"))
+
+
 @register("m11_ar_search_levels", f"""
 WITH {_SQL_PRICES},
 r AS (SELECT l_returnflag, count(*) AS n, regr_syy(c, c1) * (1 - power(corr(c, c1), 2)) AS rss1, regr_syy(c, c1) AS rss0, var_pop(c - c1) * count(*) AS rssd
@@ -1807,7 +1814,7 @@ def q_m11a(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m11_seasonal_ar_search")
 def q_m11s(spark: SparkSession, sf: str) -> DataFrame:
-    grid = tune.ar_grid({"p": [1, 2], "d": [0, 1], "P": [1], "s": [None, 7], "trend": ["c"]})
+    grid = tune.ar_grid({"p": [1, 2], "d": [0, 1], "q": [0], "P": [1], "D": [0], "Q": [0], "s": [None, 7], "trend": ["c"]})
     best = tune.ar_search(daily_rounded(spark, sf), "total", grid, order_cols=["day"], key="event_type")
     return best.select("event_type", "p", "d", "sp", "season", "aic", "bic", "n", "candidate")
 

@@ -46,13 +46,31 @@ def test_ar_recovers_coefficients(spark):
 def test_grids_and_draws():
     g = tune.param_grid({"a": [1, 2], "b": ["x", "y", "z"]})
     assert len(g) == 6 and g[0] == {"a": 1, "b": "x"}
-    ar = tune.ar_grid({"p": [1, 2], "d": [0], "trend": ["n", "c"]})
+    ar = tune.ar_grid({"p": [1, 2], "d": [0], "q": [0], "trend": ["n", "c"]})
     assert len(ar) == 4 and {x["trend"] for x in ar} == {None, "c"}
     d1 = tune.param_samples({"C": ("loguniform", 0.01, 10), "k": ("int", 1, 3)}, 5, seed=42)
     d2 = tune.param_samples({"C": ("loguniform", 0.01, 10), "k": ("int", 1, 3)}, 5, seed=42)
     assert d1 == d2 and all(0.01 <= x["C"] <= 10 and 1 <= x["k"] <= 3 for x in d1)
 
 
+def _orders(spec):
+    return [tuple(c[k] for k in ("p", "d", "q", "P", "D", "Q", "s", "trend")) for c in tune.ar_grid(spec)]
+
+
+def test_ar_grid_cases():
+    plain = {"p": [1, 2], "d": [0], "q": [0, 1]}
+    assert _orders(plain) == [(1, 0, 0, 0, 0, 0, 0, None), (1, 0, 1, 0, 0, 0, 0, None), (2, 0, 0, 0, 0, 0, 0, None), (2, 0, 1, 0, 0, 0, 0, None)]
+    # p, d, q all empty: the seasonal lists are taken for them, without seasons
+    assert _orders({"P": [1], "D": [0], "Q": [0, 2], "s": [12]}) == [(1, 0, 0, 0, 0, 0, 0, None), (1, 0, 2, 0, 0, 0, 0, None)]
+    assert _orders({"p": [], "P": [1], "D": [], "Q": [0], "s": [12]}) == []
+    # both: seasonal products, and the non-seasonal ones only for a None among the seasons
+    both = {"p": [1], "d": [0], "q": [0], "P": [1], "D": [1], "Q": [0], "trend": ["c", "n"]}
+    assert _orders(both | {"s": [7]}) == [(1, 0, 0, 1, 1, 0, 7, "c"), (1, 0, 0, 1, 1, 0, 7, None)]
+    assert _orders(both | {"s": [None, 7]}) == [(1, 0, 0, 0, 0, 0, 0, "c"), (1, 0, 0, 0, 0, 0, 0, None), (1, 0, 0, 1, 1, 0, 7, "c"), (1, 0, 0, 1, 1, 0, 7, None)]
+    # a list that is empty beside others leaves no candidate
+    assert _orders({"p": [1], "d": [0]}) == [] and _orders(both | {"s": [7], "Q": []}) == [] and _orders({}) == []
+
+
 def test_run_validation_and_flatten(spark):
     good = {"schema_version": "1.1", "step": "train", "algorithm": "x", "params": {}, "metrics": {
         m: 0.5 for m in runs.V11_METRICS}, "hyperparameter_search": {"strategy": "none", "iterations_total": 1,
@@ -90,8 +108,6 @@ def test_forecasts_use_trend_and_future_regressors(spark):
     assert np.allclose([r.forecast for r in got.orderBy("step").collect()], [73, 3])
     with pytest.raises(ValueError):
         model.forecast_ar(fit, df, "z", 2, ["t"])
-    with pytest.raises(ValueError):
-        model.fit_ar(df, "y", p=1, ma=1, order_cols=["t"])
 
 
 def test_seasonal_lags_and_differences(spark):
@@ -104,8 +120,6 @@ def test_seasonal_lags_and_differences(spark):
     assert np.allclose([r.forecast for r in lag.orderBy("step").collect()], want, atol=1e-6)
     best = tune.ar_search(df, "y", [{"p": 1, "d": 0, "trend": "c"}, {"p": 0, "D": 1, "s": 4, "trend": "c"}], ["t"]).first()
     assert (best.candidate, best.sd, best.season) == (1, 1, 4)
-    with pytest.raises(ValueError):
-        tune.ar_search(df, "y", [{"p": 1, "q": 2}], ["t"])
 
 
 def test_walk_forward_needs_two_predictions(spark):
