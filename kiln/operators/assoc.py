@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions.exprs import norm_cdf, q
+from kiln.functions.exprs import q
 from kiln.functions.quantiles import exact_quantiles
+from kiln.functions.special import chi2_upper, f_upper, normal_two_sided, t_two_sided
 from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum
 
 
@@ -265,20 +266,10 @@ def associations(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
 
 # ----------------------------------------------------------------------------- G18
 def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square independence: statistic and degrees of freedom (p-value: see
-    :func:`chi2_pvalue`, which uses Spark ML's ChiSquareTest)."""
+    """Chi-square independence: statistic, degrees of freedom, n and p-value (NULL without freedom)."""
     ch = chi_square(contingency(df, a, b))
-    return ch.select(F.col("chi2").alias("statistic"), ((F.col("r") - 1) * (F.col("k") - 1)).cast("bigint").alias("dof"),
-                     "n")
-
-
-def chi2_pvalue(df: DataFrame, feature: str, label: str) -> float:
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.stat import ChiSquareTest
-
-    x = StringIndexer(inputCols=[feature, label], outputCols=["_f", "_l"]).fit(df).transform(df)
-    x = VectorAssembler(inputCols=["_f"], outputCol="_v").transform(x)
-    return float(ChiSquareTest.test(x, "_v", "_l").first()["pValues"][0])
+    out = ch.select(F.col("chi2").alias("statistic"), ((F.col("r") - 1) * (F.col("k") - 1)).cast("bigint").alias("dof"), "n")
+    return out.withColumn("p_value", chi2_upper(F.col("statistic"), F.col("dof")))
 
 
 def ks_normal_test(df: DataFrame, col: str) -> DataFrame:
@@ -293,7 +284,7 @@ def ks_normal_test(df: DataFrame, col: str) -> DataFrame:
 
 
 def welch_t(df: DataFrame, num: str, group: str, g1, g2) -> DataFrame:
-    """Welch two-sample t statistic and Welch-Satterthwaite degrees of freedom."""
+    """Welch two-sample t statistic, Welch-Satterthwaite degrees of freedom, two-sided p-value."""
     s = df.filter(q(group).isin(g1, g2) & q(num).isNotNull()).agg(
         *[F.avg(F.when(q(group) == g, q(num))).alias(f"m{i}") for i, g in enumerate((g1, g2))],
         *[F.var_samp(F.when(q(group) == g, q(num))).alias(f"v{i}") for i, g in enumerate((g1, g2))],
@@ -302,16 +293,16 @@ def welch_t(df: DataFrame, num: str, group: str, g1, g2) -> DataFrame:
     se1 = F.try_divide(F.col("v1"), F.col("n1"))
     t = F.try_divide(F.col("m0") - F.col("m1"), F.sqrt(se0 + se1))
     dof = F.try_divide((se0 + se1) ** 2, F.try_divide(se0 ** 2, F.col("n0") - 1) + F.try_divide(se1 ** 2, F.col("n1") - 1))
-    return s.select(t.alias("statistic"), dof.alias("dof"))
+    return s.select(t.alias("statistic"), dof.alias("dof")).withColumn("p_value", t_two_sided(F.col("statistic"), F.col("dof")))
 
 
 def anova_f(df: DataFrame, num: str, group: str) -> DataFrame:
-    """One-way ANOVA F statistic with (k-1, N-k) degrees of freedom; NULL without variation
-    inside the groups or with one group."""
+    """One-way ANOVA F statistic with (k-1, N-k) degrees of freedom and its p-value; NULL without
+    variation inside the groups or with one group."""
     d1, d2 = F.col("k") - 1, F.col("N") - F.col("k")
     f = F.try_divide(F.try_divide(F.col("ssb"), d1), F.try_divide(F.col("ssw"), d2))
-    return _group_squares(df, group, num).select(f.alias("statistic"), d1.cast("bigint").alias("df_between"),
-                                                 d2.cast("bigint").alias("df_within"))
+    out = _group_squares(df, group, num).select(f.alias("statistic"), d1.cast("bigint").alias("df_between"), d2.cast("bigint").alias("df_within"))
+    return out.withColumn("p_value", f_upper(F.col("statistic"), F.col("df_between"), F.col("df_within")))
 
 
 def rank_sums(df: DataFrame, num: str, group: str) -> DataFrame:
@@ -322,11 +313,20 @@ def rank_sums(df: DataFrame, num: str, group: str) -> DataFrame:
     return j.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.sum("_rank").alias("rank_sum"))
 
 
-def mann_whitney_u(df: DataFrame, num: str, group: str, g1) -> DataFrame:
-    """U statistic of group ``g1`` against the rest (average ranks for ties)."""
-    rs = rank_sums(df.withColumn("_grp", F.when(q(group) == F.lit(g1), F.lit("a")).otherwise(F.lit("b"))), num, "_grp")
-    a = rs.filter(F.col("_g") == "a")
-    return a.select((F.col("rank_sum") - F.col("n") * (F.col("n") + 1) / 2).alias("statistic"), "n")
+def mann_whitney_u(df: DataFrame, num: str, group: str, g1, continuity: bool = True) -> DataFrame:
+    """U statistic of group ``g1`` against the rest (average ranks for ties), its n, and the
+    two-sided p-value of the normal approximation with the tie correction (and, unless turned off,
+    the correction for continuity); no p-value when all values are equal or a group is empty."""
+    x = df.withColumn("_grp", F.when(q(group) == F.lit(g1), F.lit("a")).otherwise(F.lit("b")))
+    tied = float(_tie_sum(x.filter(q(num).isNotNull()).select(q(num).cast("double").alias("v")), "v"))
+    side = lambda c, g: F.max(F.when(F.col("_g") == g, F.col(c)))
+    rs = rank_sums(x, num, "_grp").agg(side("n", "a").cast("double").alias("n1"), side("n", "b").cast("double").alias("n2"), side("rank_sum", "a").alias("s"))
+    n1, n2 = F.col("n1"), F.coalesce(F.col("n2"), F.lit(0.0))
+    n, u = n1 + n2, F.col("s") - n1 * (n1 + 1) / 2
+    var = n1 * n2 / 12 * (n + 1 - F.coalesce(F.try_divide(F.lit(tied), n * (n - 1)), F.lit(0.0)))
+    off = F.abs(u - n1 * n2 / 2) - (0.5 if continuity else 0.0)
+    z = F.when(var > 0, F.greatest(off, F.lit(0.0)) / F.sqrt(var))
+    return rs.filter(n1.isNotNull()).select(u.alias("statistic"), n1.cast("bigint").alias("n"), normal_two_sided(z).alias("p_value"))
 
 
 def _tie_sum(values: DataFrame, col: str):
@@ -336,14 +336,15 @@ def _tie_sum(values: DataFrame, col: str):
 
 
 def kruskal_h(df: DataFrame, num: str, group: str) -> DataFrame:
-    """Kruskal-Wallis H, corrected for ties, and dof; NULL when all values are equal."""
+    """Kruskal-Wallis H, corrected for ties, dof and p-value; NULL when all values are equal."""
     x = df.filter(q(group).isNotNull() & q(num).isNotNull())
     tied = float(_tie_sum(x.select(q(num).cast("double").alias("v")), "v"))
     n = F.col("N").cast("double")
     h = F.try_divide(F.lit(12.0) * F.col("_s"), n * (n + 1)) - 3 * (n + 1)
-    return rank_sums(df, num, group).agg(F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_s"), F.sum("n").alias("N"),
+    out = rank_sums(df, num, group).agg(F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_s"), F.sum("n").alias("N"),
                                          F.count(F.lit(1)).alias("k")).select(
         F.try_divide(h, 1 - F.try_divide(F.lit(tied), n * n * n - n)).alias("statistic"), (F.col("k") - 1).cast("bigint").alias("dof"))
+    return out.withColumn("p_value", chi2_upper(F.col("statistic"), F.col("dof")))
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -359,11 +360,14 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     n = F.col("n").cast("double")
     w = F.least("plus", "minus")
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.lit(tied) / 48))
-    return s.select(F.when(F.col("n") > 0, w).alias("statistic"), z.alias("z"), F.when(z.isNotNull(), F.least(F.lit(1.0), 2 * norm_cdf(z))).alias("p_value"), "n")
+    return s.select(F.when(F.col("n") > 0, w).alias("statistic"), z.alias("z"), normal_two_sided(z).alias("p_value"), "n")
 
 
 def pearson_test(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation test statistic t = r sqrt((n-2)/(1-r^2)); NULL for a constant column."""
+    """Correlation test: r, t = r sqrt((n-2)/(1-r^2)), dof, two-sided p-value (0 for a perfect
+    correlation); NULL for a constant column."""
     s = df.filter(q(a).isNotNull() & q(b).isNotNull()).agg(_safe_corr(q(a), q(b)).alias("r"), F.count(F.lit(1)).alias("n"))
-    return s.select("r", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))).alias("statistic"),
-                    (F.col("n") - 2).cast("bigint").alias("dof"))
+    out = s.select("r", (F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") ** 2))).alias("statistic"),
+                   (F.col("n") - 2).cast("bigint").alias("dof"))
+    perfect = (F.abs("r") >= 1) & (F.col("dof") > 0)
+    return out.withColumn("p_value", F.when(perfect, F.lit(0.0)).otherwise(t_two_sided(F.col("statistic"), F.col("dof"))))

@@ -1565,6 +1565,46 @@ def q_g18(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # =============================================================================== models and tuning
+@register("g18_p_values", """
+WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS o FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, sum(o) OVER (PARTITION BY x) AS rx, sum(o) OVER (PARTITION BY y) AS cy, sum(o) OVER () AS n FROM c),
+chi AS (SELECT sum(o * o / (rx * cy / n)) - first(n) AS stat FROM m),
+g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1),
+an AS (SELECT sum(n * (m - (SELECT avg(l_extendedprice) FROM lineitem)) * (m - (SELECT avg(l_extendedprice) FROM lineitem))) AS b,
+              sum(n * v) AS w, sum(n) AS n FROM g),
+rk AS (SELECT l_returnflag, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem),
+kw AS (SELECT l_returnflag, avg(r) AS mr, count(*) AS n FROM rk GROUP BY 1),
+kn AS (SELECT count(*)::DOUBLE AS n, avg(r) AS m, sum((r - (SELECT avg(r) FROM rk)) * (r - (SELECT avg(r) FROM rk))) AS ss FROM rk),
+t AS (SELECT (l_quantity - 25.5) / l_linenumber AS t FROM lineitem)
+SELECT 'chi2_independence' AS test, round(exp(-stat / 2), 9) AS p_value FROM chi
+UNION ALL SELECT 'anova_f', round(power(1 + 2 * (b / 2) / (w / (n - 3)) / (n - 3), -(n - 3) / 2), 9) FROM an
+UNION ALL SELECT 'kruskal_h', round(exp(-(n - 1) * (SELECT sum(g.n * (g.mr - kn.m) * (g.mr - kn.m)) FROM kw g) / ss / 2), 9) FROM kn
+UNION ALL SELECT 'student_1', round(avg(1 - 2 / pi() * atan(abs(t))), 9) FROM t
+UNION ALL SELECT 'student_2', round(avg(1 - abs(t) / sqrt(t * t + 2)), 9) FROM t
+UNION ALL SELECT 'chi2_2', round(avg(exp(-abs(t) / 2)), 9) FROM t
+UNION ALL SELECT 'f_2_5', round(avg(power(1 + 2 * abs(t) / 5, -2.5)), 9) FROM t""")
+def q_g18p(spark: SparkSession, sf: str) -> DataFrame:
+    """Tails that have closed forms: two degrees of freedom, Student's with one and two."""
+    from kiln.functions.special import chi2_upper, f_upper, t_two_sided
+
+    li = table(spark, sf, "lineitem")
+    t = F.col("t")
+    rows = li.groupBy(((F.col("l_quantity") - 25.5) / F.col("l_linenumber")).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    tails = {"student_1": t_two_sided(t, F.lit(1)), "student_2": t_two_sided(t, F.lit(2)), "chi2_2": chi2_upper(F.abs(t), F.lit(2)),
+             "f_2_5": f_upper(F.abs(t), F.lit(2), F.lit(5))}
+    means = rows.agg(*[(F.sum(p * F.col("n")) / F.sum("n")).alias(name) for name, p in tails.items()])
+    out = means.select(F.explode(F.array(*[F.struct(F.lit(n).alias("test"), F.col(n).alias("p_value")) for n in tails])).alias("r")).select("r.*")
+    for name, test in (("chi2_independence", assoc.chi2_test(li, "l_returnflag", "l_linestatus")), ("anova_f", assoc.anova_f(li, "l_extendedprice", "l_returnflag")),
+                       ("kruskal_h", assoc.kruskal_h(li, "l_quantity", "l_returnflag"))):
+        out = out.unionByName(test.select(F.lit(name).alias("test"), "p_value"))
+    return out.select("test", F.round("p_value", 9).alias("p_value"))
+
+
+@register("g18_ks_normal")
+def q_g18k(spark: SparkSession, sf: str) -> DataFrame:
+    return assoc.ks_normal_test(table(spark, sf, "lineitem"), "l_extendedprice")
+
+
 from kiln.operators import model, tune  # noqa: E402
 
 _CL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
