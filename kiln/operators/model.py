@@ -310,7 +310,7 @@ def fit_ar(df: DataFrame, target: str, p: int = 1, d: int = 0, exog: Sequence[st
 
 
 def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Sequence[str], key=None,
-                block: int | None = None) -> DataFrame:
+                block: int | None = None, exog: Sequence[str] = ()) -> DataFrame:
     """Every candidate (p, d, trend, P, D, s) of every series from one pass: one lag table, one
     factor that serves all candidates, over the rows that all of them can use
     (differencing has a unit Jacobian, so on equal rows their AIC compare). Adds ``candidate``.
@@ -319,12 +319,12 @@ def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Se
     design, orders = Design(), [{c: int(g.get(c) or 0) for c in ("p", "d", "P", "D", "s")} for g in grid]
     reach = max(reach_of(**o) for o in orders)
     moving = {i: {"q": int(g.get("q") or 0), "Q": int(g.get("Q") or 0)} for i, g in enumerate(grid) if g.get("q") or g.get("Q")}
-    models = {i: design.model(target, exog=(), trend=g.get("trend"), **orders[i]) for i, g in enumerate(grid) if i not in moving}
-    fits = [_plain_grid(df, target, models, orders, design, reach, order_cols, keys, block)] if models else []
+    models = {i: design.model(target, exog=exog, trend=g.get("trend"), **orders[i]) for i, g in enumerate(grid) if i not in moving}
+    fits = [_plain_grid(df, target, models, orders, design, reach, exog, order_cols, keys, block)] if models else []
     for i, ma in moving.items():
         from kiln.operators.arma import fit_arma
 
-        fit = fit_arma(df, target, trend=grid[i].get("trend"), order_cols=order_cols, key=keys, skip=reach, **orders[i], **ma)
+        fit = fit_arma(df, target, exog=exog, trend=grid[i].get("trend"), order_cols=order_cols, key=keys, skip=reach, **orders[i], **ma)
         fits.append(fit.drop("resid").withColumn("candidate", F.lit(i)))
     out = fits[0]
     for more in fits[1:]:
@@ -332,8 +332,9 @@ def fit_ar_grid(df: DataFrame, target: str, grid: Sequence[dict], order_cols: Se
     return out
 
 
-def _plain_grid(df: DataFrame, target: str, models: dict[int, Model], orders: list[dict], design: Design, reach: int, order_cols, keys, block) -> DataFrame:
-    x = with_lag_table(df, {target: reach}, order_cols, keys, None, block)
+def _plain_grid(df: DataFrame, target: str, models: dict[int, Model], orders: list[dict], design: Design, reach: int, exog, order_cols, keys,
+                block) -> DataFrame:
+    x = with_lag_table(df, {target: reach, **{e: max(o["d"] + o["D"] * o["s"] for o in orders) for e in exog}}, order_cols, keys, None, block)
     needed = [F.col(f"`{target}@{k}`") for k in range(reach + 1)]
     return solve_factors(partial_factors(x, keys, design.expressions(), needed), keys, FIT_FIELDS + ", candidate int",
                          lambda _, factor: [fit_row(factor, m, orders[i]) | {"candidate": i} for i, m in models.items()])

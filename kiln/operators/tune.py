@@ -112,6 +112,31 @@ def grid_search_cv(estimator: Estimator, grid: list[dict], df: DataFrame, label:
     return cv.fit(data)
 
 
+def search_cv(fit, grid: list[dict], df: DataFrame, label: str, id_cols: Sequence[str], folds: int = 5, seed: int = 42):
+    """Grid search for anything that ``fit(train, **candidate)`` fits: accuracy averaged over the folds
+    of the ids' hash, the earlier candidate on ties. A candidate that fails in a fold is out; it
+    is an error if all are. Returns (best candidate, its model on all rows, [(candidate, accuracy)])."""
+    ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName="accuracy")
+    ids = F.concat_ws("\x1f", *[q(c).cast("string") for c in id_cols])
+    x = hash_folds(df.withColumn("_label", q(label).cast("double")).withColumn("_ids", ids), "_ids", folds, seed, out="_fold").drop("_ids").cache()
+    results, last = [], None
+    try:
+        for candidate in grid:
+            try:
+                scores = [float(ev.evaluate(fit(x.filter(F.col("_fold") != f), **candidate).transform(x.filter(F.col("_fold") == f)))) for f in range(folds)]
+                results.append((candidate, sum(scores) / folds))
+            except Exception as failed:  # noqa: BLE001 - whatever this candidate broke
+                results.append((candidate, None))
+                last = failed
+        scored = [i for i, (_, a) in enumerate(results) if a is not None]
+        if not scored:
+            raise ValueError(f"every candidate failed, the last with: {last}")
+        best = max(scored, key=lambda i: (results[i][1], -i))
+        return grid[best], fit(x, **grid[best]), results
+    finally:
+        x.unpersist()
+
+
 def holdout_search(estimator: Estimator, grid: list[dict], train: DataFrame, val: DataFrame, label: str,
                    parallelism: int = 4, minimize: bool = True):
     """Time-series hold-out search: fit every candidate on ``train`` (fitMultiple, bounded
@@ -182,12 +207,12 @@ def accuracy_search(fit, space: dict, n: int, train: DataFrame, val: DataFrame,
 
 
 # ----------------------------------------------------------------------------- M11 (autoregressive)
-def ar_search(df: DataFrame, target: str, grid: list[dict], order_cols: Sequence[str], key=None) -> DataFrame:
+def ar_search(df: DataFrame, target: str, grid: list[dict], order_cols: Sequence[str], key=None, exog: Sequence[str] = ()) -> DataFrame:
     """The (p, d, trend, P, D, s) candidate with the lowest AIC of every series (the earlier
     one on ties). All candidates without moving-average terms come from one factor over the rows
     that all can use; those with such terms are fitted one by one on the same rows."""
     keys = keys_of(key)
-    fits = fit_ar_grid(df, target, grid, order_cols, keys).filter(F.col("aic").isNotNull())
+    fits = fit_ar_grid(df, target, grid, order_cols, keys, exog=exog).filter(F.col("aic").isNotNull())
     cols = [c for c in fits.columns if c not in keys]
     return fits.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct("aic", "candidate")).alias("best")).select(*keys, "best.*")
 

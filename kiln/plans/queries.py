@@ -2149,6 +2149,45 @@ def q_r4t(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("n_events_lag_2").cast("bigint").alias("n_events_lag_2"), F.round("y", 4).alias("y"), "split")
 
 
+# A recorded grid search over autoregressions, and a recorded model with a regressor.
+_REPLAY_GRID = {"steps": [
+    {"step": "data_cleaning", "parameters": {"optional_methods": None}},
+    {"step": "train_arima", "date_col_name": "day", "target_variable": "total", "forecast_horizon": 1, "split_ratios": [0.7, 0.15, 0.15],
+     "hyperparameter_search_strategy": "grid", "grid_search": {"use_grid_search": True, "p": [0, 1], "d": [0], "q": [0], "trend": ["c"]}}]}
+_REPLAY_EXOG = {"steps": [
+    {"step": "data_cleaning", "parameters": {"optional_methods": None}},
+    {"step": "train_sarimax", "date_col_name": "day", "target_variable": "total", "input_features": ["n_events"], "split_ratios": [0.7, 0.15, 0.15],
+     "hyperparameters": {"p": 0, "d": 0, "trend": "c"}}]}
+_SQL_REPLAY_DAYS = """
+e AS (SELECT CAST(ts AS DATE) AS day, round(sum(value), 4) AS y, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1),
+r AS (SELECT *, lag(y) OVER (ORDER BY day) AS y1, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS n FROM e),
+t AS (SELECT * FROM r WHERE pos < floor(n * 0.7::DOUBLE)),
+s AS (SELECT y, CAST(row_number() OVER (ORDER BY day) AS INTEGER) AS step, x FROM r WHERE pos >= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE))"""
+
+
+def _replay_days(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).cast("double").alias("n_events"))
+
+
+@register("r4_replay_grid_record", f"""
+WITH {_SQL_REPLAY_DAYS},
+f AS (SELECT count(*) AS n, regr_syy(y, y1) * (1 - power(corr(y, y1), 2)) AS rss1, regr_syy(y, y1) AS rss0, regr_slope(y, y1) AS b,
+             regr_intercept(y, y1) AS a, avg(y) AS m FROM t WHERE y1 IS NOT NULL),
+w AS (SELECT n * ln(rss0 / n) + 4 <= n * ln(rss1 / n) + 6 AS plain, a, b, (SELECT avg(y) FROM t) AS m, (SELECT max_by(y, pos) FROM t) AS last FROM f)
+SELECT step, CASE WHEN plain THEN 0 ELSE 1 END AS p, round(CASE WHEN plain THEN m ELSE a * (1 - power(b, step)) / (1 - b) + power(b, step) * last END, 3) AS forecast,
+       round(y, 4) AS actual FROM s, w""")
+def q_r4g(spark: SparkSession, sf: str) -> DataFrame:
+    res = replay.replay_steps(_replay_days(spark, sf), _REPLAY_GRID)
+    return res.forecast.select("step", F.lit(res.best["p"]).alias("p"), F.round("forecast", 3).alias("forecast"), F.round("actual", 4).alias("actual"))
+
+
+@register("r4_replay_regressor_record", f"""
+WITH {_SQL_REPLAY_DAYS}, f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t)
+SELECT step, round(a + b * x, 3) AS forecast, round(y, 4) AS actual FROM s, f""")
+def q_r4x(spark: SparkSession, sf: str) -> DataFrame:
+    return replay.replay_steps(_replay_days(spark, sf), _REPLAY_EXOG).forecast.select("step", F.round("forecast", 3).alias("forecast"), F.round("actual", 4).alias("actual"))
+
+
 @register("r4_replay_recorded_steps", _cl_flow_sql("""
 SELECT event_id, ts, user_id, round(value, 6) AS value,
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS event_type_error,

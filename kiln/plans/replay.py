@@ -5,7 +5,9 @@ the record holds it; the first ``data_encoding`` step encodes; the first step wh
 with ``train`` trains on the encoded table, or on the cleaned one without encoding. Two kinds of
 record are read: tabular ones (cleaning switches, encoders, classifiers) and time-series ones
 (a list of cleaning methods, lags, a horizon, forecasters). What a record says in a key that is
-not known here, or with an algorithm that is not, is an error, never a default.
+not known here, or with an algorithm that is not, is an error, never a default. A recorded grid or
+random search is searched again: classifiers by accuracy (five folds, or the validation part),
+autoregressions by AIC.
 
 Everything up to training stays one lazy plan; only declared outputs are materialised.
 """
@@ -18,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, encode, model, profile, split
+from kiln.operators import clean, encode, model, profile, split, tune
 
 # The keys of recorded parameters, and what they are here.
 CLEANING_KEYS = {"eliminar_duplicados": "remove_duplicates", "filtrar_outliers": "remove_outliers",
@@ -26,7 +28,13 @@ CLEANING_KEYS = {"eliminar_duplicados": "remove_duplicates", "filtrar_outliers":
 SERIES_CLEANING_KEYS = ("optional_methods",)
 ENCODING_KEYS = ("input_features", "target_variables", "encode_target_ohe", "encode_target_label",
                  "date_column", "lag_periods", "lag_nan_handling")
-SEARCH_KEYS = ("hyperparameter_search_strategy", "grid_search", "random_search", "bayesian_search", "hyperparameter_search")
+STEP_KEYS = ("step", "algorithm", "input_features", "target_variable", "target_variables", "problem_type", "split_ratios", "hyperparameters", "params",
+             "model_name", "date_col_name", "forecast_horizon")
+SEARCH_KEYS = ("hyperparameter_search_strategy", "grid_search", "random_search", "bayesian_search", "bayesian_config", "hyperparameter_search",
+               "optimization_metric")
+# What a training step records about its own run; without effect on a replay.
+RECORDED = ("schema_version", "timestamp", "run_id", "metrics", "train_metrics", "val_metrics", "test_metrics", "model_path", "artifacts", "energy_metrics",
+            "features", "lstm_metadata")
 # The training steps' names, by kind of model.
 TABULAR = {"train_logistic_regression": "logistic", "train_mlp_model": "mlp", "train_mlp": "mlp", "train_xgboost": "gbt"}
 SERIES = {"train_arima": "ar", "train_sarimax": "ar", "train_xgboost": "gbt_forecast"}
@@ -37,9 +45,19 @@ HYPER = {
             "solver": "solver", "learning_rate_init": "step_size"},
     "gbt": {"learning_rate": "learning_rate", "n_estimators": "n_trees", "max_depth": "max_depth", "subsample": "subsample",
             "colsample_bytree": "colsample"},
-    "ar": {"p": "p", "d": "d", "P": "P", "D": "D", "s": "s", "q": "ma", "trend": "trend"},
+    "ar": {"p": "p", "d": "d", "P": "P", "D": "D", "Q": "Q", "s": "s", "q": "ma", "trend": "trend"},
 }
 HYPER["gbt_forecast"] = HYPER["gbt"]
+# The grids that a recorded grid search without lists of its own goes through.
+GRIDS = {
+    "logistic": {"C": [0.1, 1, 10, 100], "max_iter": [100, 200], "solver": ["lbfgs", "liblinear"]},
+    "gbt": {"learning_rate": [0.01, 0.1, 0.2], "n_estimators": [50, 100, 200], "max_depth": [3, 5, 7], "subsample": [0.8, 1.0], "colsample_bytree": [0.8, 1.0]},
+    "mlp": {"hidden_layer_sizes": [(4,), (10,), (10, 5), (100, 50, 10)], "activation": ["relu", "tanh"], "solver": ["adam", "sgd"], "max_iter": [200, 300]},
+}
+# The ranges of a recorded random search, where the record gives none.
+RANGES = {"logistic": {"C_range": [0.001, 100.0], "max_iter_range": [100, 1000], "solver_options": ["lbfgs", "liblinear", "saga"], "penalty_options": ["l2", "none"]}}
+#: Ranges drawn on a logarithmic scale.
+LOGARITHMIC = ("C", "learning_rate_init")
 # Recorded beside the hyperparameters, without effect on a fit here.
 REMARKS = ("random_state", "verbose", "val_accuracy", "best_iteration", "objective", "eval_metric", "n_jobs", "seed", "num_class")
 
@@ -52,6 +70,8 @@ class ReplayResult:
     splits: DataFrame | None = None
     model: object | None = None
     forecast: DataFrame | None = None
+    best: dict | None = None
+    search: list | None = None
     reports: dict = field(default_factory=dict)
 
     @property
@@ -134,9 +154,10 @@ def _train(res: ReplayResult, tr: dict, fit: bool, id_cols: Sequence[str], order
     kind = (SERIES if series else TABULAR).get(name)
     if kind is None:
         raise ValueError(f"unknown training step {tr['step']!r} (algorithm {tr.get('algorithm')!r})")
+    _only(tr, [*STEP_KEYS, *SEARCH_KEYS, *RECORDED], f"training step {tr['step']}")
+    strategy = _strategy(tr)
     given = dict(tr.get("hyperparameters") or tr.get("params") or {})
-    _only(given, [*HYPER[kind], *REMARKS], "hyperparameters")
-    params = {HYPER[kind][k]: v for k, v in given.items() if k in HYPER[kind] and v is not None}
+    params = _named(kind, given) if strategy == "none" else {}  # a search replaces what it found before
     target = tr.get("target_variable") or (tr.get("target_variables") or [None])[0]
     if not target:
         raise ValueError("the training step names no target_variable")
@@ -146,16 +167,17 @@ def _train(res: ReplayResult, tr: dict, fit: bool, id_cols: Sequence[str], order
     if series:
         date = tr.get("date_col_name") or table.columns[0]
         order, h = list(dict.fromkeys([date, *order_cols])), int(tr.get("forecast_horizon") or 1)
+        feats = [c for c in feats if c != date]
         if kind == "ar":
             res.splits = split.temporal_split(table, ratios, order_cols=order)
             if fit:
-                past = res.splits.filter("split = 'train'")
-                res.model = model.fit_ar(past, target, order_cols=order, **{"p": 1, "trend": "c"} | params)
-                res.forecast = model.forecast_ar(res.model, past, target, h, order)
+                _train_ar(res, tr, strategy, params, target, split.numeric_features(table, feats)[0], order)
             return
-        res.splits = split.supervised(table, target, [c for c in feats if c != date], h=h, order_cols=order, ratios=ratios)
+        if strategy != "none" and fit:
+            raise ValueError(f"{strategy} search of a boosted forecaster is not replayed")
+        res.splits = split.supervised(table, target, feats, h=h, order_cols=order, ratios=ratios)
         if fit:
-            res.model = model.fit_gbt_forecaster(res.splits.filter("split = 'train'"), [c for c in feats if c != date], "y", **params)
+            res.model = model.fit_gbt_forecaster(res.splits.filter("split = 'train'"), feats, "y", **params)
         return
     if not id_cols:
         raise ValueError("a stratified split needs id_cols")
@@ -163,7 +185,86 @@ def _train(res: ReplayResult, tr: dict, fit: bool, id_cols: Sequence[str], order
     if fit:
         run = {"logistic": model.fit_logistic, "mlp": model.fit_mlp, "gbt": model.fit_gbt_classifier}[kind]
         feats = [c for c in feats if c not in id_cols]
-        res.model = run(res.splits.filter("split = 'train'"), feats, target, **params)
+        past, val = (res.splits.filter(f"split = '{part}'") for part in ("train", "val"))
+        fitted = lambda df, **g: run(df, feats, target, **_named(kind, g))
+        if strategy == "grid":
+            lists = _grid_lists(tr) or GRIDS[kind]
+            res.best, res.model, res.search = tune.search_cv(fitted, tune.param_grid(lists), past, target, list(id_cols))
+        elif strategy == "random":
+            space, draws = _random_space(tr, kind)
+            res.best, res.model, res.search = tune.accuracy_search(fitted, space, draws, past, val, target)
+        else:
+            res.model = run(past, feats, target, **params)
+
+
+def _named(kind: str, given: dict) -> dict:
+    """Recorded hyperparameters under the names used here."""
+    _only(given, [*HYPER[kind], *REMARKS], "hyperparameters")
+    return {HYPER[kind][k]: v for k, v in given.items() if k in HYPER[kind] and v is not None}
+
+
+def _strategy(tr: dict) -> str:
+    """none, grid or random. Older records only say whether a grid was searched."""
+    nested = tr.get("hyperparameter_search") or {}
+    named = tr.get("hyperparameter_search_strategy") or nested.get("strategy")
+    if named is None:
+        named = "grid" if (tr.get("grid_search") or {}).get("use_grid_search") else "none"
+    named = {"manual": "none"}.get(named, named)
+    if named not in ("none", "grid", "random"):
+        raise ValueError(f"{named!r} search is not replayed")
+    return named
+
+
+def _grid_lists(tr: dict) -> dict:
+    """The lists of a grid search as recorded, or nothing."""
+    grid = dict(tr.get("grid_search") or {})
+    own = {k: v for k, v in grid.items() if k not in ("use_grid_search", "best_params", "grid_search_params")}
+    return (tr.get("hyperparameter_search") or {}).get("grid_search_params") or grid.get("grid_search_params") or own
+
+
+def _random_space(tr: dict, kind: str) -> tuple[dict, int]:
+    """The space of a random search and its number of draws: ``<name>_range`` holds two bounds,
+    ``<name>_options`` values."""
+    nested, plain = tr.get("hyperparameter_search") or {}, tr.get("random_search") or {}
+    draws = int(nested.get("n_random_iterations") or plain.get("n_random_iterations") or 100)
+    given = {**RANGES.get(kind, {}), **(nested.get("random_search_params") or plain.get("random_search_params") or {})}
+    space: dict[str, tuple] = {}
+    for key, value in given.items():
+        if key.endswith("_options"):
+            space[key[:-8]] = ("choice", list(value))
+        elif key.endswith("_range") and len(value) == 2:
+            whole = all(isinstance(v, int) for v in value)
+            name = key[:-6]
+            space[name] = ("int" if whole else "loguniform" if name in LOGARITHMIC else "uniform", *value)
+        else:
+            raise ValueError(f"random search: {key!r} is neither a range nor a list of options")
+    if not space:
+        raise ValueError("the random search records no ranges")
+    return space, draws
+
+
+def _train_ar(res: ReplayResult, tr: dict, strategy: str, params: dict, target: str, exog: list[str], order: list[str]) -> None:
+    """Fits on the training rows and forecasts as many steps as there are test rows, whose
+    regressors are taken as the future ones; the forecast starts behind the training rows."""
+    past, test = (res.splits.filter(f"split = '{part}'") for part in ("train", "test"))
+    if strategy == "random":
+        raise ValueError("random search of an autoregression is not replayed")
+    if strategy == "grid":
+        grid = tune.ar_grid({k: v for k, v in _grid_lists(tr).items() if k not in ("enforce_stationarity", "enforce_invertibility")})
+        if not grid:
+            raise ValueError("the grid search has no candidates")
+        won = tune.ar_search(past, target, grid, order, exog=exog).first()
+        if won is None:
+            raise ValueError("no candidate of the grid could be fitted")
+        res.best = grid[won["candidate"]]
+        params = {k: v for k, v in res.best.items() if k != "q"} | {"ma": res.best["q"]}
+    res.model = model.fit_ar(past, target, order_cols=order, exog=exog, **{"p": 1, "trend": "c"} | params)
+    from kiln.operators.order import assign_row_id
+
+    rows = assign_row_id(test, order, row_id="_step").withColumn("step", (F.col("_step") + 1).cast("int"))
+    future = rows.select("step", *[F.col(f"`{e}`") for e in exog])
+    ahead = model.forecast_ar(res.model, past, target, test.count(), order, future=future if exog else None)
+    res.forecast = ahead.join(rows.select("step", F.col(f"`{target}`").cast("double").alias("actual")), "step")
 
 
 def _expanded(table: DataFrame, wanted: Sequence[str]) -> list[str]:

@@ -206,4 +206,44 @@ def test_replay_of_records(spark):
         {"step": "data_cleaning", "parameters": {"optional_methods": None}},
         {"step": "train_arima", "date_col_name": "day", "target_variable": "y", "forecast_horizon": 3, "split_ratios": [0.8, 0.1, 0.1],
          "hyperparameters": {"p": 0, "d": 1, "trend": "c"}}]})
-    assert [round(r.forecast, 6) for r in got.forecast.orderBy("step").collect()] == [23.0, 24.0, 25.0]
+    assert [(round(r.forecast, 6), r.actual) for r in got.forecast.orderBy("step").collect()] == [(23.0, 25.0), (24.0, 26.0), (25.0, 27.0), (26.0, 28.0)]
+
+
+def test_replay_of_searches_and_regressors(spark):
+    from kiln.plans import replay
+
+    clean = {"step": "data_cleaning", "parameters": {"optional_methods": None}}
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=60)
+    y = [float(10 + 3 * v) for v in x]
+    series = spark.createDataFrame([(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", y[d], float(x[d]), "t") for d in range(60)], "day string, y double, x double, word string")
+    step = {"step": "train_arima", "date_col_name": "day", "target_variable": "y", "input_features": ["x", "word"], "forecast_horizon": 1, "split_ratios": [0.7, 0.15, 0.15]}
+    got = replay.replay_steps(series, {"steps": [clean, step | {"hyperparameters": {"p": 0, "d": 0, "trend": "c"}}]})
+    rows = got.forecast.orderBy("step").collect()
+    assert len(rows) == 9 and all(abs(r.forecast - r.actual) < 1e-6 for r in rows) and got.model.first().coef_names == ["const", "exog_x"]
+    walk = np.cumsum(rng.normal(size=60)) + 5
+    series = series.drop("y", "x").join(spark.createDataFrame([(f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}", float(walk[d])) for d in range(60)], "day string, y double"), "day")
+    grid = {"use_grid_search": True, "p": [0, 1], "d": [0, 1], "q": [0], "trend": ["n", "c"]}
+    got = replay.replay_steps(series, {"steps": [clean, {**step, "input_features": [], "grid_search": grid, "val_metrics": {"val_rmse": 1}}]})
+    fits = model.fit_ar_grid(got.splits.filter("split = 'train'"), "y", tune.ar_grid({k: v for k, v in grid.items() if k != "use_grid_search"}), ["day"]).collect()
+    least = min(fits, key=lambda r: (r.aic, r.candidate))
+    assert (got.best["p"], got.best["d"]) == (least.p, least.d) and got.forecast.count() == 9
+    for broken in ({"unknown": 1}, {"hyperparameter_search_strategy": "bayesian"}, {"grid_search": {"use_grid_search": True, "p": [1]}}):
+        with pytest.raises(ValueError):
+            replay.replay_steps(series, {"steps": [clean, {**step, "input_features": [], **broken}]})
+
+
+def test_replay_of_classifier_searches(spark):
+    from kiln.plans import replay
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(x), int(x > 0)) for i, x in enumerate(rng.normal(size=150))], "id long, x double, label int")
+    clean = {"step": "data_cleaning", "parameters": {"eliminar_duplicados": False, "filtrar_outliers": False, "relleno_valores_numericos": "dejar"}}
+    step = {"step": "train_logistic_regression", "input_features": ["x"], "target_variable": "label", "split_ratios": [0.6, 0.2, 0.2]}
+    lists = {"C": [0.0001, 10.0], "max_iter": [20], "solver": ["lbfgs"]}
+    got = replay.replay_steps(df, {"steps": [clean, step | {"grid_search": {"use_grid_search": True, "grid_search_params": lists, "best_params": {"C": 1}}}]}, id_cols=["id"])
+    assert got.best["C"] == 10.0 and len(got.search) == 2 and got.search[1][1] > 0.9
+    ranges = {"C_range": [1.0, 10.0], "max_iter_range": [10, 20], "penalty_options": ["l2", "l1"], "solver_options": ["lbfgs", "saga"]}
+    random = {"hyperparameter_search_strategy": "random", "random_search": {"use_random_search": True, "n_random_iterations": 3, "random_search_params": ranges}}
+    got = replay.replay_steps(df, {"steps": [clean, step | random]}, id_cols=["id"])
+    assert len(got.search) == 3 and 1 <= got.best["C"] <= 10 and got.model is not None
