@@ -123,15 +123,15 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled outcomes of pages: a page's url ends in the number of the document it shows, and
-    ``labels`` has the verdict on that document. Bad is low quality or toxic."""
+    """Outcomes of pages: a page's url ends in the number of the document it shows, and ``labels`` has
+    the verdict on that document. Bad is low quality or toxic; NULL without a verdict."""
     from kiln.llm.url_filter import host_of, path_of
 
     pages = table(spark, sf_dir, "pages")
     number = F.regexp_extract(path_of(F.col("url")), "^/[^/]*/([0-9]{1,18})(?:[./]|$)", 1)
     labels = table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    shown = pages.select(host_of(F.col("url")).alias("host"), number.try_cast("long").alias("doc_id")).where("doc_id is not null")
-    return shown.join(labels, "doc_id").select("host", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    shown = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), number.try_cast("long").alias("doc_id"))
+    return shown.join(labels, "doc_id", "left").select("host", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
 
 
 def _moments_sql(level: str) -> str:
@@ -174,7 +174,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kiln.llm.url_filter import judge
 
     # The sites of this table stand below example.com, example.net and example.org.
-    judged = judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES, suffix_labels=2)
+    judged = judge(table(spark, sf_dir, "pages"), page_outcomes(spark, sf_dir), URL_RULES, suffix_labels=2, complete=True)
     return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low", "bad_high")})
 
 

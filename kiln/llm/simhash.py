@@ -234,10 +234,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component: that of its least doc_id, of texts that share it the first by
-    digest. Components whose least doc_id is the same stay apart. Rows without a doc_id cannot
-    name a component and stay."""
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
+    """One row of each component: that of its least doc_id (NULL ids come last), of texts that share
+    it the first by digest. Components whose least doc_id is the same stay apart."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest"))
     distinct = fingerprints(docs, id_col, text_col, shingle, with_digest=True).groupBy("fp").agg(first.alias("first"))
     distinct = stored(distinct, "distinct-fingerprints")
     tree = components(links(distinct.select("fp"), radius), "a", "b")
@@ -246,7 +245,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, text, digest, place = (fresh(docs, c) for c in ("kept_id", "kept_text", "digest", "place"))
     kept = kept.select(F.col("first.doc_id").alias(key), F.col("first.digest").alias(text))
     marked = docs.withColumn(digest, _digest(text_col))
-    named = marked.join(kept, (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (F.col(digest) == F.col(text)), "inner")
+    named = marked.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key)) & (F.col(digest) == F.col(text)), "inner")
     same = Window.partitionBy(key, text).orderBy(digest)  # rows repeated whole
-    single = named.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(key, text, digest, place)
-    return single.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    return named.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(key, text, digest, place)

@@ -92,25 +92,37 @@ def test_documents(messy, rows, empty):
     assert simhash_components(empty).collect() == []
 
 
-def test_one_of_each(messy, rows, empty):
-    items = [(r[0], plain_fingerprint(r[1])) for r in rows]
-    ids = {c for c in plain_components(items, 2).values() if c is not None}
-    kept = one_of_each(messy)
-    assert kept.columns == messy.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(ids)
-    assert sum(r.doc_id is None for r in kept.collect()) == 2
-    assert one_of_each(empty).collect() == []
-
-
 def test_one_of_each_keeps_every_component(messy, rows):
     """Components whose least doc_id is the same (7 in the fixture) each keep a document."""
     fps = [plain_fingerprint(r[1]) for r in rows]
     group = plain_components([(k, f) for k, f in enumerate(fps)], 2)
     least = plain_components([(r[0], f) for r, f in zip(rows, fps)], 2)
-    got = [(r.doc_id, r.text) for r in one_of_each(messy).collect() if r.doc_id is not None]
+    kept = one_of_each(messy)
+    assert kept.columns == messy.columns and one_of_each(messy.limit(0)).collect() == []
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert None not in {i for i, _ in got}  # both rows without an id are copies of rows with one
     at = [next(k for k, r in enumerate(rows) if (r[0], r[1]) == g and least[k] == g[0]) for g in got]
     assert len({group[k] for k in at}) == len(got)
-    assert {group[k] for k in at} == {group[k] for k, r in enumerate(rows) if r[0] is not None}
+    assert {group[k] for k in at} == set(group.values())
+
+
+def test_one_of_each_without_ids(spark):
+    """Copies among rows without an id: one stays."""
+    a, b = " ".join(f"w{k}" for k in range(80)), " ".join(f"v{k}" for k in range(80))
+    docs = [(None, a)] * 5 + [(None, b), (3, b), (None, "x y z"), (None, None), (None, "")]
+    kept = one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(None, a), (3, b), (None, "x y z"), (None, "")], key=str)
+
+
+def test_texts_beyond_one_step_of_shingles(spark, monkeypatch):
+    """Texts of more words than are hashed at a time."""
+    assert simhash.SHINGLES_AT_ONCE >= 50_000
+    text = " ".join(f"w{k % 9973}" for k in range(2 * simhash.SHINGLES_AT_ONCE + 17))
+    assert fingerprint(text) == plain_fingerprint(text)
+    monkeypatch.setattr(simhash, "SHINGLES_AT_ONCE", 7)
+    for n in (6, 7, 8, 9, 10, 100):
+        short = " ".join(f"w{k}" for k in range(n))
+        assert fingerprint(short) == plain_fingerprint(short)
 
 
 def test_one_of_each_shared_ids(spark):

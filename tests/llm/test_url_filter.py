@@ -77,3 +77,61 @@ def test_bad_hosts_are_blocked(spark):
     got = judge(pages, out, [("allow", "h0.org", "/")]).collect()
     assert {r.host for r in got if r.verdict == "block"} == {"h1.org", "h2.org"}
     assert all(r.bad_low <= r.bad_rate <= r.bad_high and r.n_outcomes == 100 for r in got)
+
+
+def test_rules_of_any_number(spark):
+    """A table of rules, and a list beyond what an expression holds, judge like the plain loop."""
+    import random
+
+    rng = random.Random(3)
+    name = lambda k: ".".join(rng.choice(["a", "b", "com", "net", "x1"]) for _ in range(rng.randint(1, k)))
+    start = lambda k: "/" + "/".join(rng.choice(["p", "q", "pq", "é"]) for _ in range(rng.randint(0, k)))
+    rules = sorted({(rng.choice(["allow", "block"]), name(3), start(2)) for _ in range(3000)})
+    assert len(rules) > 400
+    urls = [f"http://{name(5)}{start(4)}" for _ in range(300)] + [None, "", "x://", "x://a", "x://" + "a." * 3000 + "com/p", *URLS]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    none = spark.createDataFrame([], "host string, bad int")
+    padded = rules + [("block", f"never{k}.org", "/") for k in range(1000)]
+
+    def fits(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        found = [(len(h + p), v, h, p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (max(found)[2] + max(found)[3], max(found)[1]) if found else (None, "allow")
+
+    want = {k: fits(u) for k, u in enumerate(urls)}
+    for given in (spark.createDataFrame(padded, "verdict string, host string, path string"), padded):
+        assert {r.page_id: (r.rule, r.verdict) for r in judge(pages, none, given).collect()} == want
+    assert sum(v[0] is not None for v in want.values()) > 100
+    empty = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {r.rule for r in judge(pages, none, empty).collect()} == {None}
+
+
+def test_suffix_table(spark):
+    from kiln.llm.url_filter import with_suffix
+
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "co.uk", "x.com", "y.x.com", "q.unknown", "", "z")], "host string")
+    table = spark.createDataFrame([("uk",), ("co.uk",), ("com",), (None,), ("com",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in with_suffix(hosts, 1, table).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"),
+                   "y.x.com": ("com", "x.com"), "q.unknown": ("unknown", "q.unknown"), "": ("", ""), "z": ("z", "z")}
+    rates = {r.host: r.domain for r in reputation(hosts.withColumn("bad", __import__("pyspark").sql.functions.lit(1)), suffixes=table).collect()}
+    assert rates["a.b.co.uk"] == "b.co.uk" and len(rates) == 8
+
+
+def test_pages_and_labels_are_read_sparingly(spark):
+    """The pages for their outcomes and for the result, the labels once."""
+    from conftest import SF
+
+    from kiln.llm import queries, url_filter
+
+    plans = []
+    kept = url_filter.stored
+    url_filter.stored = lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df, label)
+    try:
+        out = queries.QUERIES["op4_url_filters"](spark, SF)
+    finally:
+        url_filter.stored = kept
+    whole = "".join(plans) + out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[page_id#", whole)) <= 2 and len(re.findall(r"Relation \[doc_id#", whole)) == 1, whole
