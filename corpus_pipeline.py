@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` wr
 in the shared folder and reads again as the next stage's input. All stages but the last return
 the columns they were given.
 
-Defined results: rows with NULL text count as empty text; rows without a doc_id pass the near
-duplicates (they cannot name a group); an empty table stays empty; columns beyond those of
+Defined results: rows with NULL text count as empty text; rows without a doc_id are compared like
+any other and rank after rows with one; an empty table stays empty; columns beyond those of
 ``documents`` pass through, whatever their names.
 """
 
