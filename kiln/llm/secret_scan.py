@@ -31,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.llm.shared import stored
+from kiln.functions.exprs import norm_cdf
+from kiln.llm.shared import fresh, stored
 
 # The base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,10 +48,19 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 ENCODINGS = [("hex", DIGITS + "abcdef", "^[0-9a-f]+$", 0.6), ("HEX", DIGITS + "ABCDEF", "^[0-9A-F]+$", 0.6),
              ("base36", DIGITS + LOWER, "^[0-9a-z]+$", 1.3), ("BASE36", DIGITS + UPPER, "^[0-9A-Z]+$", 1.3),
              ("base62", UPPER + LOWER + DIGITS, "^[0-9A-Za-z]+$", 2.6), ("base64", UPPER + LOWER + DIGITS + "+/", "", 2.7)]
+#: Code points of a segment, at least. A segment ends before a character that no pattern has, or before
+#: a blank that cannot belong to an assignment; text without such a place stays one segment.
+SEGMENT = 8192
+SEGMENTS = (f"(?s).{{{SEGMENT}}}.*?(?=[^A-Za-z0-9+/_.=\"' :-]|(?<![ :=]) [A-Za-z0-9]|\\z)|.+")
 BINS_PER_DECADE = 10
 MOST_BIN = 400
 
 
+def segments(text: Column) -> Column:
+    """The text in pieces that no match reaches across; what grows with matches stays inside one."""
+    return F.when(F.length(text) <= SEGMENT, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(SEGMENTS), F.lit(0)))
+
+
 def spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
     """Leftmost non-overlapping matches as array<struct(start, end, hit)>; those whose ``group``
     is shorter than ``least`` are dropped after they have taken their text."""
@@ -71,15 +81,6 @@ def spans(text: Column, pattern: str, group: int | None = None, least: int = 0)
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
-def _normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, by a fixed rational approximation (error below 8e-8)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) * 0.3989422804014327 * poly
-    return F.when(z < 0, tail).otherwise(1 - tail)
-
-
 def battery(token: Column) -> Column:
     """struct(encoding, n, p_chi, p_runs, p_serial, p_text) of a token."""
     name, alphabet, excess = F.lit("base64"), F.lit(ENCODINGS[-1][1]), F.lit(ENCODINGS[-1][3])
@@ -118,9 +119,9 @@ def battery(token: Column) -> Column:
         z_serial = F.coalesce(F.try_divide(lag, v["sq"] - n * mean * mean), F.lit(1.0)) * F.sqrt(n)
         grown = n * v["excess"]
         z_text = (v["chi"] - (k - 1) - grown) / F.sqrt(2 * (k - 1 + 2 * grown))
-        two = lambda z: 2 * _normal_cdf(-F.abs(z))
-        return F.struct(v["name"].alias("encoding"), n.cast("bigint").alias("n"), (1 - _normal_cdf(z_chi)).alias("p_chi"), two(z_runs).alias("p_runs"),
-                        two(z_serial).alias("p_serial"), _normal_cdf(z_text).alias("p_text"))
+        two = lambda z: 2 * norm_cdf(-F.abs(z))
+        return F.struct(v["name"].alias("encoding"), n.cast("bigint").alias("n"), (1 - norm_cdf(z_chi)).alias("p_chi"), two(z_runs).alias("p_runs"),
+                        two(z_serial).alias("p_serial"), norm_cdf(z_text).alias("p_text"))
 
     start = F.array(F.struct(plain.alias("token"), name.alias("name"), alphabet.alias("alphabet"), excess.alias("excess")))
     return F.transform(F.transform(F.transform(start, tests), sums), p_values)[0]
@@ -131,15 +132,20 @@ def _bare(c: Column) -> Column:
 
 
 def raw_spans(text: Column) -> Column:
-    """struct(assign, access, hex: array<struct(start, end)>, candidates: array<struct(start, end, test)>)."""
+    """By segment: array<struct(n, assign, access, hex: array<struct(start, end)>, candidates:
+    array<struct(start, end, test)>)>, places counted inside the segment of n code points."""
+    return F.transform(segments(text), _raw)
+
+
+def _raw(text: Column) -> Column:
     def free(v):
         mixed = F.filter(v["tokens"], lambda t: t["hit"].rlike("[0-9]") | (t["hit"].rlike("[a-z]") & t["hit"].rlike("[A-Z]")))
         base = F.concat(v["assign"], v["access"], v["hex"])
         left = F.filter(mixed, lambda t: ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
         tested = F.transform(left, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), battery(t["hit"]).alias("test")))
-        return F.struct(_bare(v["assign"]).alias("assign"), _bare(v["access"]).alias("access"), _bare(v["hex"]).alias("hex"), tested.alias("candidates"))
+        return F.struct(v["n"].alias("n"), _bare(v["assign"]).alias("assign"), _bare(v["access"]).alias("access"), _bare(v["hex"]).alias("hex"), tested.alias("candidates"))
 
-    all_of = F.struct(spans(text, ASSIGN, 1, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"),
+    all_of = F.struct(F.length(text).cast("bigint").alias("n"), spans(text, ASSIGN, 1, ASSIGN_LEAST).alias("assign"), spans(text, ACCESS).alias("access"),
                       spans(text, HEX).alias("hex"), spans(text, CANDIDATE).alias("tokens"))
     return F.transform(F.array(all_of), free)[0]
 
@@ -155,7 +161,7 @@ def _bin(p: Column) -> Column:
 
 def thresholds(found: DataFrame, fdr: float, alpha: float) -> dict[int, int]:
     """For each stratum of length, the least bin that Benjamini-Hochberg accepts."""
-    tests = found.select(F.explode("raw.candidates.test").alias("t")).select(_stratum(F.col("t.n")).alias("stratum"), _plausible(F.col("t"), alpha).alias("ok"), _bin(F.col("t.p_text")).alias("bin"))
+    tests = found.select(F.explode(F.flatten("raw.candidates")).alias("c")).select(F.col("c.test").alias("t")).select(_stratum(F.col("t.n")).alias("stratum"), _plausible(F.col("t"), alpha).alias("ok"), _bin(F.col("t.p_text")).alias("bin"))
     counts = tests.groupBy("stratum", F.when(F.col("ok"), F.col("bin")).otherwise(F.lit(-1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("stratum")  # at most MOST_BIN + 2 rows each
     ranked = counts.withColumn("rank", F.sum("n").over(order.orderBy(F.desc("bin")))).withColumn("m", F.sum("n").over(order))
@@ -168,8 +174,8 @@ def _plausible(t: Column, alpha: float) -> Column:
     return (t["p_chi"] >= alpha / 3) & (t["p_runs"] >= alpha / 3) & (t["p_serial"] >= alpha / 3)
 
 
-def accepted(raw: Column, least: dict[int, int], alpha: float) -> Column:
-    """array<struct(start, kind_no, end, kind)> of the spans that stay, by start, then kind."""
+def _accepted(raw: Column, least: dict[int, int], alpha: float, offset: Column) -> Column:
+    """array<struct(start, kind_no, end, kind)> of a segment's spans that stay, by start, then kind."""
     def random(t):
         out = F.lit(False)
         for stratum, b in least.items():
@@ -177,11 +183,19 @@ def accepted(raw: Column, least: dict[int, int], alpha: float) -> Column:
         return out & _plausible(t["test"], alpha)
 
     def kind(c, no):
-        return F.transform(c, lambda t: F.struct(t["start"].alias("start"), F.lit(no).alias("kind_no"), t["end"].alias("end"), F.lit(KINDS[no]).alias("kind")))
+        return F.transform(c, lambda t: F.struct((t["start"] + offset).alias("start"), F.lit(no).alias("kind_no"), (t["end"] + offset).alias("end"), F.lit(KINDS[no]).alias("kind")))
 
     return F.array_sort(F.concat(kind(raw["assign"], 0), kind(raw["access"], 1), kind(raw["hex"], 2), kind(F.filter(raw["candidates"], random), 3)))
 
 
+def accepted(raw: Column, least: dict[int, int], alpha: float) -> Column:
+    """The spans of a text that stay, by start, then kind, from those of its segments."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("offsets"))
+    offsets = F.aggregate(raw, start, lambda acc, r: F.struct((acc["at"] + r["n"]).alias("at"), F.concat(acc["offsets"], F.array(acc["at"])).alias("offsets")),
+                          lambda acc: acc["offsets"])
+    return F.flatten(F.zip_with(raw, offsets, lambda r, offset: _accepted(r, least, alpha, offset)))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001) -> DataFrame:
     """Per row: doc_id and ``found``, array<struct(start, kind_no, end, kind)> by start, then kind."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -190,12 +204,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
 
 def redacted(docs: DataFrame, text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with its secrets cut out of the text; reads the texts twice and shuffles none."""
-    text = F.col(f"`{text_col}`")
-    raw = raw_spans(F.coalesce(text, F.lit("")))
-    least = thresholds(docs.select(raw.alias("raw")), fdr, alpha)
-    found = F.transform(F.array(raw), lambda r: accepted(r, least, alpha))  # each step's value is worked out once
-    return docs.withColumn(text_col, F.transform(found, lambda f: redact(text, f, mark))[0])
+    """``docs`` with its secrets cut out of the text. The patterns and the battery run once: the rows
+    are stored with their spans, and cut when the thresholds are known."""
+    text, name = F.col(f"`{text_col}`"), fresh(docs, "raw")
+    rows = stored(docs.withColumn(name, raw_spans(F.coalesce(text, F.lit("")))), "secret-rows")
+    least = thresholds(rows.select(F.col(name).alias("raw")), fdr, alpha)
+    cut = F.array_join(F.zip_with(segments(text), F.col(name), lambda s, r: redact(s, _accepted(r, least, alpha, F.lit(0)), mark)), "")
+    any_span = F.size(accepted(F.col(name), least, alpha)) > 0
+    return rows.withColumn(text_col, F.when(any_span, cut).otherwise(text)).drop(name)
 
 
 def listed(found: Column) -> Column:
@@ -204,13 +220,16 @@ def listed(found: Column) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by ``mark``."""
-    def step(acc, t):
-        inside = t["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], t["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(F.substr(text, (acc["at"] + 1).cast("int"), (t["start"] - acc["at"]).cast("int"))))).alias("out"),
-            F.when(inside, acc["cut"]).otherwise(acc["cut"] + 1).alias("cut"))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("cut"))
-    done = F.aggregate(found, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int")))), mark))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with every span (overlapping ones as one) replaced by ``mark``. Work grows with spans
+    times length: for a segment, or a short text."""
+    def cut(text: Column, found: Column) -> Column:
+        def step(acc, t):
+            inside = t["start"] < acc["at"]
+            return F.struct(F.greatest(acc["at"], t["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(
+                F.concat(acc["out"], F.array(F.substr(text, (acc["at"] + 1).cast("int"), (t["start"] - acc["at"]).cast("int"))))).alias("out"))
+
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(found, start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int")))), mark))
+
+    worked = F.transform(F.array(F.struct(text.alias("text"), found.alias("found"))), lambda v: F.when(F.size(v["found"]) > 0, cut(v["text"], v["found"])).otherwise(v["text"]))
+    return worked[0]

@@ -70,3 +70,108 @@ def test_redaction(spark, messy):
     r = spark.range(1).select(redact(F.lit("abcdefgh"), overlap, "#").alias("x"), listed(overlap).alias("l")).first()
     assert r.x == "##gh" and r.l == "k:0:3,k:2:5,k:5:6"
     assert redacted(messy).columns == messy.columns and redacted(messy).where("found != 'x'").count() == 0
+
+
+def test_segments_lose_nothing(spark, monkeypatch):
+    """Tiny segments give the spans of the whole text, and cut at harmless places only."""
+    from kiln.llm import secret_scan
+
+    rng = random.Random(9)
+    parts = ["password", "token", "secret_x", "api_key", "=", ":", " ", "  ", '"', "'", "abcdefgh12", "AKIAABCDEFGH1234", "deadbeef" * 4, "é", "😀", "\n", ",", "x.y-z/", "the", "Qm9vYmFy1234"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", "password" + " " * 50 + "=" + " " * 50 + "hunter2hunter2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    whole = {r.doc_id: r.found for r in scan(df).collect()}
+    cut = {r.doc_id: r.text for r in redacted(df).collect()}
+    monkeypatch.setattr(secret_scan, "SEGMENT", 8)
+    monkeypatch.setattr(secret_scan, "SEGMENTS", secret_scan.SEGMENTS.replace("{8192}", "{8}"))
+    pieces = df.select("doc_id", "text", secret_scan.segments(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert all("".join(r.s) == (r.text or "") for r in pieces) and max(len(r.s) for r in pieces) > 10
+    assert {r.doc_id: r.found for r in scan(df).collect()} == whole
+    assert {r.doc_id: r.text for r in redacted(df).collect()} == cut
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in whole[i] if x.kind_no < 3] == base(t)
+
+
+def test_many_matches_in_one_text(spark):
+    """100 000 matches in 2.2 MB: linear in the matches."""
+    import time
+
+    text = "token=abcdefgh1, and so " * 100_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    found = scan(df).select(F.size("found").alias("n"), F.col("found")[99_999].alias("last")).first()
+    assert found.n == 100_000 and (found.last.start, found.last.end) == (24 * 99_999, 24 * 99_999 + 15)
+    assert redacted(df).first().text == "[secret], and so " * 100_000
+    assert time.perf_counter() - start < 120
+
+
+# ----------------------------------------------------------------------------- the battery in plain Python
+def _cdf(z):
+    import math
+
+    x = abs(z)
+    t = 1 / (1 + 0.2316419 * x)
+    tail = math.exp(-x * x / 2) * 0.3989422804014327 * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return tail if z < 0 else 1 - tail
+
+
+def plain_battery(token):
+    import math
+
+    from kiln.llm.secret_scan import ENCODINGS
+
+    _, abc, _, excess = next(e for e in ENCODINGS if not e[2] or re.match(e[2], token))
+    tok = token.replace("-", "+").replace("_", "/")
+    n, k = len(tok), len(abc)
+    counts = [tok.count(c) for c in abc]
+    chi = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    place = [abc.index(c) + 1 for c in tok]
+    up = [x > k / 2 for x in place]
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mu = 2 * sum(up) * (n - sum(up)) / n + 1
+    spread = max((mu - 1) * (mu - 2) / (n - 1), 0.0)
+    z_runs = (runs - mu) / math.sqrt(spread) if spread else -9.0
+    mean = sum(place) / n
+    var = sum((x - mean) ** 2 for x in place)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(place, place[1:])) / var if var else 1.0) * math.sqrt(n)
+    grown = n * excess
+    return (n, 1 - _cdf((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))), 2 * _cdf(-abs(z_runs)), 2 * _cdf(-abs(z_serial)),
+            _cdf((chi - (k - 1) - grown) / math.sqrt(2 * (k - 1 + 2 * grown))))
+
+
+def plain_random(texts, fdr=0.01, alpha=0.001):
+    """The spans of kind random of all texts: every p-value, bin and threshold in plain Python."""
+    import math
+
+    tests = []
+    for i, t in enumerate(texts):
+        own = base(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t or ""):
+            mixed = re.search("[0-9]", m[0]) or (re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]))
+            if mixed and not any(s <= m.start() and e >= m.end() for s, _, e, _ in own):
+                n, p_chi, p_runs, p_serial, p_text = plain_battery(m[0])
+                ok = min(p_chi, p_runs, p_serial) >= alpha / 3
+                tests.append((i, m.start(), m.end(), int(math.log2(n)), ok, min(400, math.floor(-math.log10(max(p_text, 1e-300)) * 10))))
+    least = {}
+    for stratum in {x[3] for x in tests}:
+        group = [x for x in tests if x[3] == stratum]
+        bins = [x[5] if x[4] else -1 for x in group]
+        good = [b for b in set(bins) if b >= 0 and 10 ** (-b / 10) <= fdr * sum(y >= b for y in bins) / len(group)]
+        if good:
+            least[stratum] = min(good)
+    return sorted((i, s, e) for i, s, e, stratum, ok, b in tests if ok and stratum in least and b >= least[stratum])
+
+
+def test_random_spans_against_plain_python(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    syllables = ["the", "Tion", "ing", "er", "on", "an", "re", "in", "ed", "Is", "20", "x_", "a-"]
+    texts = []
+    for _ in range(500):
+        words = ["".join(rng.choice(letters) for _ in range(rng.choice([16, 20, 33, 64, 130]))) if rng.random() < 0.3 else
+                 "".join(rng.choice(syllables) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(0, 6))]
+        texts.append(" ".join(words))
+    texts += [None, "", "token=" + "Zz9" * 20, " ".join(texts[:50])]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    spans_got = sorted((r.doc_id, x.start, x.end) for r in got for x in r.found if x.kind_no == 3)
+    assert spans_got == plain_random(texts) and len(spans_got) > 100
