@@ -7,6 +7,7 @@ so a window never needs more than one block plus its halo in a task. Window cont
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from kiln.functions.exprs import q
 from kiln.operators.order import assign_row_id, keys_of, with_halo
 
 MIN_TRAIN_MARGIN = 50
+FEW_WINDOWS = 50
 
 
 def sequences(df: DataFrame, features: Sequence[str], target: str, L: int, h: int = 1,
@@ -58,14 +60,23 @@ def context_windows(df: DataFrame, channels: Sequence[str], L: int, H: int,
                     block: int | None = None) -> DataFrame:
     """Window i: ``past`` = rows i..i+L-1, ``future`` = rows i+L..i+L+H-1, all channels in
     both, plus ``past_observed`` (not NULL) masks; ``n-L-H+1`` windows per series.
-    Non-numeric channels and infinite values raise."""
+    Non-numeric channels and infinite values raise; NULLs, and a series with fewer than 50 windows,
+    give a warning."""
     keys = keys_of(key)
     bad = [c for c in channels if not isinstance(df.schema[c].dataType, T.NumericType)]
     if bad:
         raise ValueError(f"non-numeric channels: {bad}")
-    wild = [F.count_if(F.abs(q(c).cast("double")) == float("inf")) for c in channels]
-    if any(df.agg(*wild).first()):
+    known = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.abs(q(c).cast("double")) == float("inf")).alias(f"w{i}") for i, c in enumerate(channels)],
+                                  *[F.count_if(q(c).isNull()).alias(f"z{i}") for i, c in enumerate(channels)])
+    found = known.agg(F.min("n").alias("n"), *[F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "wz" for i in range(len(channels))]).first()
+    if any(found[f"w{i}"] for i in range(len(channels))):
         raise ValueError("channels hold infinite values")
+    empty = [c for i, c in enumerate(channels) if found[f"z{i}"]]
+    if empty:
+        warnings.warn(f"channels hold NULLs, which past_observed marks: {empty}", stacklevel=2)
+    least = max(0, (found["n"] or 0) - L - H + 1)
+    if least < FEW_WINDOWS:
+        warnings.warn(f"{least} windows of the shortest series; {FEW_WINDOWS} or more are advised", stacklevel=2)
     x = assign_row_id(df, list(order_cols), key=keys, row_id="_rid", with_count="_n")
     reach = L + H - 1
 
