@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+def size_of(setting: str) -> int:
+    """Bytes of a size setting such as ``8388608``, ``64m`` or ``1gb``."""
+    number, unit = re.fullmatch(r"\s*([0-9]+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(number) << 10 * ("kmgtp".index(unit[0]) + 1 if unit.strip("b") else 0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to ``BATCH_BYTES``, so that a task's memory does not
-    grow with the length of documents; a smaller setting stays."""
+    grow with the length of documents; a smaller setting stays. It is not raised again, as the
+    operators' tables are read later."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+    if size_of(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
