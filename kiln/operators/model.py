@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import q
+from kiln.operators.boosting import BoostedTrees, fit_boosted
+from kiln.operators.perceptron import Perceptron, fit_perceptron
 from kiln.operators.factors import Factor, Model, least_squares, partial_factors, solve_factors
 from kiln.operators.order import add_lag_columns, assign_row_id, attach_row, join_small, keys_of
 
@@ -92,16 +94,22 @@ def parse_hidden(hidden) -> list[int]:
 
 
 def fit_mlp(df: DataFrame, features: Sequence[str], label: str, hidden=(100,), max_iter: int = 200,
-            step_size: float = 0.03, seed: int = 42, activation: str = "logistic", solver: str = "l-bfgs") -> PipelineModel:
-    """Multilayer perceptron: layers [d, *hidden, k]; sigmoid hidden units only."""
+            step_size: float | None = None, seed: int = 42, activation: str = "logistic", solver: str = "l-bfgs",
+            **training) -> PipelineModel | Perceptron:
+    """Multilayer perceptron: layers [d, *hidden, k]. Adam and SGD train any activation by
+    minibatches (``operators.perceptron``, which takes ``training``); l-bfgs and gd are Spark's, with
+    sigmoid hidden units."""
+    if solver in ("adam", "sgd"):
+        return fit_perceptron(df, features, label, parse_hidden(hidden), "logistic" if activation == "sigmoid" else activation, solver,
+                              int(max_iter), 0.001 if step_size is None else step_size, seed=seed, **training)
     if activation not in ("logistic", "sigmoid"):
-        raise ValueError(f"activation {activation!r} not available (sigmoid hidden units only)")
-    if solver not in ("l-bfgs", "lbfgs", "gd"):
-        raise ValueError(f"solver {solver!r} not available (l-bfgs or gd)")
+        raise ValueError(f"activation {activation!r} not available with solver {solver!r} (adam or sgd)")
+    if solver not in ("l-bfgs", "lbfgs", "gd") or training:
+        raise ValueError(f"solver {solver!r} not available (adam, sgd, l-bfgs or gd)" if not training else f"{sorted(training)} belong to adam and sgd")
     k = _n_classes(df, label)
     layers = [len(features), *parse_hidden(hidden), k]
     mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol="_label", layers=layers, maxIter=max_iter,
-                                         stepSize=step_size, seed=seed, solver="gd" if solver == "gd" else "l-bfgs")
+                                         stepSize=0.03 if step_size is None else step_size, seed=seed, solver="gd" if solver == "gd" else "l-bfgs")
     return _fit(features, mlp, _label(df, label))
 
 
@@ -143,12 +151,15 @@ def fit_gbt_forecaster(df: DataFrame, features: Sequence[str], label: str, learn
 
 # ----------------------------------------------------------------------------- M5
 def feature_importance(model: PipelineModel, names: Sequence[str], top: int = 20):
-    """(feature, importance) sorted descending, first ``top``; from the tree stage."""
-    stage = model.stages[-1]
-    imp = getattr(stage, "featureImportances", None)
-    if imp is None:
-        raise ValueError("model has no feature importances")
-    vals = imp.toArray().tolist()
+    """(feature, importance) sorted descending, first ``top``; from the tree stage, or the gains of
+    boosted trees."""
+    if isinstance(model, BoostedTrees):
+        vals = model.importances()
+    else:
+        imp = getattr(model.stages[-1], "featureImportances", None)
+        if imp is None:
+            raise ValueError("model has no feature importances")
+        vals = imp.toArray().tolist()
     rows = sorted(zip(names, vals), key=lambda t: (-t[1], t[0]))[:top]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
@@ -159,17 +170,28 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None
     out = model.transform(df)
     cols = [q(c) for c in (keep if keep is not None else df.columns)]
     extra = [F.col("prediction").cast("double").alias("prediction")]
-    if "probability" in out.columns:
+    if isinstance(model, (BoostedTrees, Perceptron)):
+        extra.append(F.col("probability"))
+    elif "probability" in out.columns:
         extra.append(vector_to_array("probability").alias("probability"))
     return out.select(*cols, *extra)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel | BoostedTrees | Perceptron, path: str) -> None:
+    if isinstance(model, (BoostedTrees, Perceptron)):
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(type(model).__name__, model.to_json())], "kind string, model string").coalesce(1).write.mode("overwrite").json(path)
+        return
     model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | BoostedTrees | Perceptron:
+    spark = SparkSession.getActiveSession()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path, "metadata")  # Spark ML's own layout
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    row = spark.read.schema("kind string, model string").json(path).first()
+    return {c.__name__: c for c in (BoostedTrees, Perceptron)}[row["kind"]].from_json(row["model"])
 
 
 # ----------------------------------------------------------------------------- M15
