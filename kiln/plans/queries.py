@@ -1613,7 +1613,7 @@ def q_g18k(spark: SparkSession, sf: str) -> DataFrame:
     return assoc.ks_normal_test(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
-from kiln.operators import model, tune  # noqa: E402
+from kiln.operators import boosting, model, tune  # noqa: E402
 
 _CL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
 
@@ -1662,6 +1662,108 @@ def q_m3m(spark: SparkSession, sf: str) -> DataFrame:
     return model.score(m, li, keep=["l_orderkey", "l_linenumber", "l_returnflag"])
 
 
+@register("m1_logistic_optimality", """
+SELECT unnest(['intercept', 'l_extendedprice', 'l_discount', 'l_tax']) AS term, 0.0::DOUBLE AS gradient
+""")
+def q_m1_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The penalised loss is flat where the fit ends: its gradient by term, over all training rows."""
+    z = profile.standardize(_classification_table(spark, sf), _CL_FEATURES).filter("split = 'train'")
+    m = model.fit_logistic(z, _CL_FEATURES, "label", C=0.5, tol=1e-12)
+    s = model.score(m, z, keep=["label", *_CL_FEATURES])
+    miss, weights = F.element_at("probability", 2) - F.col("label"), m.stages[-1].coefficients.toArray().tolist()
+    slopes = [("intercept", F.avg(miss))] + [(c, F.avg(miss * F.col(c)) + F.lit(w / 0.5) / F.count("*")) for c, w in zip(_CL_FEATURES, weights)]
+    one = s.agg(F.array(*[F.struct(F.lit(n).alias("term"), (F.round(g, 5) + 0.0).alias("gradient")) for n, g in slopes]).alias("g"))
+    return one.select(F.inline("g"))
+
+
+@register("m2_mlp_relu_adam")
+def q_m2_adam(spark: SparkSession, sf: str) -> DataFrame:
+    t = _classification_table(spark, sf)
+    z = profile.standardize(t, _CL_FEATURES)
+    m = model.fit_mlp(z.filter("split = 'train'"), _CL_FEATURES, "label", hidden="8,4", activation="relu", solver="adam", max_iter=4,
+                      step_size=0.02, batches=4)
+    return _prob1(model.score(m, z))
+
+
+def _sum_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem with three classes by quantity and discount."""
+    total = F.col("l_quantity").cast("double") + 100 * F.col("l_discount").cast("double")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", *_CL_FEATURES,
+                                               F.when(total <= 20.5, 0).when(total <= 35.5, 1).otherwise(2).alias("label"))
+
+
+@register("m3_softmax_round", """
+WITH li AS (
+  SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_discount AS DOUBLE) AS x1, CAST(l_tax AS DOUBLE) AS x2,
+         CASE WHEN CAST(l_quantity AS DOUBLE) + 100 * CAST(l_discount AS DOUBLE) <= 20.5 THEN 0
+              WHEN CAST(l_quantity AS DOUBLE) + 100 * CAST(l_discount AS DOUBLE) <= 35.5 THEN 1 ELSE 2 END AS y
+  FROM lineitem),
+counts AS (
+  SELECT f, x, y, count(*) AS n FROM (SELECT 0 AS f, x0 AS x, y FROM li UNION ALL SELECT 1, x1, y FROM li UNION ALL SELECT 2, x2, y FROM li)
+  GROUP BY ALL),
+sums AS (
+  SELECT cls, f, x, sum(n * round(((1.0::DOUBLE / 3) - CASE WHEN y = cls THEN 1 ELSE 0 END) * 16777216)) / 16777216 AS g,
+         sum(n) * round(4.0::DOUBLE / 9 * 16777216) / 16777216 AS h
+  FROM counts, (SELECT unnest([0, 1, 2]) AS cls) GROUP BY ALL),
+upto AS (
+  SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY cls, f) AS tg, sum(h) OVER (PARTITION BY cls, f) AS th
+  FROM sums WINDOW w AS (PARTITION BY cls, f ORDER BY x)),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY cls ORDER BY
+           gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1) DESC, f, x) AS place
+  FROM upto WHERE hl >= 1 AND th - hl >= 1),
+leaves AS (  -- a row of lineitem has no key of its own, so the three splits are laid beside each row
+  SELECT list(f ORDER BY cls) AS f, list(x ORDER BY cls) AS x, list(-gl / (hl + 1) ORDER BY cls) AS below,
+         list(-(tg - gl) / (th - hl + 1) ORDER BY cls) AS above
+  FROM best WHERE place = 1),
+scored AS (
+  SELECT l_orderkey, l_linenumber,
+         [exp(CASE WHEN [x0, x1, x2][f[i] + 1] <= x[i] THEN below[i] ELSE above[i] END) FOR i IN [1, 2, 3]] AS e
+  FROM li, leaves)
+SELECT l_orderkey, l_linenumber, round(e[1] / (e[1] + e[2] + e[3]), 6) AS prob_0,
+       round(e[2] / (e[1] + e[2] + e[3]), 6) AS prob_1, round(e[3] / (e[1] + e[2] + e[3]), 6) AS prob_2
+FROM scored
+""")
+def q_m3_round(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of softmax boosting with a single split per class, which SQL can follow."""
+    t = _sum_classes(spark, sf)
+    m = boosting.fit_boosted(t, ["l_quantity", "l_discount", "l_tax"], "label", learning_rate=1.0, n_trees=1, max_depth=1)
+    s = model.score(m, t, keep=["l_orderkey", "l_linenumber"])
+    return s.select("l_orderkey", "l_linenumber", *[r6(F.element_at("probability", i + 1)).alias(f"prob_{i}") for i in range(3)])
+
+
+@register("m3_softmax_boosting")
+def q_m3_softmax(spark: SparkSession, sf: str) -> DataFrame:
+    t = split.stratified_split(_sum_classes(spark, sf), "label", (0.7, 0.15, 0.15), id_cols=["l_orderkey", "l_linenumber"])
+    m = boosting.fit_boosted(t.filter("split != 'test'").withColumn("is_val", F.col("split") == "val"), ["l_quantity", *_CL_FEATURES], "label",
+                             n_trees=4, max_depth=3, subsample=0.8, colsample=0.8, validation_col="is_val")
+    return model.score(m, t, keep=["l_orderkey", "l_linenumber", "label", "split"])
+
+
+@register("m3_boosting_watched_loss", "SELECT 0.0::DOUBLE AS loss_error, 1.0::DOUBLE AS importance_total, true AS falls")
+def q_m3_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """The loss that training watched is that of the scores on the validation rows."""
+    t = _classification_table(spark, sf).withColumn("is_val", F.col("split") == "val")
+    m = boosting.fit_boosted(t.filter("split != 'test'"), _CL_FEATURES, "label", n_trees=3, max_depth=2, validation_col="is_val")
+    val = model.score(m, t.filter("is_val"), keep=["label"])
+    loss = F.avg(-F.log(F.element_at("probability", F.col("label") + 1)))
+    return val.agg((F.round(loss - F.lit(m.losses[m.n_rounds]), 5) + 0.0).alias("loss_error"),
+                   F.round(F.lit(sum(m.importances())), 9).alias("importance_total"), F.lit(m.losses[m.n_rounds] < m.losses[0]).alias("falls"))
+
+
+@register("m14_reloaded_scores", "SELECT count(*) AS n, CAST(0 AS BIGINT) AS differing FROM lineitem")
+def q_m14(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored and reloaded model scores every row as the fitted one."""
+    t, keys = _classification_table(spark, sf), ["l_orderkey", "l_linenumber"]
+    m = model.fit_logistic(t.filter("split = 'train'"), _CL_FEATURES, "label", max_iter=20)
+    path = files.scratch_path(spark, "m14-model")
+    model.save_model(m, path)
+    first = model.score(m, t, keep=[*keys, *_CL_FEATURES]).withColumnsRenamed({"prediction": "p1", "probability": "q1"})
+    both = model.score(model.load_model(path), first)
+    same = F.col("prediction").eqNullSafe(F.col("p1")) & F.col("probability").eqNullSafe(F.col("q1"))
+    return both.agg(F.count("*").alias("n"), F.count_if(~same).alias("differing"))
+
+
 def _lagged_daily(spark: SparkSession, sf: str, n_lags: int = 3) -> DataFrame:
     d = daily_rounded(spark, sf)
     d = encode.add_lags(d, ["total"], n_lags, order_cols=["day"], key="event_type")

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators import clean, encode, model, profile, split, tune
+from kiln.operators import boosting, clean, encode, model, profile, split, tune
 
 # The keys of recorded parameters, and what they are here.
 CLEANING_KEYS = {"eliminar_duplicados": "remove_duplicates", "filtrar_outliers": "remove_outliers",
@@ -48,6 +48,8 @@ HYPER = {
     "ar": {"p": "p", "d": "d", "P": "P", "D": "D", "Q": "Q", "s": "s", "q": "ma", "trend": "trend"},
 }
 HYPER["gbt_forecast"] = HYPER["gbt"]
+# What a record leaves out.
+DEFAULTS = {"mlp": {"hidden": "4", "activation": "relu", "solver": "adam", "max_iter": 200}}
 # The grids that a recorded grid search without lists of its own goes through.
 GRIDS = {
     "logistic": {"C": [0.1, 1, 10, 100], "max_iter": [100, 200], "solver": ["lbfgs", "liblinear"]},
@@ -194,7 +196,11 @@ def _train(res: ReplayResult, tr: dict, fit: bool, id_cols: Sequence[str], order
             space, draws = _random_space(tr, kind)
             res.best, res.model, res.search = tune.accuracy_search(fitted, space, draws, past, val, target)
         else:
-            res.model = run(past, feats, target, **params)
+            if kind == "gbt":  # watched by the validation part, as recorded
+                seen = res.splits.filter("split != 'test'").withColumn("_watch", F.col("split") == "val")
+                res.model = boosting.fit_boosted(seen, feats, target, validation_col="_watch", **params)
+            else:
+                res.model = run(past, feats, target, **DEFAULTS.get(kind, {}) | params)
 
 
 def _named(kind: str, given: dict) -> dict:

@@ -247,3 +247,22 @@ def test_replay_of_classifier_searches(spark):
     random = {"hyperparameter_search_strategy": "random", "random_search": {"use_random_search": True, "n_random_iterations": 3, "random_search_params": ranges}}
     got = replay.replay_steps(df, {"steps": [clean, step | random]}, id_cols=["id"])
     assert len(got.search) == 3 and 1 <= got.best["C"] <= 10 and got.model is not None
+
+
+def test_replay_of_default_perceptron_and_watched_boosting(spark):
+    from kiln.operators.boosting import BoostedTrees
+    from kiln.operators.perceptron import Perceptron
+    from kiln.plans import replay
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(x), int((x > 0.5) + 0) + int(x > -0.5)) for i, x in enumerate(rng.normal(size=200))], "id long, x double, label int")
+    clean = {"step": "data_cleaning", "parameters": {"eliminar_duplicados": False, "filtrar_outliers": False, "relleno_valores_numericos": "dejar"}}
+    step = {"input_features": ["x"], "target_variable": "label", "split_ratios": [0.6, 0.2, 0.2]}
+    # a record that names neither activation nor solver is one of relu and adam
+    got = replay.replay_steps(df, {"steps": [clean, step | {"step": "train_mlp_model", "hyperparameters": {"maxIter": 2}}]}, id_cols=["id"])
+    assert isinstance(got.model, Perceptron) and got.model.activation == "relu" and got.model.sizes == [1, 4, 3] and len(got.model.losses) == 2
+    trees = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.5}
+    got = replay.replay_steps(df, {"steps": [clean, step | {"step": "train_xgboost", "hyperparameters": trees}]}, id_cols=["id"])
+    assert isinstance(got.model, BoostedTrees) and got.model.n_classes == 3 and len(got.model.losses) == 4
+    test = model.score(got.model, got.splits.filter("split = 'test'"))
+    assert test.filter("prediction = label").count() / test.count() > 0.9
