@@ -124,15 +124,10 @@ _ARFF_CELL = (r"(?:^|,)[ \t]*+('[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"
 _ARFF_ESCAPES = [("n", "\n"), ("r", "\r"), ("t", "\t")]
 
 
-def _arff_attribute(line: str) -> tuple[str, T.DataType]:
-    body = line.split(None, 1)[1].strip()
-    if body[:1] in "'\"":
-        end = body.index(body[0], 1)
-        name, kind = body[1:end], body[end + 1:]
-    else:
-        name, kind = body.split(None, 1)
-    number = kind.strip().lower() in ("numeric", "real", "integer")
-    return name, T.DoubleType() if number else T.StringType()
+# The name (quoted with either quote, or bare) and the kind that an attribute line declares.
+_ARFF_ATTRIBUTE = r"^\S+\s+(?:'([^']*)'|\"([^\"]*)\"|(\S+))\s*(.*)$"
+# The kinds of number columns.
+_ARFF_NUMBERS = ("numeric", "real", "integer")
 
 
 def _arff_text(cell):
@@ -152,34 +147,34 @@ def scan_arff(spark: SparkSession, path: str) -> DataFrame:
     -> double, nominal and string -> string) and every later line that is not blank is a row,
     whatever it begins with; ``?`` is missing, cells may be quoted with either quote. Files may
     declare their columns in different orders: rows are matched by name, and a column that a
-    file lacks is NULL. Lines are sorted out in parallel; only header lines reach the driver."""
+    file lacks is NULL. Every file's layout is a row that its lines are joined with; the driver sees
+    the distinct columns only, however many files there are."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("f"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("o"),
         F.regexp_replace("value", "\r$", "").alias("l"))
     begins = lines.filter(F.lower(F.trim("l")) == "@data").groupBy("f").agg(F.min("o").alias("at"))
     heads = lines.join(begins, "f").filter((F.col("o") < F.col("at")) & F.lower(F.trim("l")).startswith("@attribute"))
-    layouts: dict[str, list[tuple[str, T.DataType]]] = {}
-    for r in heads.select("f", "o", F.trim("l").alias("l")).orderBy("f", "o").collect():
-        layouts.setdefault(r["f"], []).append(_arff_attribute(r["l"]))
-    rows = lines.join(begins, "f").filter((F.col("o") > F.col("at")) & (F.trim("l") != ""))
-    rows = rows.select("f", F.regexp_extract_all("l", F.lit(_ARFF_CELL), F.lit(1)).alias("c"))
-    kinds = dict(f for layout in layouts.values() for f in layout)
-    by_layout: dict[tuple, list[str]] = {}
-    for f, layout in layouts.items():
-        by_layout.setdefault(tuple(n for n, _ in layout), []).append(f)
+    part = lambda i: F.regexp_extract(F.trim("l"), _ARFF_ATTRIBUTE, i)
+    heads = heads.select("f", "o", F.concat(part(1), part(2), part(3)).alias("name"),
+                         F.lower(F.trim(part(4))).isin(*_ARFF_NUMBERS).alias("number"))
+    place = F.struct("f", "o")  # columns in order of first appearance; the last declaration gives the kind
+    kinds = heads.groupBy("name").agg(F.min(place).alias("first"), F.max_by("number", place).alias("number")).orderBy("first").collect()
+    names = F.transform(F.array_sort(F.collect_list(F.struct("o", "name"))), lambda x: x["name"])
+    layouts = heads.groupBy("f").agg(names.alias("names")).select(
+        "f", F.array(*[F.array_position("names", F.lit(k["name"])) for k in kinds]).alias("places"))
+    rows = lines.join(begins.join(layouts, "f", "left"), "f").filter((F.col("o") > F.col("at")) & (F.trim("l") != ""))
+    rows = rows.select("places", F.regexp_extract_all("l", F.lit(_ARFF_CELL), F.lit(1)).alias("c"))
     out = []
-    for name, kind in kinds.items():
-        cell = F.lit(None).cast("string")
-        for names, files in by_layout.items():
-            if name in names:
-                cell = F.when(F.col("f").isin(files), _arff_text(F.get("c", F.lit(names.index(name))))).otherwise(cell)
-        out.append((cell.try_cast("double") if isinstance(kind, T.DoubleType) else cell).alias(name))
+    for i, k in enumerate(kinds):
+        cell = _arff_text(F.get("c", F.get("places", F.lit(i)).cast("int") - 1))
+        out.append((cell.try_cast("double") if k["number"] else cell).alias(k["name"]))
     return rows.select(*out)
 
 
 def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
     """Write a table as ARFF part files, each with its own header; text is quoted and escaped
-    where it needs to be, so any text comes back."""
+    where it needs to be, so any text comes back. One more part holds a header alone, so a table
+    without rows comes back too."""
     head = [f"@relation {relation}"]
     for f in df.schema.fields:
         kind = "numeric" if isinstance(f.dataType, T.NumericType) else "string"
@@ -200,7 +195,8 @@ def write_arff(df: DataFrame, path: str, relation: str = "data") -> None:
     body = df.select(row.alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     first = F.col("i") == F.shiftleft(F.col("p").cast("bigint"), 33)
     lines = F.when(first, F.array(*[F.lit(h) for h in head], F.col("value"))).otherwise(F.array("value"))
-    body.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)
+    alone = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.array(*[F.lit(h) for h in head])).alias("value"))
+    body.select(F.explode(lines).alias("value")).union(alone).write.mode("overwrite").text(path)
 
 
 # ----------------------------------------------------------------------------- S4 / S5

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from kiln.sources import files
 
@@ -103,3 +104,21 @@ def test_arff_any_text_comes_back(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
     files.write_arff(df, str(tmp_path / "t"))
     assert {r.i: r.t for r in files.scan_arff(spark, str(tmp_path / "t")).collect()} == dict(enumerate(texts))
+
+
+def test_arff_many_files_and_no_rows(spark, tmp_path):
+    df = spark.range(200).select(F.col("id").cast("double").alias("n"), F.concat(F.lit("t "), "id").alias("my text"))
+    files.write_arff(df.repartition(40), str(tmp_path / "many"))
+    got = files.scan_arff(spark, str(tmp_path / "many"))
+    assert got.dtypes == df.dtypes and sorted(got.collect()) == sorted(df.collect())
+    files.write_arff(df.filter("n < 0"), str(tmp_path / "none"))
+    got = files.scan_arff(spark, str(tmp_path / "none"))
+    assert got.dtypes == df.dtypes and got.count() == 0
+
+
+def test_arff_columns_of_one_name_and_none(spark, tmp_path):
+    (tmp_path / "a.arff").write_text("@relation t\n@attribute \"it's\" REAL \n@attribute x string\n@attribute x string\n@data\n1,u,v\n")
+    (tmp_path / "b.arff").write_text("@relation t\n@data\n3\n")
+    got = files.scan_arff(spark, str(tmp_path))
+    assert got.columns == ["it's", "x"]
+    assert sorted(((r["it's"], r.x) for r in got.collect()), key=str) == [(1.0, "u"), (None, None)]
