@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kiln.llm.bpe import Model, bpe_decode, bpe_encode, bpe_round_trip, load, sufficient_lookahead
+from kiln.llm.bpe import SEGMENT_CHARS, Model, bpe_decode, bpe_encode, bpe_round_trip, load, sufficient_lookahead
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -90,3 +90,15 @@ def test_tables(messy, rows, empty, library):
         want.append((str(r[0]), hashlib.sha256(str(ids).encode()).hexdigest(), library.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
     assert bpe_decode(bpe_encode(empty, PATH), PATH).collect() == []
+
+
+def test_texts_beyond_one_segment(spark, model, library):
+    rng = random.Random(9)
+    prose = " ".join(rng.choice(["the", "It's", "Straße", "naïve", "1234", "…", "가각", "<|endoftext|>", "a-b"]) for _ in range(60_000))
+    unbroken = "".join(rng.choice("etaoin") for _ in range(SEGMENT_CHARS * 2 + 77))
+    lines = "\n".join("x" * 997 for _ in range(200))
+    texts = [prose, unbroken + " tail " + prose[:SEGMENT_CHARS], lines, " " * (SEGMENT_CHARS * 2), prose[:SEGMENT_CHARS], prose[: SEGMENT_CHARS + 1]]
+    assert len(prose) > 4 * SEGMENT_CHARS
+    for t in texts:
+        _same(model, library, t)
+    assert model.encode_batch(texts, at_once=2) == [library.encode(t, add_special_tokens=False).ids for t in texts]

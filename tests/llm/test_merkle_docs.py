@@ -1,11 +1,13 @@
 """Fingerprints: equality, likeness, located edits, the next row."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from kiln.llm.merkle_docs import edit_likeness, edits, tree
+from kiln.llm.merkle_docs import LEAF, edit_likeness, edits, tree
 
 
 def _expected(rows):
@@ -68,3 +70,49 @@ def test_null_and_far_ids(spark, ids):
         want.append((i, len(t), hashlib.sha256((t[:len(t) - h] + rows[(k + 1) % len(rows)][1][:h]).encode()).hexdigest()))
     got = edit_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(str, ((r.doc_id, r.n_chars, r.edited_sha256) for r in got))) == sorted(map(str, want))
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _plain_tree(text):
+    """The root and the set of the other nodes, by plain loops."""
+    below, sections = set(), []
+    for section in text.split("\n\n"):
+        paragraphs = []
+        for paragraph in section.split("\n"):
+            leaves = [_sha(x) for x in re.findall(LEAF, paragraph, re.ASCII)]
+            assert "".join(re.findall(LEAF, paragraph, re.ASCII)) == paragraph
+            paragraphs.append(_sha("p" + "".join(leaves)))
+            below |= {*leaves, paragraphs[-1]}
+        sections.append(_sha("s" + "".join(paragraphs)))
+        below.add(sections[-1])
+    return _sha("r" + "".join(sections)), below
+
+
+def _plain_likeness(a, b):
+    return 1.0 if a[0] == b[0] else 2 * len(a[1] & b[1]) / (len(a[1]) + len(b[1]) + 2)
+
+
+def _held_against_plain_trees(docs, pairs):
+    want = {}
+    for i, n, sha, text, edited, nxt in _expected(pairs):
+        t, e, x = _plain_tree(text), _plain_tree(edited), _plain_tree(nxt)
+        want.setdefault((i, n, sha), set()).add((t[0], e[0], round(_plain_likeness(t, e), 12), round(_plain_likeness(t, x), 12), len(t[1])))
+    got = edit_likeness(docs).collect()
+    assert len(got) == len(pairs)
+    for r in got:
+        assert (r.fingerprint, r.edited_fingerprint, round(r.near_edited, 12), round(r.near_next, 12), r.n_nodes) in want[r.doc_id, r.n_chars, r.edited_sha256]
+
+
+def test_every_row_against_plain_trees(messy, rows):
+    _held_against_plain_trees(messy, [(r[0], r[1]) for r in rows])
+
+
+def test_very_long_texts_against_plain_trees(spark):
+    rng = random.Random(11)
+    words = [rng.choice(["é", "word", "longer", "x" * 70, "tab\t", "  "]) + rng.choice(["", "", "", "\n", "\n\n", "\n\n\n"]) for _ in range(150_000)]
+    pairs = [(1, " ".join(words)), (2, "y" * 400_000), (3, " " * 200_000), (4, "\n" * 5_000), (5, "short")]
+    assert len(pairs[0][1]) > 1_000_000
+    _held_against_plain_trees(spark.createDataFrame(pairs, "doc_id long, text string").repartition(2), pairs)

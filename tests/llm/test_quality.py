@@ -4,6 +4,8 @@ import random
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 
 from kiln.llm.quality import Settings, classify, features, ftrl, passed
 
@@ -86,3 +88,64 @@ def test_bounded_sample(spark):
     docs, labels, truth = _corpus(spark, 400)
     got = classify(docs, labels, s=Settings(bits=14, shards=3, max_train=150)).collect()
     assert len(got) == 400 and np.mean([(r.score >= 0.5) == (truth[r.doc_id] == 1) for r in got]) > 0.85
+
+
+def _plain_weights(examples, labels, s):
+    """The passes coordinate by coordinate; ``examples`` are {coordinate: value} with the bias at -1."""
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= s.l1:
+            return 0.0
+        sign = 1.0 if z[k] > 0 else -1.0
+        return -(z[k] - sign * s.l1) / ((s.beta + n[k] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for x, y in zip(examples, labels):
+            w = {k: weight(k) for k in x}
+            dot = sum(w[k] * v for k, v in x.items())
+            p = 1.0 / (1.0 + np.exp(-max(-35.0, min(35.0, dot))))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / s.alpha * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    return {k: weight(k) for k in z}
+
+
+def _plain_example(text, s):
+    at = features([text], s.bits)[0].tolist()
+    return {**{k: at.count(k) / len(at) * s.scale for k in set(at)}, -1: 1.0}
+
+
+def test_scores_against_plain_loops(spark):
+    """Sample, shards, passes, average and dot products once more, without arrays."""
+    docs, labels, truth = _corpus(spark, 150)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = []
+    for i, text in texts.items():
+        if zlib.crc32(str(i).encode()) % 5:
+            h = xxhash.xxh64_intdigest(str(i).encode(), seed=42)
+            rows.append((h - (1 << 64) if h >> 63 else h, truth[i], text))
+    rows.sort()
+    total, shards = {}, sorted({(h >> 8) % S.shards for h, _, _ in rows})
+    for shard in shards:
+        mine = [r for r in rows if (r[0] >> 8) % S.shards == shard]
+        for k, w in _plain_weights([_plain_example(t, S) for _, _, t in mine], [y for _, y, _ in mine], S).items():
+            total[k] = total.get(k, 0.0) + w / len(shards)
+    got = {r.doc_id: r.score for r in classify(docs, labels, s=S).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        dot = sum(total.get(k, 0.0) * v for k, v in _plain_example(text, S).items())
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-dot)), abs=1e-5)
+
+
+def test_a_very_long_text_scores_as_a_short_one(spark):
+    """Shares of n-grams, not their numbers, make the score; no part of the text is left out."""
+    docs, labels, _ = _corpus(spark, 200)
+    block = "abc de fgh bad cab ace beg had hag fed"
+    tail = " ".join(["!!!###$$$ AAA"] * 100_000)
+    more = spark.createDataFrame([(10_000, " ".join([block] * 50)), (10_001, " ".join([block] * 50_000)),
+                                  (10_002, " ".join([block] * 20_000) + " " + tail), (10_003, "z" * 2_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in classify(docs.union(more), labels, s=S).collect() if r.doc_id >= 10_000}
+    assert len(got) == 4 and got[10_000] == pytest.approx(got[10_001], abs=0.01)
+    assert got[10_002] < got[10_001]  # what the end of the text adds is seen
