@@ -212,10 +212,11 @@ def famd(df: DataFrame, num: Sequence[str], cat: Sequence[str], k: int = 2, keep
 
 
 def explained(model, names: Sequence[str] | None = None):
-    """(component, variance_ratio, cumulative) from a fitted PCA model."""
+    """(component, variance_ratio, cumulative) from a fitted PCA model or wide factor axes."""
     from pyspark.sql import SparkSession
 
-    ev = [float(v) for v in model.explainedVariance.toArray()]
+    shares = model.explainedVariance
+    ev = [float(v) for v in (shares.toArray() if hasattr(shares, "toArray") else shares)]
     rows, cum = [], 0.0
     for i, v in enumerate(ev):
         cum += v

@@ -1613,7 +1613,7 @@ def q_g18k(spark: SparkSession, sf: str) -> DataFrame:
     return assoc.ks_normal_test(table(spark, sf, "lineitem"), "l_extendedprice")
 
 
-from kiln.operators import boosting, model, tune  # noqa: E402
+from kiln.operators import boosting, model, tune, wide_factors  # noqa: E402
 
 _CL_FEATURES = ["l_extendedprice", "l_discount", "l_tax"]
 
@@ -2341,6 +2341,27 @@ def q_g15(spark: SparkSession, sf: str) -> DataFrame:
     return coords
 
 
+@register("g15_famd_wide")
+def q_g15_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part and supplier is a category."""
+    coords, _ = wide_factors.famd_wide(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_partkey", "l_suppkey"],
+                                       k=2, keep=["l_orderkey", "l_linenumber"], tol=1e-6, max_rounds=8)
+    return coords
+
+
+@register("g15_famd_wide_two_sides", """
+SELECT l_orderkey, l_linenumber, round(abs(a + sign(r) * b) / sqrt(2.0::DOUBLE), 5) AS first, round(abs(a - sign(r) * b) / sqrt(2.0::DOUBLE), 5) AS second
+FROM (SELECT l_orderkey, l_linenumber, (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem) AS a,
+             ((l_linestatus = 'F')::INT - p) / sqrt(p * (1 - p)) AS b
+      FROM lineitem, (SELECT avg((l_linestatus = 'F')::INT) AS p FROM lineitem)),
+     (SELECT corr(l_quantity, (l_linestatus = 'F')::INT) AS r FROM lineitem)
+""")
+def q_g15_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """The two indicators of a two-valued column are one standardised column; the axes are diagonals."""
+    coords, _ = wide_factors.famd_wide(table(spark, sf, "lineitem"), ["l_quantity"], ["l_linestatus"], k=2, keep=["l_orderkey", "l_linenumber"])
+    return coords.select("l_orderkey", "l_linenumber", F.round(F.abs(F.col("coords")[0]), 5).alias("first"), F.round(F.abs(F.col("coords")[1]), 5).alias("second"))
+
+
 @register("g16_pca")
 def q_g16(spark: SparkSession, sf: str) -> DataFrame:
     coords, _ = profile.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
