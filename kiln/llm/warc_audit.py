@@ -8,11 +8,13 @@ follows. Two replicas whose roots agree are equal. Otherwise the audit descends
 level by level, only into ranges whose digests differ, to the records that are changed, missing
 or extra, and states where in the WARC files of the first replica they stand.
 
-A range is grouped by its place, so no group has more than 16 children; a key that occurs very
-often is one leaf, aggregated without gathering its copies.
+A range is grouped by its place, so no group has more than 16 children. A key that occurs several
+times is one leaf: the root of a tree over its distinct digests and their numbers of copies, whose
+nodes are ranges of digests with about 16 children, however many records the key has.
 
 Defined results: a NULL key is the key -1; equal keys make one leaf, which does not depend on
-their order; a NULL url or payload is an empty one; an empty replica has the root of no records.
+their order; a NULL url, payload or record is an empty one; an empty replica has the root of no
+records.
 """
 
 from __future__ import annotations
@@ -43,11 +45,25 @@ def records(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
 
 def leaves(replica: DataFrame) -> DataFrame:
     """One row per key of (key, record): place, digest, length."""
-    r = replica.select(F.coalesce("key", F.lit(-1)).alias("place"), F.sha2("record", 256).alias("d"), F.octet_length("record").cast("long").alias("n"))
-    many = r.groupBy("place").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d"), F.max("d").alias("d2"), F.sum("n").alias("length"),
-                                  F.bit_xor(F.xxhash64("d")).alias("x"), F.sum(F.shiftright(F.xxhash64("d"), 24)).alias("s"))
-    alone = F.when(F.col("c") == 1, F.col("d")).otherwise(F.sha2(F.concat_ws(",", "c", "d", "d2", "x", "s"), 256))
-    return many.select("place", alone.alias("digest"), "length")
+    record = F.coalesce("record", F.lit(""))
+    r = replica.select(F.coalesce("key", F.lit(-1)).alias("place"), F.sha2(record, 256).alias("d"), F.octet_length(record).cast("long").alias("n"))
+    r = stored(r.groupBy("place", "d").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")), "warc-digests")
+    kinds = r.groupBy("place").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1 << FAN_BITS)
+    most = kinds.agg(F.max("k")).first()[0] or 0
+    # so many hexadecimal digits of a digest make ranges of about 16; by the key's own number, so
+    # that its leaf does not depend on other keys
+    digits = F.ceil((F.length(F.bin(F.col("k") - 1)) - FAN_BITS) / FAN_BITS).cast("int")
+    r = r.join(kinds.select("place", digits.alias("digits")), "place", "left") if most else r.withColumn("digits", F.lit(0))
+    r = r.select("place", F.left("d", F.coalesce("digits", F.lit(0))).alias("range"), F.col("c").alias("copies"), "d", "n")
+    for k in range((-(-((most - 1).bit_length() - FAN_BITS) // FAN_BITS)) if most else 0, -1, -1):
+        due = F.length("range") == k  # the others wait for their level
+        r = r.groupBy("place", "range", F.when(~due, F.col("d")).alias("waits")).agg(
+            F.sort_array(F.collect_list(F.struct("d", "copies"))).alias("c"), F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        whole = F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["d"], x["copies"])), ","), 256)
+        one = F.when(F.col("copies") == 1, F.col("c")[0]["d"]).otherwise(whole)  # one record is its own digest
+        r = r.select("place", F.when(F.col("waits").isNull(), F.left("range", F.lit(max(k - 1, 0)))).otherwise(F.col("range")).alias("range"),
+                     "copies", "n", F.coalesce("waits", one).alias("d"))
+    return r.select("place", F.col("d").alias("digest"), F.col("n").alias("length"))
 
 
 def parents(level: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import hashlib
 
-from kiln.llm.warc_audit import Tree, audit, located, records
+from kiln.llm.warc_audit import Tree, audit, leaves, located, records
 
 
 def _pages(spark, ids):
@@ -47,3 +47,41 @@ def test_only_differing_branches_are_read(spark):
     other = Tree(a.selectExpr("key", "if(key = 1234, 'x', record) as record"))
     for x, y in zip(one.levels, other.levels):
         assert x.join(y, ["place", "digest"]).count() == x.count() - 1
+
+
+def _plain_leaf(records):
+    """The digest of one key's records, by plain loops."""
+    copies = {}
+    for x in records:
+        d = hashlib.sha256(x.encode()).hexdigest()
+        copies[d] = copies.get(d, 0) + 1
+    digits = max(0, -(-((len(copies) - 1).bit_length() - 4) // 4)) if len(copies) > 16 else 0
+
+    def node(prefix, found):
+        if sum(c for _, c in found) == 1:
+            return found[0][0]
+        if len(prefix) < digits:
+            parts = [(h, [x for x in found if x[0].startswith(prefix + h)]) for h in "0123456789abcdef"]
+            found = [(node(prefix + h, part), sum(c for _, c in part)) for h, part in parts if part]
+        return hashlib.sha256(",".join(f"{d}:{c}" for d, c in sorted(found)).encode()).hexdigest()
+
+    return node("", sorted(copies.items()))
+
+
+def test_repeated_keys_against_plain_loops(spark):
+    held = {1: ["a"], 2: ["a", "a"], 3: ["a", "b"], 4: [f"r{i}" for i in range(17)], 5: [f"s{i % 900}" for i in range(1000)], 6: [""] * 3,
+            None: [f"t{i}" for i in range(5000)]}
+    rows = [(k, x) for k, v in held.items() for x in v]
+    got = {r.place: (r.digest, r.length) for r in leaves(spark.createDataFrame(rows, "key long, record string").repartition(6)).collect()}
+    assert got == {-1 if k is None else k: (_plain_leaf(v), sum(map(len, v))) for k, v in held.items()}
+    # a key's leaf does not depend on the other keys of its replica
+    few = [r for r in rows if r[0] is not None]
+    assert {r.place: r.digest for r in leaves(spark.createDataFrame(few, "key long, record string")).collect()} == {
+        k: d for k, (d, _) in got.items() if k != -1}
+
+
+def test_null_records_and_lost_copies(spark):
+    a = spark.createDataFrame([(1, None), (2, "x"), (2, "y"), (2, "y"), (3, "z")], "key long, record string")
+    assert audit(a, a.repartition(3)).collect() == []
+    b = spark.createDataFrame([(1, ""), (2, "x"), (2, "x"), (2, "y"), (3, None)], "key long, record string")
+    assert {(r.key, r.status) for r in audit(a, b).collect()} == {(2, "changed"), (3, "changed")}
