@@ -2,8 +2,8 @@
 
 Everything is computed from grouped counts or sums: contingency tables for categorical
 pairs, value-rank tables for rank measures (average ranks from prefix sums over distinct
-values, never a global row window), and the Kendall pair counts from running sums by bit of the
-value ranks (no pair of rows or cells is ever materialised).
+values, never a global row window), and the Kendall pair counts from radix counts of the value
+ranks (no pair of rows or cells is ever materialised).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from kiln.functions.exprs import q
 from kiln.functions.quantiles import exact_quantiles
 from kiln.functions.special import chi2_upper, f_upper, normal_two_sided, t_two_sided
-from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum
+from kiln.operators.inversions import inversions
+from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum, written
 
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
@@ -116,32 +117,21 @@ def kendall_tau(df: DataFrame, a: str, b: str) -> DataFrame:
     """Kendall tau-b for columns of any number of distinct values, without pairs of rows.
 
     Cells (x, y) are put in order of x, then y; a pair is discordant when the later cell has
-    the smaller y, which happens at exactly one bit of the y ranks: the bits above agree and
-    this one falls from 1 to 0. So every cell is dealt to one group per bit (the bits above),
-    and a running sum of the counts with the bit set gives the discordant partners of the
-    cells without it. Groups of any size are cut in blocks by the order layer. Ties come from
-    the margins, concordant pairs from the total."""
-    cells = df.filter(q(a).isNotNull() & q(b).isNotNull()).groupBy(
-        q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    ys = assign_row_id(cells.select("y").distinct(), ["y"], row_id="_ry")
-    levels = max(1, int(ys.agg(F.max("_ry")).first()[0] or 0).bit_length())
+    the smaller y, an inversion of the y ranks (``operators.inversions``: a copy of a cell per
+    byte of the ranks, streamed through tables of 256 counts). Ties come from the margins,
+    concordant pairs from the total."""
+    cells = written(df.filter(q(a).isNotNull() & q(b).isNotNull()).groupBy(
+        q(a).cast("double").alias("x"), q(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("c")), "cells")
+    ys = assign_row_id(cells.groupBy("y").agg(F.sum("c").alias("t")), ["y"], row_id="_ry")
+    tied = F.sum(F.col("t") * (F.col("t") - 1) / 2)
     c = F.col("c")
-
-    def ties(col: str) -> DataFrame:
-        t = cells.groupBy(col).agg(F.sum("c").alias("t"))
-        return t.agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("v"))
-
     tot = cells.agg(F.sum("c").alias("n"), F.sum(c * (c - 1) / 2).alias("both")).first()
-    n1, n2 = ties("x").first()[0] or 0.0, ties("y").first()[0] or 0.0
+    n1 = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(tied).first()[0] or 0.0
+    of_y = ys.agg(tied.alias("v"), F.count(F.lit(1)).alias("k")).first()
+    n2 = of_y["v"] or 0.0
     n0 = float(tot["n"] or 0) * (float(tot["n"] or 0) - 1) / 2
-    dealt = join_small(cells, ys, ["y"]).withColumn("_lvl", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    bit = F.expr("shiftright(_ry, _lvl) & 1")
-    dealt = dealt.select("x", "y", "c", "_lvl", F.expr("shiftright(_ry, _lvl + 1)").alias("_above"), bit.alias("_bit"),
-                         F.when(bit == 1, c).otherwise(0).alias("_one"))
-    keys = ["_lvl", "_above"]
-    dealt = assign_row_id(dealt, ["x", "y"], key=keys, row_id="_rid")
-    dealt = running_sum(dealt, keys, "_rid", "_one", "_cum")
-    disc = dealt.agg(F.coalesce(F.sum(F.when(F.col("_bit") == 0, c * F.col("_cum"))), F.lit(0)).cast("double").alias("D"))
+    ranked = join_small(cells, ys.select("y", "_ry"), ["y"])
+    disc = inversions(ranked, ["x", "y"], "_ry", "c", of_y["k"]).select(F.col("inversions").cast("double").alias("D"))
     conc = F.lit(n0 - n1 - n2 + float(tot["both"] or 0.0)) - F.col("D")
     den = math.sqrt((n0 - n1) * (n0 - n2))
     tau = (conc - F.col("D")) / F.lit(den) if den > 0 else F.lit(None).cast("double")
