@@ -17,6 +17,13 @@ block of ``window // 2`` words (blocks start at every multiple of that width). S
 
 No pair of documents is ever formed: work and traffic are linear in the words.
 
+Buckets and chunks both grow with the data, so a chunk must not hand a row to every bucket. Up to
+``FAN`` buckets it does; beyond, hashes are dealt twice. A chunk hands rows to about sqrt(buckets)
+ranges of hashes; as many chunks form a group, whose sections of one range are merged and cut into
+the buckets of that range; the answers go back the same way. A chunk hands over, and a group passes
+on for each of its chunks, about sqrt(buckets) rows: 2400 of them at 100 TB, where one level would
+take 5.5 million.
+
 Defined results: NULL or empty text has no words; a text of fewer than ``window`` words keeps
 all; a NULL doc_id ranks before all others; rows that share a doc_id are separate documents
 of which neither is earlier. Words are compared as bytes.
@@ -25,6 +32,7 @@ of which neither is earlier. Words are compared as bytes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +47,8 @@ from kiln.llm.shared import bounded_batches, buckets_for, partitions, scratch, s
 CHUNK_BYTES = 4 << 20
 #: Windows in one hash bucket, on average; a bucket is one task's group.
 BUCKET_WINDOWS = 3_000_000
+#: Rows a chunk may hand over, one a bucket; with more buckets hashes are dealt in two levels.
+FAN = 256
 #: Bits of the block hash that travel; a false hit only costs an extra candidate.
 ANCHOR_BITS = 48
 NO_ID = -(1 << 63)
@@ -68,13 +78,12 @@ def _pack(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Re
         yield flush()
 
 
-def _limits(n_buckets: int, bits: int) -> np.ndarray:
-    return np.array([k * (1 << bits) // n_buckets for k in range(1, n_buckets)], dtype=tx.U64)
-
-
-def _cuts(values: np.ndarray, n_buckets: int, bits: int) -> np.ndarray:
-    """Where the buckets begin and end in an ascending list of hashes."""
-    return np.concatenate([[0], np.searchsorted(values, _limits(n_buckets, bits)), [len(values)]])
+def _cuts(values: np.ndarray, n_buckets: int, bits: int, parts: int = 1, part: int = 0) -> np.ndarray:
+    """Where the buckets begin and end in an ascending list of hashes; with ``parts``, the buckets of
+    one range of ``parts`` that the hashes lie in, each range holding ``n_buckets``."""
+    total, first = n_buckets * parts, n_buckets * part
+    limits = np.array([(first + k) * (1 << bits) // total for k in range(1, n_buckets)], dtype=tx.U64)
+    return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]])
 
 
 def _marked(answers, cut: np.ndarray) -> np.ndarray:
@@ -211,6 +220,128 @@ def _earlier(pdf):
     return _answer(pdf, late, n)
 
 
+class _Merged:
+    """The sections that a group's chunks handed to one range, as one list without repeats."""
+
+    def __init__(self, pdf, fine: int, ranges: int, bits: int, keys: list[np.ndarray]):
+        self.n = [int.from_bytes(x[:8], "little") for x in pdf["hashes"]]  # as pack_sorted wrote them
+        self.order = np.lexsort(keys[::-1])
+        self.size = len(keys[0])
+        new = np.zeros(self.size, dtype=bool)
+        new[:1] = True
+        for k in keys:
+            s = k[self.order]
+            new[1:] |= s[1:] != s[:-1]
+        self.new = np.flatnonzero(new)
+        self.count = np.diff(self.new, append=self.size)
+        self.value = keys[0][self.order][self.new]
+        self.cut = _cuts(self.value, fine, bits, ranges, int(pdf["bucket"].iloc[0]))
+
+    def rows(self, pdf, fine: int):
+        """The buckets that have hashes, as (bucket, from, to)."""
+        first = int(pdf["bucket"].iloc[0]) * fine
+        return [(first + k, i, j) for k, (i, j) in enumerate(zip(self.cut[:-1], self.cut[1:])) if j > i]
+
+    def marked(self, answers) -> np.ndarray:
+        """The buckets' answers, a bit for each hash of the merged list."""
+        out = np.zeros(len(self.value), dtype=bool)
+        for k, mask in zip(answers["fine"], answers["mask"]):
+            i, j = self.cut[k], self.cut[k + 1]
+            out[i:j] = np.unpackbits(np.frombuffer(mask, np.uint8), count=j - i)
+        return out
+
+    def spread(self, per_value: np.ndarray) -> np.ndarray:
+        """A value of each merged hash, handed to the rows it stands for."""
+        out = np.empty(self.size, dtype=per_value.dtype)
+        out[self.order] = np.repeat(per_value, self.count)
+        return out
+
+
+def _bits(column, n: list[int]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(column, n)])
+
+
+def _merge_anchors(pdf, fine: int, ranges: int) -> _Merged:
+    return _Merged(pdf, fine, ranges, ANCHOR_BITS, [np.concatenate([tx.unpack_sorted(x) for x in pdf["hashes"]])])
+
+
+def _gather_anchors(pdf, fine: int, ranges: int):
+    """The sections of a group as rows for the buckets: the marks of a hash are joined, and a hash
+    of two chunks is one that repeats."""
+    import pandas as pd
+
+    m = _merge_anchors(pdf, fine, ranges)
+    block = np.maximum.reduceat(_bits(pdf["block"], m.n)[m.order], m.new)
+    many = np.maximum.reduceat(_bits(pdf["many"], m.n)[m.order], m.new) | (m.count > 1)
+    return pd.DataFrame([(k, int(pdf["grp"].iloc[0]), tx.pack_sorted(m.value[i:j]), np.packbits(block[i:j]).tobytes(),
+                          np.packbits(many[i:j]).tobytes()) for k, i, j in m.rows(pdf, fine)],
+                        columns=["bucket", "chunk", "hashes", "block", "many"])
+
+
+def _spread_anchors(pdf, answers, fine: int, ranges: int):
+    """The buckets' answers to a group, as answers to its chunks."""
+    if not len(answers) or not len(pdf):
+        return _no_answer()
+    m = _merge_anchors(pdf, fine, ranges)
+    return _answer(pdf, m.spread(m.marked(answers)), m.n)
+
+
+def _merge_windows(pdf, fine: int, ranges: int) -> tuple[_Merged, np.ndarray]:
+    """The merged windows, and the doc_id of every row of the sections."""
+    h = np.concatenate([tx.unpack_sorted(x) for x in pdf["hashes"]])
+    o = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["other"]])
+    m = _Merged(pdf, fine, ranges, 64, [h, o])
+    return m, np.concatenate([tx.unpack_planes(x, k).astype(np.int64) + b for x, b, k in zip(pdf["docs"], pdf["base"], m.n)])
+
+
+def _gather_windows(pdf, fine: int, ranges: int):
+    """The sections of a group as rows for the buckets, with the group's smallest doc_ids."""
+    import pandas as pd
+
+    m, doc = _merge_windows(pdf, fine, ranges)
+    o = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["other"]])[m.order][m.new].astype("<u4")
+    d = np.minimum.reduceat(doc[m.order], m.new)
+    rows = []
+    for k, i, j in m.rows(pdf, fine):
+        base = int(d[i:j].min())
+        rows.append((k, int(pdf["grp"].iloc[0]), tx.pack_sorted(m.value[i:j]), o[i:j].tobytes(), base,
+                     tx.pack_planes((d[i:j] - base).astype("<u8"))))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "hashes", "other", "base", "docs"])
+
+
+def _spread_windows(pdf, answers, fine: int, ranges: int):
+    """A window of a chunk is late if the group's is, or if another chunk of the group has it earlier."""
+    if not len(pdf):
+        return _no_answer()
+    m, doc = _merge_windows(pdf, fine, ranges)
+    late = doc > m.spread(np.minimum.reduceat(doc[m.order], m.new))
+    if len(answers):
+        late |= m.spread(m.marked(answers))
+    return _answer(pdf, late, m.n)
+
+
+def _no_answer():
+    import pandas as pd
+
+    return pd.DataFrame({"chunk": np.zeros(0, np.int64), "bucket": np.zeros(0, np.int64), "mask": np.zeros(0, object)})
+
+
+_ANSWER = "chunk long, bucket long, mask binary"
+
+
+def _answered(rows: DataFrame, judge, gather, spread, ranges: int, fine: int, groups: int) -> DataFrame:
+    """(chunk, bucket, mask): the answers of the buckets to the rows (bucket, chunk, ..) that chunks
+    handed to ``ranges`` ranges of hashes; with ``fine`` > 1 each range is that many buckets."""
+    if fine == 1:
+        return rows.groupBy("bucket").applyInPandas(judge, _ANSWER)
+    grouped = rows.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    merged = grouped.groupBy("bucket", "grp").applyInPandas(lambda pdf: gather(pdf, fine, ranges), rows.schema)
+    answers = merged.groupBy("bucket").applyInPandas(judge, _ANSWER).select(
+        F.expr(f"bucket div {fine}").alias("bucket"), F.col("chunk").alias("grp"), F.expr(f"bucket % {fine}").alias("fine"), "mask")
+    return grouped.groupBy("bucket", "grp").cogroup(answers.groupBy("bucket", "grp")).applyInPandas(
+        lambda pdf, a: spread(pdf, a, fine, ranges), _ANSWER)
+
+
 def _removed(batches, width: int, window: int, n_buckets: int, with_text: bool):
     """Per document: the maximal repeats that go, and what is kept."""
     for batch in batches:
@@ -244,10 +375,20 @@ _OUT = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "k
         "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "kept_text": pa.string()}
 
 
+def _levels(buckets: int, chunks: int, fan: int) -> tuple[int, int, int]:
+    """(ranges a chunk deals to, buckets a range is cut into, groups of chunks)."""
+    if buckets <= fan:
+        return buckets, 1, 1
+    ranges = math.ceil(math.sqrt(buckets))
+    return ranges, math.ceil(buckets / ranges), max(1, chunks // ranges)
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
-                    with_text: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                    with_text: bool = True, chunk_bytes: int = CHUNK_BYTES,
+                    bucket_windows: int = BUCKET_WINDOWS, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, spans (word ranges, end
-    exclusive, one per maximal repeat) and kept_text (NULL unless ``with_text``)."""
+    exclusive, one per maximal repeat) and kept_text (NULL unless ``with_text``). ``chunk_bytes``,
+    ``bucket_windows`` and ``fan`` size the work and leave the result as it is."""
     if window < 2:
         raise ValueError("window must be 2 words or more")
     spark, width = docs.sparkSession, window // 2
@@ -260,12 +401,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
          .write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "substring-chunks"))
          .bucketBy(n, "chunk").saveAsTable(table))
     chunks = spark.table(table)
-    size = chunks.agg(F.sum("n_words")).first()[0] or 0
-    k = buckets_for(size // 3, BUCKET_WINDOWS, n)
+    size = chunks.agg(F.sum("n_words"), F.count(F.lit(1))).first()
+    k, fine, groups = _levels(buckets_for((size[0] or 0) // 3, bucket_windows, n), size[1], fan)
 
     anchors = chunks.select("chunk", "texts").mapInArrow(
         lambda it: _anchors(it, width, k), "bucket long, chunk long, hashes binary, block binary, many binary")
-    shared = (anchors.groupBy("bucket").applyInPandas(_shared_anchors, "chunk long, bucket long, mask binary")
+    shared = (_answered(anchors, _shared_anchors, _gather_anchors, _spread_anchors, k, fine, groups)
               .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias("hits")))
     shared = stored(shared, "substring-hits")
 
@@ -275,7 +416,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows = with_hits(["chunk", "ids", "texts", "hits"]).mapInArrow(
         lambda it: _windows(it, width, window, k),
         "bucket long, chunk long, hashes binary, other binary, base long, docs binary")
-    late = (windows.groupBy("bucket").applyInPandas(_earlier, "chunk long, bucket long, mask binary")
+    late = (_answered(windows, _earlier, _gather_windows, _spread_windows, k, fine, groups)
             .groupBy("chunk").agg(F.collect_list(F.struct("bucket", "mask")).alias("late")))
     return (with_hits(["chunk", "ids", "texts", "hits"]).join(late.hint("shuffle_hash"), "chunk", "left")
             .select("chunk", "ids", "texts", "hits", "late")

@@ -3,6 +3,9 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
+from kiln.llm import substring_dedup as module
 from kiln.llm.substring_dedup import substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,3 +60,42 @@ def test_many_copies_are_linear(spark):
 
 def test_empty(empty):
     assert substring_dedup(empty).collect() == []
+
+
+def test_two_levels_of_dealing(messy, rows, empty):
+    """Chunks of a row or two, buckets of a few windows: the hashes are dealt twice."""
+    plain = [(r[0], r[1]) for r in rows]
+    for window, fan in ((7, 4), (20, 1)):
+        got = substring_dedup(messy, window=window, chunk_bytes=200, bucket_windows=20, fan=fan)
+        assert _got(got) == brute(plain, window)
+    assert substring_dedup(empty, fan=1).collect() == []
+
+
+def test_rows_handed_over_stay_bounded(spark, monkeypatch):
+    """No chunk hands a row to every bucket, and no group a row of every chunk."""
+    seen = []
+    answered = module._answered
+
+    def watched(rows, *rest):
+        seen.append((rows, rest[3:]))
+        return answered(rows, *rest)
+
+    monkeypatch.setattr(module, "_answered", watched)
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.expr(
+        "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', pmod(hash(id div 2, i), 500))))").alias("text"))
+    got = substring_dedup(texts, chunk_bytes=1000, bucket_windows=100, fan=8)
+    assert sorted(r.n_removed for r in got.collect()) == [0] * 200 + [60] * 200
+    assert len(seen) == 2
+    for rows, (ranges, fine, groups) in seen:
+        assert fine > 1 and ranges <= 20 and fine <= 20 and groups > 1
+        assert rows.groupBy("chunk").count().agg(F.max("count")).first()[0] <= ranges
+        gathered = rows.withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(groups))).groupBy("bucket", "grp")
+        assert gathered.count().agg(F.max("count")).first()[0] < rows.select("chunk").distinct().count()
+
+
+def test_levels():
+    assert module._levels(256, 10, 256) == (256, 1, 1)
+    for buckets, chunks in ((257, 1000), (5_500_000, 25_000_000)):
+        ranges, fine, groups = module._levels(buckets, chunks, 256)
+        assert ranges * fine >= buckets and max(ranges, fine) <= buckets ** 0.5 + 1
+        assert groups >= 1 and chunks / groups <= 2 * ranges
