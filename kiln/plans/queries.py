@@ -753,7 +753,7 @@ def q_e9(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # =============================================================================== splits and windows
-from kiln.operators import split, windows  # noqa: E402
+from kiln.operators import split, window_fit, windows  # noqa: E402
 
 
 @register("p1_validate_columns", """
@@ -872,6 +872,45 @@ def q_p6(spark: SparkSession, sf: str) -> DataFrame:
                                    key="event_type")
 
 
+@register("p5_sequence_blocks", """
+WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS rid,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM events),
+b AS (SELECT DISTINCT event_type, n, (rid // 64) * 64 AS first FROM r WHERE rid <= n - 9),
+w AS (SELECT *, least(64, n - 8 - first) AS m FROM b)
+SELECT w.event_type, w.first, CAST(w.m AS INTEGER) AS n_windows, CAST(w.m + 7 AS INTEGER) AS n_steps,
+       max(CASE WHEN r.rid = w.first THEN r.value END) AS first_step, max(CASE WHEN r.rid = w.first + w.m + 6 THEN r.value END) AS last_step,
+       max(CASE WHEN r.rid = w.first + w.m + 7 THEN r.value END) AS last_target
+FROM w JOIN r ON r.event_type = w.event_type AND r.rid BETWEEN w.first AND w.first + w.m + 7
+GROUP BY 1, 2, 3, 4""")
+def q_p5b(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored form of the windows: 64 starts a block, each block's rows once."""
+    ev = table(spark, sf, "events")
+    b = windows.sequence_blocks(ev, ["value"], "value", L=8, h=1, order_cols=["ts", "event_id"], key="event_type", block=64)
+    return b.select("event_type", "first", "n_windows", F.size("x").alias("n_steps"), F.get(F.get("x", F.lit(0)), F.lit(0)).alias("first_step"),
+                    F.element_at(F.element_at("x", -1), 1).alias("last_step"), F.element_at("y", -1).alias("last_target"))
+
+
+@register("p5_window_regression", """
+WITH r AS (SELECT event_type, value AS x, lead(value, 3) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y FROM events)
+SELECT event_type, CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_intercept(y, x), 6) AS const, round(regr_slope(y, x), 6) AS slope
+FROM r GROUP BY event_type""")
+def q_p5r(spark: SparkSession, sf: str) -> DataFrame:
+    """A direct forecaster three steps ahead, trained on the blocks."""
+    ev = table(spark, sf, "events")
+    b = windows.sequence_blocks(ev, ["value"], "value", L=1, h=3, order_cols=["ts", "event_id"], key="event_type")
+    fit = window_fit.fit_windows(b, "event_type")
+    return fit.select("event_type", "n", F.round(F.get("coef", F.lit(0)), 6).alias("const"), F.round(F.get("coef", F.lit(1)), 6).alias("slope"))
+
+
+@register("p5_window_forecasts")
+def q_p5f(spark: SparkSession, sf: str) -> DataFrame:
+    """In-sample forecasts of every window of eight steps."""
+    ev = table(spark, sf, "events")
+    b = windows.sequence_blocks(ev, ["value"], "value", L=8, h=1, order_cols=["ts", "event_id"], key="event_type")
+    scored = window_fit.window_forecasts(windows.cut_sequences(b, "event_type"), window_fit.fit_windows(b, "event_type"), "event_type")
+    return scored.select("event_type", "start", "y", F.round("forecast", 6).alias("forecast"))
+
+
 @register("p7_window_split", """
 WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS start,
                   count(*) OVER (PARTITION BY event_type) AS n FROM events),
