@@ -13,7 +13,7 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,26 +141,36 @@ def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = No
     """Numeric missing values: ``mean`` fill (columns with a gap become double),
     ``value`` fill (only when a value is given), ``drop`` rows with any numeric NULL,
     ``keep``; an unknown strategy leaves the columns alone. NaN counts as missing."""
+    out, report, _ = _fill_numeric(df, strategy, value, cols)
+    return out, report
+
+
+def _fill_numeric(df: DataFrame, strategy: str, value, cols: Sequence[str] | None,
+                  also: Sequence[Column] = ()) -> tuple[DataFrame, dict, tuple]:
+    """``fill_numeric``, and the values of further aggregates of ``df`` taken in the same job."""
     num = numeric_columns(df, cols)
     types = {f.name: f.dataType for f in df.schema.fields}
     base = df.select(*[nan_to_null(q(c)).alias(c) if c in num and _float_like(types[c]) else q(c)
                        for c in df.columns])
     report: dict = {}
-    if not num:
-        return base, {"numeric_missing_before": {}}
-    aggs = []
+    if not num and not also:
+        return base, {"numeric_missing_before": {}}, ()
+    aggs = [a.alias(f"x{i}") for i, a in enumerate(also)]
     for i, c in enumerate(num):
         aggs.append(F.count_if(q(c).isNull()).alias(f"m{i}"))
         if strategy in FILL_MEAN:
             aggs.append(F.avg(q(c)).alias(f"a{i}"))
     row = base.agg(*aggs).first()
+    extra = tuple(row[f"x{i}"] for i in range(len(also)))
+    if not num:
+        return base, {"numeric_missing_before": {}}, extra
     missing = {c: int(row[f"m{i}"]) for i, c in enumerate(num)}
     report["numeric_missing_before"] = missing
     if strategy in FILL_DROP:
-        return base.dropna(how="any", subset=num), report
+        return base.dropna(how="any", subset=num), report, extra
     if strategy not in FILL_MEAN and strategy not in FILL_VALUE:  # FILL_KEEP and unknown names
         report["numeric_missing_after"] = dict(missing)
-        return base, report
+        return base, report, extra
     imputations = {}
     fills = {}
     for i, c in enumerate(num):
@@ -180,7 +190,7 @@ def fill_numeric(df: DataFrame, strategy: str = "mean", value: float | None = No
             imputations[c] = {"filled_with": "mean", "missing_count": missing[c], "fill_value": float(mean)}
     report["numeric_imputations"] = imputations
     out = base.select(*[fills[c].alias(c) if c in fills else q(c) for c in base.columns])
-    return out, report
+    return out, report, extra
 
 
 # ----------------------------------------------------------------------------- C11
@@ -274,11 +284,17 @@ def _within_fences(df: DataFrame, c: str, r, k: float):
 # ----------------------------------------------------------------------------- C13
 def drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Drop columns that hold no non-NULL value (one aggregate)."""
+    out, empty, _ = _drop_empty_columns(df)
+    return out, empty
+
+
+def _drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str], int | None]:
+    """``drop_empty_columns``, and the number of rows from the same aggregate (None without columns)."""
     if not df.columns:
-        return df, []
-    row = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+        return df, [], None
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     empty = [c for i, c in enumerate(df.columns) if int(row[f"c{i}"]) == 0]
-    return df.select(*[q(c) for c in df.columns if c not in empty]), empty
+    return df.select(*[q(c) for c in df.columns if c not in empty]), empty, int(row["n"])
 
 
 # ----------------------------------------------------------------------------- C14 (CL flow)
@@ -286,7 +302,8 @@ def clean_table(df: DataFrame, remove_duplicates: bool = True, remove_outliers:
                 numeric_fill: str = "mean", fill_value=None, outlier_method: str = "exact",
                 with_report: bool = True) -> tuple[DataFrame, dict]:
     """The classification cleaning flow in its fixed order: names, trim, blanks, numeric
-    text, duplicates, numeric fill, categorical fill, outliers, empty columns."""
+    text, duplicates, numeric fill, categorical fill, outliers, empty columns. The report's counts
+    come from the aggregates that the steps run anyway; only the initial rows are a job of their own."""
     rep: dict = {}
     if with_report:
         rep["initial_columns"] = list(df.columns)
@@ -296,28 +313,29 @@ def clean_table(df: DataFrame, remove_duplicates: bool = True, remove_outliers:
     x = blank_to_null(x)
     x, rep["converted_to_numeric"] = cast_numeric_columns(x)
     if remove_duplicates:
-        before = x.count() if with_report else None
         # lineage cut after the dedupe shuffle: the fill and IQR aggregates below read the
         # checkpoint instead of re-running the shuffle once per pass
         x = drop_duplicates(x).checkpoint(eager=True)
-        rep["duplicates_removed"] = int(before - x.count()) if with_report else None
-    else:
-        rep["duplicates_removed"] = 0
-    x, r = fill_numeric(x, numeric_fill, fill_value)
+    texts = string_columns(x)
+    also = [F.count(F.lit(1)), *[F.count_if(q(c).isNull()) for c in texts]] if with_report else []
+    x, r, counted = _fill_numeric(x, numeric_fill, fill_value, None, also)
+    rep["duplicates_removed"] = 0 if not remove_duplicates else int(rep["initial_rows"] - counted[0]) if with_report else None
     rep.update(r)
-    if with_report:
+    if with_report and numeric_fill in FILL_DROP:  # rows went after the count
         x, r = fill_categorical(x)
         rep.update(r)
     else:
         x = fill_categorical_df(x)
+        if with_report:
+            rep["categorical_missing_filled"] = {c: int(n) for c, n in zip(texts, counted[1:]) if n}
     if remove_outliers:
         x, r = filter_outliers(x, method=outlier_method, report=with_report)
         rep.update(r)
     else:
         rep["outliers_removed"] = {}
-    x, rep["columns_removed_all_na"] = drop_empty_columns(x)
+    x, rep["columns_removed_all_na"], rows = _drop_empty_columns(x)
     if with_report:
-        rep["final_rows"] = x.count()
+        rep["final_rows"] = rows if rows is not None else rep["initial_rows"]
         rep["final_columns"] = list(x.columns)
     return x, rep
 
@@ -438,6 +456,7 @@ def _date_step(x: DataFrame, name: str, col: str, params: dict) -> tuple[DataFra
     return x, out
 
 
+# Method names as recorded lists of steps spell them.
 KNOWN_METHODS = ("drop_duplicates", "fill_missing_numeric_values", "filter_outliers",
                  "standardize_date_to_utc", "standardize_date_retain_timezone")
 

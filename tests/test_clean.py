@@ -84,3 +84,23 @@ def test_apply_cleaning_spec_ignores_unknown(spark):
     assert sorted((r.s, r.v) for r in x.collect()) == [("a", 1.0), ("b", 9.0)]
     same, _ = clean.apply_cleaning(df, "{not json", mandatory=False)
     assert same.count() == 3
+
+
+def test_report_counts_ride_on_the_steps(spark):
+    """The fused counts are those of the steps run one by one, for every way to fill."""
+    rows = [(i % 40, None if i % 7 == 0 else float(i % 40), None if i % 5 == 0 else " a ", None) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, v double, s string, e string")
+    for how in ("mean", "drop", "keep"):
+        out, rep = clean.clean_table(df, numeric_fill=how)
+        x = clean.drop_duplicates(clean.cast_numeric_columns(clean.blank_to_null(clean.trim_cells(df)))[0])
+        assert (rep["initial_rows"], rep["duplicates_removed"]) == (80, 80 - x.count())
+        x, r = clean.fill_numeric(x, how)
+        assert rep["numeric_missing_before"] == r["numeric_missing_before"]
+        x, r = clean.fill_categorical(x)
+        assert rep["categorical_missing_filled"] == r["categorical_missing_filled"]
+        assert rep["final_rows"] == out.count() == x.count() - sum(rep["outliers_removed"].values())
+        assert rep["final_columns"] == out.columns
+    plain, none = clean.clean_table(df, remove_duplicates=False, with_report=False)
+    assert none["duplicates_removed"] == 0 and plain.count() <= 80
+    empty, rep = clean.clean_table(df.filter("i < 0"))
+    assert (rep["initial_rows"], rep["duplicates_removed"], rep["final_rows"]) == (0, 0, 0)
