@@ -32,6 +32,11 @@ KEYED_SMALL_ROWS = 50_000
 KEYED_MAX_ROWS = 2_000_000
 # Largest small-side row count we broadcast explicitly when a static bound is known.
 BROADCAST_MAX_ROWS = 1_000_000
+# ``look_up``: value tables up to this size are broadcast whole; of larger ones, the values that
+# more than this share of the rows have.
+LOOKUP_MAX_ROWS = 100_000
+HOT_SHARE = 1 / 5_000
+_SALTS = 1 << 16
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -87,6 +92,27 @@ def attach_row(big: DataFrame, one_row: DataFrame) -> DataFrame:
     return big.select("*", *cols)
 
 
+def look_up(big: DataFrame, value: str, known: DataFrame, key: str, rows: str, total: int, out: Sequence[str],
+            whole: int | None = None) -> DataFrame:
+    """``big`` with the columns ``out`` of ``known`` (a stored table with one row per ``key`` and the
+    number of ``big``'s rows that have it) where ``value`` = ``key``, else NULL. Of a table too
+    large to broadcast, the values of more than ``HOT_SHARE`` of the ``total`` rows are (at most
+    1 / HOT_SHARE); their rows, and those of NULL, are dealt at random, so that no value fills a task."""
+    picked, columns = F.struct(*[F.col(c) for c in out]), big.columns
+    if known.count() <= (LOOKUP_MAX_ROWS if whole is None else whole):
+        small = F.broadcast(known.select(F.col(key).alias("__l_v"), picked.alias("__l_o")))
+        return big.join(small, F.col(value) == F.col("__l_v"), "left").select(*columns, *[F.col(f"__l_o.{c}").alias(c) for c in out])
+    hot = F.col(rows) > total * HOT_SHARE
+    x = big.join(F.broadcast(known.filter(hot).select(F.col(key).alias("__l_v"), picked.alias("__l_h"))), F.col(value) == F.col("__l_v"), "left")
+    here = F.col("__l_h").isNull() & F.col(value).isNotNull()
+    spread = lambda c: F.pmod(F.xxhash64(c), F.lit(_SALTS))
+    x = x.select(*columns, "__l_h", F.when(here, F.col(value)).alias("__l_k"),
+                 F.when(here, spread(value)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).alias("__l_s"))
+    rest = known.filter(~hot).select(F.col(key).alias("__l_r"), spread(key).alias("__l_t"), picked.alias("__l_o"))
+    return x.join(rest, (F.col("__l_k") == F.col("__l_r")) & (F.col("__l_s") == F.col("__l_t")), "left").select(
+        *columns, *[F.coalesce(F.col(f"__l_h.{c}"), F.col(f"__l_o.{c}")).alias(c) for c in out])
+
+
 def _partition_count(df: DataFrame, partitions: int | None) -> int:
     if partitions:
         return partitions
