@@ -18,10 +18,10 @@ from kiln.functions.exprs import q
 from kiln.functions.quantiles import exact_quantiles
 from kiln.functions.special import chi2_upper, f_upper, normal_two_sided, t_two_sided
 from kiln.operators.inversions import inversions
-from kiln.operators.order import assign_row_id, join_small, keys_of, running_sum, written
+from kiln.operators.order import assign_row_id, join_small, keys_of, look_up, running_sum, running_sums, written
 
 
-def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
+def _pairs(cols: Sequence) -> list[tuple]:
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
@@ -79,37 +79,35 @@ def rank_table(df: DataFrame, col: str, key=None) -> DataFrame:
     return v.select(*keys, "_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_rank"))
 
 
-def with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Add ``_rank_{c}`` (average rank among the column's non-null values) for every column:
-    the values are unpivoted, ranked and joined once, and pivoted back by a row number."""
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    arr = F.array(*[F.struct(F.lit(i).alias("_col"), q(c).cast("double").alias("_v")) for i, c in enumerate(cols)])
-    u = numbered.select("_row", F.explode(arr).alias("u")).select("_row", "u.*")
-    ranks = rank_table(u.drop("_row"), "_v", key="_col")
-    found = u.join(ranks, ["_col", "_v"], "left")
-    back = found.groupBy("_row").agg(*[F.max(F.when(F.col("_col") == i, F.col("_v"))).alias(c) for i, c in enumerate(cols)],
-                                     *[F.max(F.when(F.col("_col") == i, F.col("_rank"))).alias(f"_rank_{c}") for i, c in enumerate(cols)])
-    return back.drop("_row")
+def _value_ranks(x: DataFrame, beside: Sequence[int]) -> DataFrame:
+    """(col, v, n, r, r{j} ..): of every value of the columns c0.. of ``x`` its rows and average rank,
+    and for each j of ``beside`` its average rank among the rows where c{j} is known."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("v")) for i, c in enumerate(x.columns)]))
+    u = x.select(cells.alias("u"), *[F.col(f"c{j}").isNotNull().alias(f"b{j}") for j in beside]).select("u.*", *[f"b{j}" for j in beside])
+    counts = u.filter("v is not null").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"b{j}")).alias(f"n{j}") for j in beside])
+    placed = assign_row_id(counts, ["v"], key=["col"], row_id="at")
+    of = {"": "n", **{str(j): f"n{j}" for j in beside}}
+    summed = running_sums(placed, ["col"], "at", {f"upto{j}": n for j, n in of.items()})
+    return written(summed.select("col", "v", "n", *[(F.col(f"upto{j}") - F.col(n) + (F.col(n) + 1) / 2.0).alias(f"r{j}") for j, n in of.items()]), "ranks")
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks over the complete rows of each pair. Columns
-    without NULLs share one ranking; a pair with NULLs is ranked on its own complete rows."""
-    x = df.select(*[q(c).cast("double").alias(c) for c in cols])
-    nulls = x.agg(*[F.count_if(q(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    whole = [c for i, c in enumerate(cols) if not nulls[i]]
-    parts = []
-    if len(whole) > 1:
-        r = with_ranks(x, whole).select(*[F.col(f"_rank_{c}").alias(c) for c in whole])
-        parts.append(_pearson_pairs(r, _pairs(whole)))
-    for a, b in _pairs(cols):
-        if a not in whole or b not in whole:
-            r = with_ranks(x.filter(q(a).isNotNull() & q(b).isNotNull()), [a, b])
-            parts.append(_pearson_pairs(r.select(F.col(f"_rank_{a}").alias(a), F.col(f"_rank_{b}").alias(b)), [(a, b)]))
-    tri = parts[0]
-    for p in parts[1:]:
-        tri = tri.unionByName(p)
-    return _matrix(tri, _diagonal(df, cols, "corr"), "corr")
+    """Pearson correlation of average ranks over the complete rows of each pair. The values of all
+    columns are ranked at once, also among the rows where another column is known; then every
+    row looks up its ranks, column by column."""
+    x = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    seen = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in x.columns]).first()
+    beside = [i for i, c in enumerate(x.columns) if seen[c] < seen["n"]]
+    ranks, ranked = _value_ranks(x, beside), x
+    for i, c in enumerate(x.columns):
+        of = ["", *[str(j) for j in beside if j != i]]
+        own = ranks.filter(F.col("col") == i).select("v", "n", *[F.col(f"r{j}").alias(f"{c}|{j}") for j in of])
+        ranked = look_up(ranked, c, own, "v", "n", seen["n"], [f"{c}|{j}" for j in of]).drop(c)
+    pairs = _pairs(range(len(cols)))
+    side = lambda i, j: F.col(f"c{i}|{j if j in beside else ''}")
+    row = ranked.agg(*[_safe_corr(side(i, j), side(j, i)).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
+    arr = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"p{k}").alias("corr")) for k, (i, j) in enumerate(pairs)])
+    return _matrix(row.select(F.explode(arr).alias("r")).select("r.*"), _diagonal(df, cols, "corr"), "corr")
 
 
 # ----------------------------------------------------------------------------- G5
@@ -298,9 +296,9 @@ def anova_f(df: DataFrame, num: str, group: str) -> DataFrame:
 def rank_sums(df: DataFrame, num: str, group: str) -> DataFrame:
     """Per group: n and the sum of average ranks (ranks over all groups together)."""
     x = df.filter(q(group).isNotNull() & q(num).isNotNull()).select(q(group).alias("_g"), q(num).cast("double").alias("_x"))
-    rt = rank_table(x, "_x")
-    j = join_small(x.withColumnRenamed("_x", "_v"), rt, ["_v"])
-    return j.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.sum("_rank").alias("rank_sum"))
+    cells = x.groupBy("_g", F.col("_x").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    j = join_small(cells, rank_table(x, "_x"), ["_v"])
+    return j.groupBy("_g").agg(F.sum("_c").alias("n"), F.sum(F.col("_rank") * F.col("_c")).alias("rank_sum"))
 
 
 def mann_whitney_u(df: DataFrame, num: str, group: str, g1, continuity: bool = True) -> DataFrame:
@@ -343,10 +341,11 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
     the tie correction; p_value two-sided; n = the differences used."""
     d = df.select((q(a).cast("double") - q(b).cast("double")).alias("d")).where("d is not null and d != 0")
     d = d.select(F.col("d"), F.abs("d").alias("_v"))
-    ranked = join_small(d, rank_table(d, "_v"), ["_v"])
+    signs = d.groupBy("_v").agg(F.count_if(F.col("d") > 0).alias("_p"), F.count_if(F.col("d") < 0).alias("_m"), F.count(F.lit(1)).alias("_c"))
+    ranked = join_small(signs, rank_table(d, "_v"), ["_v"])
     tied = float(_tie_sum(d, "_v"))
-    s = ranked.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_rank"))), F.lit(0.0)).alias("plus"),
-                   F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("_rank"))), F.lit(0.0)).alias("minus"), F.count(F.lit(1)).alias("n"))
+    s = ranked.agg(F.coalesce(F.sum(F.col("_rank") * F.col("_p")), F.lit(0.0)).alias("plus"),
+                   F.coalesce(F.sum(F.col("_rank") * F.col("_m")), F.lit(0.0)).alias("minus"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n"))
     n = F.col("n").cast("double")
     w = F.least("plus", "minus")
     z = F.try_divide(w - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.lit(tied) / 48))

@@ -98,15 +98,15 @@ def look_up(big: DataFrame, value: str, known: DataFrame, key: str, rows: str, t
     number of ``big``'s rows that have it) where ``value`` = ``key``, else NULL. Of a table too
     large to broadcast, the values of more than ``HOT_SHARE`` of the ``total`` rows are (at most
     1 / HOT_SHARE); their rows, and those of NULL, are dealt at random, so that no value fills a task."""
-    picked, columns = F.struct(*[F.col(c) for c in out]), big.columns
+    picked, columns, value = F.struct(*[F.col(c) for c in out]), [F.col(f"`{c}`") for c in big.columns], F.col(f"`{value}`")
     if known.count() <= (LOOKUP_MAX_ROWS if whole is None else whole):
         small = F.broadcast(known.select(F.col(key).alias("__l_v"), picked.alias("__l_o")))
-        return big.join(small, F.col(value) == F.col("__l_v"), "left").select(*columns, *[F.col(f"__l_o.{c}").alias(c) for c in out])
+        return big.join(small, value == F.col("__l_v"), "left").select(*columns, *[F.col(f"__l_o.{c}").alias(c) for c in out])
     hot = F.col(rows) > total * HOT_SHARE
-    x = big.join(F.broadcast(known.filter(hot).select(F.col(key).alias("__l_v"), picked.alias("__l_h"))), F.col(value) == F.col("__l_v"), "left")
-    here = F.col("__l_h").isNull() & F.col(value).isNotNull()
+    x = big.join(F.broadcast(known.filter(hot).select(F.col(key).alias("__l_v"), picked.alias("__l_h"))), value == F.col("__l_v"), "left")
+    here = F.col("__l_h").isNull() & value.isNotNull()
     spread = lambda c: F.pmod(F.xxhash64(c), F.lit(_SALTS))
-    x = x.select(*columns, "__l_h", F.when(here, F.col(value)).alias("__l_k"),
+    x = x.select(*columns, "__l_h", F.when(here, value).alias("__l_k"),
                  F.when(here, spread(value)).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).alias("__l_s"))
     rest = known.filter(~hot).select(F.col(key).alias("__l_r"), spread(key).alias("__l_t"), picked.alias("__l_o"))
     return x.join(rest, (F.col("__l_k") == F.col("__l_r")) & (F.col("__l_s") == F.col("__l_t")), "left").select(
@@ -235,19 +235,25 @@ def add_lag_columns(df: DataFrame, key, row_id: str, specs: Sequence[tuple[str,
 def running_sum(df: DataFrame, key, row_id: str, value: str | Column, out: str,
                 block: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (NULL counts as 0) in ``row_id`` order per key."""
+    return running_sums(df, key, row_id, {out: value}, block)
+
+
+def running_sums(df: DataFrame, key, row_id: str, values: dict[str, str | Column], block: int | None = None) -> DataFrame:
+    """``running_sum`` of several values in one pass; ``values`` by the names of their sums."""
     keys = keys_of(key)
     b = block or DEFAULT_BLOCK
-    v = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0))
-    x = df.withColumn("__o_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint")).withColumn("__o_v", v)
+    n = range(len(values))
+    x = df.withColumn("__o_blk", F.floor(F.col(row_id) / F.lit(b)).cast("bigint")).select(
+        "*", *[F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)).alias(f"__o_v{i}") for i, v in enumerate(values.values())])
     w = (Window.partitionBy(*[F.col(k) for k in keys], F.col("__o_blk")).orderBy(row_id)
          .rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("__o_loc", F.sum("__o_v").over(w))
-    totals = x.groupBy(*keys, "__o_blk").agg(F.sum("__o_v").alias("__o_tot"))
+    x = x.select("*", *[F.sum(f"__o_v{i}").over(w).alias(f"__o_loc{i}") for i in n])
+    totals = x.groupBy(*keys, "__o_blk").agg(*[F.sum(f"__o_v{i}").alias(f"__o_tot{i}") for i in n])
     part = [F.col(k) for k in keys] or [F.lit(0)]
     wt = Window.partitionBy(*part).orderBy("__o_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__o_blk", F.coalesce(F.sum("__o_tot").over(wt), F.lit(0)).alias("__o_carry"))
+    carry = totals.select(*keys, "__o_blk", *[F.coalesce(F.sum(f"__o_tot{i}").over(wt), F.lit(0)).alias(f"__o_carry{i}") for i in n])
     y = join_small(x, carry, [*keys, "__o_blk"])
-    return y.withColumn(out, F.col("__o_loc") + F.col("__o_carry")).drop("__o_blk", "__o_v", "__o_loc", "__o_carry")
+    return y.select(*df.columns, *[(F.col(f"__o_loc{i}") + F.col(f"__o_carry{i}")).alias(out) for i, out in enumerate(values)])
 
 
 def forward_fill(df: DataFrame, key, row_id: str, cols: Sequence[str], block: int | None = None) -> DataFrame:

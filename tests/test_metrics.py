@@ -147,3 +147,18 @@ def test_rank_tests_against_definitions(spark):
     rd = ranks(np.abs(d))
     w = assoc.wilcoxon(df, "a", "b").first()
     assert abs(w.statistic - min(rd[d > 0].sum(), rd[d < 0].sum())) < 1e-9 and 0 < w.p_value <= 1 and w.n == len(d)
+
+
+def test_spearman_of_a_hot_value_and_many_others(spark, monkeypatch):
+    """Half the rows share a value; the others are too many to broadcast. No task gets the hot rows."""
+    from kiln.operators import order
+
+    monkeypatch.setattr(order, "LOOKUP_MAX_ROWS", 10)
+    rng = np.random.default_rng(8)
+    x, y = np.where(np.arange(2000) % 2 == 0, 7.0, np.round(rng.normal(size=2000), 2)), rng.normal(size=2000)
+    df = spark.createDataFrame([(float(a), float(b + 0.5 * a)) for a, b in zip(x, y)], "a double, b double")
+    ranks = [np.array([(v < w).sum() + ((v == w).sum() + 1) / 2 for w in v]) for v in (x, y + 0.5 * x)]
+    got = {(r.a, r.b): r.corr for r in assoc.corr_matrix(df, ["a", "b"], "spearman").collect()}
+    assert got[("a", "b")] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
+    plan = assoc.look_up(df, "a", df.groupBy("a").count(), "a", "count", 2000, ["count"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Explode" not in plan and "xxhash64" in plan
