@@ -94,7 +94,8 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy) -> DataFrame:
     if keys:
         ensure_checkpoint_dir(x.sparkSession)
         s1 = s1.checkpoint(eager=True)  # one small row per group, read twice
-        if (s1.agg(F.max("_n")).first()[0] or 0) > limit:
+        groups = s1.agg(F.max("_n").alias("m"), F.count(F.lit(1)).alias("k")).first()
+        if (groups["m"] or 0) > limit:
             return _by_position(x, keys, probs, outs)
     need = F.when(F.col("_n") > 0, F.lit(3.0) / F.col("_n")).otherwise(F.lit(1.0)) + F.lit(base)
     bcols = []
@@ -117,7 +118,7 @@ def _bracketed(x: DataFrame, keys, probs, outs, accuracy) -> DataFrame:
             return _by_position(x, keys, probs, outs)
         j = x.select("*", *[F.lit(brow[f.name]).cast(f.dataType).alias(f.name) for f in b.schema.fields])
     else:
-        j = join_small(x, b, keys)
+        j = join_small(x, b, keys, bound=groups["k"])  # told, or few groups would be few tasks
     inside = [(F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}")) for i in range(len(probs))]
     below = [F.col("_x") < F.col(f"_lo{i}") for i in range(len(probs))]
     some = inside[0]

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from kiln.functions.exprs import numeric_columns, q, string_columns
 from kiln.functions.quantiles import exact_quantiles
 from kiln.operators.metrics import histogram
-from kiln.operators.order import attach_row, join_small, keys_of
+from kiln.operators.order import attach_row, join_small, keys_of, written
 
 
 # ----------------------------------------------------------------------------- G1
@@ -128,7 +128,9 @@ def box_stats(df: DataFrame, num: str, by=None, whisker: float = 1.5, method: st
     keys = keys_of(by)
     x = df.filter(q(num).isNotNull()).select(*[q(k) for k in keys], q(num).cast("double").alias("_x"))
     qs = exact_quantiles(x, "_x", [0.25, 0.5, 0.75], by=keys, method=method)
-    j = join_small(x, qs, keys) if keys else attach_row(x, qs)
+    if keys:
+        qs = written(qs, "boxes")  # counted, or few groups would be few tasks
+    j = join_small(x, qs, keys, bound=qs.count()) if keys else attach_row(x, qs)
     iqr = F.col("q2") - F.col("q0")
     lo = F.col("q0") - whisker * iqr
     hi = F.col("q2") + whisker * iqr
