@@ -162,3 +162,25 @@ def test_spearman_of_a_hot_value_and_many_others(spark, monkeypatch):
     assert got[("a", "b")] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
     plan = assoc.look_up(df, "a", df.groupBy("a").count(), "a", "count", 2000, ["count"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Explode" not in plan and "xxhash64" in plan
+
+
+def test_spearman_ranks_all_pairs_with_missing_values_at_once(spark, monkeypatch):
+    """Each pair is ranked on its own complete rows, by one grouped pass over the values."""
+    rng = np.random.default_rng(9)
+    cols = {c: [None if rng.random() < p else float(v) for v in rng.integers(0, 30, 400)] for c, p in (("a", 0.3), ("b", 0.2), ("d", 0.0))}
+    df = spark.createDataFrame(list(zip(*cols.values(), [1.0] * 400)), "a double, b double, d double, c double")
+    passes, ranked = [], assoc._value_ranks
+    monkeypatch.setattr(assoc, "_value_ranks", lambda *a: passes.append(a) or ranked(*a))
+    got = {(r.a, r.b): r.corr for r in assoc.corr_matrix(df, ["a", "b", "c", "d"], "spearman").collect()}
+    for x, y in itertools.combinations("abd", 2):
+        both = [(u, v) for u, v in zip(cols[x], cols[y]) if u is not None and v is not None]
+        ranks = [[sum(w < v for w in side) + (side.count(v) + 1) / 2 for v in side] for side in zip(*both)]
+        assert got[(x, y)] == got[(y, x)] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
+    assert len(passes) == 1 and got[("a", "c")] is None and got[("c", "c")] is None and got[("b", "b")] == 1.0
+
+
+def test_box_stats_of_few_groups_are_not_dealt_by_group(spark):
+    df = spark.range(1000).selectExpr("id % 2 as g", "cast(id as double) as x")
+    boxes = profile.box_stats(df, "x", by="g")
+    assert "SortMergeJoin" not in boxes._jdf.queryExecution().executedPlan().toString()
+    assert {r.g: (r.n, r.median) for r in boxes.collect()} == {0: (500, 499.0), 1: (500, 500.0)}
