@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Estimator
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from kiln.functions.exprs import portable_hash, q
 from kiln.operators import metrics
 from kiln.operators.factors import partial_factors, solve_factors
 from kiln.operators.model import FIT_FIELDS, Design, fit_ar_grid, fit_row, project_ar, reach_of, with_lag_table
-from kiln.operators.order import assign_row_id, keys_of
+from kiln.operators.order import assign_row_id, keys_of, written
 
 
 # ----------------------------------------------------------------------------- M8
@@ -105,11 +105,28 @@ def grid_search_cv(estimator: Estimator, grid: list[dict], df: DataFrame, label:
     """k-fold cross-validated grid search (folds from the id hash); returns the fitted
     ``CrossValidatorModel`` (``avgMetrics`` per candidate, ``bestModel``)."""
     maps = [{estimator.getParam(k): v for k, v in g.items()} for g in grid] or ParamGridBuilder().build()
-    data = hash_folds(df, id_col, folds, seed).withColumn("_label", q(label).cast("double"))
+    # stored: every fit and score reads the columns it needs, and nothing before them runs again
+    data = written(hash_folds(df, id_col, folds, seed).withColumn("_label", q(label).cast("double")), "folds")
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    for f in range(folds):
+        if not sum(n for of, n in sizes.items() if of != f):
+            raise ValueError(f"The training data at fold {f} is empty.")
+        if not sizes.get(f):
+            raise ValueError(f"The validation data at fold {f} is empty.")
     ev = MulticlassClassificationEvaluator(labelCol="_label", predictionCol="prediction", metricName=metric)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
-    return cv.fit(data)
+
+    def scored(f: int, candidate: dict) -> float:
+        model = estimator.fit(data.filter(F.col("fold") != f), candidate)
+        return float(ev.evaluate(model.transform(data.filter(F.col("fold") == f))))
+
+    jobs = [(f, candidate) for f in range(folds) for candidate in maps]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(maps)))) as pool:
+        scores = list(pool.map(lambda job: scored(*job), jobs))
+    by_candidate = [scores[i:: len(maps)] for i in range(len(maps))]
+    means = [sum(s) / folds for s in by_candidate]
+    spread = [math.sqrt(sum((v - m) ** 2 for v in s) / folds) for s, m in zip(by_candidate, means)]
+    best = max(range(len(maps)), key=lambda i: (means[i] if ev.isLargerBetter() else -means[i], -i))
+    return CrossValidatorModel(estimator.fit(data, maps[best]), means, stdMetrics=spread)
 
 
 def search_cv(fit, grid: list[dict], df: DataFrame, label: str, id_cols: Sequence[str], folds: int = 5, seed: int = 42):
