@@ -40,12 +40,24 @@ def _label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_label", q(label).cast("double"))
 
 
-def _fit(features: Sequence[str], estimator, df: DataFrame) -> PipelineModel:
+#: Rows of a boosting task. It reads them from several cached layers, so that bytes are a multiple.
+TREE_TASK_ROWS = 250_000
+
+
+def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns, dealt to tasks of at most about ``TREE_TASK_ROWS`` rows where there are more."""
+    n, x = df.count(), df.select(*[q(c) for c in columns])
+    return x if n <= TREE_TASK_ROWS else x.repartition(max(-(-n // TREE_TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _fit(features: Sequence[str], estimator, df: DataFrame, spread: bool = False) -> PipelineModel:
     """Assemble once, persist the (features, label) columns for the iterative solver,
     fit, and wrap assembler + model so scoring takes the raw table."""
     from pyspark import StorageLevel
 
     asm = _assembler(features)
+    if spread:
+        df = _spread(df, [*dict.fromkeys(features), "_label", *(["_val"] if "_val" in df.columns else [])])
     keep = [FEATURES, "_label", *(["_val"] if "_val" in df.columns else [])]
     data = asm.transform(df).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -132,7 +144,7 @@ def fit_gbt_classifier(df: DataFrame, features: Sequence[str], label: str, learn
     k = _n_classes(df, label)
     est = gbt if k <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol="_label")
     return _fit(features, est, _label(df, label).withColumn("_val", q(validation_col)) if validation_col
-                else _label(df, label))
+                else _label(df, label), spread=True)
 
 
 def fit_gbt_forecaster(df: DataFrame, features: Sequence[str], label: str, learning_rate: float = 0.1,
@@ -146,7 +158,7 @@ def fit_gbt_forecaster(df: DataFrame, features: Sequence[str], label: str, learn
     x = _label(df, label)
     if validation_col:
         x = x.withColumn("_val", q(validation_col))
-    return _fit(features, GBTRegressor(**params), x)
+    return _fit(features, GBTRegressor(**params), x, spread=True)
 
 
 # ----------------------------------------------------------------------------- M5

@@ -266,3 +266,43 @@ def test_replay_of_default_perceptron_and_watched_boosting(spark):
     assert isinstance(got.model, BoostedTrees) and got.model.n_classes == 3 and len(got.model.losses) == 4
     test = model.score(got.model, got.splits.filter("split = 'test'"))
     assert test.filter("prediction = label").count() / test.count() > 0.9
+
+
+def test_boosting_deals_rows_to_bounded_tasks(spark, monkeypatch):
+    """One partition of all rows becomes as many as the bound asks for, with the rows unchanged."""
+    from kiln.operators import encode, model
+
+    monkeypatch.setattr(model, "TREE_TASK_ROWS", 10)
+    df = spark.range(200).selectExpr("id", "cast(id % 7 as double) as x", "concat('c', id % 3) as y").coalesce(1)
+    coded = encode.label_encode(df, ["y"])
+    assert "SortMergeJoin" not in coded._jdf.queryExecution().executedPlan().toString()  # three values would be three tasks
+    dealt = model._spread(coded, ["x", "y"])
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.rdd.glom().map(len).max() <= 15
+    assert sorted(dealt.collect()) == sorted(coded.select("x", "y").collect())
+    monkeypatch.setattr(model, "TREE_TASK_ROWS", 200)
+    assert model._spread(coded, ["x", "y"]).rdd.getNumPartitions() <= coded.rdd.getNumPartitions()
+
+
+def test_grid_search_prepares_the_rows_once(spark):
+    """What comes before the search runs once, not once per fold; each row is scored in one fold."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from kiln.operators import tune
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).selectExpr("id", "cast(id % 10 as double) as x", "cast(id % 10 > 4 as int) as y")
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.mapInArrow(counted, rows.schema))
+    lr = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=20)
+    found = tune.grid_search_cv(lr, [{"regParam": 10.0}, {"regParam": 1e-4}], data, "y", "id", folds=3, parallelism=2)
+    assert seen.value == 300
+    assert len(found.avgMetrics) == len(found.stdMetrics) == 2 and found.avgMetrics[1] == 1.0
+    assert found.bestModel.getRegParam() == (10.0 if found.avgMetrics[0] == 1.0 else 1e-4)
+    with pytest.raises(ValueError, match="fold .* is empty"):
+        tune.grid_search_cv(lr, [{"regParam": 1.0}], data.limit(1), "y", "id", folds=3)
