@@ -91,15 +91,25 @@ def one_hot_target(df: DataFrame, cols: Sequence[str], max_categories: int | Non
 
 
 # ----------------------------------------------------------------------------- E4
+#: Rows that one task may hold where all share a label; labels of larger tables are looked up.
+TOGETHER_ROWS = 1_000_000
+
+
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """0..k-1 by sorted distinct value (numeric order for numbers); NULL stays NULL. Columns
     of any number of values: the distinct values are numbered by the order layer and looked up
     by the rows, so no value list passes through the driver or the plan, and no value fills a task."""
     out = df
     for n, c in enumerate(c for c in cols if c in df.columns):
-        codes = df.filter(q(c).isNotNull()).groupBy(q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        codes = written(assign_row_id(codes, ["_v"], row_id="_code").select("_v", "_n", F.col("_code").cast("int").alias(f"_code{n}")), "codes")
-        out = look_up(out, c, codes, "_v", "_n", codes.agg(F.sum("_n")).first()[0] or 0, [f"_code{n}"])
+        known = df.filter(q(c).isNotNull())
+        codes = assign_row_id(known.groupBy(q(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), ["_v"], row_id="_code").select(
+            "_v", "_n", F.col("_code").cast("int").alias(f"_code{n}"))
+        total = known.count()
+        if total <= TOGETHER_ROWS:
+            codes = codes.select(F.col("_v").alias(f"_v{n}"), f"_code{n}")
+            out = out.join(codes, q(c) == F.col(f"_v{n}"), "left").drop(f"_v{n}")
+        else:
+            out = look_up(out, c, written(codes, "codes"), "_v", "_n", total, [f"_code{n}"])
     done = {c: f"_code{n}" for n, c in enumerate(c for c in cols if c in df.columns)}
     return out.select(*[F.col(done[c]).alias(c) if c in done else q(c) for c in df.columns])
 

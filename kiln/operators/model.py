@@ -41,7 +41,7 @@ def _label(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows of a boosting task. It reads them from several cached layers, so that bytes are a multiple.
-TREE_TASK_ROWS = 250_000
+TREE_TASK_ROWS = 500_000
 
 
 def _spread(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -272,6 +272,7 @@ def test_boosting_deals_rows_to_bounded_tasks(spark, monkeypatch):
     """One partition of all rows becomes as many as the bound asks for, with the rows unchanged."""
     from kiln.operators import encode, model
 
+    monkeypatch.setattr(encode, "TOGETHER_ROWS", 0)
     monkeypatch.setattr(model, "TREE_TASK_ROWS", 10)
     df = spark.range(200).selectExpr("id", "cast(id % 7 as double) as x", "concat('c', id % 3) as y").coalesce(1)
     coded = encode.label_encode(df, ["y"])
