@@ -11,12 +11,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions.exprs import q
 from kiln.functions.quantiles import exact_quantiles
 from kiln.functions.special import chi2_upper, f_upper, normal_two_sided, t_two_sided
+from kiln.operators import order
 from kiln.operators.inversions import inversions
 from kiln.operators.order import assign_row_id, join_small, keys_of, look_up, running_sum, running_sums, written
 
@@ -79,34 +83,92 @@ def rank_table(df: DataFrame, col: str, key=None) -> DataFrame:
     return v.select(*keys, "_v", (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias("_rank"))
 
 
-def _value_ranks(x: DataFrame, beside: Sequence[int]) -> DataFrame:
-    """(col, v, n, r, r{j} ..): of every value of the columns c0.. of ``x`` its rows and average rank,
-    and for each j of ``beside`` its average rank among the rows where c{j} is known."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("col"), F.col(c).alias("v")) for i, c in enumerate(x.columns)]))
-    u = x.select(cells.alias("u"), *[F.col(f"c{j}").isNotNull().alias(f"b{j}") for j in beside]).select("u.*", *[f"b{j}" for j in beside])
-    counts = u.filter("v is not null").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"b{j}")).alias(f"n{j}") for j in beside])
-    placed = assign_row_id(counts, ["v"], key=["col"], row_id="at")
-    of = {"": "n", **{str(j): f"n{j}" for j in beside}}
-    summed = running_sums(placed, ["col"], "at", {f"upto{j}": n for j, n in of.items()})
-    return written(summed.select("col", "v", "n", *[(F.col(f"upto{j}") - F.col(n) + (F.col(n) + 1) / 2.0).alias(f"r{j}") for j, n in of.items()]), "ranks")
+def _value_ranks(x: DataFrame, cols: Sequence[str], beside: Sequence[str]) -> DataFrame:
+    """(col, v, n, r, n_{c}, r_{c} ..): of every value of the columns ``cols`` of ``x`` its rows and average
+    rank, and for each c of ``beside`` the same among the rows where c is known."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in cols]))
+    u = x.select(cells.alias("u"), *[F.col(c).isNotNull().alias(f"k_{c}") for c in beside]).select("u.*", *[f"k_{c}" for c in beside])
+    counts = u.filter("v is not null").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f"k_{c}")).alias(f"n_{c}") for c in beside])
+    placed = assign_row_id(written(counts, "counts"), ["v"], key=["col"], row_id="at")
+    of = ["", *[f"_{c}" for c in beside]]
+    summed = running_sums(placed, ["col"], "at", {f"upto{s}": f"n{s}" for s in of})
+    return written(summed.select("col", "v", *[f"n{s}" for s in of], *[(F.col(f"upto{s}") - F.col(f"n{s}") + (F.col(f"n{s}") + 1) / 2.0).alias(f"r{s}") for s in of]), "ranks")
+
+
+def _joined(a: tuple, b: tuple) -> tuple:
+    """The (rows, squares of their centred ranks, sum of the other side, its product with the centred
+    ranks) of two runs of values, ``b`` behind ``a``. Ranks of a run are centred on its own mean."""
+    n, m = a[0], b[0]
+    return n + m, a[1] + b[1] + n * m * (n + m) / 4.0, a[2] + b[2], a[3] + b[3] + (n * b[2] - m * a[2]) / 2.0
+
+
+def _rank_products(values: DataFrame, sides: int) -> list[tuple]:
+    """``values`` (v, n0, s0, n1, s1 ..: a row per value) in order of v: for each side the ``_joined`` sums
+    of the n rows of a value at their average rank. Every range partition is read as a stream and
+    leaves one row; those are joined in order."""
+    def run(batches):
+        part, sums = TaskContext.get().partitionId(), [(0, 0.0, 0.0, 0.0)] * sides
+        for batch in batches:
+            for i in range(sides):
+                n, s = (batch.column(2 * i + j).to_numpy().astype(np.float64) for j in range(2))
+                rows = int(n.sum())
+                rank = np.cumsum(n) - n / 2 - rows / 2
+                sums[i] = _joined(sums[i], (rows, float(n @ (rank * rank)), float(s.sum()), float(rank @ s)))
+        for i, of in enumerate(sums):
+            yield pa.RecordBatch.from_pydict(dict(zip(["part", "side", "n", "q", "s", "p"], [[v] for v in (part, i, *of)])),
+                                             pa.schema([("part", pa.int32()), ("side", pa.int32()), ("n", pa.int64()), *[(c, pa.float64()) for c in "qsp"]]))
+
+    ordered = values.repartitionByRange("v").sortWithinPartitions("v").drop("v")
+    out = [(0, 0.0, 0.0, 0.0)] * sides
+    for r in sorted(ordered.mapInArrow(run, "part int, side int, n long, q double, s double, p double").collect()):
+        out[r["side"]] = _joined(out[r["side"]], (r["n"], r["q"], r["s"], r["p"]))
+    return out
+
+
+def _corr_with(ranked: DataFrame, last: str, others: dict[str, str], ranks: DataFrame, beside: Sequence[str], seen) -> dict[str, float | None]:
+    """Correlation of the ranks of ``last``, not looked up, with each of ``others`` (columns, with those of
+    their ranks in ``ranked``): rows are grouped by the value of ``last`` with the sums of the other
+    ranks, and the grouped values alone are put in order."""
+    half = {c: (min(seen[c], seen[last]) + 1) / 2.0 for c in others}  # about the mean: only keeps sums small
+    values = ranked.filter(F.col(last).isNotNull()).groupBy(F.col(last).alias("v")).agg(
+        *[e for i, (c, r) in enumerate(others.items()) for e in (
+            F.count(F.col(r) if c in beside else F.lit(1)).alias(f"n{i}"), F.coalesce(F.sum(F.col(r) - half[c]), F.lit(0.0)).alias(f"s{i}"))])
+    sums = _rank_products(values, len(others))
+    s = f"_{last}" if last in beside else ""
+    row = ranks.agg(*[F.sum(F.when(F.col("col") == c, F.col(f"n{s}") * (F.col(f"r{s}") - (of[0] + 1) / 2.0) ** 2)).alias(c) for c, of in zip(others, sums)]).first()
+    both = {c: math.sqrt(of[1]) * math.sqrt(row[c] or 0.0) for c, of in zip(others, sums)}
+    return {c: max(-1.0, min(1.0, of[3] / both[c])) if both[c] > 0 else None for c, of in zip(others, sums)}
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks over the complete rows of each pair. The values of all
+    """Pearson correlation of average ranks over the complete rows of each pair. The values of the
     columns are ranked at once, also among the rows where another column is known; then every
-    row looks up its ranks, column by column."""
+    row looks up its ranks, column by column. The column of most values, if they are too many to
+    broadcast, is not looked up: its rows are grouped by value (``_corr_with``). Constant columns
+    take no part."""
     x = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
-    seen = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in x.columns]).first()
-    beside = [i for i, c in enumerate(x.columns) if seen[c] < seen["n"]]
-    ranks, ranked = _value_ranks(x, beside), x
-    for i, c in enumerate(x.columns):
-        of = ["", *[str(j) for j in beside if j != i]]
-        own = ranks.filter(F.col("col") == i).select("v", "n", *[F.col(f"r{j}").alias(f"{c}|{j}") for j in of])
-        ranked = look_up(ranked, c, own, "v", "n", seen["n"], [f"{c}|{j}" for j in of]).drop(c)
-    pairs = _pairs(range(len(cols)))
-    side = lambda i, j: F.col(f"c{i}|{j if j in beside else ''}")
-    row = ranked.agg(*[_safe_corr(side(i, j), side(j, i)).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(f"p{k}").alias("corr")) for k, (i, j) in enumerate(pairs)])
+    seen = x.agg(F.count(F.lit(1)).alias("n"), *[e for c in x.columns for e in (
+        F.count(c).alias(c), (F.min(c) < F.max(c)).alias(f"varies_{c}"), F.approx_count_distinct(c).alias(f"values_{c}"))]).first()
+    vary = sorted((c for c in x.columns if seen[f"varies_{c}"]), key=lambda c: -seen[f"values_{c}"])
+    beside = [c for c in vary if seen[c] < seen["n"]]
+    last = vary[0] if len(vary) > 1 and seen[f"values_{vary[0]}"] > order.LOOKUP_MAX_ROWS else None
+    looked = [c for c in vary if c != last]
+    side = lambda c, d: f"{c}|{d if d in beside else ''}"
+    found, row = {}, df.sparkSession.range(1)
+    if len(vary) > 1:
+        ranks, ranked = _value_ranks(x, looked, beside), x.select(*vary)
+        for c in looked:
+            of = {side(c, d): f"r_{d}" if d in beside else "r" for d in vary if d != c}
+            own = ranks.filter(F.col("col") == c).select("v", "n", *[F.col(r).alias(name) for name, r in of.items()])
+            ranked = look_up(ranked, c, own, "v", "n", seen["n"], list(of)).drop(c)
+        found = {(c, d): _safe_corr(F.col(side(c, d)), F.col(side(d, c))) for c, d in _pairs(looked)}
+        if found:
+            row = ranked.agg(*[e.alias(f"p{k}") for k, e in enumerate(found.values())])
+        found = {p: F.col(f"p{k}") for k, p in enumerate(found)}
+        if last:
+            found |= {(c, last): F.lit(v) for c, v in _corr_with(ranked, last, {c: side(c, last) for c in looked}, ranks, beside, seen).items()}
+    value = lambda i, j: found.get((f"c{i}", f"c{j}"), found.get((f"c{j}", f"c{i}"), F.lit(None))).cast("double")
+    arr = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), value(i, j).alias("corr")) for i, j in _pairs(range(len(cols)))])
     return _matrix(row.select(F.explode(arr).alias("r")).select("r.*"), _diagonal(df, cols, "corr"), "corr")
 
 

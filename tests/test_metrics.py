@@ -179,6 +179,40 @@ def test_spearman_ranks_all_pairs_with_missing_values_at_once(spark, monkeypatch
     assert len(passes) == 1 and got[("a", "c")] is None and got[("c", "c")] is None and got[("b", "b")] == 1.0
 
 
+def test_spearman_groups_the_column_of_most_values_instead_of_looking_it_up(spark, monkeypatch):
+    """Rows are not joined with the ranks of a column of too many values to broadcast, nor with those of a
+    constant one; ties, a hot value, NaN (the largest) and missing values on either side."""
+    from kiln.operators import order
+
+    monkeypatch.setattr(order, "LOOKUP_MAX_ROWS", 40)
+    rng = np.random.default_rng(12)
+    a = [None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 20, 1500)]
+    b = [None if rng.random() < 0.1 else 3.0 if rng.random() < 0.3 else float("nan") if rng.random() < 0.02 else float(np.round(v + (u or 0) / 9, 2))
+         for u, v in zip(a, rng.normal(size=1500))]
+    d = [float(np.round(v)) for v in rng.normal(size=1500) * 3]
+    e = [None if u is not None else float(v) for u, v in zip(a, d)]  # never known where a is
+    cols = {"a": a, "b": b, "c": [None if v > 4 else 1.0 for v in d], "d": d, "e": e}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols)).repartition(3)
+    looked, look_up = [], assoc.look_up
+    monkeypatch.setattr(assoc, "look_up", lambda big, value, *r: looked.append(value) or look_up(big, value, *r))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.a, r.b): r.corr for r in assoc.corr_matrix(df, list(cols), "spearman").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    at = lambda v: np.inf if np.isnan(v) else v
+    for x, y in itertools.combinations("abde", 2):
+        both = [(at(u), at(v)) for u, v in zip(cols[x], cols[y]) if u is not None and v is not None]
+        if (x, y) == ("a", "e"):
+            assert not both and got[(x, y)] is None and got[(y, x)] is None
+            continue
+        ranks = [[sum(w < v for w in side) + (side.count(v) + 1) / 2 for v in side] for side in zip(*both)]
+        assert got[(x, y)] == got[(y, x)] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
+    assert sorted(looked) == ["c0", "c3", "c4"]
+    assert len(got) == 25 and {v for k, v in got.items() if "c" in k} == {None} and {got[(k, k)] for k in "abde"} == {1.0}
+
+
 def test_box_stats_of_few_groups_are_not_dealt_by_group(spark):
     df = spark.range(1000).selectExpr("id % 2 as g", "cast(id as double) as x")
     boxes = profile.box_stats(df, "x", by="g")
