@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kiln.functions.exprs import q
+from kiln.operators import tree_cells
 from kiln.operators.boosting import BoostedTrees, fit_boosted
 from kiln.operators.perceptron import Perceptron, fit_perceptron
 from kiln.operators.factors import Factor, Model, least_squares, partial_factors, solve_factors
@@ -67,9 +68,32 @@ def _fit(features: Sequence[str], estimator, df: DataFrame, spread: bool = False
     return PipelineModel(stages=[asm, fitted])
 
 
+def _fit_cells(features: Sequence[str], estimator: OneVsRest, df: DataFrame, n: int, k: int, seed: int) -> PipelineModel | None:
+    """The fit of boosted trees on the counted cells of the rows; None where these may not be far fewer."""
+    rows, share = tree_cells.drawn(df, features, n, seed)
+    cuts = [tree_cells.split_points(rows[:, i], n, share, min(tree_cells.BINS, n)) for i in range(len(features))]
+    if tree_cells.most_cells(cuts, k) > n * tree_cells.CELL_SHARE:
+        return None
+    cells = tree_cells.counted(df, features, "_label", cuts, FEATURES)
+    try:
+        estimator.setClassifier(estimator.getClassifier().copy().setMaxBins(tree_cells.bins_for(cells.n)))
+        fitted = estimator.setWeightCol(tree_cells.WEIGHT).fit(cells.table)
+    finally:
+        cells.table.unpersist()
+    coder = tree_cells.bucketizer(features, cells.cuts, [f"_bin_{c}" for c in features])
+    asm = VectorAssembler(inputCols=coder.getOutputCols(), outputCol=FEATURES, handleInvalid="keep")
+    return PipelineModel(stages=[coder, asm, fitted])
+
+
 def _n_classes(df: DataFrame, label: str) -> int:
-    row = df.agg(F.max(q(label)).alias("m"), F.count_distinct(q(label)).alias("k")).first()
-    return max(int(row["m"] or 0) + 1, int(row["k"] or 0), 2)
+    return _seen(df, label)[0]
+
+
+def _seen(df: DataFrame, label: str, *counts) -> tuple[int, ...]:
+    """The number of classes, and how many rows meet each condition of ``counts``, in one job."""
+    row = df.agg(F.max(q(label)).alias("m"), F.count_distinct(q(label)).alias("k"),
+                 *[F.count(F.when(c, 1)).alias(f"n{i}") for i, c in enumerate(counts)]).first()
+    return max(int(row["m"] or 0) + 1, int(row["k"] or 0), 2), *row[2:]
 
 
 # ----------------------------------------------------------------------------- M1
@@ -134,15 +158,22 @@ def fit_gbt_classifier(df: DataFrame, features: Sequence[str], label: str, learn
                        n_trees: int = 100, max_depth: int = 3, subsample: float = 1.0, colsample: float = 1.0,
                        validation_col: str | None = None, seed: int = 42) -> PipelineModel:
     """Gradient-boosted trees; early stopping on ``validation_col`` rows when given;
-    more than two classes go through one-vs-rest."""
+    more than two classes go through one-vs-rest. Large tables of more than two classes are
+    trained on their counted cells (``operators.tree_cells``) where all rows and features take part in every tree."""
     params = dict(featuresCol=FEATURES, labelCol="_label", stepSize=learning_rate, maxIter=n_trees,
                   maxDepth=max_depth, subsamplingRate=subsample, featureSubsetStrategy=_feature_subset(colsample),
                   seed=seed)
     if validation_col:
         params["validationIndicatorCol"] = "_val"
     gbt = GBTClassifier(**params)
-    k = _n_classes(df, label)
+    features = list(features)
+    whole = not validation_col and subsample >= 1.0 and colsample >= 1.0 and tree_cells.countable(df, features)
+    k, n, flaws = _seen(df, label, F.lit(True), tree_cells.flawed(features)) if whole else (_n_classes(df, label), 0, 0)
     est = gbt if k <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol="_label")
+    if k > 2 and n > tree_cells.CELL_ROWS and not flaws:
+        fitted = _fit_cells(features, est, _label(df, label), n, k, seed)
+        if fitted is not None:
+            return fitted
     return _fit(features, est, _label(df, label).withColumn("_val", q(validation_col)) if validation_col
                 else _label(df, label), spread=True)
 
@@ -179,8 +210,11 @@ def feature_importance(model: PipelineModel, names: Sequence[str], top: int = 20
 # ----------------------------------------------------------------------------- M13 / M14
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """Batch scoring: ``prediction`` plus ``probability`` as an array (classifiers)."""
-    out = model.transform(df)
     cols = [q(c) for c in (keep if keep is not None else df.columns)]
+    by_region = tree_cells.predicted(model, df, cols) if isinstance(model, PipelineModel) else None
+    if by_region is not None:
+        return by_region
+    out = model.transform(df)
     extra = [F.col("prediction").cast("double").alias("prediction")]
     if isinstance(model, (BoostedTrees, Perceptron)):
         extra.append(F.col("probability"))
